@@ -157,8 +157,10 @@ def neutralize_text(df: DataFrame, col: str, out: str | None = None) -> DataFram
 # Patterns that mark a string as script-bearing or as an address.
 SCRIPT_PATTERNS = (
     r"(?i)<script(?![A-Za-z0-9_])", r"(?i)javascript:", r"(?i)vbscript:", r"(?i)data:text/html",
-    rf"(?i)(?<![A-Za-z0-9_])on[A-Za-z0-9_]+{WS}*=", rf"(?i)(?<![A-Za-z0-9_])eval{WS}*\(",
-    rf"(?i)(?<![A-Za-z0-9_])expression{WS}*\(",
+    r"(?i)(?<![A-Za-z0-9_])on(?:load|error|click|mouse[A-Za-z0-9_]+|key[A-Za-z0-9_]+|focus|blur|change|submit|reset"
+    r"|select|contextmenu|drag[A-Za-z0-9_]*|drop|wheel|scroll|touch[A-Za-z0-9_]*|animation[A-Za-z0-9_]*"
+    rf"|transition[A-Za-z0-9_]*){WS}*=",
+    rf"(?i)(?<![A-Za-z0-9_])eval{WS}*\(", rf"(?i)(?<![A-Za-z0-9_])expression{WS}*\(",
 )
 
 
@@ -242,17 +244,21 @@ def page_zone(df: DataFrame, url_col: str, out: str = "zone") -> DataFrame:
     return df.withColumn(out, zone_of(F.col(url_col)))
 
 
-# Schemes and places a page agent must not touch.
-def gate_urls(df: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
-    """``(passed, blocked + reason)``; internal, extension and local-file pages are blocked."""
-    flagged = df.withColumn("reason", restricted_reason(F.col(col)))
-    return flagged.filter("reason IS NULL").drop("reason"), flagged.filter("reason IS NOT NULL")
-
-
 def restricted_reason(url):
+    """Why a page agent must not touch this page; NULL when it may."""
     low = F.lower(trim_ws(url))
+    # Privileged schemes and their reasons.
     return (
-        F.when(low.rlike(r"^(?:chrome|about|edge|brave):"), F.lit("internal_page"))
-        .when(low.rlike(r"^(?:chrome-extension|moz-extension):"), F.lit("extension_page"))
-        .when(low.rlike(r"^(?:file|view-source|devtools):"), F.lit("local_file"))
+        F.when(low.startswith("chrome://"), F.lit("Chrome internal settings/management surface (chrome://)"))
+        .when(low.startswith("chrome-extension://"), F.lit("Extension internal origin (chrome-extension://)"))
+        .when(low.rlike("^(?:edge://|about:|devtools://|view-source:)"),
+              F.lit("Privileged browser internal origin"))
+        .when(low.startswith("file://"),
+              F.lit("Local file scheme URL without explicit verified permission"))
     )
+
+
+def gate_urls(df: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
+    """``(passed, blocked + reason)``; internal, extension and local-file pages are blocked."""
+    flagged = df.withColumn("reason", restricted_reason(F.col(col)))
+    return flagged.filter("reason IS NULL").drop("reason"), flagged.filter("reason IS NOT NULL")
