@@ -59,14 +59,21 @@ def _hay_keys(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.array(*[F.coalesce(grams(n), none) for n in range(1, GRAM + 1)])))
 
 
-def containing_text(needles: DataFrame, hays: DataFrame, keys: list[str], needle: str, hay: str) -> DataFrame:
+def containing_text(needles: DataFrame, hays: DataFrame, keys: list[str], needle: str, hay: str,
+                    gram: int | None = None) -> DataFrame:
     """Pairs where the hay's text contains the needle's text; texts are short (names, tokens).
 
     The needle is looked up by its first characters among the substrings of the hay, so pairs
-    form only where those already agree; the full test follows.
+    form only where those already agree; the full test follows. ``gram`` says that every needle
+    has at least that many characters, which makes the lookup sharper.
     """
-    a = needles.filter(F.length(needle) > 0).withColumn("_g", _needle_key(F.col(needle)))
-    b = hays.filter(F.length(hay) > 0).withColumn("_h", F.explode(_hay_keys(F.col(hay))))
+    if gram is None:
+        a = needles.filter(F.length(needle) > 0).withColumn("_g", _needle_key(F.col(needle)))
+        b = hays.filter(F.length(hay) > 0).withColumn("_h", F.explode(_hay_keys(F.col(hay))))
+    else:
+        a = needles.withColumn("_g", F.substring(needle, 1, gram))
+        b = hays.filter(F.length(hay) >= gram).withColumn("_h", F.explode(F.array_distinct(F.transform(
+            F.sequence(F.lit(1), F.length(hay) - (gram - 1)), lambda i: F.substring(F.col(hay), i, F.lit(gram))))))
     joined = a.join(b, [a[k] == b[k] for k in keys] + [a["_g"] == b["_h"]])
     for k in keys:
         joined = joined.drop(b[k])
