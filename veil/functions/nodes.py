@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 NODE_SCHEMA = (
@@ -95,29 +95,62 @@ def page_nodes(html: str, text_tags=None) -> list[dict]:
     return rows
 
 
+ROWS_PER_BATCH = 8192
+_ANC = pa.list_(pa.struct([("id", pa.int32()), ("tag", pa.string()), ("cls", pa.string()), ("role", pa.string()), ("html_id", pa.string())]))
+_TYPES = {"node_id": pa.int32(), "parent_id": pa.int32(), "depth": pa.int32(), "tag": pa.string(), "cls": pa.string(),
+          "role": pa.string(), "attrs": pa.map_(pa.string(), pa.string()), "text": pa.string(), "anc": _ANC}
+
+
+def _anc_column(rows: list[dict]) -> pa.Array:
+    """Ancestor lists column by column, which is far cheaper than one dict per ancestor."""
+    offsets, flat = [0], []
+    for r in rows:
+        flat.extend(r["anc"])
+        offsets.append(len(flat))
+    ids, tags, cls, roles, html_ids = zip(*flat) if flat else ((), (), (), (), ())
+    inner = pa.StructArray.from_arrays(
+        [pa.array(ids, pa.int32()), *[pa.array(c, pa.string()) for c in (tags, cls, roles, html_ids)]],
+        fields=list(_ANC.value_type))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), inner)
+
+
+def _batch(keys: list, rows: list[dict], key: str, key_type: pa.DataType) -> pa.RecordBatch:
+    columns = [pa.array(keys, key_type)]
+    for name, kind in _TYPES.items():
+        if name == "anc":
+            columns.append(_anc_column(rows))
+        elif name == "attrs":
+            columns.append(pa.array([list(r["attrs"].items()) for r in rows], kind))
+        else:
+            columns.append(pa.array([r[name] for r in rows], kind))
+    return pa.RecordBatch.from_arrays(columns, names=[key, *_TYPES])
+
+
 def parse_nodes(pages: DataFrame, key: str = "page_id", html: str = "html", text_tags=None,
                 keep_tags=None) -> DataFrame:
     """One row per element. ``text_tags`` limits whose text content is carried; ``keep_tags`` which rows leave.
 
     Both keep the node table small when a job needs only a few kinds of element.
     """
-    key_type = pages.schema[key].dataType.simpleString()
-    schema = NODE_SCHEMA.format(key=f"{key} {key_type}")
-    names = [c.split(" ")[0] for c in schema.split(", ")][:9] + ["anc"]
+    schema = NODE_SCHEMA.format(key=f"{key} {pages.schema[key].dataType.simpleString()}")
     text_tags = frozenset(text_tags) if text_tags is not None else None
     keep_tags = frozenset(keep_tags) if keep_tags is not None else None
 
     def parse(batches):
+        keys, rows = [], []
         for batch in batches:
-            for page_key, page_html in zip(batch[key], batch[html]):
-                rows = page_nodes(page_html, text_tags)
+            key_type = batch.column(0).type
+            for page_key, page_html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = page_nodes(page_html, text_tags)
                 if keep_tags is not None:
-                    rows = [r for r in rows if r["tag"] in keep_tags]
-                for lo in range(0, len(rows), 20000):
-                    part = rows[lo:lo + 20000]
-                    yield pd.DataFrame({
-                        names[0]: [page_key] * len(part),
-                        **{n: [r[n] for r in part] for n in names[1:]},
-                    }, columns=names)
-
-    return pages.select(key, html).mapInPandas(parse, schema)
+                    found = [r for r in found if r["tag"] in keep_tags]
+                keys.extend([page_key] * len(found))
+                rows.extend(found)
+                if len(rows) >= ROWS_PER_BATCH:
+                    yield _batch(keys, rows, key, key_type)
+                    keys, rows = [], []
+            if rows:
+                yield _batch(keys, rows, key, key_type)
+                keys, rows = [], []
+
+    return pages.select(key, html).mapInArrow(parse, schema)

@@ -164,6 +164,12 @@ RULES: tuple[Rule, ...] = (
 )
 RULES_BY_NAME = {r.name: r for r in RULES}
 
+# A text without any of these cannot match any rule. Worth asking for short pieces such as URL parts.
+MAYBE_SENSITIVE = (
+    rf"\d{{3}}|[@#+(\[{WS_CHARS}]|[\d()./-]{{7}}|CANARY|eyJ|sk_live_|ghp_|akIA|(?i:flat|house|h\.no|plot|shop|room|bldg"
+    r"|building|apartment|apt|sector|block|pocket|dob|birth|bday)"
+)
+
 
 def with_canary_prefixes(prefixes, rules=RULES) -> tuple[Rule, ...]:
     """The same rules looking for other planted prefixes."""

@@ -30,9 +30,6 @@ def match_ranges(text: str, pattern: str, group: int = 0) -> str:
     """
     a, x = S.fresh("a"), S.fresh("x")
     pat = S.lit(pattern)
-    whole = f"regexp_extract_all({text}, {pat}, 0)"
-    part = f"regexp_extract_all({text}, {pat}, {group})" if group else whole
-    zipped = f"arrays_zip(split({text}, {pat}, -1), {whole}, {part})"
     gap, hit, cap = f"{x}.`0`", f"{x}.`1`", f"{x}.`2`"
     at = f"{a}.pos + length({gap})" + (f" + instr({hit}, {cap}) - 1" if group else "")
     found = f"array(named_struct('start', {at}, 'end', {at} + length({cap}), 'text', {cap}))"
@@ -40,8 +37,19 @@ def match_ranges(text: str, pattern: str, group: int = 0) -> str:
         f"named_struct('pos', {a}.pos + length({gap}) + coalesce(length({hit}), 0), "
         f"'out', CASE WHEN length({cap}) > 0 THEN concat({a}.out, {found}) ELSE {a}.out END)"
     )
-    start = f"named_struct('pos', 0, 'out', cast(array() as {MATCH_TYPE}))"
-    return f"aggregate({zipped}, {start}, ({a}, {x}) -> {step}, {a} -> {a}.out)"
+    none = f"cast(array() as {MATCH_TYPE})"
+
+    def fold(whole):
+        part = f"regexp_extract_all({text}, {pat}, {group})" if group else whole
+        return (
+            f"CASE WHEN size({whole}) = 0 THEN {none} ELSE aggregate(zip_with(split({text}, {pat}, -1), "
+            f"zip_with({whole}, {part}, (h, c) -> named_struct('hit', h, 'cap', c)), "
+            f"(g, m) -> named_struct('0', g, '1', m.hit, '2', m.cap)), "
+            f"named_struct('pos', 0, 'out', {none}), ({a}, {x}) -> {step}, {a} -> {a}.out) END"
+        )
+
+    # Splitting is only worth its second pass over the text when something was found.
+    return S.let(f"regexp_extract_all({text}, {pat}, 0)", fold)
 
 
 def _accept(rule: Rule, text: str, x: str) -> str | None:

@@ -19,7 +19,7 @@ def fresh(prefix: str = "v") -> str:
 
 def lit(pattern: str) -> str:
     """A raw string literal; quotes become regex escapes, so only use it for patterns."""
-    return "r'" + pattern.replace("'", r"\x27").replace('"', r"\x22") + "'"
+    return "r'" + pattern.replace('\\"', '"').replace("'", r"\x27").replace('"', r"\x22") + "'"
 
 
 def text(value: str) -> str:

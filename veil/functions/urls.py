@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from veil.functions import rules as R
 from veil.functions import text_sql as S
-from veil.functions.spans import all_spans, cut_spans, masked
+from veil.functions.spans import NO_SPANS, all_spans, cut_spans, masked
 
 MAX_URL = 2048
 TOKEN = "[REDACTED_TOKEN]"
@@ -122,7 +122,8 @@ def _clean_part(p: str) -> str:
                 (f"{kind} = 'anchor'", anchor),
                 otherwise=segment)
 
-        scrub = S.let(all_spans(d), lambda sp: f"named_struct('masked', {cut_spans(d, sp)}, 'n', size({sp}))")
+        spans = f"CASE WHEN {S.rlike(d, R.MAYBE_SENSITIVE)} THEN {all_spans(d)} ELSE {NO_SPANS} END"
+        scrub = S.let(spans, lambda sp: f"named_struct('masked', {cut_spans(d, sp)}, 'n', size({sp}))")
         return S.let(scrub, with_scrub)
 
     return S.let(f"CASE WHEN {kind} = 'broken' THEN {value} ELSE {_decode(value)} END", with_decoded)

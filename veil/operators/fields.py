@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veil.functions.rules import BL, BR, WS
-from veil.functions.spans import all_spans
+from veil.functions.spans import all_spans, cut_col
 from veil.functions.util import trim_ws
+from veil.operators.detect import short_name
 from veil.operators.regions import to_screenshot
 
 # ---------------------------------------------------------------------------
@@ -264,7 +265,9 @@ def semantic_type(fields: DataFrame, slots: dict | None = None) -> DataFrame:
     corpus = F.array_join(F.filter(F.array(
         "_k_label_text", "_k_placeholder", clean_tokens_col(raw("aria_label")), "_k_name", "_k_id",
         clean_tokens_col(raw("raw_name")), clean_tokens_col(raw("sanitized_name"))), lambda x: x != ""), " ")
-    staged = staged.withColumn("_corpus", corpus)
+    staged = staged.withColumn("_corpus", corpus).withColumn("_padded", _padded(F.col("_corpus")))
+    for n in ("label_text", "placeholder", "name", "id"):
+        staged = staged.withColumn(f"_k_{n}", _padded(F.col(f"_k_{n}")))
     kind, auto = F.lower(trim_ws(raw("type"))), F.lower(trim_ws(raw("autocomplete")))
     scores = []
     for i, (slot, (aliases, autos, types)) in enumerate(slots.items()):
@@ -273,10 +276,11 @@ def semantic_type(fields: DataFrame, slots: dict | None = None) -> DataFrame:
             score = score + F.when(kind.isin(*types), F.lit(0.45)).otherwise(F.lit(0.0))
         score = score + F.when(auto.rlike("|".join(autos)), F.lit(0.5)).otherwise(F.lit(0.0))
         ordered = sorted({_clean_alias(a): None for a in aliases}, key=lambda a: -len(a))
-        alias = _winning_alias(slot, ordered)
+        staged = staged.withColumn(f"_a{i}", _winning_alias(slot, ordered))
+        alias = F.col(f"_a{i}")
 
         def found_in(c, a=alias):
-            return F.contains(F.concat(F.lit(" "), F.regexp_replace(c, "[^a-z0-9_]+", " "), F.lit(" ")), F.concat(F.lit(" "), a, F.lit(" ")))
+            return F.contains(c, F.concat(F.lit(" "), a, F.lit(" ")))
 
         base = (F.when(found_in(F.col("_k_label_text")), 0.60).when(found_in(F.col("_k_placeholder")), 0.55)
                 .when(found_in(F.col("_k_name")) | found_in(F.col("_k_id")), 0.50).otherwise(0.40))
@@ -299,17 +303,43 @@ def semantic_type(fields: DataFrame, slots: dict | None = None) -> DataFrame:
             accepted, F.floor(F.col("_best.s") * 100 + 0.5) / 100).alias("slot_confidence"))
 
 
+def _padded(c: Column) -> Column:
+    """Words between single blanks, so that a word sequence is a plain substring."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(c, "[^a-z0-9_]+", " ")), F.lit(" "))
+
+
 def _winning_alias(slot: str, ordered: list[str]) -> Column:
     """Longest alias that stands as words in the corpus; a bare "name" is refused next to organisation words."""
-    if slot != "fullName":
-        return _longest(ordered)
-    org = F.col("_corpus").rlike(
-        rf"{BL}(?:college|company|organization|organisation|university|institute|institution|school|employer|domain"
-        rf"|host|file|folder){BR}")
-    rest = _longest([a for a in ordered if a != "name"])
-    bare = F.when(~org & F.col("_corpus").rlike(f"{BL}name{BR}"), F.lit("name"))
-    return F.coalesce(rest, bare)
-
-
-def _longest(ordered: list[str]) -> Column:
-    return F.coalesce(*[F.when(F.col("_corpus").rlike(BL + a.replace(" ", r"\s+") + BR), F.lit(a)) for a in ordered])
+    hits = F.filter(F.array(*[F.lit(a) for a in ordered]), lambda a: F.contains(
+        F.col("_padded"), F.concat(F.lit(" "), a, F.lit(" "))))
+    if slot == "fullName":
+        org = F.col("_corpus").rlike(
+            rf"{BL}(?:college|company|organization|organisation|university|institute|institution|school|employer|domain"
+            rf"|host|file|folder){BR}")
+        hits = F.when(org, F.array_remove(hits, "name")).otherwise(hits)
+    return F.get(hits, F.lit(0))
+
+
+# Placeholder shown instead of a sensitive field's name, and classes nobody may type into.
+PLACEHOLDERS = {
+    "password": "[PASSWORD FIELD]", "auth_code": "[OTP FIELD]", "credit_card": "[PAYMENT FIELD]", "cvv": "[PAYMENT FIELD]",
+    "bank_account": "[PAYMENT FIELD]", "national_id": "[NATIONAL ID FIELD]", "email": "[EMAIL FIELD]",
+    "phone": "[PHONE FIELD]", "token": "[TOKEN/KEY FIELD]",
+}
+OTHER_PLACEHOLDER = "[SENSITIVE FIELD]"
+NOT_TYPABLE = ("password", "auth_code", "credit_card", "cvv", "bank_account", "token", "uninspectable", "high_risk_surface")
+
+
+def sanitize_elements(elements: DataFrame, regions: DataFrame, keys=("capture_id", "local_id")) -> DataFrame:
+    """Sensitive elements get a placeholder name, and lose ``type`` where typing is not allowed.
+
+    ``elements(*keys, name, caps[])``; ``regions(*keys, category)`` has at most one row per element.
+    Other names are scrubbed and cut.
+    """
+    marks = regions.select(*keys, F.col("category").alias("_cat"))
+    label = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in PLACEHOLDERS.items() for x in kv]), F.col("_cat")),
+                       F.lit(OTHER_PLACEHOLDER))
+    j = elements.join(marks, list(keys), "left").withColumn("_s", F.expr(all_spans("name"))).withColumn(
+        "sanitized_name", F.when(F.col("_cat").isNotNull(), label).otherwise(short_name(cut_col("name", "_s"))))
+    return j.withColumn("caps", F.when(F.col("_cat").isin(*NOT_TYPABLE), F.array_except("caps", F.array(F.lit("type")))).otherwise(
+        F.col("caps"))).drop("_cat", "_s")

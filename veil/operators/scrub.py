@@ -262,3 +262,62 @@ def gate_urls(df: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
     """``(passed, blocked + reason)``; internal, extension and local-file pages are blocked."""
     flagged = df.withColumn("reason", restricted_reason(F.col(col)))
     return flagged.filter("reason IS NULL").drop("reason"), flagged.filter("reason IS NOT NULL")
+
+
+def _any_ancestor(pred):
+    return F.exists("anc", pred)
+
+
+# Hosts and class names of maps, players, feeds and account controls.
+_MAP_HOSTS = ("bhuvan", "nrsc.gov.in", "isro.gov.in", "mosdac.gov.in", "vedas.sac.gov.in", "bhoonidhi")
+_MAP_CLASSES = ("ol-layer", "ol-unselectable", "leaflet", "mapboxgl", "maplibregl", "cesium", "esri-view", "gm-style")
+_MAP_BOXES = ("ol-viewport", "leaflet-container", "mapboxgl-map", "maplibregl-map", "cesium-viewer", "esri-view", "gm-style",
+              "map-container")
+_VIDEO_HOSTS = ("youtube.com", "youtu.be", "vimeo.com", "twitch.tv", "dailymotion.com")
+_PLAYER_CLASSES = ("video-stream", "html5-main-video", "vjs-tech", "jw-video")
+_MESSAGE_PATH = r"/(?:direct|inbox|messages?|messaging|conversations?|chat)(?:[/?#]|\z)"
+_MESSAGE_BOXES = ("conversation", "message-list", "chat-list", "msg-thread", "direct-inbox")
+_FEED_CLASSES = r"(?:^|\s)(?:comment-body|comment|TimelineItem|repo-list|feed)(?:\s|\z)"
+_FEED_TAGS = ("article", "aside", "ytd-comment-thread-renderer", "ytd-rich-item-renderer", "ytd-rich-grid-media",
+              "ytd-rich-grid-row", "ytd-video-renderer", "ytd-compact-video-renderer", "ytd-grid-video-renderer", "ytd-thumbnail",
+              "ytd-channel-name", "shreddit-post", "shreddit-comment")
+_SOCIAL_HOSTS = ("x.com", "twitter.com", "instagram.com", "reddit.com", "linkedin.com", "threads.net")
+
+
+def context_flags(elements: DataFrame) -> DataFrame:
+    """Add ``is_map, is_messaging, is_account, is_public_post, is_public_media``.
+
+    ``elements(url, tag, cls, html_id, attrs map, anc array<struct<id,tag,cls,role,html_id>>)``, as the node table has them.
+    """
+    url, cls, hid = F.lower(F.coalesce("url", F.lit(""))), F.lower(F.coalesce("cls", F.lit(""))), F.lower(F.coalesce("html_id", F.lit("")))
+    a = lambda k: F.lower(F.coalesce(F.try_element_at("attrs", F.lit(k)), F.lit("")))
+    has = lambda k: F.map_contains_key("attrs", k)
+    is_map = (any_contains(url, _MAP_HOSTS) | any_contains(cls, _MAP_CLASSES) | hid.contains("map") | hid.contains("bhuvan")
+              | _any_ancestor(lambda x: any_contains(F.lower(x["cls"]), _MAP_BOXES) | x["html_id"].isin("map", "map_canvas")
+                              | F.lower(x["html_id"]).contains("bhuvan")))
+    messaging = url.rlike(_MESSAGE_PATH) | any_contains(cls, _MESSAGE_BOXES) | _any_ancestor(
+        lambda x: any_contains(F.lower(x["cls"]), _MESSAGE_BOXES)) | any_contains(a("aria-label"), (
+            "direct", "messages", "chats", "thread", "inbox")) | any_contains(a("data-testid"), ("conversation", "message", "chat", "direct"))
+    aria, tid, title = a("aria-label"), a("data-testid"), a("title")
+    in_header = _any_ancestor(lambda x: (x["tag"] == "header") | (x["role"] == "banner"))
+    specific = (any_contains(aria, ("account", "profile", "avatar", "user")) | any_contains(title, ("account", "profile"))
+                | any_contains(tid, ("profile", "user")) | any_contains(cls, ("user-profile", "account-btn")))
+    account = (any_contains(aria, ("google account", "account menu", "switch account", "sign out")) | tid.contains("accountswitcher")
+               | (tid == "user-menu") | (hid == "avatar-btn") | _any_ancestor(
+                   lambda x: (x["html_id"] == "avatar-btn") | F.lower(x["cls"]).contains("accountswitcher"))
+               | (in_header & has("aria-haspopup") & specific))
+    in_main = _any_ancestor(lambda x: x["tag"].isin("article", "main", "section") | x["role"].isin("article", "main", "feed"))
+    social = any_contains(url, _SOCIAL_HOSTS) & ~any_contains(url, ("/messages", "/messaging", "/direct"))
+    feed = F.col("tag").isin(*_FEED_TAGS) | F.col("cls").rlike(_FEED_CLASSES) | _any_ancestor(
+        lambda x: x["tag"].isin(*_FEED_TAGS) | x["cls"].rlike(_FEED_CLASSES) | x["role"].isin("article", "feed")
+        | x["html_id"].isin("related", "contents", "items"))
+    staged = elements.withColumn("is_map", is_map).withColumn("is_messaging", messaging).withColumn("is_account", account)
+    post = (~F.col("is_account") & (zone_of(F.col("url")) != "private_workspace") & ~F.col("is_messaging")
+            & (any_contains(url, _VIDEO_HOSTS[:4]) | (social & in_main) | feed))
+    src = a("src")
+    media_src = src.rlike("^(?:https?://|blob:)")
+    player = any_contains(cls, _PLAYER_CLASSES)
+    media = (F.col("tag") == "video") & ~a("data-live-camera").isin("true", "1") & (
+        ((has("controls") | has("poster") | (F.coalesce(F.expr("try_cast(attrs['duration'] as double)"), F.lit(0.0)) > 0) | player) & media_src)
+        | (any_contains(url, _VIDEO_HOSTS) & (media_src | player)))
+    return staged.withColumn("is_public_post", post).withColumn("is_public_media", media)
