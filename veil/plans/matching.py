@@ -1 +1,495 @@
-"""Queries."""
+"""Queries over boxes, detections, candidates and catalogs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from veil.operators import catalogs, detect, fields, match, quality, regions
+from veil.plans.derived import BOXES, derive, plain, table
+from veil.plans.registry import query
+
+B = plain(BOXES)
+META = "1280.0 AS viewport_w, 720.0 AS viewport_h, 2560.0 AS screen_w, 1440.0 AS screen_h, 5.0 AS scroll_x, 7.0 AS scroll_y"
+META_SQL = META.replace(".0 AS", "::DOUBLE AS")
+IOU = """CASE WHEN a.w * a.h + b.w * b.h - i.ia > 0 THEN i.ia / (a.w * a.h + b.w * b.h - i.ia) ELSE 0 END"""
+INTER = """greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))"""
+
+
+def boxes(spark, sf):
+    return derive(spark, sf, BOXES)
+
+
+def placed(spark, sf):
+    return boxes(spark, sf).selectExpr("*", *META.split(", "))
+
+
+@query("visible_regions", f"""
+WITH b AS ({B}) SELECT capture_id, seq FROM b WHERE w > 1 AND h > 1 AND x + w > 0 AND y + h > 0 AND x < 40 AND y < 30""")
+def visible_regions(spark, sf):
+    return regions.visible(boxes(spark, sf), 40, 30).select("capture_id", "seq")
+
+
+@query("screenshot_boxes", f"""
+WITH b AS (SELECT *, {META_SQL} FROM ({B})), p AS (SELECT capture_id, seq, greatest(0, x * 2 - 4) AS x0, greatest(0, y * 2 - 4) AS y0, least(screen_w, x * 2 - 4 + w * 2 + 8) AS x1, least(screen_h, y * 2 - 4 + h * 2 + 8) AS y1 FROM b)
+SELECT capture_id, seq, floor(x0 + 0.5)::BIGINT AS sx_x, floor(y0 + 0.5)::BIGINT AS sx_y, floor(x1 - x0 + 0.5)::BIGINT AS sx_w, floor(y1 - y0 + 0.5)::BIGINT AS sx_h FROM p""")
+def screenshot_boxes(spark, sf):
+    return regions.to_screenshot(placed(spark, sf), None, pad=4).select("capture_id", "seq", "sx_x", "sx_y", "sx_w", "sx_h")
+
+
+@query("viewport_boxes", f"""
+WITH b AS ({B}) SELECT capture_id, seq, floor(x / 2 + 0.5)::BIGINT AS vp_x, floor(y / 2 + 0.5)::BIGINT AS vp_y, floor(w / 2 + 0.5)::BIGINT AS vp_w, floor(h / 2 + 0.5)::BIGINT AS vp_h FROM b""")
+def viewport_boxes(spark, sf):
+    return regions.to_viewport(placed(spark, sf), None).select("capture_id", "seq", "vp_x", "vp_y", "vp_w", "vp_h")
+
+
+@query("document_boxes", f"""WITH b AS ({B}) SELECT capture_id, seq, x - 5 AS vp_x, y - 7 AS vp_y FROM b""")
+def document_boxes(spark, sf):
+    return regions.doc_to_viewport(placed(spark, sf), None).select("capture_id", "seq", "vp_x", "vp_y")
+
+
+@query("coarse_bounds", f"""
+WITH b AS ({B}) SELECT capture_id, seq, cast(floor(least(1, x / 1280) * 100 + 0.5) AS INT) AS bx, cast(floor(least(1, h / 720) * 100 + 0.5) AS INT) AS bh FROM b""")
+def coarse_bounds(spark, sf):
+    out = regions.coarse_bounds(placed(spark, sf), None)
+    return out.select("capture_id", "seq", F.round(F.col("bounds")[0] * 100).cast("int").alias("bx"), F.round(F.col("bounds")[3] * 100).cast("int").alias("bh"))
+
+
+@query("mask_padding", f"""
+WITH b AS (SELECT capture_id, seq, x / 100 AS x, w / 100 AS w FROM ({B}))
+SELECT capture_id, seq, round(greatest(0, x - 0.01), 6) AS mx, round(least(1 - greatest(0, x - 0.01), w + 0.02), 6) AS mw FROM b""")
+def mask_padding(spark, sf):
+    b = boxes(spark, sf).select("capture_id", "seq", *[(F.col(c) / 100).alias(c) for c in "xywh"])
+    return regions.pad_box(b).select("capture_id", "seq", F.round("mx", 6).alias("mx"), F.round("mw", 6).alias("mw"))
+
+
+@query("vertical_buckets", f"""
+WITH b AS (SELECT capture_id, seq, x, y - 20 AS y, w, h FROM ({B})), k AS (SELECT *, CASE WHEN y + h <= 0 THEN 'above' WHEN y >= 10 THEN 'below' ELSE 'in_view' END AS bucket FROM b)
+SELECT bucket, bucket = 'in_view' AND x + w > 0 AND x < 30 AS in_viewport, count(*) AS n FROM k GROUP BY ALL""")
+def vertical_buckets(spark, sf):
+    b = boxes(spark, sf).withColumn("y", F.col("y") - 20)
+    return regions.vertical_bucket(b, 10, 30).groupBy("bucket", "in_viewport").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("scroll_metrics", """
+WITH p AS (SELECT o_orderkey, greatest(0, o_custkey % 900) AS top, greatest(720, o_orderkey % 3000) AS height FROM orders), m AS (SELECT *, greatest(0, height - 700) AS lim FROM p)
+SELECT o_orderkey, lim::BIGINT AS max_scroll_top, top < lim - 2 AS scrollable_below, top > 2 AS scrollable_above, greatest(0, lim - top)::BIGINT AS pixels_below, top::BIGINT AS pixels_above FROM m""")
+def scroll_metrics(spark, sf):
+    p = table(spark, sf, "orders").selectExpr("o_orderkey", "o_custkey % 900 AS scroll_top", "o_orderkey % 3000 AS scroll_height", "700 AS client_height", "720 AS viewport_h")
+    return regions.scroll_metrics(p).select("o_orderkey", "max_scroll_top", "scrollable_below", "scrollable_above", "pixels_below", "pixels_above")
+
+
+@query("geometry_validation", f"""
+WITH b AS ({B}) SELECT CASE WHEN seq = 6 THEN 'wrong_space' WHEN seq = 5 THEN 'non_finite' WHEN w - 10 <= 0 OR h <= 0 THEN 'non_positive' WHEN x >= 40 OR y >= 30 THEN 'outside' ELSE 'valid' END AS reason, count(*) AS n FROM b GROUP BY 1""")
+def geometry_validation(spark, sf):
+    b = boxes(spark, sf).withColumn("space", F.when(F.col("seq") == 6, F.lit("viewport")).otherwise(F.lit("screenshotPixel"))).withColumn(
+        "x", F.when(F.col("seq") == 5, F.lit(float("nan"))).otherwise(F.col("x"))).withColumn("w", F.col("w") - 10)
+    return regions.validate_geometry(b, 40, 30).groupBy(F.coalesce("reason", F.lit("valid")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("surface_regions", f"""
+WITH b AS ({B}) SELECT capture_id, seq, concat('HIGH_RISK_SURFACE: ', CASE WHEN seq % 2 = 0 THEN 'CANVAS' ELSE 'UNKNOWN_SURFACE' END) AS label FROM b WHERE seq % 3 <> 0""")
+def surface_regions(spark, sf):
+    s = placed(spark, sf).selectExpr("*", "CASE WHEN seq % 3 = 0 THEN 'inspected_same_origin' ELSE 'uninspectable_canvas' END AS status",
+                                     "seq % 3 <> 0 AS uninspectable", "CASE WHEN seq % 2 = 0 THEN 'canvas' END AS surface_type")
+    return regions.surface_regions(s, None).select("capture_id", "seq", "label")
+
+
+@query("field_regions", f"""
+WITH b AS ({B}) SELECT capture_id, seq AS local_id, 'email' AS category, floor(x * 2 + 0.5)::BIGINT AS sx_x FROM b WHERE category = 'email'""")
+def field_regions(spark, sf):
+    b = placed(spark, sf).withColumnRenamed("seq", "local_id")
+    cls = b.filter("category = 'email'").selectExpr("capture_id", "local_id", "true AS sensitive", "category")
+    return fields.field_regions(cls, b.drop("category", "text", "score"), None).select("capture_id", "local_id", "category", "sx_x")
+
+
+@query("sanitized_elements", f"""
+WITH b AS ({B}) SELECT capture_id, seq AS local_id, CASE category WHEN 'email' THEN '[EMAIL FIELD]' WHEN 'token' THEN '[TOKEN/KEY FIELD]' ELSE text END AS sanitized_name,
+ CASE category WHEN 'token' THEN 'click' ELSE 'click,type' END AS caps FROM b""")
+def sanitized_elements(spark, sf):
+    b = boxes(spark, sf).withColumnRenamed("seq", "local_id")
+    els = b.selectExpr("capture_id", "local_id", "text AS name", "array('click', 'type') AS caps")
+    out = fields.sanitize_elements(els, b.filter("category IN ('email', 'token')").select("capture_id", "local_id", "category"))
+    return out.select("capture_id", "local_id", "sanitized_name", F.array_join("caps", ",").alias("caps"))
+
+
+@query("mask_reconciliation", f"""
+WITH b AS ({B}) SELECT capture_id, seq AS region_id, CASE WHEN seq = 2 THEN 'not_rendered' ELSE 'low contrast' END AS problem FROM b WHERE seq IN (2, 3)
+UNION ALL SELECT capture_id, seq + 100, 'unknown_region' FROM b WHERE seq = 2""")
+def mask_reconciliation(spark, sf):
+    r = boxes(spark, sf).selectExpr("capture_id", "seq AS region_id")
+    rendered = r.selectExpr("capture_id", "CASE WHEN region_id = 2 THEN region_id + 100 ELSE region_id END AS region_id", "region_id <> 3 AS success",
+                            "CASE WHEN region_id = 3 THEN 'low contrast' END AS failure_reason")
+    return regions.reconcile_masks(r, rendered)
+
+
+@query("detector_ablation", f"""
+WITH b AS ({B}) SELECT category, count(*) AS n FROM b WHERE category <> 'phone' GROUP BY category""")
+def detector_ablation(spark, sf):
+    """One detector per category, one switched off."""
+    b = boxes(spark, sf)
+    parts = {c: b.filter(F.col("category") == c).select("capture_id", "category") for c in ("email", "phone", "token", "credit_card")}
+    return regions.run_detectors(parts, disable=["phone"]).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("fused_by_secret", f"""
+WITH b AS (SELECT *, CASE category WHEN 'credit_card' THEN 3 WHEN 'email' THEN 6 WHEN 'phone' THEN 7 ELSE 9 END AS p FROM ({B})),
+r AS (SELECT *, row_number() OVER (PARTITION BY capture_id, text ORDER BY p, seq) AS k, min(seq) OVER (PARTITION BY capture_id, text) AS first FROM b)
+SELECT capture_id AS page_id, CASE WHEN length(text) >= 3 THEN first ELSE seq END AS seq, category, text FROM r WHERE length(text) < 3 OR k = 1""")
+def fused_by_secret(spark, sf):
+    """M1."""
+    return regions.fuse_by_secret(boxes(spark, sf).selectExpr("capture_id AS page_id", "seq", "category", "text"))
+
+
+@query("fused_spatial")
+def fused_spatial(spark, sf):
+    """M3: ordered fold per page."""
+    return regions.fuse_spatial(boxes(spark, sf).withColumnRenamed("capture_id", "page_id")).select("page_id", "seq", "category", "text")
+
+
+@query("merged_boxes", f"""
+WITH RECURSIVE b AS (SELECT capture_id, category, x, y, w, h, row_number() OVER (PARTITION BY capture_id, category ORDER BY x, y, w, h) AS n FROM ({B})),
+f AS (SELECT capture_id, category, n, x, y, w, h, 1 AS grp FROM b WHERE n = 1 UNION ALL
+ SELECT b.capture_id, b.category, b.n,
+  CASE WHEN b.x <= f.x + f.w AND b.x + b.w >= f.x AND b.y <= f.y + f.h AND b.y + b.h >= f.y THEN least(f.x, b.x) ELSE b.x END,
+  CASE WHEN b.x <= f.x + f.w AND b.x + b.w >= f.x AND b.y <= f.y + f.h AND b.y + b.h >= f.y THEN least(f.y, b.y) ELSE b.y END,
+  CASE WHEN b.x <= f.x + f.w AND b.x + b.w >= f.x AND b.y <= f.y + f.h AND b.y + b.h >= f.y THEN greatest(f.x + f.w, b.x + b.w) - least(f.x, b.x) ELSE b.w END,
+  CASE WHEN b.x <= f.x + f.w AND b.x + b.w >= f.x AND b.y <= f.y + f.h AND b.y + b.h >= f.y THEN greatest(f.y + f.h, b.y + b.h) - least(f.y, b.y) ELSE b.h END,
+  f.grp + CASE WHEN b.x <= f.x + f.w AND b.x + b.w >= f.x AND b.y <= f.y + f.h AND b.y + b.h >= f.y THEN 0 ELSE 1 END
+ FROM f JOIN b ON b.capture_id = f.capture_id AND b.category = f.category AND b.n = f.n + 1),
+l AS (SELECT *, row_number() OVER (PARTITION BY capture_id, category, grp ORDER BY n DESC) AS k FROM f)
+SELECT capture_id, category, x, y, w, h FROM l WHERE k = 1""")
+def merged_boxes(spark, sf):
+    """M2."""
+    return regions.merge_boxes(boxes(spark, sf).select("capture_id", "category", "x", "y", "w", "h"))
+
+
+@query("suppressed_boxes", f"""
+WITH RECURSIVE b AS (SELECT capture_id, seq, x, y, w, h, row_number() OVER (PARTITION BY capture_id ORDER BY score DESC, seq) AS n FROM ({B})),
+e AS (SELECT a.capture_id, a.n AS an, b.n AS bn FROM b a JOIN b ON a.capture_id = b.capture_id AND a.n < b.n, LATERAL (SELECT {INTER} AS ia) i WHERE {IOU} > 0.35),
+k AS (SELECT capture_id, 1 AS n, [1] AS kept FROM b WHERE n = 1 UNION ALL
+ SELECT k.capture_id, k.n + 1, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.capture_id = k.capture_id AND e.bn = k.n + 1 AND list_contains(k.kept, e.an)) THEN k.kept ELSE list_append(k.kept, k.n + 1) END
+ FROM k JOIN b ON b.capture_id = k.capture_id AND b.n = k.n + 1),
+z AS (SELECT capture_id, arg_max(kept, n) AS kept FROM k GROUP BY capture_id)
+SELECT b.capture_id, b.seq AS det_id FROM b JOIN z ON b.capture_id = z.capture_id WHERE list_contains(z.kept, b.n)""")
+def suppressed_boxes(spark, sf):
+    """M5."""
+    return regions.nms(boxes(spark, sf).withColumnRenamed("seq", "det_id"), cell=25.0).select("capture_id", "det_id")
+
+
+@query("text_regions")
+def text_regions(spark, sf):
+    """Measured rectangles, fallback boxes and bare nodes, merged per category."""
+    nodes = placed(spark, sf).selectExpr(
+        "capture_id", "seq AS node_id", "concat('call u', cast(seq as string), '@mail.example.com') AS text", "x", "y", "w", "h",
+        "viewport_w", "viewport_h", "screen_w", "screen_h", "scroll_x", "scroll_y",
+        "CASE WHEN seq % 3 = 0 THEN NULL ELSE array(named_struct('category', category, 'rects', CASE WHEN seq % 3 = 1 THEN array(named_struct('x', x, 'y', y, 'w', w, 'h', h)) "
+        "ELSE cast(array() as array<struct<x:double,y:double,w:double,h:double>>) END, 'fallback', named_struct('x', x, 'y', y, 'w', w, 'h', h))) END AS ranges")
+    meta = nodes.select("capture_id", "viewport_w", "viewport_h", "screen_w", "screen_h", "scroll_x", "scroll_y").distinct()
+    return regions.text_regions(nodes.drop("viewport_w", "viewport_h", "screen_w", "screen_h", "scroll_x", "scroll_y"), meta).select("capture_id", "category", "x", "y", "w", "h")
+
+
+@query("reconciled_faces", f"""
+WITH b AS ({B}), f AS (SELECT * FROM b WHERE seq % 2 = 1), g AS (SELECT *, seq % 4 = 0 AS is_avatar FROM b WHERE seq % 2 = 0),
+d AS (SELECT DISTINCT f.capture_id, f.seq FROM f JOIN g ON f.capture_id = g.capture_id AND NOT g.is_avatar AND f.x >= g.x AND f.y >= g.y AND f.x + f.w <= g.x + g.w AND f.y + f.h <= g.y + g.h),
+k AS (SELECT DISTINCT f.capture_id, f.seq FROM f JOIN g ON f.capture_id = g.capture_id AND g.is_avatar AND f.x < g.x + g.w AND f.x + f.w > g.x AND f.y < g.y + g.h AND f.y + f.h > g.y)
+SELECT f.capture_id, cast(f.seq AS VARCHAR) AS region_id FROM f LEFT JOIN d USING (capture_id, seq) LEFT JOIN k USING (capture_id, seq) WHERE NOT (d.seq IS NOT NULL AND k.seq IS NULL)""".replace(
+    "LEFT JOIN d USING (capture_id, seq) LEFT JOIN k USING (capture_id, seq) WHERE NOT (d.seq IS NOT NULL AND k.seq IS NULL)",
+    "WHERE NOT ((f.capture_id, f.seq) IN (SELECT (capture_id, seq) FROM d) AND (f.capture_id, f.seq) NOT IN (SELECT (capture_id, seq) FROM k))"))
+def reconciled_faces(spark, sf):
+    """D12, the faces that stay."""
+    b = placed(spark, sf)
+    faces = b.filter("seq % 2 = 1").withColumnRenamed("seq", "face_id")
+    images = b.filter("seq % 2 = 0").withColumnRenamed("seq", "image_id").selectExpr("*", "image_id % 4 = 0 AS is_avatar", "image_id % 4 <> 0 AS is_public")
+    return regions.reconcile_faces(faces, images, None, cell=25.0).filter("origin = 'model'").select("capture_id", "region_id")
+
+
+def _truth(spark, sf):
+    """Detections are all boxes; truth is every box but each third, shifted a little."""
+    b = boxes(spark, sf).withColumnRenamed("capture_id", "page_id")
+    return b, b.filter("seq % 3 <> 0").withColumn("x", F.col("x") + 1).withColumn("text", F.when(F.col("seq") % 2 == 0, F.col("text")))
+
+
+GREEDY = f"""
+WITH RECURSIVE b AS (SELECT capture_id AS page_id, category, seq, text, x, y, w, h FROM ({B})),
+g AS (SELECT page_id, category, seq, CASE WHEN seq % 2 = 0 THEN text END AS text, x + 1 AS x, y, w, h FROM b WHERE seq % 3 <> 0),
+p AS (SELECT a.page_id, a.category, a.seq AS l, b.seq AS r, greatest(CASE WHEN {IOU} >= 0.4 THEN {IOU} + 1 ELSE 0 END, CASE WHEN contains(a.text, b.text) OR contains(b.text, a.text) THEN 1.5 ELSE 0 END) AS score
+  FROM b a JOIN g b ON a.page_id = b.page_id AND a.category = b.category, LATERAL (SELECT {INTER} AS ia) i),
+o AS (SELECT page_id, category, l, row_number() OVER (PARTITION BY page_id, category ORDER BY l) AS n FROM (SELECT DISTINCT page_id, category, l FROM p WHERE score > 0)),
+q AS (SELECT p.*, o.n FROM p JOIN o USING (page_id, category, l) WHERE p.score > 0),
+s AS (SELECT DISTINCT page_id, category, 0::BIGINT AS n, cast([] AS BIGINT[]) AS used FROM q UNION ALL
+  SELECT s.page_id, s.category, s.n + 1, (SELECT CASE WHEN count(*) = 0 THEN s.used ELSE list_append(s.used, arg_max(r, (score, -r))) END FROM q WHERE q.page_id = s.page_id AND q.category = s.category AND q.n = s.n + 1 AND NOT list_contains(s.used, q.r))
+  FROM s JOIN o ON o.page_id = s.page_id AND o.category = s.category AND o.n = s.n + 1),
+m AS (SELECT category, sum(len(u))::BIGINT AS tp FROM (SELECT page_id, category, arg_max(used, n) AS u FROM s GROUP BY ALL) GROUP BY category)"""
+
+
+@query("detection_quality", GREEDY + """,
+c AS (SELECT category, coalesce(tp, 0) AS tp, (SELECT count(*) FROM b WHERE b.category = k.category) - coalesce(tp, 0) AS fp, (SELECT count(*) FROM g WHERE g.category = k.category) - coalesce(tp, 0) AS fn FROM (SELECT DISTINCT category FROM b) k LEFT JOIN m USING (category)),
+t AS (SELECT category, tp, fp, fn FROM c UNION ALL SELECT NULL, sum(tp)::BIGINT, sum(fp)::BIGINT, sum(fn)::BIGINT FROM c)
+SELECT category, tp, fp, fn, floor(tp * 100.0 / (tp + fn) * 10 + 0.5) / 10 AS recall, floor(tp * 100.0 / (tp + fp) * 10 + 0.5) / 10 AS precision FROM t""")
+def detection_quality(spark, sf):
+    """J3, M4, A1."""
+    dets, gt = _truth(spark, sf)
+    pairs = match.greedy_match(match.detection_pairs(dets, gt, cell=25.0), ["page_id", "category"])
+    out = quality.pii_metrics(quality.count_outcomes(dets, gt, pairs, ["category"]))
+    return out.select("category", "tp", "fp", "fn", "recall", "precision")
+
+
+@query("label_quality", """
+WITH c AS (SELECT quality, sum(CASE WHEN toxic = 0 AND quality = 1 THEN 1 ELSE 0 END)::BIGINT AS tp, sum(CASE WHEN toxic = 0 AND quality = 0 THEN 1 ELSE 0 END)::BIGINT AS fp, sum(CASE WHEN toxic = 1 AND quality = 1 THEN 1 ELSE 0 END)::BIGINT AS fn FROM labels GROUP BY quality),
+t AS (SELECT sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM c)
+SELECT tp, fp, fn, floor(tp * 100.0 / nullif(tp + fn, 0) * 10 + 0.5) / 10 AS recall, floor(tp * 100.0 / nullif(tp + fp, 0) * 10 + 0.5) / 10 AS precision FROM t""")
+def label_quality(spark, sf):
+    """A1 on two-class labels: not toxic as the prediction of good quality."""
+    c = table(spark, sf, "labels").groupBy(F.col("quality").cast("string").alias("category")).agg(
+        F.count_if((F.col("toxic") == 0) & (F.col("quality") == 1)).alias("tp"),
+        F.count_if((F.col("toxic") == 0) & (F.col("quality") == 0)).alias("fp"), F.count_if((F.col("toxic") == 1) & (F.col("quality") == 1)).alias("fn"))
+    return quality.pii_metrics(c).filter("category IS NULL").select("tp", "fp", "fn", "recall", "precision")
+
+
+@query("unmeasured_dropped", f"""WITH b AS ({B}) SELECT category, count(*) AS n FROM b WHERE category NOT IN ('phone') GROUP BY 1""")
+def unmeasured_dropped(spark, sf):
+    return match.drop_unmeasured(boxes(spark, sf), ["phone"]).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("mask_coverage", f"""
+WITH b AS ({B}), m AS (SELECT capture_id, x + 3 AS x, y, w, h FROM b WHERE seq % 2 = 0),
+c AS (SELECT DISTINCT a.capture_id, a.seq FROM b a JOIN m b ON a.capture_id = b.capture_id, LATERAL (SELECT {INTER} AS ia) i WHERE {IOU} >= 0.3
+   OR (b.x <= a.x + 0.05 AND b.x + b.w >= a.x + a.w - 0.05 AND b.y <= a.y + 0.05 AND b.y + b.h >= a.y + a.h - 0.05))
+SELECT count(*) AS total, (SELECT count(*) FROM c) AS covered FROM b""")
+def mask_coverage(spark, sf):
+    """J5."""
+    b = boxes(spark, sf).withColumnRenamed("capture_id", "page_id")
+    masks = b.filter("seq % 2 = 0").withColumn("x", F.col("x") + 3)
+    hit, miss = match.coverage(masks, b, cell=25.0)
+    both = hit.select(F.lit(1).alias("c")).unionByName(miss.select(F.lit(0).alias("c")))
+    return both.agg(F.count(F.lit(1)).alias("total"), F.sum("c").alias("covered"))
+
+
+@query("surface_coverage", f"""
+WITH b AS (SELECT capture_id, seq, x / 100 AS x, y / 100 AS y FROM ({B})), s AS (SELECT * FROM b WHERE seq % 2 = 1), m AS (SELECT * FROM b WHERE seq % 2 = 0)
+SELECT DISTINCT s.capture_id AS page_id, s.seq FROM s JOIN m ON s.capture_id = m.capture_id AND abs(m.x - s.x) < 0.05 AND abs(m.y - s.y) < 0.05""")
+def surface_coverage(spark, sf):
+    """J13."""
+    b = boxes(spark, sf).selectExpr("capture_id AS page_id", "seq", "x / 100 AS x", "y / 100 AS y", "w", "h")
+    return match.surfaces_covered(b.filter("seq % 2 = 0"), b.filter("seq % 2 = 1").withColumn("category", F.lit("high_risk_surface"))).select("page_id", "seq")
+
+
+@query("safe_controls", f"""
+WITH b AS ({B}), e AS (SELECT capture_id, 'go ' || text AS n FROM b WHERE seq % 2 = 0)
+SELECT DISTINCT b.capture_id AS page_id, b.seq FROM b JOIN e ON b.capture_id = e.capture_id AND (contains(e.n, b.text) OR contains(b.text, e.n))""")
+def safe_controls(spark, sf):
+    """J12."""
+    b = boxes(spark, sf).selectExpr("capture_id AS page_id", "seq", "text AS name")
+    els = b.filter("seq % 2 = 0").withColumn("name", F.concat(F.lit("go "), "name"))
+    return match.preserved(els, b).select("page_id", "seq")
+
+
+@query("element_quality")
+def element_quality(spark, sf):
+    """Extracted elements are all boxes, truth every second one under another role for some."""
+    b = boxes(spark, sf).selectExpr("capture_id AS page_id", "seq", "concat(text, '-', cast(seq as string)) AS name", "category AS role", "x / 100 AS x", "y / 100 AS y", "w / 100 AS w", "h / 100 AS h")
+    gt = b.filter("seq % 2 = 0").withColumn("role", F.when(F.col("seq") % 4 == 0, F.lit("button")).otherwise(F.col("role")))
+    return quality.element_metrics(b, gt)
+
+
+@query("redaction_quality")
+def redaction_quality(spark, sf):
+    """A3."""
+    b = boxes(spark, sf).selectExpr("capture_id AS page_id", "seq", "text AS name", "x / 100 AS x", "y / 100 AS y", "w / 100 AS w", "h / 100 AS h")
+    return quality.redaction_metrics(b.filter("seq % 2 = 0"), b, b.filter("seq % 3 = 0"), b)
+
+
+@query("privacy_gate", f"""
+WITH b AS (SELECT capture_id, seq, category, x / 100 AS x, y / 100 AS y FROM ({B}))
+SELECT 0::BIGINT AS leaks, 2 AS checked, (SELECT count(*) FROM b) AS safe_kept, (SELECT count(*) FROM b) AS safe_total FROM (SELECT 1)""")
+def privacy_gate(spark, sf):
+    """No planted token is left in the box texts, and every control is found under its own name."""
+    b = boxes(spark, sf).selectExpr("capture_id AS page_id", "seq", "category", "text AS name", "x / 100 AS x", "y / 100 AS y", "w / 100 AS w", "h / 100 AS h")
+    leaks = detect.canary_leaks(b, "page_id", ["name"], ["SECRET_CANARY", "CANARY_SECRET_AUTH"])
+    return quality.privacy_gate(leaks, 2, b, b, b, b).select("leaks", "checked", "safe_kept", "safe_total")
+
+
+@query("redaction_manifest", f"""
+WITH b AS ({B}) SELECT capture_id, count(*) AS total, sum(CASE WHEN category IN ('email', 'token') AND category <> 'token' THEN 1 ELSE 0 END)::BIGINT AS dom_input, sum(CASE WHEN category = 'token' THEN 1 ELSE 0 END)::BIGINT AS surface,
+ sum(CASE WHEN category IN ('phone', 'credit_card') THEN 1 ELSE 0 END)::BIGINT AS pii_text, sum(CASE WHEN category = 'phone' THEN 1 ELSE 0 END)::BIGINT AS blurred FROM b GROUP BY 1""")
+def redaction_manifest(spark, sf):
+    """A6."""
+    r = boxes(spark, sf).selectExpr("capture_id", "category", "CASE category WHEN 'email' THEN 'dom_semantic' WHEN 'token' THEN 'surface_detector' ELSE 'text_pii_regex' END AS source",
+                                    "CASE WHEN category = 'phone' THEN 'gaussian_blur' ELSE 'opaque_mask' END AS method")
+    return quality.redaction_manifest(r).select("capture_id", "total", "dom_input", "surface", "pii_text", "blurred")
+
+
+def _fused(spark, sf, mode):
+    b = boxes(spark, sf)
+    dom = b.filter("seq % 2 = 0").selectExpr("capture_id", "seq AS dom_id", "category AS role", "text AS name", "x", "y", "w", "h")
+    vis = b.filter("seq % 2 = 1").selectExpr("capture_id", "seq AS vis_id", "'button' AS role", "x", "y", "w", "h", "0.5 AS edge_confidence")
+    return match.fuse_perception(dom, vis, mode, cell=25.0)
+
+
+@query("perception_fusion")
+def perception_fusion(spark, sf):
+    """J9 and A10."""
+    return quality.fusion_summary(_fused(spark, sf, "fused"))
+
+
+@query("perception_single_modes", f"""
+WITH b AS ({B}) SELECT 'dom-only' AS mode, count(*) AS n FROM b WHERE seq % 2 = 0 UNION ALL SELECT 'vision-only', count(*) FROM b WHERE seq % 2 = 1""")
+def perception_single_modes(spark, sf):
+    parts = [_fused(spark, sf, m).agg(F.count(F.lit(1)).alias("n")).select(F.lit(m).alias("mode"), "n") for m in ("dom-only", "vision-only")]
+    return parts[0].unionByName(parts[1])
+
+
+@query("page_scorecards", f"""
+WITH b AS ({B}), h AS (SELECT capture_id, score, row_number() OVER (PARTITION BY capture_id ORDER BY score) - 1 AS i, count(*) OVER (PARTITION BY capture_id) AS n FROM b)
+SELECT capture_id AS page_id, (SELECT count(*) FROM b WHERE b.capture_id = k.capture_id AND seq % 2 = 0) AS assessable, max(score) AS peak_heap_mb, max(CASE WHEN i = least(n - 1, floor(n * 0.5)) THEN score END) AS median_heap_mb
+FROM h k GROUP BY capture_id""")
+def page_scorecards(spark, sf):
+    """A11."""
+    b = boxes(spark, sf).withColumnRenamed("capture_id", "page_id")
+    out = quality.page_scorecard(b.selectExpr("page_id", "seq % 2 = 0 AS assessable", "seq % 4 = 0 AS covered"), b.selectExpr("page_id", "w AS latency_ms", "score AS heap_mb"))
+    return out.select("page_id", "assessable", "peak_heap_mb", "median_heap_mb")
+
+
+@query("scorecard_verdicts", """
+SELECT metric, CASE WHEN v IS NULL THEN 'NOT_MEASURED' WHEN metric = 'p50_total_ms' AND v <= 1200 THEN 'PASSED' WHEN metric = 'pii_recall' AND v >= 98 THEN 'PASSED' ELSE 'FAILED' END AS verdict FROM
+ (SELECT 'p50_total_ms' AS metric, avg(value) AS v FROM events UNION ALL SELECT 'pii_recall', max(value) / 10 FROM events UNION ALL SELECT 'cpu_pct', NULL)""")
+def scorecard_verdicts(spark, sf):
+    """A9."""
+    one = table(spark, sf, "events").agg(F.avg("value").alias("a"), (F.max("value") / 10).alias("b"))
+    rows = one.select(F.explode(F.array(F.struct(F.lit("p50_total_ms").alias("metric"), F.col("a").alias("value")),
+                                        F.struct(F.lit("pii_recall").alias("metric"), F.col("b").alias("value")),
+                                        F.struct(F.lit("cpu_pct").alias("metric"), F.lit(None).cast("double").alias("value")))).alias("m"))
+    return quality.verdicts(rows.select("m.metric", "m.value")).select("metric", "verdict")
+
+
+@query("split_filter", """
+SELECT CASE WHEN c_custkey % 3 = 0 THEN 'dev' ELSE 'none' END AS split, count(*) AS n FROM customer WHERE c_custkey % 3 <> 1 GROUP BY 1""")
+def split_filter(spark, sf):
+    """P1."""
+    base = table(spark, sf, "customer").selectExpr("c_custkey AS page_id")
+    gt = base.filter("page_id % 3 <> 2").selectExpr("page_id", "CASE WHEN page_id % 3 = 0 THEN 'dev' ELSE 'held-out' END AS split")
+    kept = quality.filter_split(base, gt, "dev")
+    return kept.groupBy(F.when(F.col("page_id") % 3 == 0, F.lit("dev")).otherwise(F.lit("none")).alias("split")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("split_overlap", """SELECT c_custkey AS page_id FROM customer WHERE c_custkey % 50 = 7""")
+def split_overlap(spark, sf):
+    """X6 on marks that overlap for every fiftieth page."""
+    base = table(spark, sf, "customer").selectExpr("c_custkey AS page_id")
+    gt = base.withColumn("split", F.lit("dev")).unionByName(base.filter("page_id % 50 = 7").withColumn("split", F.lit("held-out")))
+    return quality.split_overlap(gt)
+
+
+@query("truth_attachment", """
+SELECT c_custkey AS page_id, CASE WHEN c_custkey % 2 = 0 THEN concat('key-', cast(c_custkey AS VARCHAR)) WHEN c_custkey % 3 = 0 THEN concat('id-', cast(c_custkey AS VARCHAR)) END AS note FROM customer""")
+def truth_attachment(spark, sf):
+    """J2."""
+    pages = table(spark, sf, "customer").selectExpr("c_custkey AS page_id", "c_name AS page_key")
+    truth = table(spark, sf, "customer").filter("c_custkey % 2 = 0 OR c_custkey % 3 = 0").selectExpr(
+        "CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE cast(c_custkey as string) END AS page_key", "concat(CASE WHEN c_custkey % 2 = 0 THEN 'key-' ELSE 'id-' END, cast(c_custkey as string)) AS note")
+    return match.attach_truth(pages, truth).select("page_id", "note")
+
+
+def _candidates(spark, sf):
+    els = table(spark, sf, "part").selectExpr("p_size AS page_id", "p_partkey AS local_id", "'button' AS role", "concat(p_name, ' ', p_type) AS name", "array('visible', 'enabled') AS state",
+                                              "array('click', 'hover') AS caps", "p_brand AS container", "cast(NULL as string) AS heading", "false AS in_dialog")
+    req = table(spark, sf, "part").groupBy("p_size").agg(F.min_by("p_name", "p_partkey").alias("phrase")).selectExpr(
+        "p_size AS page_id", "p_size AS request_id", "'click' AS intent", "phrase", "cast(array() as array<string>) AS tokens", "'button' AS role_hint", "cast(NULL as string) AS context", "false AS dialog_open")
+    return match.score_candidates(els, req)
+
+
+@query("candidate_ranking", """
+WITH r AS (SELECT p_size, arg_min(p_name, p_partkey) AS phrase FROM part GROUP BY p_size),
+s AS (SELECT p.p_size AS page_id, p_partkey AS local_id, starts_with(concat(p_name, ' ', p_type), phrase) AS pre FROM part p JOIN r USING (p_size))
+SELECT page_id, count(*) AS strong FROM s WHERE pre GROUP BY page_id""")
+def candidate_ranking(spark, sf):
+    """Elements whose name starts with the phrase score prefix, tokens, order and role together."""
+    ranked = match.rank_candidates(_candidates(spark, sf))
+    return ranked.filter("score >= 100").groupBy("page_id").agg(F.count(F.lit(1)).alias("strong"))
+
+
+@query("candidate_ambiguity")
+def candidate_ambiguity(spark, sf):
+    """W7."""
+    return match.ambiguity(match.rank_candidates(_candidates(spark, sf)))
+
+
+FUZZY = """(a.t = b.t OR (abs(length(a.t) - length(b.t)) <= 3 AND length(a.t) >= 3 AND length(b.t) >= 3 AND ((length(a.t) >= 4 AND starts_with(b.t, a.t)) OR (length(b.t) >= 4 AND starts_with(a.t, b.t))
+  OR levenshtein(a.t, b.t) <= CASE WHEN greatest(length(a.t), length(b.t)) >= 6 THEN 2 ELSE 1 END)))"""
+
+
+@query("fuzzy_tokens", f"""
+WITH a AS (SELECT p_partkey AS id, p_size AS blk, string_split(p_name, ' ')[1] AS t FROM part), b AS (SELECT p_partkey AS id, p_size AS blk, string_split(p_name, ' ')[2] || substr(p_brand, 7) AS t FROM part)
+SELECT a.id AS a_id, b.id AS b_id, levenshtein(a.t, b.t)::INT AS distance FROM a JOIN b USING (blk) WHERE {FUZZY}""")
+def fuzzy_tokens(spark, sf):
+    """U15 as a join within part sizes."""
+    p = table(spark, sf, "part")
+    a = p.selectExpr("p_partkey AS id", "p_size AS blk", "split(p_name, ' ')[0] AS token")
+    b = p.selectExpr("p_partkey AS id", "p_size AS blk", "concat(split(p_name, ' ')[1], substring(p_brand, 7)) AS token")
+    return match.fuzzy_join(a, b, "blk")
+
+
+@query("top_elements", """
+WITH e AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate) AS local_id FROM lineitem),
+s AS (SELECT l_orderkey AS page_id, local_id, CASE WHEN l_quantity < 25 THEN 100 ELSE 0 END + CASE l_partkey % 3 WHEN 0 THEN 40 WHEN 1 THEN 35 ELSE 25 END AS points, l_extendedprice AS y FROM e)
+SELECT page_id, local_id, points FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY points DESC, y, local_id) AS r FROM s) WHERE r <= 3""")
+def top_elements(spark, sf):
+    """T1."""
+    e = derive(spark, sf, "SELECT l_orderkey AS page_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate) AS local_id, "
+               "CASE l_partkey % 3 WHEN 0 THEN 'input' WHEN 1 THEN 'button' ELSE 'link' END AS role, false AS is_primary_nav, l_quantity < 25 AS in_viewport, false AS in_dialog, l_extendedprice AS y FROM {lineitem}")
+    return match.top_elements(e, 3).select("page_id", "local_id", "points")
+
+
+@query("top_payload", f"""
+WITH b AS (SELECT *, seq = 3 AS dlg, CASE category WHEN 'email' THEN 4 WHEN 'phone' THEN 3 ELSE 1 END AS role, x / 50 BETWEEN 0 AND 1 AND y / 50 BETWEEN 0 AND 1 AS seen FROM ({B}))
+SELECT capture_id AS page_id, seq AS local_id, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY dlg DESC, role DESC, seen DESC, y / 50, seq) AS r FROM b) WHERE r <= 3""")
+def top_payload(spark, sf):
+    """T2."""
+    e = boxes(spark, sf).selectExpr("capture_id AS page_id", "seq AS local_id", "CASE category WHEN 'email' THEN 'input' WHEN 'phone' THEN 'button' ELSE 'link' END AS role", "seq = 3 AS in_dialog", "x / 50 AS x", "y / 50 AS y")
+    return match.top_payload(e, 3).select("page_id", "local_id", "rank")
+
+
+@query("portal_match", """
+SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'https://bhuvan.nrsc.gov.in/ngmaps' WHEN 1 THEN 'https://www.isro.gov.in' WHEN 2 THEN 'https://github.com' WHEN 3 THEN 'https://sih.gov.in' END AS portal_url FROM part""")
+def portal_match(spark, sf):
+    """J6."""
+    q = table(spark, sf, "part").selectExpr("p_partkey", "concat(CASE p_partkey % 5 WHEN 0 THEN 'bhuvan map of ' WHEN 1 THEN 'ISRO rocket ' WHEN 2 THEN 'Source Code of ' WHEN 3 THEN 'smart india hackathon ' ELSE '' END, p_brand) AS q")
+    return catalogs.resolve_portal(q, "q").select("p_partkey", "portal_url")
+
+
+@query("playbook_match", """
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Wikipedia' WHEN 1 THEN 'GitHub' WHEN 2 THEN 'GitHub' END AS playbook FROM part""")
+def playbook_match(spark, sf):
+    """J7."""
+    q = table(spark, sf, "part").selectExpr("p_partkey", "CASE p_partkey % 4 WHEN 0 THEN 'https://en.wikipedia.org/wiki/X' WHEN 1 THEN 'github.com' WHEN 2 THEN 'https://my-github.example.com/' ELSE concat('https://x', cast(p_partkey as string), '.example.com') END AS u")
+    return catalogs.lookup_playbook(q, "u").select("p_partkey", "playbook")
+
+
+@query("playbook_intents", """
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'extract_metric' WHEN 1 THEN 'navigate' WHEN 2 THEN 'click_landmark' ELSE 'none' END AS intent FROM part""")
+def playbook_intents(spark, sf):
+    """J8."""
+    q = table(spark, sf, "part").selectExpr("p_partkey", "'GitHub' AS playbook", "'https://github.com/x' AS url", "CASE p_partkey % 4 WHEN 0 THEN concat('how many stars for ', cast(p_partkey as string)) WHEN 1 THEN 'go to trending' WHEN 2 THEN 'press the isues tab' ELSE 'hello' END AS query")
+    return catalogs.resolve_intent(q).select("p_partkey", "intent")
+
+
+@query("reuse_lookup", """
+WITH r AS (SELECT o_orderkey AS request_id, trim(regexp_replace(lower(concat('compare price ', o_orderpriority, ' for order', cast(o_orderkey % 40 AS VARCHAR))), '[^a-z0-9]+', ' ', 'g')) AS t FROM orders),
+s AS (SELECT p_partkey AS stored_id, trim(regexp_replace(lower(concat('for order', cast(p_partkey % 30 AS VARCHAR))), '[^a-z0-9]+', ' ', 'g')) AS t FROM part)
+SELECT request_id, min(stored_id) AS stored_id FROM r JOIN (SELECT t, min(stored_id) AS stored_id FROM s GROUP BY t) s ON r.t = s.t OR (length(s.t) > 8 AND contains(r.t, s.t)) GROUP BY request_id""")
+def reuse_lookup(spark, sf):
+    """J16."""
+    req = table(spark, sf, "orders").selectExpr("o_orderkey AS request_id", "concat('Compare price ', o_orderpriority, ' for order', cast(o_orderkey % 40 as string)) AS text")
+    st = table(spark, sf, "part").selectExpr("p_partkey AS stored_id", "p_partkey AS seq", "concat('for order', cast(p_partkey % 30 as string)) AS text")
+    return catalogs.reuse_lookup(req, st)
+
+
+@query("best_results", """
+SELECT o_orderkey AS query_id, CASE WHEN o_orderkey % 3 = 0 THEN 'https://www.isro.gov.in/a' WHEN o_orderkey % 3 = 1 THEN 'https://en.wikipedia.org/wiki/A' ELSE 'https://shop.example.com/p' END AS url FROM orders""")
+def best_results(spark, sf):
+    """T4."""
+    r = table(spark, sf, "orders").selectExpr(
+        "o_orderkey AS query_id", "CASE o_orderkey % 3 WHEN 0 THEN 'isro missions' WHEN 1 THEN 'wikipedia moon' ELSE 'buy a ring' END AS query", "'' AS goal", "'' AS current_url",
+        "posexplode(array('https://medium.com/blog/x', 'https://en.wikipedia.org/news/z', 'https://shop.example.com/p', 'https://www.isro.gov.in/a', 'https://en.wikipedia.org/wiki/A')) AS (pos, url)", "'t' AS title")
+    r = r.filter("NOT (pos = 1)")
+    return catalogs.best_result(r).select("query_id", "url")
