@@ -419,13 +419,13 @@ FUZZY = """(a.t = b.t OR (abs(length(a.t) - length(b.t)) <= 3 AND length(a.t) >=
 
 
 @query("fuzzy_tokens", f"""
-WITH a AS (SELECT p_partkey AS id, p_size AS blk, string_split(p_name, ' ')[1] AS t FROM part), b AS (SELECT p_partkey AS id, p_size AS blk, string_split(p_name, ' ')[2] || substr(p_brand, 7) AS t FROM part)
+WITH a AS (SELECT p_partkey AS id, p_size AS blk, string_split(p_name, ' ')[2] AS t FROM part), b AS (SELECT p_partkey AS id, p_size AS blk, substr(string_split(p_name, ' ')[2], 1 + p_partkey % 2) AS t FROM part)
 SELECT a.id AS a_id, b.id AS b_id, levenshtein(a.t, b.t)::INT AS distance FROM a JOIN b USING (blk) WHERE {FUZZY}""")
 def fuzzy_tokens(spark, sf):
     """U15 as a join within part sizes."""
     p = table(spark, sf, "part")
-    a = p.selectExpr("p_partkey AS id", "p_size AS blk", "split(p_name, ' ')[0] AS token")
-    b = p.selectExpr("p_partkey AS id", "p_size AS blk", "concat(split(p_name, ' ')[1], substring(p_brand, 7)) AS token")
+    a = p.selectExpr("p_partkey AS id", "p_size AS blk", "split(p_name, ' ')[1] AS token")
+    b = p.selectExpr("p_partkey AS id", "p_size AS blk", "substr(split(p_name, ' ')[1], cast(1 + p_partkey % 2 as int)) AS token")
     return match.fuzzy_join(a, b, "blk")
 
 
