@@ -20,8 +20,8 @@ def _cells(df: DataFrame, x, y, w, h, cell: float, slack: float, prefix: str) ->
         first = F.floor((lo - slack) / cell)
         return F.sequence(first, F.greatest(first, F.floor((lo + F.greatest(size, F.lit(0.0)) + slack) / cell)))
 
-    return (df.withColumn(f"_{prefix}gx", F.explode(span(F.col(x), F.col(w))))
-            .withColumn(f"_{prefix}gy", F.explode(span(F.col(y), F.col(h)))))
+    return (df.withColumn(f"_{prefix}gx", F.explode_outer(span(F.col(x), F.col(w))))
+            .withColumn(f"_{prefix}gy", F.explode_outer(span(F.col(y), F.col(h)))))
 
 
 def touching_boxes(left: DataFrame, right: DataFrame, keys: list[str], cell: float = 0.25, slack: float = 0.0,
@@ -69,10 +69,10 @@ def containing_text(needles: DataFrame, hays: DataFrame, keys: list[str], needle
     """
     if gram is None:
         a = needles.filter(F.length(needle) > 0).withColumn("_g", _needle_key(F.col(needle)))
-        b = hays.filter(F.length(hay) > 0).withColumn("_h", F.explode(_hay_keys(F.col(hay))))
+        b = hays.filter(F.length(hay) > 0).withColumn("_h", F.explode_outer(_hay_keys(F.col(hay))))
     else:
         a = needles.withColumn("_g", F.substring(needle, 1, gram))
-        b = hays.filter(F.length(hay) >= gram).withColumn("_h", F.explode(F.array_distinct(F.transform(
+        b = hays.filter(F.length(hay) >= gram).withColumn("_h", F.explode_outer(F.array_distinct(F.transform(
             F.sequence(F.lit(1), F.length(hay) - (gram - 1)), lambda i: F.substring(F.col(hay), i, F.lit(gram))))))
     joined = a.join(b, [a[k] == b[k] for k in keys] + [a["_g"] == b["_h"]])
     for k in keys:

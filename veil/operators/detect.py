@@ -18,9 +18,13 @@ def scan_pii(df: DataFrame, col: str, rules=RULES, public_handles: bool = False,
 
 
 def explode_spans(df: DataFrame, spans: str = "spans") -> DataFrame:
-    """One row per span, in span order; rows without spans vanish."""
+    """One row per span, in span order; rows without spans vanish.
+
+    The outer form with a filter behind it: for the plain form Spark infers filters on the array and
+    would run the whole scan once more for each of them.
+    """
     keep = [c for c in df.columns if c != spans]
-    return df.select(*keep, F.posexplode(spans).alias("seq", "_s")).select(
+    return df.select(*keep, F.posexplode_outer(spans).alias("seq", "_s")).filter("seq IS NOT NULL").select(
         *keep, "seq", "_s.rule_seq", "_s.category", "_s.start", "_s.end", "_s.confidence")
 
 

@@ -33,7 +33,9 @@ def attr(attrs: Column, key: str) -> Column:
 
 
 def _tags(pages: DataFrame, pattern: str, key: str = "page_id") -> DataFrame:
-    return pages.select(key, F.posexplode(all_matches(F.col("html"), pattern)).alias("pos", "_raw"))
+    # The outer form: the plain one makes Spark search every page twice (see detect.explode_spans).
+    return pages.select(key, F.posexplode_outer(all_matches(F.col("html"), pattern)).alias("pos", "_raw")).filter(
+        "pos IS NOT NULL")
 
 
 def label_map(pages: DataFrame) -> DataFrame:
@@ -91,7 +93,7 @@ def extract_images(pages: DataFrame) -> DataFrame:
 def text_segments(pages: DataFrame) -> DataFrame:
     """Non-blank text between tags with its offset into the page."""
     found = F.expr(match_ranges("html", r"(?<=>)[^<]+(?=<)"))
-    return pages.select("page_id", F.explode(found).alias("_s")).filter(trim_ws(F.col("_s.text")) != "").select(
+    return pages.select("page_id", F.explode_outer(found).alias("_s")).filter(trim_ws(F.col("_s.text")) != "").select(
         "page_id", F.col("_s.start").alias("start"), F.col("_s.text").alias("text"))
 
 

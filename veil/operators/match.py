@@ -18,8 +18,19 @@ def _boxes(p: str) -> list[Column]:
     return [F.col(f"{p}{c}") for c in "xywh"]
 
 
-def _split_by_size(df: DataFrame, keys: list[str], limit: int):
-    """Groups that fit one array, and the rest (None when there is none)."""
+PAIR_BOUND = 1_000_000
+
+
+def _split_by_size(df: DataFrame, keys: list[str], limit: int, sides=None):
+    """Groups that fit one array, and the rest (None when there is none).
+
+    ``sides`` are the two inputs the pairs came from. A group has at most as many pairs as the product of
+    its sides; where that bound is low everywhere, the pairs need not be counted at all.
+    """
+    if sides is not None:
+        counts = [s.groupBy(*keys).agg(F.count(F.lit(1)).alias(n)) for s, n in zip(sides, ("_a", "_b"))]
+        if counts[0].join(counts[1], keys).filter(F.col("_a") * F.col("_b") > PAIR_BOUND).isEmpty():
+            return df, None
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     large = sizes.filter(F.col("_n") > limit).select(*keys)
     if large.isEmpty():
@@ -27,7 +38,8 @@ def _split_by_size(df: DataFrame, keys: list[str], limit: int):
     return df.join(large, keys, "left_anti"), df.join(large, keys, "left_semi")
 
 
-def greedy_match(pairs: DataFrame, keys=("page_id",), pooled: bool = False, limit: int = GROUP_LIMIT) -> DataFrame:
+def greedy_match(pairs: DataFrame, keys=("page_id",), pooled: bool = False, limit: int = GROUP_LIMIT,
+                 sides=None) -> DataFrame:
     """M4: lefts choose in order, each its best right still free; ties go to the lowest right.
 
     ``pairs(*keys, left, right, score)`` holds only pairs with a positive score. Groups of checked
@@ -38,7 +50,7 @@ def greedy_match(pairs: DataFrame, keys=("page_id",), pooled: bool = False, limi
     passing = pairs.select(*keys, "left", "right", "score")
     if pooled:
         return _match_rounds(passing, keys)
-    small, large = _split_by_size(passing, keys, limit)
+    small, large = _split_by_size(passing, keys, limit, sides)
     right_type = pairs.schema["right"].dataType.simpleString()
     left_type = pairs.schema["left"].dataType.simpleString()
     ordered = small.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
@@ -67,12 +79,12 @@ def _match_rounds(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return pairs.limit(0) if found is None else found
 
 
-def decide_by_rank(edges: DataFrame, keys: list[str], limit: int = GROUP_LIMIT) -> DataFrame:
+def decide_by_rank(edges: DataFrame, keys: list[str], limit: int = GROUP_LIMIT, sides=None) -> DataFrame:
     """``*keys, node`` of the nodes that lose to a node that stays.
 
     ``edges(*keys, winner, loser, wscore)``: the winner always ranks above the loser.
     """
-    small, large = _split_by_size(edges, keys, limit)
+    small, large = _split_by_size(edges, keys, limit, sides)
     kind = edges.schema["loser"].dataType.simpleString()
     ordered = small.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
         (-F.col("wscore")).alias("_s"), "winner", "loser"))).alias("_e"))
@@ -234,7 +246,7 @@ def fuse_perception(dom: DataFrame, visual: DataFrame, mode: str = "fused", cell
     # pairs below 0.25 never decide anything.
     pairs = touching_boxes(a, b, ["capture_id"], cell).withColumn("score", iou(*_boxes("l"), *_boxes("r"))).filter(
         "score >= 0.25").select("capture_id", "left", "right", "score")
-    matched = greedy_match(pairs, ["capture_id"])
+    matched = greedy_match(pairs, ["capture_id"], sides=(dom, visual))
     linked = dom.join(matched.select("capture_id", F.col("left").alias("dom_id"), F.col("right").alias("_v"),
                                      F.col("score").alias("_i")), ["capture_id", "dom_id"], "left")
     roles = visual.select("capture_id", F.col("vis_id").alias("_v"), F.col("role").alias("_vr"))

@@ -60,7 +60,8 @@ def score_detections(dets: DataFrame, gt: DataFrame, pooled: bool = False) -> Da
     """J3 -> M4 -> A1. ``pooled`` matches across pages, as a single pool per category."""
     if pooled:
         dets, gt = _pool(dets), _pool(gt)
-    matches = greedy_match(detection_pairs(dets, gt), ["page_id", "category"])
+    keys = ["page_id", "category"]
+    matches = greedy_match(detection_pairs(dets, gt), keys, sides=None if pooled else (dets, gt))
     return pii_metrics(count_outcomes(dets, gt, matches, ["category"]))
 
 
@@ -72,7 +73,7 @@ def _pool(df: DataFrame) -> DataFrame:
 def element_metrics(els: DataFrame, gt: DataFrame) -> DataFrame:
     """A2: one row: recall, precision, role accuracy, averaging median overlap of matched boxes."""
     pairs = element_pairs(els, gt)
-    matches = greedy_match(pairs, ["page_id"]).join(pairs.drop("score"), ["page_id", "left", "right"])
+    matches = greedy_match(pairs, ["page_id"], sides=(els, gt)).join(pairs.drop("score"), ["page_id", "left", "right"])
     hit = matches.agg(F.count(F.lit(1)).alias("tp"), F.sum(F.col("role_ok").cast("long")).alias("_roles"),
                       F.median("iou").alias("_iou"))
     sizes = els.agg(F.count(F.lit(1)).alias("_e")).crossJoin(gt.agg(F.count(F.lit(1)).alias("_g")))

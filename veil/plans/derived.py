@@ -8,12 +8,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veil.session import spread
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
           "pages", "benchmark", "labels", "conversations")
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf: str, name: str, heavy: bool = False) -> DataFrame:
+    """A given table; ``heavy`` says that every row costs much processor time."""
     df = spark.read.parquet(f"{sf}/{name}.parquet")
+    if heavy:
+        df = spread(df)
     if name == "events":
         df = df.withColumn("ts", df["ts"].cast("timestamp"))
     return df
@@ -99,8 +104,8 @@ def names_in(sql: str) -> list[str]:
     return [t for t in TABLES if "{" + t + "}" in sql]
 
 
-def derive(spark: SparkSession, sf: str, sql: str) -> DataFrame:
-    return spark.sql(sql, **{t: table(spark, sf, t) for t in names_in(sql)})
+def derive(spark: SparkSession, sf: str, sql: str, heavy: bool = False) -> DataFrame:
+    return spark.sql(sql, **{t: table(spark, sf, t, heavy) for t in names_in(sql)})
 
 
 def plain(sql: str) -> str:

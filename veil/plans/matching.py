@@ -229,7 +229,7 @@ SELECT category, tp, fp, fn, floor(tp * 100.0 / (tp + fn) * 10 + 0.5) / 10 AS re
 def detection_quality(spark, sf):
     """J3, M4, A1."""
     dets, gt = _truth(spark, sf)
-    pairs = match.greedy_match(match.detection_pairs(dets, gt, cell=25.0), ["page_id", "category"])
+    pairs = match.greedy_match(match.detection_pairs(dets, gt, cell=25.0), ["page_id", "category"], sides=(dets, gt))
     out = quality.pii_metrics(quality.count_outcomes(dets, gt, pairs, ["category"]))
     return out.select("category", "tp", "fp", "fn", "recall", "precision")
 

@@ -14,11 +14,11 @@ RECORDS = plain(RECORD_PAGES)
 
 
 def pages(spark, sf):
-    return table(spark, sf, "pages")
+    return table(spark, sf, "pages", heavy=True)
 
 
 def forms(spark, sf):
-    return derive(spark, sf, FORM_PAGES)
+    return derive(spark, sf, FORM_PAGES, heavy=True)
 
 
 @query("page_links", r"""
@@ -201,7 +201,7 @@ WITH p AS ({RECORDS})
 SELECT page_id, 1 AS row, c_name AS name, '[REDACTED_EMAIL]' AS col2, concat('/c/', cast(page_id AS VARCHAR), '.pdf') AS url, concat('$', cast(page_id AS VARCHAR), '.50') AS balance FROM p WHERE page_id % 3 <> 2
 UNION ALL SELECT page_id, 2, 'A|b', c_mktsegment, NULL, 'n/a' FROM p WHERE page_id % 3 <> 2""")
 def record_tables(spark, sf):
-    out = html.extract_tables(derive(spark, sf, RECORD_PAGES))
+    out = html.extract_tables(derive(spark, sf, RECORD_PAGES, heavy=True))
     r = F.col("record")
     return out.select("page_id", "row", F.try_element_at(r, F.lit("Name")).alias("name"), F.try_element_at(r, F.lit("column_2")).alias("col2"),
                       F.try_element_at(r, F.lit("column_2_url")).alias("url"), F.try_element_at(r, F.lit("Balance")).alias("balance"))
@@ -210,20 +210,20 @@ def record_tables(spark, sf):
 @query("record_kv", f"""
 WITH p AS ({RECORDS}) SELECT page_id, c_mktsegment AS segment, cast(page_id AS VARCHAR) AS key FROM p WHERE page_id % 3 = 2""")
 def record_kv(spark, sf):
-    return html.extract_kv(derive(spark, sf, RECORD_PAGES)).select("page_id", F.col("record")["Segment"].alias("segment"), F.col("record")["Key"].alias("key"))
+    return html.extract_kv(derive(spark, sf, RECORD_PAGES, heavy=True)).select("page_id", F.col("record")["Segment"].alias("segment"), F.col("record")["Key"].alias("key"))
 
 
 @query("record_cascade", f"""
 WITH p AS ({RECORDS}) SELECT page_id, CASE WHEN page_id % 3 = 2 THEN 'generic' ELSE 'table' END AS strategy, CASE WHEN page_id % 3 = 2 THEN 1 ELSE 2 END::BIGINT AS rows FROM p""")
 def record_cascade(spark, sf):
-    return html.extract_records(derive(spark, sf, RECORD_PAGES)).groupBy("page_id", "strategy").agg(F.count(F.lit(1)).alias("rows"))
+    return html.extract_records(derive(spark, sf, RECORD_PAGES, heavy=True)).groupBy("page_id", "strategy").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("record_coercion", f"""
 WITH p AS ({RECORDS}) SELECT page_id, concat(cast(page_id AS VARCHAR), '.50') AS first, 'n/a' AS second FROM p WHERE page_id % 3 <> 2""")
 def record_coercion(spark, sf):
     """A number column becomes a number where it has one."""
-    out = html.extract_tables(derive(spark, sf, RECORD_PAGES), schema={"Balance": "number"})
+    out = html.extract_tables(derive(spark, sf, RECORD_PAGES, heavy=True), schema={"Balance": "number"})
     return out.groupBy("page_id").agg(*[F.max(F.when(F.col("row") == i, F.col("record")["Balance"])).alias(n) for i, n in ((1, "first"), (2, "second"))])
 
 
@@ -232,26 +232,26 @@ WITH p AS ({RECORDS})
 SELECT page_id, concat('| Name | column_2 | column_2_url | Balance |', chr(10), '| --- | --- | --- | --- |', chr(10), '| ', c_name, ' | [REDACTED_EMAIL] | /c/', cast(page_id AS VARCHAR), '.pdf | $', cast(page_id AS VARCHAR), '.50 |',
   chr(10), '| A\\|b | ', c_mktsegment, ' |  | n/a |') AS markdown FROM p WHERE page_id % 3 <> 2""")
 def record_markdown(spark, sf):
-    return html.to_markdown(html.extract_tables(derive(spark, sf, RECORD_PAGES)))
+    return html.to_markdown(html.extract_tables(derive(spark, sf, RECORD_PAGES, heavy=True)))
 
 
 @query("record_keys", f"""
 WITH p AS ({RECORDS}) SELECT page_id, 'Name,column_2,column_2_url,Balance' AS keys FROM p WHERE page_id % 3 <> 2""")
 def record_keys(spark, sf):
-    return html.record_keys(html.extract_tables(derive(spark, sf, RECORD_PAGES))).select("page_id", F.array_join("keys", ",").alias("keys"))
+    return html.record_keys(html.extract_tables(derive(spark, sf, RECORD_PAGES, heavy=True))).select("page_id", F.array_join("keys", ",").alias("keys"))
 
 
 @query("next_pages", f"""
 WITH p AS ({RECORDS}) SELECT page_id, concat('/p/', cast(page_id + 1 AS VARCHAR)) AS href, 'more' AS text FROM p WHERE page_id % 2 = 0
 UNION ALL SELECT page_id, concat('/q/', cast(page_id AS VARCHAR)), 'Load more' FROM p WHERE page_id % 2 = 1 AND page_id % 5 = 1""")
 def next_pages(spark, sf):
-    return html.next_page(derive(spark, sf, RECORD_PAGES))
+    return html.next_page(derive(spark, sf, RECORD_PAGES, heavy=True))
 
 
 @query("page_counters", f"""
 WITH p AS ({RECORDS}) SELECT page_id, 'Orders' AS label, cast(page_id % 90 AS VARCHAR) AS value FROM p""")
 def page_counters(spark, sf):
-    return html.counters(derive(spark, sf, RECORD_PAGES)).select("page_id", "label", "value")
+    return html.counters(derive(spark, sf, RECORD_PAGES, heavy=True)).select("page_id", "label", "value")
 
 
 @query("page_specs", f"""
@@ -261,19 +261,19 @@ UNION ALL SELECT page_id, 'table', '1', '2 records; columns: [Name, Balance]' FR
 UNION ALL SELECT page_id, 'spec', 'Segment', c_mktsegment FROM p WHERE page_id % 3 = 2
 UNION ALL SELECT page_id, 'spec', 'Key', cast(page_id AS VARCHAR) FROM p WHERE page_id % 3 = 2""")
 def page_specs(spark, sf):
-    return html.page_specs(derive(spark, sf, RECORD_PAGES)).select("page_id", "kind", "key", "value")
+    return html.page_specs(derive(spark, sf, RECORD_PAGES, heavy=True)).select("page_id", "kind", "key", "value")
 
 
 @query("document_links", f"""
 WITH p AS ({RECORDS}) SELECT page_id, concat('user', cast(page_id AS VARCHAR), '@mail.example.com') AS text, concat(cast(page_id AS VARCHAR), '.pdf') AS file FROM p WHERE page_id % 3 <> 2""")
 def document_links(spark, sf):
-    return html.document_links(derive(spark, sf, RECORD_PAGES)).select("page_id", "text", "file")
+    return html.document_links(derive(spark, sf, RECORD_PAGES, heavy=True)).select("page_id", "text", "file")
 
 
 @query("status_lines", f"""
 WITH p AS ({RECORDS}) SELECT page_id, 'status' AS kind, concat('Saved ', cast(page_id AS VARCHAR)) AS text FROM p""")
 def status_lines(spark, sf):
-    return html.status_lines(derive(spark, sf, RECORD_PAGES)).select("page_id", "kind", "text")
+    return html.status_lines(derive(spark, sf, RECORD_PAGES, heavy=True)).select("page_id", "kind", "text")
 
 
 @query("order_cards", """
@@ -281,7 +281,7 @@ SELECT o_orderkey AS page_id, 1 AS row, concat('Order ', cast(o_orderkey AS VARC
   o_orderstatus AS tag, concat('$', cast(o_orderkey % 500 AS VARCHAR), '.25') AS price FROM orders
 UNION ALL SELECT o_orderkey, 2, concat('Customer ', cast(o_custkey AS VARCHAR)), NULL, 'Write to [REDACTED_EMAIL]', NULL, NULL FROM orders""")
 def order_cards(spark, sf):
-    out = html.extract_cards(derive(spark, sf, CARD_PAGES))
+    out = html.extract_cards(derive(spark, sf, CARD_PAGES, heavy=True))
     return out.select("page_id", "row", *[F.try_element_at("record", F.lit(k)).alias(k) for k in ("title", "url", "description", "tag", "price")])
 
 
@@ -290,21 +290,21 @@ SELECT o_orderkey AS page_id, 1 AS row, concat('/o/', cast(o_orderkey AS VARCHAR
 UNION ALL SELECT o_orderkey, 2, '', NULL FROM orders WHERE false""")
 def order_card_fields(spark, sf):
     """Declared fields of the first card."""
-    out = html.extract_cards(derive(spark, sf, CARD_PAGES), schema={"link": "link", "badge": "string"})
+    out = html.extract_cards(derive(spark, sf, CARD_PAGES, heavy=True), schema={"link": "link", "badge": "string"})
     return html.schema_fields(out, {"link": "link", "badge": "string"}).filter("row = 1")
 
 
 @query("post_authors", """
 SELECT o_orderkey AS page_id, 'post' AS kind, concat('Clerk  ', cast(o_custkey AS VARCHAR)) AS author, concat('Shipped ', o_orderpriority) AS body FROM orders""")
 def post_authors(spark, sf):
-    return html.posts(derive(spark, sf, CARD_PAGES)).select("page_id", "kind", "author", "body")
+    return html.posts(derive(spark, sf, CARD_PAGES, heavy=True)).select("page_id", "kind", "author", "body")
 
 
 @query("element_context", f"""
 WITH p AS ({RECORDS})
 SELECT page_id, concat('/c/', cast(page_id AS VARCHAR), '.pdf') AS href, false AS in_dialog, false AS is_breadcrumb FROM p WHERE page_id % 3 <> 2""")
 def element_context(spark, sf):
-    nodes = parse_nodes(derive(spark, sf, RECORD_PAGES))
+    nodes = parse_nodes(derive(spark, sf, RECORD_PAGES, heavy=True))
     ctx = html.element_context(nodes).filter("tag = 'a'")
     href = nodes.select("page_id", "node_id", F.col("attrs")["href"].alias("href"))
     return ctx.join(href, ["page_id", "node_id"]).filter(F.col("href").endswith(".pdf")).select("page_id", "href", "in_dialog", "is_breadcrumb")

@@ -305,7 +305,7 @@ PAYLOAD = """concat('{"protocolVersion":"', CASE WHEN o_orderkey % 7 = 1 THEN '2
 SELECT CASE o_orderkey % 7 WHEN 1 THEN 'unsupported_version' WHEN 2 THEN 'invalid_goal' WHEN 3 THEN 'invalid_viewport' WHEN 4 THEN 'elements: invalid_state' WHEN 5 THEN 'duplicate_localId' WHEN 6 THEN 'unknown_property' ELSE 'valid' END AS reason, count(*) AS n FROM orders GROUP BY 1""")
 def payload_validation(spark, sf):
     """V1."""
-    p = table(spark, sf, "orders").selectExpr(f"{PAYLOAD} AS body")
+    p = table(spark, sf, "orders", heavy=True).selectExpr(f"{PAYLOAD} AS body")
     return payloads.tag_payloads(p, "body").groupBy(F.coalesce("reason", F.lit("valid")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -356,7 +356,7 @@ def duplicate_members(spark, sf):
 SELECT doc_id, octet_length(encode(text))::BIGINT AS bytes FROM documents WHERE length(text) > 0""")
 def payload_bytes(spark, sf):
     """The decoded size is read off the base64 text."""
-    d = table(spark, sf, "documents").filter("length(text) > 0").select("doc_id", F.concat(F.lit("data:image/png;base64,"), F.base64(F.encode("text", "utf-8"))).alias("shot"))
+    d = table(spark, sf, "documents", heavy=True).filter("length(text) > 0").select("doc_id", F.concat(F.lit("data:image/png;base64,"), F.base64(F.encode("text", "utf-8"))).alias("shot"))
     d = d.withColumn("shot", F.regexp_replace("shot", r"\s", ""))
     return payloads.b64_bytes(d, "shot").select("doc_id", "bytes")
 

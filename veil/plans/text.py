@@ -38,7 +38,7 @@ def pii_card_luhn(spark, sf):
     from dataclasses import replace
 
     loose = replace(RULES_BY_NAME["card"], check=None)
-    docs = table(spark, sf, "documents").select("source", "doc_id", "text")
+    docs = table(spark, sf, "documents", heavy=True).select("source", "doc_id", "text")
     found = detect.scan_pii(detect.scan_pii(docs, "text", [loose], out="c"), "text", [RULES_BY_NAME["card"]], out="v")
     return found.select("source", F.size("c").alias("c"), F.size("v").alias("v")).filter("c > 0").groupBy("source").agg(
         F.sum("c").alias("candidates"), F.sum("v").alias("cards"))
@@ -48,14 +48,14 @@ def pii_card_luhn(spark, sf):
 WITH m AS (SELECT lang, unnest(regexp_extract_all(text, '(?:^|[\s(\[{:;,])(\+(?:[1-9]\d{0,2})[\s.-]?\(?\d{1,5}\)?[\s.-]?\d{1,5}[\s.-]?\d{3,5})(?:[^0-9]|$)', 1)) AS s FROM documents)
 SELECT lang, count(*) AS spans FROM m WHERE length(s) >= 8 GROUP BY lang""")
 def pii_phone_counts(spark, sf):
-    found = detect.scan_pii(table(spark, sf, "documents").select("lang", "text"), "text", [RULES_BY_NAME["international_phone"]])
+    found = detect.scan_pii(table(spark, sf, "documents", heavy=True).select("lang", "text"), "text", [RULES_BY_NAME["international_phone"]])
     return found.select("lang", F.size("spans").alias("n")).filter("n > 0").groupBy("lang").agg(F.sum("n").alias("spans"))
 
 
 @query("pii_span_offsets")
 def pii_span_offsets(spark, sf):
     """All rules over whole documents: one row per span. Look-arounds keep it out of ANSI SQL."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = table(spark, sf, "documents", heavy=True).select("doc_id", "text")
     return detect.explode_spans(detect.scan_pii(docs, "text")).drop("text")
 
 
@@ -63,7 +63,7 @@ def pii_span_offsets(spark, sf):
 WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '{EMAIL}')) AS s FROM documents)
 SELECT doc_id, count(*) AS n_spans FROM m GROUP BY doc_id""")
 def pii_spans_ordered(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = table(spark, sf, "documents", heavy=True).select("doc_id", "text")
     spans = detect.explode_spans(detect.scan_pii(docs, "text", [RULES_BY_NAME["email"]])).drop("text", "seq")
     return detect.order_spans(spans, ["doc_id"]).select("doc_id", F.size("spans").cast("bigint").alias("n_spans"))
 
@@ -72,7 +72,7 @@ def pii_spans_ordered(spark, sf):
 SELECT count(*) AS docs, sum(CASE WHEN regexp_matches(text, '[0-9@+]') THEN 1 ELSE 0 END)::BIGINT AS scanned FROM documents""")
 def pii_prefilter_loss(spark, sf):
     """How many texts the cheap pre-filter lets through to the scanner."""
-    docs = table(spark, sf, "documents").select("text")
+    docs = table(spark, sf, "documents", heavy=True).select("text")
     found = detect.scan_pii(docs, "text", [RULES_BY_NAME["email"]], prefilter=True)
     return found.agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.col("text").rlike("[0-9@+]") & F.col("spans").isNotNull()).alias("scanned"))
 
@@ -112,14 +112,14 @@ def id_checksums(spark, sf):
 SELECT doc_id, md5(regexp_replace(text, '{EMAIL}', '[REDACTED_EMAIL]', 'g')) AS clean_md5,
        len(regexp_extract_all(text, '{EMAIL}')) AS n_spans FROM documents""")
 def scrub_email_docs(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = table(spark, sf, "documents", heavy=True).select("doc_id", "text")
     return detect.scrub_text(docs, "text", [RULES_BY_NAME["email"]]).select("doc_id", F.md5("clean").alias("clean_md5"), "n_spans")
 
 
 @query("scrub_text_docs")
 def scrub_text_docs(spark, sf):
     """D5 with all rules."""
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    docs = table(spark, sf, "documents", heavy=True).select("doc_id", "lang", "text")
     out = detect.scrub_text(docs, "text")
     return out.groupBy("lang").agg(F.count_if(F.col("n_spans") > 0).alias("docs_hit"), F.sum("n_spans").alias("spans"),
                                    F.sum(F.length("text") - F.length("clean")).alias("chars_removed"))
@@ -179,28 +179,28 @@ def container_spans(spark, sf):
 @query("url_sanitize", r"""
 SELECT page_id, CASE WHEN regexp_matches(url, '^https?://[^/?#]+$') THEN url || '/' ELSE url END AS url_clean FROM pages""")
 def url_sanitize(spark, sf):
-    return scrub.sanitize_urls(table(spark, sf, "pages").select("page_id", "url"), "url").select("page_id", "url_clean")
+    return scrub.sanitize_urls(table(spark, sf, "pages", heavy=True).select("page_id", "url"), "url").select("page_id", "url_clean")
 
 
 @query("url_sanitize_private", """
 SELECT o_orderkey, concat('https://shop.example.com/account/[REDACTED_EMAIL]/reset/[REDACTED_TOKEN]?page=', cast(o_orderkey % 9 AS VARCHAR),
   '&email=[REDACTED_EMAIL]&session=[REDACTED_TOKEN]&flag', CASE WHEN o_orderkey % 2 = 0 THEN '#top' ELSE '#access_token=[REDACTED_TOKEN]' END) AS url_clean FROM orders""")
 def url_sanitize_private(spark, sf):
-    return scrub.sanitize_urls(derive(spark, sf, PRIVATE_URLS), "raw_url").select("o_orderkey", "url_clean")
+    return scrub.sanitize_urls(derive(spark, sf, PRIVATE_URLS, heavy=True), "raw_url").select("o_orderkey", "url_clean")
 
 
 @query("urls_in_text", """
 SELECT o_orderkey, concat('see https://shop.example.com/account/[REDACTED_EMAIL]/reset/[REDACTED_TOKEN]?page=', cast(o_orderkey % 9 AS VARCHAR),
   '&email=[REDACTED_EMAIL]&session=[REDACTED_TOKEN]&flag', CASE WHEN o_orderkey % 2 = 0 THEN '#top' ELSE '#access_token=[REDACTED_TOKEN]' END, ' now') AS text_clean FROM orders""")
 def urls_in_text(spark, sf):
-    texts = derive(spark, sf, PRIVATE_URLS).select("o_orderkey", F.concat(F.lit("see "), "raw_url", F.lit(" now")).alias("text"))
+    texts = derive(spark, sf, PRIVATE_URLS, heavy=True).select("o_orderkey", F.concat(F.lit("see "), "raw_url", F.lit(" now")).alias("text"))
     return scrub.sanitize_embedded_urls(texts, "text").select("o_orderkey", "text_clean")
 
 
 @query("free_text_docs")
 def free_text_docs(spark, sf):
     """U3 over whole documents."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = table(spark, sf, "documents", heavy=True).select("doc_id", "text")
     return scrub.scrub_free_text(docs, "text").select("doc_id", F.md5("text_clean").alias("clean_md5"))
 
 
@@ -215,7 +215,7 @@ def free_text_secrets(spark, sf):
 @query("scrub_conversations")
 def scrub_conversations(spark, sf):
     """U4."""
-    turns = scrub.scrub_conversations(table(spark, sf, "conversations"))
+    turns = scrub.scrub_conversations(table(spark, sf, "conversations", heavy=True))
     return turns.select("conv_id", "turn", "role", F.md5("text").alias("text_md5"))
 
 
@@ -256,7 +256,7 @@ SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
   'https?://', 'https //', 'gi'), 'blob:', 'blob ', 'gi'), 'data:', 'data ', 'gi'), '<script\b', '[script', 'gi'), 'javascript:', 'javascript ', 'gi'),
   '\bon\w+\s*=', 'evt=', 'gi'), '\beval\s*\(', 'eval ', 'gi')) AS html_md5 FROM pages""")
 def neutralize_pages(spark, sf):
-    out = scrub.neutralize_text(table(spark, sf, "pages").select("page_id", "html"), "html")
+    out = scrub.neutralize_text(table(spark, sf, "pages", heavy=True).select("page_id", "html"), "html")
     return out.select("page_id", F.md5("html").alias("html_md5"))
 
 
@@ -310,7 +310,7 @@ def strip_reasoning(spark, sf):
 @query("reasoning_lines")
 def reasoning_lines(spark, sf):
     """U11."""
-    return chat.reasoning_lines(table(spark, sf, "conversations")).select("conv_id", "turn", "line", "category", F.md5("body").alias("body_md5"))
+    return chat.reasoning_lines(table(spark, sf, "conversations", heavy=True)).select("conv_id", "turn", "line", "category", F.md5("body").alias("body_md5"))
 
 
 @query("action_suggestions", """
@@ -431,7 +431,7 @@ def history_validation(spark, sf):
 @query("pii_by_rule")
 def pii_by_rule(spark, sf):
     """D1 over conversations: spans per rule and role."""
-    found = detect.explode_spans(detect.scan_pii(table(spark, sf, "conversations"), "text").select("role", "spans"))
+    found = detect.explode_spans(detect.scan_pii(table(spark, sf, "conversations", heavy=True), "text").select("role", "spans"))
     names = {r.seq: r.name for r in RULES}
     rule = F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("rule_seq"))
     return found.groupBy("role", rule.alias("rule")).agg(F.count(F.lit(1)).alias("spans"))
@@ -445,7 +445,7 @@ u AS (SELECT * FROM e UNION ALL SELECT * FROM c)
 SELECT lang, category, count(DISTINCT doc_id) AS docs, count(*) AS spans, sum(length(s))::BIGINT AS chars FROM u GROUP BY lang, category""")
 def flagship_pii(spark, sf):
     """Documents -> spans -> per language and category: documents hit, spans, characters removed."""
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    docs = table(spark, sf, "documents", heavy=True).select("doc_id", "lang", "text")
     found = detect.scan_pii(docs, "text", [RULES_BY_NAME["email"], RULES_BY_NAME["card"]])
     return detect.explode_spans(found.drop("text")).groupBy("lang", "category").agg(
         F.countDistinct("doc_id").alias("docs"), F.count(F.lit(1)).alias("spans"), F.sum(F.col("end") - F.col("start")).alias("chars"))

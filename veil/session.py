@@ -23,6 +23,7 @@ def local_session(app: str = "veil", cores: str | int = "*", shuffle_partitions:
         builder = builder.config(key, value)
     builder = (
         builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "8g"))
         .config("spark.driver.host", "127.0.0.1")
@@ -33,6 +34,16 @@ def local_session(app: str = "veil", cores: str | int = "*", shuffle_partitions:
     return spark
 
 
+def spread(df):
+    """Give a small scan as many tasks as there are cores before processor-heavy work.
+
+    Only inputs with fewer partitions than cores are moved, so a large table, which has far more
+    splits than cores, is never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
