@@ -336,59 +336,82 @@ def _has_class(c: Column, *names: str) -> Column:
     return c.rlike(r"(?:^|\s)(?:" + "|".join(names) + r")(?:\s|\z)")
 
 
+def _first_class(cls: Column) -> Column:
+    return first_filled(F.regexp_extract(trim_ws(cls), r"^\S+", 0), F.lit("none"))
+
+
+def _is_loose(tag: Column, cls: Column, role: Column) -> Column:
+    """What counts as a repeated item where no list holds the repetition."""
+    return (tag == "article") | role.isin("article", "listitem") | _has_class(cls, "card", "item")
+
+
 def card_groups(nodes: DataFrame) -> DataFrame:
-    """``page_id, node_id, pos``: the members of a page's largest group of like siblings."""
-    holders = nodes.filter(F.col("tag").isin("ul", "ol", "main", "section") | F.col("role").isin("list", "feed")
-                           | _has_class(F.col("cls"), "results", "grid", "list")).select(
-        "page_id", F.col("node_id").alias("parent_id"))
-    kids = nodes.filter(~F.col("tag").isin("script", "style", "noscript", "template")).select(
-        "page_id", "node_id", "parent_id", "tag",
-        first_filled(F.regexp_extract(trim_ws(F.col("cls")), r"^\S+", 0), F.lit("none")).alias("_c"))
-    grouped = kids.join(holders, ["page_id", "parent_id"])
-    sizes = grouped.groupBy("page_id", "parent_id", "tag", "_c").agg(
-        F.count(F.lit(1)).alias("n"), F.min("node_id").alias("first"))
-    best = sizes.filter("n >= 2").withColumn("_r", F.row_number().over(
-        Window.partitionBy("page_id").orderBy(F.desc("n"), "parent_id", "first"))).filter("_r = 1")
-    members = grouped.join(best.select("page_id", "parent_id", "tag", "_c"), ["page_id", "parent_id", "tag", "_c"])
-    # Pages without such a group fall back to repeated articles, list items, cards.
-    loose = nodes.filter((F.col("tag") == "article") | F.col("role").isin("article", "listitem")
-                         | _has_class(F.col("cls"), "card", "item")).select("page_id", "node_id").join(
-        best.select("page_id"), "page_id", "left_anti")
-    loose_n = loose.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
-    chosen = members.select("page_id", "node_id").unionByName(loose.join(loose_n.select("page_id"), "page_id"))
-    return chosen.withColumn("pos", F.row_number().over(Window.partitionBy("page_id").orderBy("node_id")))
+    """``page_id, best, loose``: a page's largest group of like siblings, and its number of loose items.
+
+    ``best`` is struct(parent_id, tag, cls) or NULL; ties go to the earlier parent, then the earlier group.
+    The parent's tag is the last entry of a node's ancestors, so this is counting, without any join.
+    """
+    parent = F.try_element_at("anc", F.lit(-1))
+    holds = (parent["tag"].isin("ul", "ol", "main", "section") | parent["role"].isin("list", "feed")
+             | _has_class(parent["cls"], "results", "grid", "list"))
+    kid = F.coalesce(holds, F.lit(False)) & ~F.col("tag").isin("script", "style", "noscript", "template")
+    sizes = nodes.select(
+        "page_id", "node_id", "parent_id", "tag", _first_class(F.col("cls")).alias("_c"), kid.alias("_kid"),
+        _is_loose(F.col("tag"), F.col("cls"), F.col("role")).alias("_loose")).groupBy("page_id", "parent_id", "tag", "_c").agg(
+        F.count_if("_kid").alias("n"), F.min(F.when(F.col("_kid"), F.col("node_id"))).alias("first"), F.count_if("_loose").alias("_l"))
+    large = F.when(F.col("n") >= 2, F.struct((-F.col("n")).alias("n"), "parent_id", "first"))
+    return sizes.groupBy("page_id").agg(
+        F.min_by(F.when(F.col("n") >= 2, F.struct("parent_id", "tag", F.col("_c").alias("cls"))), large).alias("best"),
+        F.sum("_l").alias("loose"))
+
+
+def _card_parts(nodes: DataFrame) -> DataFrame:
+    """Every node of every card: node columns, ``card_id`` and ``is_self``."""
+    chosen = card_groups(nodes).filter("best IS NOT NULL OR loose >= 2").select("page_id", "best")
+    chain = F.concat(F.transform("anc", lambda a: F.struct(a["id"], a["tag"], a["cls"], a["role"])), F.array(
+        F.struct(F.col("node_id").alias("id"), "tag", "cls", "role")))
+    joined = nodes.join(chosen, "page_id").withColumn("_chain", chain)
+    at = F.array_position(F.transform("_chain", lambda x: x["id"]), F.col("best.parent_id"))
+    member = F.get("_chain", at.cast("int"))
+    in_group = F.when((at > 0) & (member["tag"] == F.col("best.tag")) & (_first_class(member["cls"]) == F.col("best.cls")),
+                      F.array(member["id"]))
+    loose = F.transform(F.filter("_chain", lambda x: _is_loose(x["tag"], x["cls"], x["role"])), lambda x: x["id"])
+    cards = F.when(F.col("best").isNotNull(), in_group).otherwise(loose)
+    return joined.select("page_id", "node_id", "tag", "cls", "role", "attrs", "text", F.explode_outer(cards).alias("card_id")).filter(
+        "card_id IS NOT NULL").withColumn("is_self", F.col("node_id") == F.col("card_id"))
 
 
 def extract_cards(pages: DataFrame, schema: dict | None = None, limit: int = 50) -> DataFrame:
     """``page_id, row, record``: title, url, description, tag and price of each repeated card."""
-    nodes = parse_nodes(pages)
-    cards = card_groups(nodes).filter(F.col("pos") <= _limit(limit)).select(
-        "page_id", F.col("node_id").alias("card_id"), "pos")
-    self_rows = nodes.join(cards.withColumnRenamed("card_id", "node_id"), ["page_id", "node_id"]).select(
-        "page_id", F.col("node_id").alias("card_id"), "pos", F.col("tag").alias("_tag"), F.col("text").alias("_all"),
-        F.col("attrs")["href"].alias("_own_href"), F.col("attrs")["src"].alias("_own_src"))
-    inner = nodes.select("page_id", "node_id", "tag", "cls", "role", "attrs", "text", F.explode(
-        F.transform("anc", lambda a: a["id"])).alias("card_id")).join(cards, ["page_id", "card_id"])
-    cls = F.col("cls")
+    parts = _card_parts(parse_nodes(pages))
+    cls, inner = F.col("cls"), ~F.col("is_self")
     href = blank_to_null(F.col("attrs")["href"])
 
     def first(cond: Column, value: Column) -> Column:
-        return F.min_by(F.when(cond, value), F.when(cond, F.col("node_id")))
+        hit = inner & F.coalesce(cond, F.lit(False))
+        return F.min_by(F.when(hit, value), F.when(hit, F.col("node_id")))
+
+    def own(value: Column) -> Column:
+        return F.max(F.when(F.col("is_self"), value))
+
+    def numbered(found: DataFrame) -> DataFrame:
+        pos = F.row_number().over(Window.partitionBy("page_id").orderBy("card_id"))
+        return found.withColumn("pos", pos).filter(F.col("pos") <= _limit(limit))
 
+    about = [own(F.col("tag")).alias("_tag"), own(F.coalesce("text", F.lit(""))).alias("_all"),
+             own(F.col("attrs")["href"]).alias("_own_href")]
     if schema:
-        return _schema_cards(self_rows, inner, schema)
+        return _schema_cards(parts, schema, about, first, numbered)
     is_title = (F.col("tag").isin("h1", "h2", "h3", "h4", "h5", "h6", "strong", "b") | (F.col("role") == "heading")
                 | _has_class(cls, "title"))
     is_link = (F.col("tag") == "a") & href.isNotNull()
     is_desc = (F.col("tag") == "p") | _has_class(cls, "description", "summary", "snippet", "desc")
     is_badge = _has_class(cls, "badge", "tag", "label", "category") | (
         (F.col("tag") == "span") & any_contains(cls, ("badge", "tag")))
-    found = inner.groupBy("page_id", "card_id").agg(
-        first(is_title, F.coalesce("text", F.lit(""))).alias("_title"), first(is_link, href).alias("_href"),
-        first(is_link, F.coalesce("text", F.lit(""))).alias("_link_text"),
-        first(is_desc, F.coalesce("text", F.lit(""))).alias("_desc"),
-        first(is_badge, F.coalesce("text", F.lit(""))).alias("_badge"))
-    full = self_rows.join(found, ["page_id", "card_id"], "left")
+    text = F.coalesce("text", F.lit(""))
+    full = numbered(parts.groupBy("page_id", "card_id").agg(
+        *about, first(is_title, text).alias("_title"), first(is_link, href).alias("_href"), first(is_link, text).alias("_link_text"),
+        first(is_desc, text).alias("_desc"), first(is_badge, text).alias("_badge")))
     own_link = (F.col("_tag") == "a") & blank_to_null(F.col("_own_href")).isNotNull()
     full = full.select(
         "page_id", F.col("pos").alias("row"),
@@ -416,8 +439,8 @@ def extract_cards(pages: DataFrame, schema: dict | None = None, limit: int = 50)
     return texts.select("page_id", "row", F.map_from_entries(pairs).alias("record")).filter(F.size("record") > 0)
 
 
-def _schema_cards(self_rows: DataFrame, inner: DataFrame, schema: dict) -> DataFrame:
-    """One declared field at a time, from the best matching element of the card."""
+def _schema_cards(parts: DataFrame, schema: dict, about: list[Column], first, numbered) -> DataFrame:
+    """One declared field at a time, from the first matching element of the card."""
     aggs = []
     for i, (field, kind) in enumerate(schema.items()):
         norm = "".join(c for c in field.lower() if c.isalnum())
@@ -429,8 +452,8 @@ def _schema_cards(self_rows: DataFrame, inner: DataFrame, schema: dict) -> DataF
             cond = (_has_class(F.col("cls"), norm, field) | (F.col("attrs")["data-field"] == field)
                     | (F.col("attrs")["itemprop"] == field))
             value = F.coalesce("text", F.lit(""))
-        aggs.append(F.min_by(F.when(cond, value), F.when(cond, F.col("node_id"))).alias(f"_f{i}"))
-    found = self_rows.join(inner.groupBy("page_id", "card_id").agg(*aggs), ["page_id", "card_id"], "left")
+        aggs.append(first(cond, value).alias(f"_f{i}"))
+    found = numbered(parts.groupBy("page_id", "card_id").agg(*about, *aggs))
     pairs = []
     for i, (field, kind) in enumerate(schema.items()):
         name = f"_f{i}"

@@ -15,6 +15,17 @@ from veil.operators.match import coverage, detection_pairs, element_pairs, greed
 SCORED = ("password", "email", "phone", "credit_card", "cvv", "national_id", "token", "face", "high_risk_surface")
 
 
+def one_row(values: dict[str, DataFrame]) -> DataFrame:
+    """Single numbers from several DataFrames (one row, one column each) side by side, as doubles."""
+    rows = reduce(DataFrame.unionByName, [
+        df.toDF("_v").select(F.lit(name).alias("_n"), F.col("_v").cast("double").alias("_v")) for name, df in values.items()])
+    return rows.agg(*[F.max(F.when(F.col("_n") == name, F.col("_v"))).alias(name) for name in values])
+
+
+def size(df: DataFrame) -> DataFrame:
+    return df.agg(F.count(F.lit(1)).alias("n"))
+
+
 def filter_split(pages: DataFrame, gt: DataFrame, split: str = "all", key: str = "page_id") -> DataFrame:
     """Pages of a split; pages without annotation stay."""
     if split == "all":
@@ -74,12 +85,11 @@ def element_metrics(els: DataFrame, gt: DataFrame) -> DataFrame:
     """A2: one row: recall, precision, role accuracy, averaging median overlap of matched boxes."""
     pairs = element_pairs(els, gt)
     matches = greedy_match(pairs, ["page_id"], sides=(els, gt)).join(pairs.drop("score"), ["page_id", "left", "right"])
-    hit = matches.agg(F.count(F.lit(1)).alias("tp"), F.sum(F.col("role_ok").cast("long")).alias("_roles"),
-                      F.median("iou").alias("_iou"))
-    sizes = els.agg(F.count(F.lit(1)).alias("_e")).crossJoin(gt.agg(F.count(F.lit(1)).alias("_g")))
-    one = hit.crossJoin(sizes)  # three one-row summaries
+    one = one_row({"tp": size(matches), "_roles": matches.agg(F.sum(F.col("role_ok").cast("long"))),
+                   "_iou": matches.agg(F.median("iou")), "_e": size(els), "_g": size(gt)})
     return one.select(
-        "tp", (F.col("_e") - F.col("tp")).alias("fp"), (F.col("_g") - F.col("tp")).alias("fn"),
+        F.col("tp").cast("long").alias("tp"), (F.col("_e") - F.col("tp")).cast("long").alias("fp"),
+        (F.col("_g") - F.col("tp")).cast("long").alias("fn"),
         half_up(safe_div(F.col("tp") * 100.0, F.col("_g")), 1).alias("recall"),
         half_up(safe_div(F.col("tp") * 100.0, F.col("_e")), 1).alias("precision"),
         half_up(safe_div(F.col("_roles") * 100.0, F.col("tp")), 1).alias("role_accuracy"),
@@ -96,17 +106,15 @@ def _area(default_w: float = 0.1, default_h: float = 0.05) -> Column:
 
 def redaction_metrics(masks: DataFrame, gt_boxes: DataFrame, els: DataFrame, gt_safe: DataFrame) -> DataFrame:
     """A3: one row: coverage, under-masked boxes, mask to sensitive area, safe controls kept."""
-    covered, missed = coverage(masks, gt_boxes)
-    sens = gt_boxes.agg(F.count(F.lit(1)).alias("total"), F.sum(F.greatest(F.lit(0.0001), _area())).alias("_sa"))
-    parts = [
-        missed.agg(F.count(F.lit(1)).alias("under_masked")), sens, masks.agg(F.sum(_area()).alias("_ma")),
-        preserved(els, gt_safe).agg(F.count(F.lit(1)).alias("safe_kept")),
-        gt_safe.agg(F.count(F.lit(1)).alias("safe_total"))]
-    one = reduce(DataFrame.crossJoin, parts)  # one-row summaries
+    _, missed = coverage(masks, gt_boxes)
+    one = one_row({
+        "under_masked": size(missed), "total": size(gt_boxes), "_sa": gt_boxes.agg(F.sum(F.greatest(F.lit(0.0001), _area()))),
+        "_ma": masks.agg(F.sum(_area())), "safe_kept": size(preserved(els, gt_safe)), "safe_total": size(gt_safe)})
     return one.select(
         half_up(safe_div((F.col("total") - F.col("under_masked")) * 100.0, F.col("total")), 1).alias("coverage"),
-        "under_masked", half_up(safe_div(F.col("_ma"), F.col("_sa")), 2).alias("area_ratio"),
-        half_up(safe_div(F.col("safe_kept") * 100.0, F.col("safe_total")), 1).alias("safe_pct"), "safe_kept", "safe_total")
+        F.col("under_masked").cast("long").alias("under_masked"), half_up(safe_div(F.col("_ma"), F.col("_sa")), 2).alias("area_ratio"),
+        half_up(safe_div(F.col("safe_kept") * 100.0, F.col("safe_total")), 1).alias("safe_pct"),
+        F.col("safe_kept").cast("long").alias("safe_kept"), F.col("safe_total").cast("long").alias("safe_total"))
 
 
 def index_percentile(df: DataFrame, col: str, p: float, keys=()) -> DataFrame:
@@ -178,10 +186,11 @@ def run_rates(runs: DataFrame) -> DataFrame:
 
 def privacy_gate(leaks: DataFrame, n_canaries: int, masks: DataFrame, gt_boxes: DataFrame, els: DataFrame, gt_safe: DataFrame) -> DataFrame:
     """One row: leaks, canaries checked, surfaces covered and total, safe controls kept and total."""
-    parts = [leaks.agg(F.count(F.lit(1)).alias("leaks")), surfaces_covered(masks, gt_boxes).agg(F.count(F.lit(1)).alias("covered")),
-             gt_boxes.agg(F.count_if(F.col("category") == "high_risk_surface").alias("total")),
-             preserved(els, gt_safe).agg(F.count(F.lit(1)).alias("safe_kept")), gt_safe.agg(F.count(F.lit(1)).alias("safe_total"))]
-    return reduce(DataFrame.crossJoin, parts).withColumn("checked", F.lit(n_canaries))  # one-row summaries
+    one = one_row({
+        "leaks": size(leaks), "covered": size(surfaces_covered(masks, gt_boxes)),
+        "total": size(gt_boxes.filter("category = 'high_risk_surface'")), "safe_kept": size(preserved(els, gt_safe)),
+        "safe_total": size(gt_safe)})
+    return one.select(*[F.col(c).cast("long").alias(c) for c in one.columns]).withColumn("checked", F.lit(n_canaries))
 
 
 # Scorecard targets, (metric, comparison, target).

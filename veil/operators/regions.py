@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veil.functions.blocking import iou, touching_boxes
-from veil.functions.rules import CATEGORY_PRECEDENCE, WS
+from veil.functions.ordered import running
+from veil.functions.rules import CATEGORY_PRECEDENCE
 from veil.functions.spans import spans_col
 from veil.operators.match import decide_by_rank
 
@@ -240,19 +241,20 @@ def fuse_by_secret(dets: DataFrame, key: str = "page_id") -> DataFrame:
     return merged.unionByName(keyed.filter("_k IS NULL").select(key, "seq", *rest)).select(*dets.columns)
 
 
-def merge_boxes(regions: DataFrame, keys=("capture_id", "category")) -> DataFrame:
+def merge_boxes(regions: DataFrame, keys=("capture_id", "category"), cell: float = 1.0) -> DataFrame:
     """M2: sort by x then y; each box joins the previous merged box when they touch, else starts a new one.
 
     Only the last merged box is looked at, so this is a fold, not a closure. A box that begins to the
     right of everything before it can join nothing: the fold is cut there, and every piece between two
-    cuts is folded on its own. The cuts come from one streaming window over the sorted boxes.
+    cuts is folded on its own. The cuts are running values over bands of ``cell`` width, so a crowded
+    capture is never scanned by one task.
     """
-    keys = list(keys)
-    order = Window.partitionBy(*keys).orderBy("x", "y", "w", "h")
-    reach = F.max(F.col("x") + F.col("w")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    cut = F.when(reach.isNull() | (F.col("x") > reach), F.lit(1)).otherwise(F.lit(0))
-    pieces = regions.withColumn("_cut", cut).withColumn(
-        "_piece", F.sum("_cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    keys, order = list(keys), ["x", "y", "w", "h"]
+    band = F.floor(F.col("x") / cell)
+    reach = running(regions.select(*keys, *order), keys, band, order, {"_reach": (F.col("x") + F.col("w"), "max")}, exclusive=True)
+    cut = reach.withColumn("_cut", F.when(F.col("_reach").isNull() | (F.col("x") > F.col("_reach")), 1).otherwise(0))
+    # Equal boxes are interchangeable, but the one that cuts has to come first.
+    pieces = running(cut, keys, band, [*order, F.desc("_cut")], {"_piece": (F.col("_cut"), "sum")})
     grouped = pieces.groupBy(*keys, "_piece").agg(
         F.array_sort(F.collect_list(F.struct("x", "y", "w", "h"))).alias("_b"))
     merged = F.expr("""

@@ -160,7 +160,7 @@ l AS (SELECT *, row_number() OVER (PARTITION BY capture_id, category, grp ORDER
 SELECT capture_id, category, x, y, w, h FROM l WHERE k = 1""")
 def merged_boxes(spark, sf):
     """M2."""
-    return regions.merge_boxes(boxes(spark, sf).select("capture_id", "category", "x", "y", "w", "h"))
+    return regions.merge_boxes(boxes(spark, sf).select("capture_id", "category", "x", "y", "w", "h"), cell=20.0)
 
 
 @query("suppressed_boxes", f"""
