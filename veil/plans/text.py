@@ -207,7 +207,7 @@ def free_text_docs(spark, sf):
 @query("free_text_secrets", """
 SELECT o_orderkey, concat('order ', cast(o_orderkey AS VARCHAR), ' Bearer [REDACTED_TOKEN] and token="[REDACTED_TOKEN]" [REDACTED_TOKEN] end') AS text_clean FROM orders""")
 def free_text_secrets(spark, sf):
-    texts = table(spark, sf, "orders").selectExpr("o_orderkey", """concat('order ', cast(o_orderkey as string), ' bearer abcdef', cast(o_orderkey as string), 'xyz and token="',
+    texts = table(spark, sf, "orders", heavy=True).selectExpr("o_orderkey", """concat('order ', cast(o_orderkey as string), ' bearer abcdef', cast(o_orderkey as string), 'xyz and token="',
         substr(md5(cast(o_orderkey as string)), 1, 9), 'abcdefg" ', translate(md5(concat('k', cast(o_orderkey as string))), '0123456789', 'abcdefabcd'), ' end') AS text""")
     return scrub.scrub_free_text(texts, "text").select("o_orderkey", "text_clean")
 
@@ -222,7 +222,7 @@ def scrub_conversations(spark, sf):
 @query("scrub_nested", """
 SELECT o_orderkey, concat('pay [REDACTED_EMAIL]') AS goal, 'https://shop.example.com/reset/[REDACTED_TOKEN]' AS url, concat('by [REDACTED_EMAIL]') AS first_summary FROM orders""")
 def scrub_nested(spark, sf):
-    df = table(spark, sf, "orders").selectExpr(
+    df = table(spark, sf, "orders", heavy=True).selectExpr(
         "o_orderkey", "concat('pay u', cast(o_custkey as string), '@mail.example.org') AS goal",
         """named_struct('url', concat('https://shop.example.com/reset/tok', lpad(cast(o_orderkey as string), 12, '0')),
            'statusSummaries', array(concat('by u', cast(o_custkey as string), '@mail.example.org'), 'ok')) AS pageState""")
