@@ -44,12 +44,20 @@ def spread(df):
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+_OWN_FOLDER: list[str] = []
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is named."""
+    """The shared folder the cluster names. A session inside one process may go without and gets a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
-    return tempfile.mkdtemp(prefix="veil-checkpoint-")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _OWN_FOLDER:
+        _OWN_FOLDER.append(tempfile.mkdtemp(prefix="veil-checkpoint-"))
+    return _OWN_FOLDER[0]
 
 
 def cut_lineage(df, eager: bool = True):
