@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from veil.llm.common import shared_path, table
 from veil.llm.decontaminate import decontaminate
+from veil.llm.exact_dedup import mark_duplicates
+from veil.llm.language_id import fit
 from veil.llm.registry import ORACLES, QUERIES, query
 from veil.llm.token_files import read_token_files, write_token_files
+from veil.llm.url_filter import filter_urls
 
 WORD_BPE = "word_bpe_49k.json"
 END_ID = 1
@@ -46,6 +49,37 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
                          F.sha2(F.array_join(hits["items"], ","), 256).alias("items_sha256"), (hits["n_hit"] > 0).alias("contaminated"))
 
 
+@query("op2_exact_dedup", """
+WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS size, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS body FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
+  row_number() OVER w = 1 AS kept, sha256(body) AS text_sha256
+FROM t WINDOW w AS (PARTITION BY body ORDER BY size DESC, doc_id NULLS LAST)
+""")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return mark_duplicates(table(spark, sf, "documents"))
+
+
+def held_out(doc_id: str = "doc_id"):
+    """Documents that no model learns from."""
+    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(3)) == 1, F.lit(False))
+
+
+@query("op6_language_id")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    model = fit(docs.where(F.col("doc_id").isNotNull() & ~held_out()))
+    guess = F.col("language")
+    return model.predict(docs.select("doc_id", "text")).select("doc_id", held_out().alias("held_out"), guess["lang"].alias("lang_pred"), guess["score"].alias("score"))
+
+
+RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+@query("op7_url_filter")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return filter_urls(table(spark, sf, "pages"), RULES).drop("score")
+
+
 @query("op10_token_files")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_path(spark, "token-files")
