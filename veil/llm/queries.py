@@ -9,6 +9,7 @@ from veil.llm.common import shared_path, table
 from veil.llm.decontaminate import decontaminate
 from veil.llm.exact_dedup import mark_duplicates
 from veil.llm.language_id import fit
+from veil.llm.near_dedup import near_duplicates
 from veil.llm.registry import ORACLES, QUERIES, query
 from veil.llm.token_files import read_token_files, write_token_files
 from veil.llm.url_filter import filter_urls
@@ -59,6 +60,23 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     return mark_duplicates(table(spark, sf, "documents"))
 
 
+@query("op4_near_dedup", """
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 3, 1))) AS i FROM t WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n_both FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM common JOIN sizes p ON x = p.doc_id JOIN sizes q ON y = q.doc_id WHERE 100 * n_both >= 80 * (p.n + q.n - n_both)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY 1) c USING (doc_id)
+""")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(table(spark, sf, "documents"), width=4, percent=80)
+
+
 def held_out(doc_id: str = "doc_id"):
     """Documents that no model learns from."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(3)) == 1, F.lit(False))

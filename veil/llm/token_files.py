@@ -26,7 +26,7 @@ from veil.llm.common import texts
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 ESCAPE = 15
 BLOCK_IDS = 1 << 16
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 BLOCK_SCHEMA = ("shard int, block int, start_in_shard bigint, doc_ids array<bigint>, counts array<bigint>, n_ids bigint, payload binary")
 
 
@@ -106,26 +106,39 @@ def decode(payload: bytes) -> np.ndarray:
 class WordIds(dict):
     """Ids (uint32 bytes) of a word, kept for the words seen lately.
 
-    The tokenizer never joins characters over white space, so a text's ids are its words' ids. It also
-    lowers case and parts a letter from the punctuation behind it, which leaves fewer words to encode.
+    The tokenizers this fits (``_fits`` tries them) never join characters over white space, lower case, and part a
+    letter from the punctuation behind it, so a text's ids are its words' ids, and a word of plain small letters goes straight
+    to the tokenizer's model. Any other tokenizer gets whole texts.
     """
 
     def __init__(self, path: str):
         import tokenizers
 
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.by_word = _parts_words(self.tokenizer)
+        self.letters = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.by_word = self._fits()
+
+    def _fits(self) -> bool:
+        """Whether the shortcuts give what the tokenizer gives, on words of every kind they tell apart."""
+        text = "Word one,\n\tWORD Two! a.b état ÉTÉ: straße don't x1"
+        if "Lowercase" not in str(self.tokenizer.normalizer) or self.tokenizer.model is None:
+            return False
+        return b"".join([self[w] for w in text.split()]) == self.encoded(text)
 
     def encoded(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if word[-1] in ".,!?;:" and word[-2:-1].isalpha():
+        low = word.lower()
+        if word[-1] in ".,!?;:" and word[-2:-1].isalpha() and word[-2] < "ɐ" and word[-2] != "İ":
             ids = self[word[:-1]] + self[word[-1]]
-        elif (low := word.lower()) != word and max(word) < "ɐ" and "İ" not in word:
+        elif not (low.isalpha() and max(low) < "ɐ" and "İ" not in word):
+            ids = self.encoded(word)
+        elif low != word:
             ids = self[low]
         else:
-            ids = self.encoded(word)
+            mapped = word if word.isascii() else self.letters.pre_tokenize_str(word)[0][0]
+            ids = np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], dtype="<u4").tobytes()
         if len(self) >= CACHE_WORDS:
             self.clear()
         self[word] = ids
@@ -138,13 +151,6 @@ class WordIds(dict):
         return b"".join([self[w] for w in text.split()])
 
 
-def _parts_words(tokenizer) -> bool:
-    """Whether this tokenizer drops white space, lowers case and parts words as ``WordIds`` assumes; others get whole texts."""
-    whole = tokenizer.encode("Word one,\n\tWORD Two! a.b", add_special_tokens=False).ids
-    parts = [i for w in ("word", "one", ",", "word", "two", "!", "a.b") for i in tokenizer.encode(w, add_special_tokens=False).ids]
-    return whole == parts and "lower" in str(tokenizer.normalizer).lower()
-
-
 _WORDS: dict[str, WordIds] = {}
 
 
