@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veil.llm.chat_tree import chat_trees
 from veil.llm.common import shared_path, table
 from veil.llm.decontaminate import decontaminate
 from veil.llm.exact_dedup import mark_duplicates
 from veil.llm.language_id import fit
+from veil.llm.line_dedup import drop_repeated_lines
 from veil.llm.near_dedup import near_duplicates
 from veil.llm.registry import ORACLES, QUERIES, query
 from veil.llm.token_files import read_token_files, write_token_files
@@ -77,6 +79,47 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"), width=4, percent=80)
 
 
+@query("op5_chat_tree", """
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  cast(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS bigint) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  cast(sum(length(text) + len(regexp_extract_all(text, '\\\\|</?s>|\\[/?INST\\]|<</?SYS>>|\\[ROLE |\\[/ROLE\\]'))
+    + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 14 + length(role) END) AS bigint) AS formatted_chars
+FROM c WHERE conv_id IS NOT NULL GROUP BY conv_id
+""")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    says = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", says), (-1, 1, "assistant", says)], "conv_id bigint, turn bigint, role string, text string")
+    read = chat_trees(rows.unionByName(own), tokenizer_path("byte_bpe_50k.json"))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    learned = F.array_join("learned", "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
+                       F.length(learned).cast("long").alias("loss_chars"), F.sha2(learned, 256).alias("loss_sha256"),
+                       F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query("op9_line_dedup", """
+WITH t AS (
+  SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13))), lambda x: x <> '') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 3], chr(10)) AS s FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 2, 0))) AS i FROM t)),
+later AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS n FROM windows) WHERE n > 1),
+gone AS (SELECT doc_id, list(DISTINCT k) AS ks FROM (SELECT doc_id, unnest(range(i, i + 3)) AS k FROM later) GROUP BY doc_id)
+SELECT doc_id, cast(len(w) AS bigint) AS n_lines, cast(coalesce(len(ks), 0) AS bigint) AS n_removed,
+  sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(ks, []), i - 1)), chr(10))) AS kept_sha256
+FROM t LEFT JOIN gone USING (doc_id)
+""")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    left = drop_repeated_lines(table(spark, sf, "documents"), run=3)
+    blanks = r"^[\x20\x09\x0B-\x0D]+|[\x20\x09\x0B-\x0D]+\z"
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.regexp_replace(x, blanks, "")), lambda x: x != "")
+    return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.array_join(lines, "\n"), 256).alias("kept_sha256"))
+
+
 def held_out(doc_id: str = "doc_id"):
     """Documents that no model learns from."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(3)) == 1, F.lit(False))
