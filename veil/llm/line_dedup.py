@@ -8,7 +8,8 @@ and a smaller line number) is deleted. Neighbouring windows make up longer runs.
 
 Joins carry one row a selected line; a line that very many documents share is counted by partial sums, and the joins on it are
 ones that Spark can split. Blank lines stay. Null text has no lines. Rows without an id stay as they are and are no source;
-rows that share an id are one place, so what they repeat among them at the same line number stays.
+rows that share an id are one place, so what
+they repeat among them at the same line number stays, and each loses lines of its own text only.
 """
 
 from __future__ import annotations
@@ -39,30 +40,32 @@ def _hash(value: bytes) -> int:
 
 
 def repeated_runs(docs: DataFrame, run: int) -> DataFrame:
-    """``doc_id, starts``: the windows of ``run`` lines of a document that also start earlier."""
+    """``doc_id, version, starts``: the windows of ``run`` lines of a document that also start earlier."""
 
     def select(batches):
         for batch in batches:
-            rows: dict[str, list] = {"line": [], "doc_id": [], "windows": []}
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            rows: dict[str, list] = {"line": [], "doc_id": [], "version": [], "windows": []}
+            for doc_id, version, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 lines = [_hash(s) for s in (line.strip(_BLANKS) for line in (text.as_py() or b"").split(b"\n")) if s]
                 for place, windows in _selected(lines, run):
                     rows["line"].append(lines[place])
                     rows["doc_id"].append(doc_id)
+                    rows["version"].append(version)
                     rows["windows"].append([{"w": w, "start": s} for w, s in windows])
             yield pa.RecordBatch.from_pydict({
                 "line": pa.array(rows["line"], pa.int64()), "doc_id": pa.array(rows["doc_id"], pa.int64()),
+                "version": pa.array(rows["version"], pa.int64()),
                 "windows": pa.array(rows["windows"], pa.list_(pa.struct([("w", pa.int64()), ("start", pa.int64())])))})
 
-    lines = docs.where("doc_id IS NOT NULL").select("doc_id", utf8(F.col("text"))).mapInArrow(
-        select, "line bigint, doc_id bigint, windows array<struct<w:bigint,start:bigint>>")
+    lines = docs.where("doc_id IS NOT NULL").select("doc_id", "version", utf8(F.col("text"))).mapInArrow(
+        select, "line bigint, doc_id bigint, version bigint, windows array<struct<w:bigint,start:bigint>>")
     lines = written(lines, "selected-lines")
     met = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("line")
-    windows = written(lines.join(met, "line").select("doc_id", F.explode("windows").alias("at")).select("doc_id", "at.w", "at.start"), "line-windows")
+    windows = written(lines.join(met, "line").select("doc_id", "version", F.explode("windows").alias("at")).select("doc_id", "version", "at.w", "at.start"), "line-windows")
     place = F.struct("doc_id", "start")
     first = windows.groupBy("w").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("w", "first")
     later = windows.join(first, "w").where(place > F.col("first"))
-    return later.groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
+    return later.groupBy("doc_id", "version").agg(F.collect_set("start").alias("starts"))
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 3) -> DataFrame:
@@ -84,6 +87,6 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             out.append({"n_lines": n, "n_removed": len(gone), "text": None if whole is None else b"\n".join(kept).decode("utf-8", "replace")})
         return pa.array(out, pa.struct([("n_lines", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())]))
 
-    rows = texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    joined = rows.join(repeated_runs(rows, run), "doc_id", "left")
+    rows = texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("version", F.xxhash64("text"))
+    joined = rows.join(repeated_runs(rows, run), ["doc_id", "version"], "left")
     return joined.select("doc_id", cut(utf8(F.col("text")), F.col("starts")).alias("c")).select("doc_id", "c.n_lines", "c.n_removed", "c.text")

@@ -13,6 +13,7 @@ from veil.llm.language_id import fit
 from veil.llm.line_dedup import drop_repeated_lines
 from veil.llm.near_dedup import near_duplicates
 from veil.llm.registry import ORACLES, QUERIES, query
+from veil.llm.substring_dedup import drop_repeated_spans
 from veil.llm.token_files import read_token_files, write_token_files
 from veil.llm.url_filter import filter_urls
 
@@ -103,6 +104,21 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+@query("op8_substring_dedup", """
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 13], ' ') AS s FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 12, 0))) AS i FROM t)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS least FROM windows) WHERE least < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k FROM later),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS k FROM t),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS text FROM words ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT doc_id, cast(len(w) AS bigint) AS n_words, cast(len(w) - coalesce(n, 0) AS bigint) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM t LEFT JOIN kept USING (doc_id)
+""")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    left = drop_repeated_spans(table(spark, sf, "documents"), width=13)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query("op9_line_dedup", """
 WITH t AS (
   SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13))), lambda x: x <> '') AS w FROM documents),
