@@ -11,6 +11,7 @@ from veil.llm.decontaminate import decontaminate
 from veil.llm.exact_dedup import mark_duplicates
 from veil.llm.language_id import fit
 from veil.llm.line_dedup import drop_repeated_lines
+from veil.llm.mixing import mix
 from veil.llm.near_dedup import near_duplicates
 from veil.llm.registry import ORACLES, QUERIES, query
 from veil.llm.substring_dedup import drop_repeated_spans
@@ -63,6 +64,25 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     return mark_duplicates(table(spark, sf, "documents"))
 
 
+# Shares of the tokens by domain. What labels call toxic goes, the rest stays at a rate of at least one.
+TARGETS = {"high": 0.82, "low": 0.179, "toxic": 0.0008, "toxic_low": 0.0002}
+BUDGET = 1.2
+
+
+def domain_labels(labels: DataFrame) -> DataFrame:
+    domain = F.when((F.col("toxic") == 1) & (F.col("quality") == 0), "toxic_low").when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+@query("op3_mixing")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    mixed = mix(docs, domain_labels(table(spark, sf, "labels")), TARGETS, BUDGET)
+    m = F.col("mix")
+    shares = [F.get(m["posteriors"], F.lit(i)).alias(f"p_{d}") for i, d in enumerate(sorted(TARGETS))]
+    return mixed.select("doc_id", m["n_tokens"].alias("n_tokens"), *shares, m["rate"].alias("rate"), m["copies"].alias("copies"))
+
+
 @query("op4_near_dedup", """
 WITH RECURSIVE t AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
