@@ -39,7 +39,7 @@ SEEDS = mix(np.arange(1, 2 * HALVES + 1, dtype=np.uint64))
 SKETCH = "doc_id bigint, n_shingles bigint, digest_a bigint, digest_b bigint, halves array<bigint>"
 
 
-def _text_groups(batch: pa.RecordBatch, most: int = 32_000_000):
+def _text_groups(batch: pa.RecordBatch, most: int = 8_000_000):
     """Parts of a batch (id, utf-8 text) of bounded size."""
     ids, values = batch.column(0).to_pylist(), batch.column(1).to_pylist()
     at = 0
@@ -143,7 +143,8 @@ def _confirmed(docs: DataFrame, clouds: DataFrame, width: int, percent: int) ->
     sizes = clouds.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     dealt = clouds.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))
-    placed = dealt.join(docs, dealt["id"] == docs["doc_id"]).select("component", "id", "text", F.explode(others).alias("at"))
+    # The same join at every size: clouds grow with the documents, so they are not broadcast where they happen to be few.
+    placed = dealt.hint("merge").join(docs, dealt["id"] == docs["doc_id"]).select("component", "id", "text", F.explode(others).alias("at"))
     grouped = placed.select("component", "at.x", "at.y", "id", utf8(F.col("text")).alias("text"))
     parted = grouped.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y", "id")
 
