@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from veil.functions import rules
 from veil.functions.rules import RULES_BY_NAME, with_canary_prefixes
 from veil.operators import detect
 from tests.conftest import SF
@@ -115,3 +116,12 @@ def test_residual_scan_rejects_canaries(spark):
     clean, leaks = detect.residual_scan(df)
     assert [r.sanitized_name for r in clean.collect()] == ["[REDACTED_EMAIL] left"]
     assert [r.local_id for r in leaks.collect()] == [2]
+
+
+def test_addresses_after_sector_words(spark):
+    """The word edge belongs to the single letter only."""
+    texts = ["Sector #123456789", "Sector 12-", "Block C", "Block Cx", "Pocket No. 4/7,"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    found = {r["id"]: r["m"] for r in df.select("id", F.regexp_extract_all("text", F.lit(rules.LOCALITY), F.lit(0)).alias("m")).collect()}
+    assert found == {0: ["Sector #12345678"], 1: ["Sector 12-"], 2: ["Block C"], 3: [], 4: ["Pocket No. 4/7"]}
+    assert detect.explode_spans(detect.scan_pii(df, "text")).where("id = 0").count() > 0

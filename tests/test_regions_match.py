@@ -109,3 +109,15 @@ def test_fuzzy(spark):
     pairs = [("knwo", "know", False), ("pass", "password", False), ("pass", "passwor", True), ("ab", "ac", False), ("submit", "sumbit", True), ("cat", "dog", False)]
     df = spark.createDataFrame(pairs, "a string, b string, want boolean")
     assert df.filter(match.fuzzy(F.col("a"), F.col("b")) != F.col("want")).collect() == []
+
+
+def test_boxes_without_a_category_are_measured(spark):
+    boxes = spark.createDataFrame([(1, "face"), (2, None), (3, "email")], "id int, category string")
+    assert {r["id"] for r in match.drop_unmeasured(boxes, ["face"]).collect()} == {2, 3}
+
+
+def test_pooled_sequence_numbers_stay_apart(spark):
+    from veil.operators import quality
+
+    rows = spark.createDataFrame([(0, 1_000_000), (1, 0)], "page_order int, seq bigint").selectExpr("*", "7 AS page_id")
+    assert quality._pool(rows).select("seq").distinct().count() == 2

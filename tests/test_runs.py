@@ -116,3 +116,11 @@ def test_contracts(spark):
     df = spark.createDataFrame(bad, "j string, want string")
     got = payloads.tag_payloads(df, "j", payloads.CHAT).collect()
     assert [r.reason for r in got] == [r.want for r in got]
+
+
+def test_similarity_exactly_at_the_threshold(spark):
+    from veil.operators import chat
+
+    few, many = " ".join(f"abc{i}" for i in range(7)), " ".join(f"abc{i}" for i in range(70))
+    a, b = (spark.createDataFrame([(1, t)], "id int, text string") for t in (few, many))
+    assert [r["b_id"] for r in chat.similarity_join(a, b, minimum=0.1).collect()] == [1]

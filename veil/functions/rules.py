@@ -54,7 +54,7 @@ LOCALITY = (
     rf"(?i){BL}(?:Flat|House|H\.No|Plot|Shop|Room|Bldg|Building|Apartment|Apt){WS}*"
     rf"(?:(?:No\.?|#){WS}*[A-Za-z0-9/-]{{1,10}}|\d+[A-Za-z0-9/-]*){EDGE}"
     rf"|{BL}(?:Sector|Block|Pocket){WS}*(?:[-#]{WS}*[A-Za-z0-9/-]{{1,8}}|(?:No\.?|#){WS}*[A-Za-z0-9/-]{{1,8}}"
-    rf"|\d+[A-Za-z0-9/-]*|[A-Z]{BR}){EDGE}"
+    rf"|\d+[A-Za-z0-9/-]*|[A-Z]{BR})"
     rf"|{BL}\d+(?:st|nd|rd|th)?{WS}+(?:Main|Cross)(?:{WS}+(?:Road|Rd))?{BR}"
     rf"|{BL}Main{WS}+(?:Road|Street){BR}"
     rf"|{BL}[A-Z][a-zA-Z0-9'-]+(?:{WS}+[A-Z][a-zA-Z0-9'-]+){{0,2}}{WS}+"

@@ -121,6 +121,15 @@ def _names(norm: Column, toks: Column, phrase: str) -> Column:
     return F.contains(norm, F.lit(p)) | every
 
 
+def _words_close(toks: Column, phrase: str) -> Column:
+    """Whether each word of a phrase is one of the query's words or close to one; a part of a longer word does not count."""
+    words = "".join(c if c.isalnum() or c in "_-" else " " for c in phrase.lower()).split()
+    out = F.lit(bool(words))
+    for w in words:
+        out = out & (F.array_contains(toks, w) | _close(toks, w))
+    return out
+
+
 def _close(toks: Column, word: str) -> Column:
     def near(t):
         return fuzzy(F.lit(word), t)
@@ -149,7 +158,7 @@ def resolve_intent(df: DataFrame, query: str = "query", url: str = "url", playbo
 
     out = F.lit(None)
     for p in reversed(_checked(PLAYBOOKS if playbooks is None else playbooks)):
-        tries = [F.when(counts & _any([_names(n, t, k) for k in m["keywords"]]), answer("extract_metric", m["keywords"][0], 0.95))
+        tries = [F.when(counts & _any([_words_close(t, k) for k in m["keywords"]]), answer("extract_metric", m["keywords"][0], 0.95))
                  for m in p["metrics"]]
 
         def route(r, confidence, gate, p=p):

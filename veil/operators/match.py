@@ -111,7 +111,8 @@ def decide_by_rank(edges: DataFrame, keys: list[str], limit: int = GROUP_LIMIT,
 
 def drop_unmeasured(gt_boxes: DataFrame, categories) -> DataFrame:
     """Ground truth of categories no detector ran for is not scored. ``categories`` is a short list."""
-    return gt_boxes.filter(~F.col("category").isin(*categories)) if categories else gt_boxes
+    # A box without a category was not left out by anyone; it stays.
+    return gt_boxes.filter(~F.coalesce(F.col("category").isin(*categories), F.lit(False))) if categories else gt_boxes
 
 
 def attach_truth(pages: DataFrame, truth: DataFrame) -> DataFrame:

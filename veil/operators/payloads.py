@@ -40,6 +40,8 @@ class Contract:
     rules: tuple = ()
     unknown: str = "unknown_property"
     unique: dict = field(default_factory=dict)
+    # (reason, SQL that is true when broken; ``{v}`` stands for the object), after all rules
+    checks: tuple = ()
 
 
 _SAFE = "|".join(p.removeprefix("(?i)") for p in SCRIPT_PATTERNS)
@@ -142,6 +144,7 @@ def reason_sql(v: str, contract: Contract) -> str:
         e = S.fresh("e")
         ids = f"transform(try_variant_get({v}, '$.{path}', 'array<variant>'), {e} -> {_text(_get(e, key))})"
         whens.append(f"WHEN size(array_distinct({ids})) < size({ids}) THEN 'duplicate_{key}'")
+    whens += [f"WHEN {broken.replace('{v}', v)} THEN '{reason}'" for reason, broken in contract.checks]
     return "CASE " + " ".join(whens) + " END"
 
 
@@ -185,7 +188,27 @@ def element_contract(chat: bool = False) -> Contract:
         Rule("nearestHeading", "string", "invalid_heading", max_len=120, safe=True),
         Rule("isInsideDialog", "bool", "invalid_dialog_flag"),
         Rule("verticalOffset", "enum", "invalid_vertical_offset", values=("in_view", "above", "below")),
-        Rule("inViewport", "bool", "invalid_viewport_flag")), "unknown_element_property")
+        Rule("inViewport", "bool", "invalid_viewport_flag")), "unknown_element_property",
+        checks=(("contradictory_state", "array_contains(try_variant_get({v}, '$.state', 'array<string>'), 'enabled') "
+                 "AND array_contains(try_variant_get({v}, '$.state', 'array<string>'), 'disabled')"),))
+
+
+def _differs(counts: str, names: tuple[str, ...]) -> str:
+    """True when the named counts of a manifest (those that are numbers) do not add up to its regions."""
+    at = "$.redactionManifest." + counts
+    one = lambda n: f"try_variant_get({{v}}, '{at}.{n}', 'variant')"
+    total = " + ".join(f"CASE WHEN {_is_number(one(n))} THEN try_variant_get({{v}}, '{at}.{n}', 'double') ELSE 0D END" for n in names)
+    return f"try_variant_get({{v}}, '{at}', 'variant') IS NOT NULL AND {total} <> try_variant_get({{v}}, '$.redactionManifest.totalRegions', 'double')"
+
+
+_FLAG = "coalesce(try_variant_get({{v}}, '$.redactionManifest.{0}', 'boolean'), false)"
+MANIFEST_CHECKS = (
+    ("contradictory_manifest", _differs("categoryCounts", ("piiText", "domInput", "face", "surface"))),
+    ("contradictory_manifest", _differs("methodCounts", ("opaqueBox", "spatialBlur"))),
+    ("pixels_not_verified", "try_variant_get({v}, '$.redactionManifest.totalRegions', 'double') > 0 "
+     "AND try_variant_get({v}, '$.redactionManifest.pixelVerificationPerformed', 'variant') IS NOT NULL "
+     f"AND NOT ({_FLAG.format('pixelVerificationPerformed')} AND {_FLAG.format('pixelVerificationPassed')})"),
+)
 
 
 HISTORY_ITEM = Contract(("role", "content"), (
@@ -243,10 +266,11 @@ REASONING = Contract(REASONING_KEYS, (
     Rule("redactionManifest.placeholderConvention", "enum", "invalid_manifest", values=("[REDACTED]",)),
     Rule("redactionManifest.geometrySemantics", "enum", "invalid_manifest", values=("clamped_css_pixels",)),
     Rule("redactionManifest.uninspectableSurfacePolicy", "enum", "invalid_manifest", values=("fail_closed",)),
+    *[Rule(f"redactionManifest.{k}", "object", "invalid_manifest") for k in ("categoryCounts", "methodCounts", "categoryBreakdown")],
     Rule("elements", "array", "invalid_elements", high=200, item=element_contract()),
     Rule("history", "array", "invalid_history", high=30, item=HISTORY_ITEM),
     Rule("customPrompt", "string", "invalid_custom_prompt", max_len=4000, safe=True),
-), unique={"elements": "localId"})
+), unique={"elements": "localId"}, checks=MANIFEST_CHECKS)
 
 CHAT = Contract(CHAT_KEYS, (
     Rule("protocolVersion", "enum", "unsupported_version", required=True, values=("1.0",)),
@@ -275,6 +299,25 @@ ACTION_KEYS = ("actionId", "objectiveId", "kind", "confidence", "risk", "rationa
                "scrollDirection", "targetLocalId", "destinationLocalId", "tabId", "fileName", "fileData", "mimeType",
                "coordinates", "textToType", "selectOptionValue", "url", "targetUrl", "createNewTab", "searchQuery",
                "searchResults", "userApproved", "pressEnter", "userInputPrompt", "inputKey", "batchActions")
+ATOMIC_KINDS = ("click", "hover", "type", "select", "drag_and_drop", "upload_file", "scroll", "wait", "observe", "extract", "answer",
+                "request_user_input", "navigate")
+ATOMIC_KEYS = ("actionId", "kind", "targetLocalId", "destinationLocalId", "textToType", "selectOptionValue", "scrollDirection", "pressEnter",
+               "fileName", "userInputPrompt", "inputKey", "reply", "reasoning", "rationale", "userApproved", "coordinates", "confidence", "risk",
+               "prompt", "message", "thought", "url", "targetUrl", "createNewTab", "description", "searchQuery")
+_SUB = "try_variant_get({{v}}, '$.{0}', 'string')"
+ATOMIC = Contract(ATOMIC_KEYS, (
+    Rule("actionId", "regex", "invalid_action_id", required=True, pattern=RUN_ID),
+    Rule("kind", "enum", "invalid_kind", required=True, values=ATOMIC_KINDS),
+    Rule("targetLocalId", "regex", "invalid_target", pattern=LOCAL_ID),
+    Rule("scrollDirection", "enum", "invalid_scroll_direction", values=("up", "down", "top", "bottom")),
+    Rule("rationale", "string", "invalid_rationale", max_len=500),
+), checks=(
+    ("missing_target", f"{_SUB.format('kind')} IN ('click', 'hover', 'type', 'select', 'upload_file') AND coalesce({_SUB.format('targetLocalId')}, '') = ''"),
+    *[(reason, f"{_SUB.format('kind')} = '{kind}' AND (coalesce(length({value}), 0) NOT BETWEEN 1 AND {most} OR rlike({value}, {S.lit('(?i)' + _SAFE)}))")
+      for kind, reason, value, most in (
+          ("type", "missing_text", _SUB.format("textToType"), 500), ("select", "missing_option", _SUB.format("selectOptionValue"), 200),
+          ("navigate", "missing_url", f"coalesce(nullif({_SUB.format('url')}, ''), {_SUB.format('targetUrl')})", 2000))],
+))
 ACTION = Contract(ACTION_KEYS, (
     Rule("actionId", "regex", "invalid_action_id", required=True, pattern=RUN_ID),
     Rule("objectiveId", "regex", "invalid_objective_id", pattern=RUN_ID),
@@ -301,7 +344,8 @@ ACTION = Contract(ACTION_KEYS, (
     Rule("pressEnter", "bool", "invalid_flag"),
     Rule("searchQuery", "string", "invalid_search_query", max_len=500, safe=True),
     Rule("userInputPrompt", "string", "invalid_prompt", max_len=500, safe=True),
-    Rule("batchActions", "array", "invalid_batch", low=1, high=10),
+    Rule("inputKey", "regex", "invalid_input_key", pattern=r"^[a-zA-Z0-9_-]{1,100}\z"),
+    Rule("batchActions", "array", "invalid_batch", low=1, high=10, item=ATOMIC),
 ))
 # ---------------------------------------------------------------------------
 
@@ -341,7 +385,7 @@ def validate_conversations(turns: DataFrame, key: str = "conv_id") -> tuple[Data
 
 
 def validate_actions(actions: DataFrame, elements: DataFrame, col: str = "proposal", key: str = "page_id") -> tuple[DataFrame, DataFrame]:
-    """V4: V1 rules, what each kind needs, and the target must be an element of the same page."""
+    """V4: V1 rules, also for the members of a batch, what each kind needs, and every target and destination must be an element of the same page."""
     v = "_v"
     text = lambda p: f"try_variant_get({v}, '$.{p}', 'string')"
     needs = f"""CASE
@@ -353,11 +397,16 @@ def validate_actions(actions: DataFrame, elements: DataFrame, col: str = "propos
         WHEN {text('kind')} = 'navigate' AND coalesce({text('url')}, {text('targetUrl')}, '') = '' THEN 'missing_url'
         WHEN {text('kind')} = 'web_search' AND coalesce({text('searchQuery')}, '') = '' THEN 'missing_query'
         WHEN {text('kind')} = 'batch' AND {_get(v, 'batchActions')} IS NULL THEN 'missing_batch' END"""
+    b = S.fresh("b")
+    members = f"try_variant_get({v}, '$.batchActions', 'array<variant>')"
+    named = f"""array_distinct(filter(concat(array({text('targetLocalId')}, {text('destinationLocalId')}),
+        coalesce(transform({members}, {b} -> try_variant_get({b}, '$.targetLocalId', 'string')), cast(array() as array<string>))), {b} -> {b} IS NOT NULL))"""
     tagged = actions.withColumn("_v", F.expr(f"try_parse_json(`{col}`)")).withColumn(
-        "_r", F.expr(f"coalesce({reason_sql(v, ACTION)}, {needs})")).withColumn("_t", F.expr(text("targetLocalId"))).drop("_v")
-    known = elements.select(key, F.col("local_id").alias("_t")).distinct().withColumn("_known", F.lit(True))
-    j = tagged.join(known, [key, "_t"], "left").withColumn("reason", F.coalesce(
-        "_r", F.when(F.col("_t").isNotNull() & F.col("_known").isNull(), F.lit("unknown_target")))).select(*actions.columns, "reason")
+        "_r", F.expr(f"coalesce({reason_sql(v, ACTION)}, {needs})")).withColumn("_t", F.expr(named)).drop("_v")
+    # A page has few elements, so they come as one list a page.
+    known = elements.groupBy(key).agg(F.collect_set("local_id").alias("_known"))
+    missing = F.size(F.array_except("_t", F.coalesce("_known", F.array().cast("array<string>")))) > 0
+    j = tagged.join(known, key, "left").withColumn("reason", F.coalesce("_r", F.when(missing, F.lit("unknown_target")))).select(*actions.columns, "reason")
     return j.filter("reason IS NULL").drop("reason"), j.filter("reason IS NOT NULL")
 
 

@@ -78,7 +78,9 @@ def score_detections(dets: DataFrame, gt: DataFrame, pooled: bool = False) -> Da
 
 def _pool(df: DataFrame) -> DataFrame:
     """One page for all, sequence numbers made global by (page, seq) order."""
-    return df.withColumn("seq", F.col("page_order") * 1_000_000 + F.col("seq")).withColumn("page_id", F.lit(0))
+    # 10^18 to a page: no sequence number reaches the next page's.
+    seq = F.col("page_order").cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)") + F.col("seq").cast("decimal(19,0)")
+    return df.withColumn("seq", seq).withColumn("page_id", F.lit(0))
 
 
 def element_metrics(els: DataFrame, gt: DataFrame) -> DataFrame:

@@ -309,6 +309,34 @@ def payload_validation(spark, sf):
     return payloads.tag_payloads(p, "body").groupBy(F.coalesce("reason", F.lit("valid")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("payload_contradictions", """
+SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'elements: contradictory_state' WHEN 1 THEN 'contradictory_manifest' WHEN 2 THEN 'contradictory_manifest' WHEN 3 THEN 'pixels_not_verified' END AS reason FROM orders""")
+def payload_contradictions(spark, sf):
+    """V1: parts that are fine alone and contradict each other."""
+    body = """concat('{"protocolVersion":"1.0","runId":"r', cast(o_orderkey as string), '","goal":"g","screenshot":"data:image/png;base64,AAAA","pageState":{"title":"T","viewport":[1280,720]},
+      "elements":[{"localId":"el_1","role":"button","state":["visible","enabled"', CASE WHEN o_orderkey % 6 = 0 THEN ',"disabled"' ELSE '' END, ']}],"redactionManifest":{"manifestVersion":"1.0","totalRegions":',
+      cast(o_orderkey % 5 + 1 as string), ',"categoryCounts":{"face":1,"other":7,"piiText":', cast(o_orderkey % 5 + CASE WHEN o_orderkey % 6 = 1 THEN 1 ELSE 0 END as string),
+      '},"methodCounts":{"spatialBlur":', cast(o_orderkey % 5 + 1 as string), CASE WHEN o_orderkey % 6 = 2 THEN ',"opaqueBox":2' ELSE '' END, '},"pixelVerificationPerformed":true,"pixelVerificationPassed":',
+      CASE WHEN o_orderkey % 6 = 3 THEN 'false' ELSE 'true' END, '}}')"""
+    p = table(spark, sf, "orders", heavy=True).selectExpr("o_orderkey", f"{body} AS body")
+    return payloads.tag_payloads(p, "body").select("o_orderkey", "reason")
+
+
+@query("batch_actions", """
+SELECT o_orderkey AS page_id, CASE o_orderkey % 8 WHEN 0 THEN 'batchActions: invalid_kind' WHEN 1 THEN 'unknown_target' WHEN 2 THEN 'batchActions: missing_text' WHEN 3 THEN 'batchActions: missing_target'
+  WHEN 4 THEN 'batchActions: unknown_property' WHEN 5 THEN 'unknown_target' END AS reason FROM orders""")
+def batch_actions(spark, sf):
+    """V4: the members of a batch obey the same rules as single actions, and so do destinations."""
+    member = """concat('{"actionId":"s","kind":"', CASE o_orderkey % 8 WHEN 0 THEN 'nonsense' WHEN 2 THEN 'type' ELSE 'click' END, '"',
+      CASE WHEN o_orderkey % 8 = 3 THEN '' WHEN o_orderkey % 8 = 1 THEN ',"targetLocalId":"el_404"' ELSE ',"targetLocalId":"el_2"' END, CASE WHEN o_orderkey % 8 = 4 THEN ',"tabId":1' ELSE '' END, '}')"""
+    body = f"""concat('{{"actionId":"a","kind":"', CASE WHEN o_orderkey % 8 = 5 THEN 'drag_and_drop' ELSE 'batch' END, '","confidence":1,"risk":"safe","rationale":"r","targetLocalId":"el_1","destinationLocalId":"',
+      CASE WHEN o_orderkey % 8 = 5 THEN 'el_9' ELSE 'el_2' END, '","batchActions":[{{"actionId":"f","kind":"wait"}},', {member}, ']}}')"""
+    o = table(spark, sf, "orders", heavy=True)
+    elements = o.selectExpr("o_orderkey AS page_id", "explode(array('el_1', 'el_2')) AS local_id")
+    valid, rejects = payloads.validate_actions(o.selectExpr("o_orderkey AS page_id", f"{body} AS proposal"), elements)
+    return valid.select("page_id", F.lit(None).cast("string").alias("reason")).unionByName(rejects.select("page_id", "reason"))
+
+
 @query("task_requests", """
 SELECT CASE o_orderkey % 4 WHEN 0 THEN 'invalid_max_parallel' WHEN 1 THEN 'invalid_goal' ELSE 'valid' END AS reason, count(*) AS n FROM orders GROUP BY 1""")
 def task_requests(spark, sf):
