@@ -72,3 +72,20 @@ def test_registry_is_complete():
 
     queries, oracles = all_queries()
     assert set(oracles) <= set(queries) and len(queries) > 130
+
+
+def test_every_record_of_a_long_page(spark):
+    from veil.operators import html
+
+    rows = "".join(f"<tr><td>{i}</td><td>v{i}</td></tr>" for i in range(150))
+    cards = "".join(f'<div class="card"><h3>T{i}</h3><p>Some words {i}</p></div>' for i in range(150))
+    heads = "".join(f"<h2>H{i}</h2><p>text</p>" for i in range(150))
+    long = "x" * 400
+    made = [(1, f"<table><tr><th>a</th><th>b</th></tr>{rows}</table>"), (2, f"<div>{cards}</div>"), (3, heads), (4, f'<div role="status">{long}</div>')]
+    pages = spark.createDataFrame([(i, "", f"<html><body>{h}</body></html>") for i, h in made], "page_id int, url string, html string")
+    counts = {r["page_id"]: r["count"] for r in html.extract_records(pages).groupBy("page_id").count().collect()}
+    assert counts[1] == 150 and counts[2] == 150 and counts[3] == 150
+    assert html.extract_tables(pages, limit=120).where("page_id = 1").count() == 120
+    assert [len(r["text"]) for r in html.status_lines(pages).collect()] == [150]
+    assert [len(r["text"]) for r in html.status_lines(pages, cuts=html.ALL).collect()] == [400]
+    assert html.page_specs(pages, cuts=html.ALL).where("page_id = 3").count() == 140  # a heading has three characters at least

@@ -7,6 +7,7 @@ regular expressions. Anything that needs nesting works on the node table of
 
 from __future__ import annotations
 
+from dataclasses import dataclass, fields
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -217,12 +218,13 @@ def closest(pred) -> Column:
     return F.exists("anc", pred)
 
 
-def element_context(nodes: DataFrame) -> DataFrame:
+def element_context(nodes: DataFrame, cuts: Cuts | None = None) -> DataFrame:
     """Interactive nodes with container text, nearest heading, dialog and breadcrumb flags.
 
     The nearest heading is the first heading inside the closest sectioning element; container and
     heading text are looked up by node id, so only page-keyed equi-joins are needed.
     """
+    cuts = cuts or PUBLISHED
     interactive = nodes.filter(F.col("tag").isin("a", "button", "input", "select", "textarea")
                                | F.col("role").isin("button", "link", "tab", "menuitem"))
     boxes = ("tr", "li", "td")
@@ -246,12 +248,12 @@ def element_context(nodes: DataFrame) -> DataFrame:
         F.min_by("_h", "node_id").alias("_h"))
     texts = nodes.select("page_id", F.col("node_id").alias("_box"), F.col("text").alias("_t"))
     joined = base.join(texts, ["page_id", "_box"], "left").join(first_head, ["page_id", "_sec"], "left")
-    context = F.substring(squash_ws(F.replace(F.coalesce("_t", F.lit("")), F.when(
-        F.col("name") == "", F.lit("\u0000")).otherwise(F.col("name")), F.lit(""))), 1, 180)
+    context = _head(squash_ws(F.replace(F.coalesce("_t", F.lit("")), F.when(
+        F.col("name") == "", F.lit("\u0000")).otherwise(F.col("name")), F.lit(""))), cuts.context_chars)
     return joined.select(
         "page_id", "node_id", "tag", "name",
         first_filled(context, F.when(F.col("is_breadcrumb"), F.lit("breadcrumb"))).alias("container"),
-        F.when((F.col("_h") != "") & (F.length("_h") < 80), F.col("_h")).alias("heading"),
+        F.when((F.col("_h") != "") & _below(F.col("_h"), cuts.heading_below), F.col("_h")).alias("heading"),
         "in_dialog", "is_breadcrumb")
 
 
@@ -261,11 +263,51 @@ def clean_cell(text: Column) -> Column:
     return squash_ws(F.coalesce(text, F.lit("")))
 
 
-def _limit(limit: int) -> int:
-    return max(1, min(100, limit))
+@dataclass(frozen=True)
+class Cuts:
+    """How much of a page a summary takes. These are the published numbers; None switches a cut off (``ALL`` has none).
+
+    ``*_chars`` cut a text, ``*_below`` leave out texts of that length or more, the others are counts.
+    """
+
+    context_chars: int | None = 180
+    heading_below: int | None = 80
+    counter_below: int | None = 100
+    counter_chars: int | None = 60
+    counters: int | None = 20
+    spec_heading_below: int | None = 120
+    columns: int | None = 6
+    spec_rows: int | None = 8
+    key_below: int | None = 50
+    value_below: int | None = 150
+    list_pairs: int | None = 6
+    list_chars: int | None = 120
+    posts: int | None = 8
+    author_chars: int | None = 100
+    post_chars: int | None = 320
+    comment_chars: int | None = 180
+    status_chars: int | None = 150
+    dialog_chars: int | None = 100
+    summary_lines: int | None = 45
+
+
+PUBLISHED = Cuts()
+ALL = Cuts(*[None] * len(fields(Cuts)))
+
+
+def _head(text: Column, chars: int | None) -> Column:
+    return text if chars is None else F.substring(text, 1, chars)
+
+
+def _below(text: Column, most: int | None) -> Column:
+    return F.lit(True) if most is None else F.length(text) < most
+
+
+def _within(count: Column, most: int | None) -> Column:
+    return F.lit(True) if most is None else count <= most
 
 
-def extract_tables(pages: DataFrame, schema: dict | None = None, limit: int = 50) -> DataFrame:
+def extract_tables(pages: DataFrame, schema: dict | None = None, limit: int | None = None) -> DataFrame:
     """``page_id, row, record``: the table with most rows (at least two), one map per body row."""
     nodes = parse_nodes(pages, text_tags=("th", "td", "a"), keep_tags=("table", "tr", "th", "td", "a"))
     table_id = F.try_element_at(F.transform(F.filter("anc", lambda a: a["tag"] == "table"), lambda a: a["id"]), F.lit(-1))
@@ -309,7 +351,7 @@ def extract_tables(pages: DataFrame, schema: dict | None = None, limit: int = 50
             F.struct(F.concat(e["k"], F.lit("_url")).alias("key"), e["href"].alias("value"))))))
     records = records.withColumn("record", last_wins(pairs))
     numbered = F.row_number().over(Window.partitionBy("page_id").orderBy("row_id"))
-    return records.withColumn("row", numbered).filter(F.col("row") <= _limit(limit)).select("page_id", "row", "record")
+    return records.withColumn("row", numbered).filter(_within(F.col("row"), limit)).select("page_id", "row", "record")
 
 
 def last_wins(pairs: Column) -> Column:
@@ -381,7 +423,7 @@ def _card_parts(nodes: DataFrame) -> DataFrame:
         "card_id IS NOT NULL").withColumn("is_self", F.col("node_id") == F.col("card_id"))
 
 
-def extract_cards(pages: DataFrame, schema: dict | None = None, limit: int = 50) -> DataFrame:
+def extract_cards(pages: DataFrame, schema: dict | None = None, limit: int | None = None) -> DataFrame:
     """``page_id, row, record``: title, url, description, tag and price of each repeated card."""
     parts = _card_parts(parse_nodes(pages))
     cls, inner = F.col("cls"), ~F.col("is_self")
@@ -396,7 +438,7 @@ def extract_cards(pages: DataFrame, schema: dict | None = None, limit: int = 50)
 
     def numbered(found: DataFrame) -> DataFrame:
         pos = F.row_number().over(Window.partitionBy("page_id").orderBy("card_id"))
-        return found.withColumn("pos", pos).filter(F.col("pos") <= _limit(limit))
+        return found.withColumn("pos", pos).filter(_within(F.col("pos"), limit))
 
     about = [own(F.col("tag")).alias("_tag"), own(F.coalesce("text", F.lit(""))).alias("_all"),
              own(F.col("attrs")["href"]).alias("_own_href")]
@@ -497,7 +539,7 @@ def extract_kv(pages: DataFrame) -> DataFrame:
                       record.alias("record"))
 
 
-def extract_sections(pages: DataFrame, limit: int = 50) -> DataFrame:
+def extract_sections(pages: DataFrame, limit: int | None = None) -> DataFrame:
     """``page_id, section, detail``: headings with the paragraph that directly follows."""
     tags = ("h1", "h2", "h3", "h4")
     nodes = parse_nodes(pages, text_tags=(*tags, "p"))
@@ -506,13 +548,13 @@ def extract_sections(pages: DataFrame, limit: int = 50) -> DataFrame:
         "page_id", "node_id", "parent_id", "tag", "text", F.lead("tag").over(w).alias("_nt"),
         F.lead("text").over(w).alias("_np")).filter(F.col("tag").isin(*tags))
     sib = sib.withColumn("pos", F.row_number().over(Window.partitionBy("page_id").orderBy("node_id"))).filter(
-        F.col("pos") <= _limit(limit))
+        _within(F.col("pos"), limit))
     out = sib.select("page_id", "pos", clean_cell(F.col("text")).alias("section"), F.when(
         F.col("_nt") == "p", clean_cell(F.col("_np"))).otherwise(F.lit("")).alias("detail")).filter("section <> ''")
     return out.withColumn("section", masked_col("section")).withColumn("detail", masked_col("detail"))
 
 
-def extract_records(pages: DataFrame, schema: dict | None = None, limit: int = 50) -> DataFrame:
+def extract_records(pages: DataFrame, schema: dict | None = None, limit: int | None = None) -> DataFrame:
     """``page_id, strategy, row, record``: tables, else cards, else key/values, else sections."""
     sections = extract_sections(pages, limit).select("page_id", F.col("pos").alias("row"), F.create_map(
         F.lit("section"), F.col("section"), F.lit("detail"), F.col("detail")).alias("record"))
@@ -597,8 +639,8 @@ def next_page(pages: DataFrame) -> DataFrame:
 _HEADS = ("h1", "h2", "h3", "h4")
 
 
-def counters(pages: DataFrame, nodes: DataFrame | None = None, keep: int = 20) -> DataFrame:
-    """``page_id, pos, label, value`` of short texts with a number, first twenty."""
+def counters(pages: DataFrame, nodes: DataFrame | None = None, cuts: Cuts = PUBLISHED) -> DataFrame:
+    """``page_id, pos, label, value`` of short texts with a number."""
     nodes = parse_nodes(pages) if nodes is None else nodes
     low = F.col("cls")
     marked = _has_class(low, "counter", "count") | any_contains(low, ("stat", "metric", "badge")) | F.col(
@@ -606,27 +648,27 @@ def counters(pages: DataFrame, nodes: DataFrame | None = None, keep: int = 20) -
     text = squash_ws(F.coalesce("text", F.lit("")))
     number = first_match(text, r"(?<![A-Za-z0-9_])\d(?:[\d,.]*\d)?(?![A-Za-z0-9_])")
     found = nodes.filter(marked).select("page_id", "node_id", text.alias("t"), number.alias("value")).filter(
-        (F.col("value").isNotNull()) & (F.length("t") < 100))
-    label = F.substring(first_filled(F.trim(F.regexp_replace(F.col("t"), F.concat(
-        F.lit("^(.*?)"), F.lit("\\Q"), F.col("value"), F.lit("\\E")), "$1")), F.lit("Counter")), 1, 60)
+        (F.col("value").isNotNull()) & _below(F.col("t"), cuts.counter_below))
+    label = _head(first_filled(F.trim(F.regexp_replace(F.col("t"), F.concat(
+        F.lit("^(.*?)"), F.lit("\\Q"), F.col("value"), F.lit("\\E")), "$1")), F.lit("Counter")), cuts.counter_chars)
     return found.withColumn("pos", F.row_number().over(Window.partitionBy("page_id").orderBy("node_id"))).filter(
-        F.col("pos") <= keep).select("page_id", "pos", label.alias("label"), "value")
+        _within(F.col("pos"), cuts.counters)).select("page_id", "pos", label.alias("label"), "value")
 
 
-def page_specs(pages: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+def page_specs(pages: DataFrame, nodes: DataFrame | None = None, cuts: Cuts = PUBLISHED) -> DataFrame:
     """Headings, table shapes, two-column rows and ``dl`` pairs as ``page_id, node_id, kind, key, value``."""
     nodes = parse_nodes(pages, text_tags=(*_HEADS, "th", "td", "dt", "dd")) if nodes is None else nodes
     text = squash_ws(F.coalesce("text", F.lit("")))
     heads = nodes.filter(F.col("tag").isin(*_HEADS)).select(
         "page_id", "node_id", F.lit("heading").alias("kind"), F.lit(None).cast("string").alias("key"),
-        text.alias("value")).filter((F.length("value") > 2) & (F.length("value") < 120))
+        text.alias("value")).filter((F.length("value") > 2) & _below(F.col("value"), cuts.spec_heading_below))
     of_table = F.transform(F.filter("anc", lambda a: a["tag"] == "table"), lambda a: a["id"])
     rows = nodes.filter("tag = 'tr'").select("page_id", "node_id", F.explode(of_table).alias("tbl"))
     rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("page_id", "tbl").orderBy("node_id")))
     ths = nodes.filter("tag = 'th'").select("page_id", "node_id", trim_ws(F.coalesce("text", F.lit(""))).alias("t"),
                                             F.explode(of_table).alias("tbl")).filter("t <> ''")
-    names = ths.groupBy("page_id", "tbl").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct(
-        "node_id", "t"))), lambda x: x["t"]), 1, 6).alias("cols"))
+    cols = F.transform(F.array_sort(F.collect_list(F.struct("node_id", "t"))), lambda x: x["t"])
+    names = ths.groupBy("page_id", "tbl").agg((cols if cuts.columns is None else F.slice(cols, 1, cuts.columns)).alias("cols"))
     order = nodes.filter("tag = 'table'").select("page_id", F.col("node_id").alias("tbl"), F.row_number().over(
         Window.partitionBy("page_id").orderBy("node_id")).alias("k"))
     shape = order.join(rows.groupBy("page_id", "tbl").agg(F.count(F.lit(1)).alias("n")), ["page_id", "tbl"], "left"
@@ -637,21 +679,21 @@ def page_specs(pages: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     of_row = F.try_element_at(F.transform(F.filter("anc", lambda a: a["tag"] == "tr"), lambda a: a["id"]), F.lit(-1))
     cells = nodes.filter("tag IN ('th', 'td')").select("page_id", "node_id", of_row.alias("row_id"), text.alias("t"))
     pairs = cells.groupBy("page_id", "row_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "t"))).alias("c"))
-    two = pairs.filter(F.size("c") == 2).join(rows.filter("r <= 8").select(
+    two = pairs.filter(F.size("c") == 2).join(rows.filter(_within(F.col("r"), cuts.spec_rows)).select(
         "page_id", F.col("node_id").alias("row_id"), "tbl"), ["page_id", "row_id"]).select(
         "page_id", F.col("row_id").alias("node_id"), F.lit("spec").alias("kind"),
         F.col("c")[0]["t"].alias("key"), F.col("c")[1]["t"].alias("value")).filter(
-        (F.length("key") > 1) & (F.length("key") < 50) & (F.col("value") != "") & (F.length("value") < 150))
+        (F.length("key") > 1) & _below(F.col("key"), cuts.key_below) & (F.col("value") != "") & _below(F.col("value"), cuts.value_below))
     of_dl = F.transform(F.filter("anc", lambda a: a["tag"] == "dl"), lambda a: a["id"])
     items = nodes.filter("tag IN ('dt', 'dd')").select("page_id", "node_id", "tag", text.alias("t"),
                                                        F.explode(of_dl).alias("dl"))
     items = items.withColumn("i", F.row_number().over(
-        Window.partitionBy("page_id", "dl", "tag").orderBy("node_id"))).filter("i <= 6")
+        Window.partitionBy("page_id", "dl", "tag").orderBy("node_id"))).filter(_within(F.col("i"), cuts.list_pairs))
     dls = items.groupBy("page_id", "dl", "i").agg(
         F.max(F.when(F.col("tag") == "dt", F.col("node_id"))).alias("node_id"),
         F.max(F.when(F.col("tag") == "dt", F.col("t"))).alias("key"),
-        F.substring(F.max(F.when(F.col("tag") == "dd", F.col("t"))), 1, 120).alias("value")).filter(
-        "key <> '' AND value <> '' AND length(key) < 50").select(
+        _head(F.max(F.when(F.col("tag") == "dd", F.col("t"))), cuts.list_chars).alias("value")).filter(
+        (F.col("key") != "") & (F.col("value") != "") & _below(F.col("key"), cuts.key_below)).select(
         "page_id", "node_id", F.lit("spec").alias("kind"), "key", "value")
     return reduce(DataFrame.unionByName, [heads, shape, two, dls])
 
@@ -663,8 +705,8 @@ def document_links(pages: DataFrame) -> DataFrame:
         "page_id", "pos", first_filled(F.col("text"), F.col("aria_label"), file).alias("text"), file.alias("file"))
 
 
-def posts(pages: DataFrame, nodes: DataFrame | None = None, keep: int = 8) -> DataFrame:
-    """Posts (first eight with a body) and comments, with author and body."""
+def posts(pages: DataFrame, nodes: DataFrame | None = None, cuts: Cuts = PUBLISHED) -> DataFrame:
+    """Posts with a body and comments, with author and body."""
     nodes = parse_nodes(pages) if nodes is None else nodes
     low = F.lower("cls")
     testid = F.coalesce(F.col("attrs")["data-testid"], F.lit(""))
@@ -688,19 +730,19 @@ def posts(pages: DataFrame, nodes: DataFrame | None = None, keep: int = 8) -> Da
     found = inner.groupBy("page_id", "hid", "kind").agg(first(author).alias("author"), first(body).alias("body"))
     shaped = found.select(
         "page_id", F.col("hid").alias("node_id"), "kind",
-        F.when(F.col("kind") == "post", F.substring(F.replace(F.coalesce("author", F.lit("")), F.lit(":"), F.lit(" ")), 1, 100)
+        F.when(F.col("kind") == "post", _head(F.replace(F.coalesce("author", F.lit("")), F.lit(":"), F.lit(" ")), cuts.author_chars)
                ).otherwise(F.coalesce("author", F.lit(""))).alias("author"),
-        F.substring("body", 1, F.when(F.col("kind") == "post", 320).otherwise(180)).alias("body")).filter("body <> ''")
+        F.when(F.col("kind") == "post", _head(F.col("body"), cuts.post_chars)).otherwise(_head(F.col("body"), cuts.comment_chars)).alias("body")).filter("body <> ''")
     r = F.row_number().over(Window.partitionBy("page_id", "kind").orderBy("node_id"))
-    return shaped.withColumn("pos", r).filter((F.col("kind") == "comment") | (F.col("pos") <= keep))
+    return shaped.withColumn("pos", r).filter((F.col("kind") == "comment") | _within(F.col("pos"), cuts.posts))
 
 
-def status_lines(pages: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """Status, alert and badge texts (150 characters), dialog titles (100 characters)."""
+def status_lines(pages: DataFrame, nodes: DataFrame | None = None, cuts: Cuts = PUBLISHED) -> DataFrame:
+    """Status, alert and badge texts, dialog titles."""
     nodes = parse_nodes(pages) if nodes is None else nodes
     text = trim_ws(F.coalesce("text", F.lit("")))
     status = nodes.filter(F.col("role").isin("status", "alert") | _has_class(F.col("cls"), "badge")).select(
-        "page_id", "node_id", F.lit("status").alias("kind"), F.substring(text, 1, 150).alias("text"))
+        "page_id", "node_id", F.lit("status").alias("kind"), _head(text, cuts.status_chars).alias("text"))
     low = F.lower("cls")
     is_dialog = ((F.col("tag") == "dialog") | (F.col("role") == "dialog") | (F.col("attrs")["aria-modal"] == "true")
                  | low.contains("drawer"))
@@ -711,20 +753,20 @@ def status_lines(pages: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     head = titles.groupBy("page_id", "node_id").agg(F.min_by("_t", "_n").alias("_t"))
     named = dialogs.join(head, ["page_id", "node_id"], "left").select(
         "page_id", "node_id", F.lit("dialog").alias("kind"),
-        F.substring(first_filled(F.col("attrs")["aria-label"], F.col("_t")), 1, 100).alias("text"))
+        _head(first_filled(F.col("attrs")["aria-label"], F.col("_t")), cuts.dialog_chars).alias("text"))
     return status.unionByName(named).filter("text <> ''")
 
 
-def page_summary(pages: DataFrame, keep: int = 45) -> DataFrame:
-    """Summary lines per page in emission order, first 45."""
+def page_summary(pages: DataFrame, cuts: Cuts = PUBLISHED) -> DataFrame:
+    """Summary lines per page in emission order."""
     nodes = parse_nodes(pages)
-    specs = page_specs(pages, nodes)
+    specs = page_specs(pages, nodes, cuts)
     order = F.when(F.col("kind") == "heading", 1).when(F.col("kind") == "table", 2).otherwise(3)
     line = (F.when(F.col("kind") == "heading", F.concat(F.lit("Heading: "), F.col("value")))
             .when(F.col("kind") == "table", F.concat(F.lit("Table "), F.col("key"), F.lit(": "), F.col("value")))
             .otherwise(F.concat(F.lit("Spec: "), F.col("key"), F.lit(": "), F.col("value"))))
     a = specs.select("page_id", order.alias("o"), F.col("node_id").alias("p"), line.alias("line"))
-    said = posts(pages, nodes)
+    said = posts(pages, nodes, cuts)
     by = F.when(F.col("author") != "", F.concat(F.lit(" by "), F.col("author"))).otherwise(F.lit(""))
     b = said.select("page_id", F.when(F.col("kind") == "post", 0).otherwise(5).alias("o"), F.col("pos").alias("p"), F.when(
         F.col("kind") == "post", F.concat(F.lit("Visible post "), F.col("pos"), by, F.lit(": "), F.col("body"))
@@ -734,7 +776,7 @@ def page_summary(pages: DataFrame, keep: int = 45) -> DataFrame:
         F.lit('Document: "'), F.col("text"), F.lit('" ('), F.col("file"), F.lit(")")).alias("line"))
     every = a.unionByName(b).unionByName(c)
     ranked = every.withColumn("r", F.row_number().over(Window.partitionBy("page_id").orderBy("o", "p", "line"))).filter(
-        F.col("r") <= keep)
+        _within(F.col("r"), cuts.summary_lines))
     return ranked.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "line"))),
                                                      lambda x: x["line"]).alias("lines"))
 
