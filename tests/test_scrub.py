@@ -69,3 +69,18 @@ def test_scrub_is_idempotent(spark):
     once = scrub.scrub_free_text(df, "t", "a")
     twice = scrub.scrub_free_text(once, "a", "b")
     assert twice.filter(F.col("a") != F.col("b")).count() == 0
+
+
+def test_urls_nested_one_to_six_levels_deep(spark):
+    from urllib.parse import quote
+
+    deep, want, rows = "https://c0.example.com/reset/abcdefgh12?session=1&q=ok", "https://c0.example.com/reset/[REDACTED_TOKEN]?session=[REDACTED_TOKEN]&q=ok", []
+    for level in range(1, 7):
+        deep = f"https://c{level}.example.com/docs/page?next={quote(deep, safe='')}&view=a&mail=x%40y.org#top"
+        want = f"https://c{level}.example.com/docs/page?next={want}&view=a&mail=[REDACTED_EMAIL]#top"
+        rows.append((level, deep, want))
+    both = "https://a.example.com/?x=" + quote("https://b.example.com/?y=" + quote("http://bad host/?k=1", safe=""), safe="") + "&z=" + quote("http://c.example.com/?w=1", safe="")
+    rows.append((7, both, "https://a.example.com/?x=https://b.example.com/?y=http://bad host/?k=1&z=http://c.example.com/?w=1"))
+    out = {r["i"]: (r["url_clean"], r["want"]) for r in scrub.sanitize_urls(spark.createDataFrame(rows, "i int, u string, want string"), "u").collect()}
+    for got, expected in out.values():
+        assert got == expected

@@ -74,8 +74,7 @@ def _clean_part(p: str) -> str:
     """One URL part -> its outgoing text. ``p`` is a struct of owner, place, kind, prev, key, value.
 
     A query value that is itself a URL is not decided here: its own parts are in the
-    same array and :func:`clean_url` puts it together. A URL nested inside a nested one
-    is dropped as a token.
+    same array and :func:`clean_url` puts it together.
     """
     value, key, kind, prev = f"{p}.value", f"{p}.key", f"{p}.kind", f"{p}.prev"
     token, email = S.text(TOKEN), S.text(EMAIL_MARK)
@@ -98,7 +97,6 @@ def _clean_part(p: str) -> str:
                 otherwise=pii)
             personal = f"CASE WHEN {S.rlike(d, EMAIL)} OR {has_at} THEN {email} ELSE {s}.masked END"
             pair = S.case(
-                (S.rlike(d, HTTP), token),
                 (f"{canary} OR {S.rlike(key, SECRET_PARAM)}", token),
                 (S.rlike(key, PERSONAL_PARAM), personal),
                 (f"{email_like} OR ({has_at} AND contains({d}, '.'))", masked_email),
@@ -131,7 +129,6 @@ def _clean_part(p: str) -> str:
 
 END = r"\z"
 _NO_PARTS = "cast(array() as array<struct<place:string,kind:string,prev:string,key:string,value:string>>)"
-_OUTER = -1
 
 
 def _part(place: str, kind: str, prev: str, key: str, value: str) -> str:
@@ -215,36 +212,67 @@ def _is_nested(p: str) -> str:
     return f"({p}.kind = 'pair' AND {S.rlike(_decode(p + '.value'), HTTP)})"
 
 
+def _parts_of(u: str, raw: str) -> str:
+    """Parts of a URL; what cannot be parsed is one ``broken`` part."""
+    return f"CASE WHEN {u}.ok THEN {_all_parts(u)} ELSE array({_part('whole', 'broken', chr(39) * 2, chr(39) * 2, raw)}) END"
+
+
+def _joined_url(url: str, number: str, parts: str, outs: str) -> str:
+    """URL ``number`` put together from the cleaned parts it owns."""
+    p, o, z = S.fresh("p"), S.fresh("o"), S.fresh("z")
+    own = (f"filter(zip_with({parts}, {outs}, ({p}, {o}) -> named_struct('owner', {p}.owner, 'place', {p}.place, 'out', {o})), "
+           f"{z} -> {z}.owner = {number})")
+    return S.let(own, lambda mine: f"CASE WHEN {url}.u.ok THEN {_reassemble(url + '.u', mine)} ELSE left(get({mine}, 0).out, {MAX_URL}) END")
+
+
+def _nested_urls(t: str, first: str) -> str:
+    """All URLs inside URL ``t`` and all their parts: ``struct<urls, parts, since>``, level by level.
+
+    A URL in a query value needs an equals sign, plain or encoded however often, so their number bounds the levels; a
+    level without a URL adds nothing.
+    """
+    p, i, j, k, m, step = (S.fresh(n) for n in ("p", "i", "j", "k", "m", "step"))
+
+    def grown(acc):
+        found = f"filter(transform({acc}.parts, ({p}, {i}) -> CASE WHEN {i} >= {acc}.since AND {_is_nested(p)} THEN {i} END), {j} -> {j} IS NOT NULL)"
+
+        def with_found(at):
+            raw = _decode(f"get({acc}.parts, {k}).value")
+            urls = S.let(raw, lambda r: f"named_struct('parent', {k}, 'raw', {r}, 'u', {_parsed(r)})")
+            return S.let(f"transform({at}, {k} -> {urls})", lambda more: (
+                f"named_struct('urls', concat({acc}.urls, {more}), 'parts', concat({acc}.parts, flatten(transform({more}, ({m}, {i}) -> "
+                + _owned(_parts_of(f"{m}.u", f"{m}.raw"), f"size({acc}.urls) + {i}") + f"))), 'since', size({acc}.parts))"))
+
+        return S.let(found, with_found)
+
+    start = S.let(_owned(_parts_of(first, t), "0"), lambda parts: (
+        f"named_struct('urls', array(named_struct('parent', -1, 'raw', {t}, 'u', {first})), 'parts', {parts}, 'since', 0)"))
+    acc = S.fresh("acc")
+    levels = f"size(regexp_extract_all({t}, '=|3[dD]', 0))"
+    steps = f"CASE WHEN {levels} > 0 AND rlike(substring({t}, 2), '(?i)http|%') THEN sequence(1, {levels}) ELSE cast(array() as array<int>) END"
+    return f"aggregate({steps}, {start}, ({acc}, {step}) -> CASE WHEN {acc}.since = size({acc}.parts) THEN {acc} ELSE {grown(acc)} END)"
+
+
 def clean_url(value: str) -> str:
-    """Outgoing form of a URL; NULL and blank become ''. URLs in query values are cleaned the same way."""
+    """Outgoing form of a URL; NULL and blank become ''. URLs in query values are cleaned the same way, however deep."""
     def body(t):
-        def assemble(u):
-            broken = f"array({_part('whole', 'broken', chr(39) * 2, chr(39) * 2, t)})"
-            outer = f"CASE WHEN {u}.ok THEN {_all_parts(u)} ELSE {broken} END"
-            return S.let(outer, lambda parts: with_parts(u, parts))
-
-        def with_parts(u, parts):
-            p, i, c, f = S.fresh("p"), S.fresh("i"), S.fresh("c"), S.fresh("f")
-            inner = S.let(_parsed(_decode(f"{p}.value")), lambda n: (
-                f"CASE WHEN {n}.ok THEN {_owned(_all_parts(n), i)} ELSE {_owned(_NO_PARTS, i)} END"))
-            nested = (f"flatten(transform({parts}, ({p}, {i}) -> CASE WHEN {_is_nested(p)} THEN {inner} "
-                      f"ELSE {_owned(_NO_PARTS, i)} END))")
-            cleaned = (f"transform(concat({_owned(parts, _OUTER)}, {nested}), {c} -> named_struct("
-                       f"'owner', {c}.owner, 'place', {c}.place, 'out', {_clean_part(c)}))")
-            return S.let(cleaned, lambda done: finish(u, parts, done, f))
-
-        def finish(u, parts, done, f):
-            p, i, o = S.fresh("p"), S.fresh("i"), S.fresh("o")
-            own = f"filter({done}, {o} -> {o}.owner = {i})"
-            rebuilt = S.let(_parsed(_decode(f"{p}.value")), lambda n: S.let(own, lambda mine: (
-                f"concat({p}.key, '=', CASE WHEN {n}.ok THEN {_reassemble(n, mine)} ELSE '{TOKEN}' END)")))
-            outs = (f"transform({parts}, ({p}, {i}) -> named_struct('place', {p}.place, 'out', "
-                    f"CASE WHEN {_is_nested(p)} THEN {rebuilt} ELSE get({done}, {i}).out END))")
-            return S.let(outs, lambda c: (
-                f"CASE WHEN {u}.ok THEN {_reassemble(u, c)} ELSE left(get({c}, 0).out, {MAX_URL}) END"))
+        def with_state(st):
+            c = S.fresh("c")
+            outs = f"transform({st}.parts, {c} -> CASE WHEN {_is_nested(c)} THEN '' ELSE {_clean_part(c)} END)"
+            return S.let(outs, lambda o: inwards(st, o))
+
+        def inwards(st, outs):
+            # The innermost URLs come last; each is written into the part of its parent before the parent is joined.
+            o, k, x, i = (S.fresh(n) for n in ("o", "k", "x", "i"))
+            inner = _joined_url(f"get({st}.urls, {k})", k, f"{st}.parts", o)
+            numbers = f"CASE WHEN size({st}.urls) > 1 THEN reverse(sequence(1, size({st}.urls) - 1)) ELSE cast(array() as array<int>) END"
+            done = (f"aggregate({numbers}, {outs}, ({o}, {k}) -> transform({o}, ({x}, {i}) -> CASE WHEN {i} = get({st}.urls, {k}).parent "
+                    f"THEN concat(get({st}.parts, {i}).key, '=', {inner}) ELSE {x} END))")
+            return S.let(done, lambda d: _joined_url(f"get({st}.urls, 0)", "0", f"{st}.parts", d))
 
         internal = f"{t} = 'about:blank' OR startswith({t}, 'chrome://newtab')"
-        return S.case((f"{t} = ''", "''"), (internal, t), otherwise=S.let(_parsed(t), assemble))
+        whole = S.let(_parsed(t), lambda u: S.let(_nested_urls(t, u), with_state))
+        return S.case((f"{t} = ''", "''"), (internal, t), otherwise=whole)
 
     return S.let(f"regexp_replace(coalesce({value}, ''), {S.lit(rf'^{R.WS}+|{R.WS}+' + END)}, '')", body)
 
