@@ -236,14 +236,14 @@ def detection_quality(spark, sf):
 
 @query("label_quality", """
 WITH c AS (SELECT quality, sum(CASE WHEN toxic = 0 AND quality = 1 THEN 1 ELSE 0 END)::BIGINT AS tp, sum(CASE WHEN toxic = 0 AND quality = 0 THEN 1 ELSE 0 END)::BIGINT AS fp, sum(CASE WHEN toxic = 1 AND quality = 1 THEN 1 ELSE 0 END)::BIGINT AS fn FROM labels GROUP BY quality),
-t AS (SELECT sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM c)
-SELECT tp, fp, fn, floor(tp * 100.0 / nullif(tp + fn, 0) * 10 + 0.5) / 10 AS recall, floor(tp * 100.0 / nullif(tp + fp, 0) * 10 + 0.5) / 10 AS precision FROM t""")
+t AS (SELECT cast(quality AS VARCHAR) AS category, tp, fp, fn FROM c UNION ALL SELECT NULL, sum(tp)::BIGINT, sum(fp)::BIGINT, sum(fn)::BIGINT FROM c)
+SELECT category, tp, fp, fn, floor(tp * 100.0 / nullif(tp + fn, 0) * 10 + 0.5) / 10 AS recall, floor(tp * 100.0 / nullif(tp + fp, 0) * 10 + 0.5) / 10 AS precision FROM t""")
 def label_quality(spark, sf):
     """A1 on two-class labels: not toxic as the prediction of good quality."""
     c = table(spark, sf, "labels").groupBy(F.col("quality").cast("string").alias("category")).agg(
         F.count_if((F.col("toxic") == 0) & (F.col("quality") == 1)).alias("tp"),
         F.count_if((F.col("toxic") == 0) & (F.col("quality") == 0)).alias("fp"), F.count_if((F.col("toxic") == 1) & (F.col("quality") == 1)).alias("fn"))
-    return quality.pii_metrics(c).filter("category IS NULL").select("tp", "fp", "fn", "recall", "precision")
+    return quality.pii_metrics(c).select("category", "tp", "fp", "fn", "recall", "precision")
 
 
 @query("unmeasured_dropped", f"""WITH b AS ({B}) SELECT category, count(*) AS n FROM b WHERE category NOT IN ('phone') GROUP BY 1""")

@@ -68,13 +68,16 @@ def pii_spans_ordered(spark, sf):
     return detect.order_spans(spans, ["doc_id"]).select("doc_id", F.size("spans").cast("bigint").alias("n_spans"))
 
 
-@query("pii_prefilter_loss", """
-SELECT count(*) AS docs, sum(CASE WHEN regexp_matches(text, '[0-9@+]') THEN 1 ELSE 0 END)::BIGINT AS scanned FROM documents""")
+@query("pii_prefilter_loss", f"""
+SELECT count(*) AS docs, sum(CASE WHEN regexp_matches(text, '[0-9@+]') THEN 1 ELSE 0 END)::BIGINT AS scanned,
+  sum(CASE WHEN regexp_matches(text, '{EMAIL}') THEN 1 ELSE 0 END)::BIGINT AS hit,
+  sum(CASE WHEN regexp_matches(text, '{EMAIL}') AND NOT regexp_matches(text, '[0-9@+]') THEN 1 ELSE 0 END)::BIGINT AS lost FROM documents""")
 def pii_prefilter_loss(spark, sf):
-    """How many texts the cheap pre-filter lets through to the scanner."""
-    docs = table(spark, sf, "documents", heavy=True).select("text")
-    found = detect.scan_pii(docs, "text", [RULES_BY_NAME["email"]], prefilter=True)
-    return found.agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.col("text").rlike("[0-9@+]") & F.col("spans").isNotNull()).alias("scanned"))
+    """How many texts the cheap pre-filter lets through to the scanner, and how many with a span it loses."""
+    docs, rules = table(spark, sf, "documents", heavy=True).select("text"), [RULES_BY_NAME["email"]]
+    both = detect.scan_pii(detect.scan_pii(docs, "text", rules).withColumnRenamed("spans", "plain"), "text", rules, prefilter=True)
+    return both.agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.col("text").rlike("[0-9@+]")).alias("scanned"),
+                    F.count_if(F.size("spans") > 0).alias("hit"), F.count_if(F.size("plain") > F.size("spans")).alias("lost"))
 
 
 @query("luhn_flags", f"""
@@ -148,12 +151,14 @@ def canary_leaks(spark, sf):
 
 @query("residual_scan", """
 SELECT c_custkey AS page_id, CASE WHEN c_custkey % 3 = 0 THEN '[REDACTED_EMAIL] ok' ELSE c_name END AS sanitized_name,
-       CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS residual FROM customer WHERE c_custkey % 10 <> 0""")
+       CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS residual, false AS rejected FROM customer WHERE c_custkey % 10 <> 0
+UNION ALL SELECT c_custkey, NULL, NULL, true FROM customer WHERE c_custkey % 10 = 0""")
 def residual_scan(spark, sf):
     els = table(spark, sf, "customer").selectExpr("c_custkey AS page_id", "0 AS local_id", """CASE WHEN c_custkey % 10 = 0 THEN concat(c_name, ' SECRET_CANARY_Z')
         WHEN c_custkey % 3 = 0 THEN concat('u', cast(c_custkey as string), '@mail.example.com ok') ELSE c_name END AS sanitized_name""")
-    clean, _ = detect.residual_scan(els)
-    return clean.select("page_id", "sanitized_name", "residual")
+    clean, rejects = detect.residual_scan(els)
+    return clean.select("page_id", "sanitized_name", "residual", F.lit(False).alias("rejected")).unionByName(
+        rejects.select("page_id", F.lit(True).alias("rejected")), allowMissingColumns=True)
 
 
 @query("context_spans", """
