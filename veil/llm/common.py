@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from veil.session import checkpoint_dir
 
@@ -28,8 +29,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text`` of ``df``; other columns cannot clash with what an operator adds."""
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    """``doc_id bigint, text`` of ``df``; other columns cannot clash with what an operator adds.
+
+    Columns that already fit stay as they are, without an alias, so that Spark sees two uses of the result as equal and
+    writes an exchange that both need once.
+    """
+    out = df.select(F.col(id_col), F.col(text_col))
+    if out.columns != ["doc_id", "text"]:
+        out = out.toDF("doc_id", "text")
+    return out if out.schema["doc_id"].dataType == LongType() else out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def utf8(col: Column) -> Column:

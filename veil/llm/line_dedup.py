@@ -87,6 +87,6 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             out.append({"n_lines": n, "n_removed": len(gone), "text": None if whole is None else b"\n".join(kept).decode("utf-8", "replace")})
         return pa.array(out, pa.struct([("n_lines", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())]))
 
-    rows = texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("version", F.xxhash64("text"))
+    rows = texts(docs, id_col, text_col).withColumn("version", F.xxhash64("text"))
     joined = rows.join(repeated_runs(rows, run), ["doc_id", "version"], "left")
     return joined.select("doc_id", cut(utf8(F.col("text")), F.col("starts")).alias("c")).select("doc_id", "c.n_lines", "c.n_removed", "c.text")

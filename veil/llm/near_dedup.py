@@ -72,7 +72,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                     "digest_a": digests[:, 0].view(np.int64), "digest_b": digests[:, 1].view(np.int64),
                     "halves": pa.ListArray.from_arrays(np.arange(0, 2 * HALVES * len(ids) + 1, 2 * HALVES, dtype=np.int32), halves.view(np.int64).ravel())})
 
-    return docs.select(F.col("doc_id").cast("long"), utf8(F.col("text"))).mapInArrow(sketch, SKETCH)
+    return docs.select("doc_id", utf8(F.col("text"))).mapInArrow(sketch, SKETCH)
 
 
 def _candidates(reps: DataFrame, percent: int) -> DataFrame:
@@ -171,7 +171,7 @@ def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row; links have 100 * intersection >= ``percent`` * union."""
-    rows = texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = texts(docs, id_col, text_col)
     sketched = written(sketches(rows, width), "sketches")
     known = sketched.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = ["digest_a", "digest_b", "n_shingles"]

@@ -6,14 +6,16 @@ documents times shards; here a document meets only the shards that can hold its
 
 1. Each window selects the least of its ``GRAM``-word grams (grams of short words come last, then a hash decides), so
    equal windows select equal grams. Grams that one document alone selects are done with.
-2. Neighbouring windows of one gram make a piece: ``width - 1`` words more than it has windows. Pieces of repeated
-   grams are reduced to the distinct ones, each with its smallest document, by partial minima before the shuffle.
-3. The pieces of one gram are a reference shard. In ascending order of their documents each streams through the suffix
-   automaton of those before it, and its matching statistics show the windows that a smaller document has; then it
-   is added. Later copies of a whole piece are covered entirely.
-4. The covered windows go back to their documents by joins that Spark can split, and words under them are cut.
+2. Neighbouring windows of one gram make a piece: ``width - 1`` words more than it has windows. The pieces of one repeated
+   gram are a reference shard. In ascending order of their documents each streams through the suffix automaton of those
+   before it, and its matching statistics show the windows that a smaller document has; then it is added. A piece equal
+   to one of a smaller document is covered entirely.
+3. The covered windows go back to their documents, and words under them are cut.
 
-A shard of over ``SHARD_WORDS`` words is continued in a further automaton, through which later pieces stream as well.
+Both shuffles by gram are reduced before: of a gram (or piece) that several documents of one part of a partition share, only the
+first goes to its shard. The others are settled where they are (such a gram is repeated, such a piece covered) and travel under their
+own document's key. So a passage that a third of all documents share brings one row a part to a shard.
+A shard of over ``SHARD_WORDS`` distinct words is continued in a further automaton, through which later pieces stream as well.
 
 Null text has no words. Rows without an id lose nothing and are no source. Rows that share an id do not remove each
 other's words; each of them is judged by its own text.
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veil.llm.common import texts, utf8, written
+from veil.llm.common import texts, utf8
 from veil.llm.shingles import windows, words_of
 from veil.llm.suffix_automaton import SuffixAutomaton
 
@@ -72,25 +74,60 @@ def _parts(sizes: list[int]):
         at = end
 
 
-def _selected(rows: DataFrame, width: int) -> DataFrame:
+def _spread(by: str):
+    """Settled rows go by their document, the others to the shard of their gram."""
+    return F.when(F.col("known"), F.xxhash64("doc_id")).otherwise(F.col(by))
+
+
+def _repeated_grams(rows: DataFrame, width: int) -> DataFrame:
+    """``doc_id, grams``: the selected grams of a document that others select, too (some more than once)."""
+
     def select(batches):
         for batch in batches:
             ids, values = batch.column(0).to_numpy(zero_copy_only=False), [v or b"" for v in batch.column(1).to_pylist()]
             for a, b in _parts(list(map(len, values))):
                 doc, _, _, grams, _, _ = _pieces(values[a:b], width)
-                pair = np.unique(np.stack((doc.astype(np.uint64), grams)), axis=1) if len(doc) else np.zeros((2, 0), dtype=np.uint64)
-                yield pa.RecordBatch.from_pydict({"gram": pa.array(pair[1].view(np.int64)), "doc_id": pa.array(ids[a:b][pair[0].astype(np.int64)], pa.int64())})
+                order = np.lexsort((doc, grams))
+                grams, doc = grams[order], doc[order]
+                new = np.ones(len(doc), dtype=bool)
+                new[1:] = (grams[1:] != grams[:-1]) | (doc[1:] != doc[:-1])
+                grams, own = grams[new], ids[a:b][doc[new]]
+                first = np.ones(len(grams), dtype=bool)
+                first[1:] = grams[1:] != grams[:-1]
+                group = np.cumsum(first) - 1
+                shared = np.bincount(group, minlength=1)[group] > 1 if len(group) else first
+                yield pa.RecordBatch.from_pydict({
+                    "gram": pa.array(np.concatenate((grams[first], grams[shared])).view(np.int64)),
+                    "doc_id": pa.array(np.concatenate((own[first], own[shared])).astype(np.int64)),
+                    "known": pa.array(np.concatenate((np.zeros(int(first.sum()), dtype=bool), np.ones(int(shared.sum()), dtype=bool))))})
 
-    return rows.select("doc_id", utf8(F.col("text"))).mapInArrow(select, "gram bigint, doc_id bigint")
+    def repeated(batches):
+        # The last row of a batch waits for the next one; ``met``: whether it equals the row before it.
+        gram, doc, met = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), False
+        for batch in batches:
+            grams, ids, known = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            known = known.astype(bool)
+            g, d = np.concatenate((gram, grams[~known])), np.concatenate((doc, ids[~known]))
+            same = g[1:] == g[:-1]
+            hit = np.append(same, False)
+            hit[1:] |= same
+            if len(hit):
+                hit[0] |= met and len(gram) > 0
+                gram, doc, met = g[-1:], d[-1:], bool(hit[-1])
+                hit[-1] = False
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(np.concatenate((d[hit], ids[known]))), "gram": pa.array(np.concatenate((g[hit], grams[known])))})
+        if met:
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc), "gram": pa.array(gram)})
 
+    selected = rows.select("doc_id", utf8(F.col("text"))).mapInArrow(select, "gram bigint, doc_id bigint, known boolean")
+    shards = selected.repartition(_spread("gram")).sortWithinPartitions("known", "gram")
+    return shards.mapInArrow(repeated, "doc_id bigint, gram bigint").groupBy("doc_id").agg(F.collect_list("gram").alias("grams"))
 
-PIECES = "gram bigint, doc_id bigint, version bigint, start int, n int, words binary"
 
+PIECES = "gram bigint, doc_id bigint, version bigint, start int, n int, words binary, known boolean"
 
-def _repeated_pieces(rows: DataFrame, selected: DataFrame, width: int) -> DataFrame:
-    met = selected.groupBy("gram").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("gram")
-    wanted = selected.join(met, "gram").groupBy("doc_id").agg(F.collect_list("gram").alias("grams"))
 
+def _repeated_pieces(rows: DataFrame, width: int) -> DataFrame:
     def cut(batches):
         for batch in batches:
             ids, versions = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -99,85 +136,83 @@ def _repeated_pieces(rows: DataFrame, selected: DataFrame, width: int) -> DataFr
                 doc, start, n, gram, begin, end = _pieces(values[a:b], width)
                 joined = b"\n".join(values[a:b])
                 edges = np.searchsorted(doc, np.arange(b - a + 1))
-                found = [np.flatnonzero(np.isin(gram[x:y].view(np.int64), grams_of[a + i].values.to_numpy())) + x
-                         for i, (x, y) in enumerate(zip(edges[:-1], edges[1:]))]
-                rows_ = np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
-                own = doc[rows_].tolist()
-                yield pa.RecordBatch.from_pydict({
-                    "gram": pa.array(gram[rows_].view(np.int64)), "doc_id": pa.array([ids[a + i] for i in own], pa.int64()),
-                    "version": pa.array([versions[a + i] for i in own], pa.int64()), "start": pa.array(start[rows_].astype(np.int32)),
-                    "n": pa.array(n[rows_].astype(np.int32)),
-                    "words": pa.array([b" ".join(joined[x:y].split()) for x, y in zip(begin[rows_].tolist(), end[rows_].tolist())], pa.binary())})
-
-    return rows.join(wanted, "doc_id").select("doc_id", "version", utf8(F.col("text")).alias("text"), "grams").mapInArrow(cut, PIECES)
+                out: list[tuple] = []
+                first: dict[tuple, int] = {}
+                for i in sorted(range(b - a), key=lambda i: ids[a + i]):
+                    x, y = edges[i], edges[i + 1]
+                    found = np.flatnonzero(np.isin(gram[x:y].view(np.int64), grams_of[a + i].values.to_numpy())) + x
+                    own = ids[a + i]
+                    for g, s, k, p, q in zip(gram[found].view(np.int64).tolist(), start[found].tolist(), n[found].tolist(), begin[found].tolist(), end[found].tolist()):
+                        words = b" ".join(joined[p:q].split())
+                        known = first.setdefault((g, words), own) < own
+                        out.append((g, own, versions[a + i], s, k, None if known else words, known))
+                columns = list(zip(*out)) or [()] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _PIECE_TYPES)], names=["gram", "doc_id", "version", "start", "n", "words", "known"])
+
+    # The same join at every size, and the one that puts the cuts back uses the same exchange of the texts.
+    wanted = rows.hint("merge").join(_repeated_grams(rows, width), "doc_id")
+    return wanted.select("doc_id", "version", utf8(F.col("text")).alias("text"), "grams").mapInArrow(cut, PIECES)
+
+
+_PIECE_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
+RANGES = "doc_id bigint, version bigint, first int, last int"
+
+
+class _Shard:
+    """The pieces of one gram, in ascending order of their documents."""
+
+    def __init__(self, width: int):
+        self.width = width
+        self.seen: dict[bytes, tuple[int, list[int]]] = {}
+        self.waiting: list[tuple[list[bytes], int]] = []
+        self.automata: list[SuffixAutomaton] = []
+
+    def covered(self, text: bytes, doc: int, n: int) -> list[tuple[int, int]]:
+        """First and last of the piece's windows that a smaller document has."""
+        known = self.seen.get(text)
+        if known is None:
+            while self.waiting and self.waiting[0][1] < doc:
+                if not self.automata or self.automata[-1].words > SHARD_WORDS:
+                    self.automata.append(SuffixAutomaton())
+                self.automata[-1].add(self.waiting.pop(0)[0])
+            words = text.split(b" ")
+            hits = sorted({k - self.width + 1 for a in self.automata for k, size in enumerate(a.matches(words)) if size >= self.width})
+            known = self.seen[text] = (doc, [(k, k) for k in hits])
+            self.waiting.append((words, doc))
+        return [(0, n - 1)] if known[0] < doc else known[1]
 
 
 def _covered(width: int):
-    """Streams distinct pieces (gram, words, first, copies), sorted by gram and first document, to the windows of each that a smaller document has."""
-
-    def of_group(rows: list[tuple[bytes, int]]) -> list[list[int]]:
-        out: list[list[int]] = []
-        shards = [SuffixAutomaton()]
-        waiting: list[list[bytes]] = []
-        for i, (text, doc) in enumerate(rows):
-            if i and rows[i - 1][1] != doc:
-                for earlier in waiting:
-                    if shards[-1].words > SHARD_WORDS:
-                        shards.append(SuffixAutomaton())
-                    shards[-1].add(earlier)
-                waiting = []
-            words = text.split(b" ")
-            hits = {k - width + 1 for shard in shards for k, size in enumerate(shard.matches(words)) if size >= width}
-            out.append(sorted(hits))
-            waiting.append(words)
-        return out
-
     def stream(batches):
-        key, group = None, []
-
-        def done():
-            covered = of_group([(w, d) for w, d, _ in group]) if len(group) > 1 else [[] for _ in group]
-            return [(w, d, c, starts) for (w, d, c), starts in zip(group, covered) if c or starts]
-
-        def batch_of(rows):
-            return pa.RecordBatch.from_pydict({"words": pa.array([r[0] for r in rows], pa.binary()), "first": pa.array([r[1] for r in rows], pa.int64()),
-                                               "covered": pa.array([r[3] for r in rows], pa.list_(pa.int32()))})
-
+        key, shard = None, _Shard(width)
         for batch in batches:
-            out = []
-            for gram, words, first, copied in zip(*[c.to_pylist() for c in batch.columns]):
+            out: list[tuple] = []
+            for gram, doc_id, version, start, n, words, known in zip(*[c.to_pylist() for c in batch.columns]):
+                if known:
+                    out.append((doc_id, version, start, start + n - 1))
+                    continue
                 if gram != key:
-                    out += done()
-                    key, group = gram, []
-                group.append((words, first, copied))
-            yield batch_of(out)
-        yield batch_of(done())
+                    key, shard = gram, _Shard(width)
+                out += [(doc_id, version, start + a, start + b) for a, b in shard.covered(words, doc_id, n)]
+            columns = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _PIECE_TYPES[1:5])], names=["doc_id", "version", "first", "last"])
 
     return stream
 
 
 def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13) -> DataFrame:
     """``doc_id, n_words, n_removed, text`` of every row; ``text``: the words that are left, joined by one blank."""
-    named = texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    rows = named.where("doc_id IS NOT NULL").withColumn("version", F.xxhash64("text"))
-    pieces = written(_repeated_pieces(rows, _selected(rows, width), width), "pieces")
-    distinct = pieces.groupBy("gram", "words").agg(F.min("doc_id").alias("first"), (F.max("doc_id") > F.min("doc_id")).alias("copied"))
-    shards = distinct.repartition("gram").sortWithinPartitions("gram", "first", "words").select("gram", "words", "first", "copied")
-    covered = shards.mapInArrow(_covered(width), "words binary, first bigint, covered array<int>")
-    # The digest stands for the piece in the join back, which then carries no text.
-    keyed = covered.select(F.sha2("words", 256).alias("piece"), "first", "covered")
-    spots = pieces.select(F.sha2("words", 256).alias("piece"), "doc_id", "version", "start", "n").join(keyed, "piece")
-    own = F.transform("covered", lambda k: F.struct((F.col("start") + k).alias("first"), (F.col("start") + k).alias("last")))
-    whole = F.array(F.struct(F.col("start").alias("first"), (F.col("start") + F.col("n") - 1).alias("last")))
-    ranges = spots.select("doc_id", "version", F.explode(F.when(F.col("doc_id") > F.col("first"), whole).otherwise(own)).alias("w"))
-    cuts = written(ranges.groupBy("doc_id", "version").agg(F.collect_list("w").alias("cuts")), "cuts")
+    named = texts(docs, id_col, text_col).withColumn("version", F.xxhash64("text"))
+    rows = named.where("doc_id IS NOT NULL")
+    shards = _repeated_pieces(rows, width).repartition(_spread("gram")).sortWithinPartitions("known", "gram", "doc_id")
+    cuts = shards.mapInArrow(_covered(width), RANGES).groupBy("doc_id").agg(F.collect_list(F.struct("version", "first", "last")).alias("cuts"))
 
     @F.arrow_udf("struct<n_words:bigint,n_removed:bigint,text:string>")
-    def cut(text: pa.Array, cuts: pa.Array) -> pa.Array:
+    def cut(text: pa.Array, version: pa.Array, cuts: pa.Array) -> pa.Array:
         out = []
-        for value, found in zip(text, cuts):
+        for value, own, found in zip(text, version, cuts):
             words = (value.as_py() or b"").split()
-            n, ranges = len(words), found.as_py()
+            n, ranges = len(words), [r for r in found.as_py() or [] if r["version"] == own.as_py()]
             if ranges:
                 gone = np.zeros(n + 1, dtype=np.int64)
                 for r in ranges:
@@ -187,6 +222,6 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             out.append({"n_words": n, "n_removed": n - len(words), "text": b" ".join(words).decode("utf-8", "replace")})
         return pa.array(out, pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())]))
 
-    joined = rows.join(cuts, ["doc_id", "version"], "left").select("doc_id", "text", "cuts")
-    nameless = named.where("doc_id IS NULL").withColumn("cuts", F.lit(None).cast(joined.schema["cuts"].dataType))
-    return joined.unionByName(nameless).select("doc_id", cut(utf8(F.col("text")), F.col("cuts")).alias("c")).select("doc_id", "c.n_words", "c.n_removed", "c.text")
+    joined = rows.hint("merge").join(cuts, "doc_id", "left").select("doc_id", "text", "version", "cuts")
+    nameless = named.where("doc_id IS NULL").select("doc_id", "text", "version", F.lit(None).cast(joined.schema["cuts"].dataType).alias("cuts"))
+    return joined.unionByName(nameless).select("doc_id", cut(utf8(F.col("text")), F.col("version"), F.col("cuts")).alias("c")).select("doc_id", "c.n_words", "c.n_removed", "c.text")
