@@ -12,7 +12,9 @@ empty one and yields just the end id.
 
 from __future__ import annotations
 
+import re
 import struct
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from veil.llm.common import texts
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 ESCAPE = 15
 BLOCK_IDS = 1 << 16
-CACHE_WORDS = 700_000
+CACHE_WORDS = 500_000
 BLOCK_SCHEMA = ("shard int, block int, start_in_shard bigint, doc_ids array<bigint>, counts array<bigint>, n_ids bigint, payload binary")
 
 
@@ -115,6 +117,7 @@ class WordIds(dict):
         import tokenizers
 
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
+        self.before: dict[str, bytes] = {}  # what was kept when it was last full
         self.letters = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.by_word = self._fits()
 
@@ -129,17 +132,20 @@ class WordIds(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        low = word.lower()
-        if word[-1] in ".,!?;:" and word[-2:-1].isalpha() and word[-2] < "ɐ" and word[-2] != "İ":
+        ids = self.before.get(word)
+        if ids is not None:
+            pass
+        elif _PLAIN.fullmatch(word):
+            mapped = word if word.isascii() else self.letters.pre_tokenize_str(word)[0][0]
+            ids = array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+        elif _ENDED.fullmatch(word):
             ids = self[word[:-1]] + self[word[-1]]
-        elif not (low.isalpha() and max(low) < "ɐ" and "İ" not in word):
-            ids = self.encoded(word)
-        elif low != word:
+        elif _PLAIN.fullmatch(low := word.lower()) and "İ" not in word:
             ids = self[low]
         else:
-            mapped = word if word.isascii() else self.letters.pre_tokenize_str(word)[0][0]
-            ids = np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], dtype="<u4").tobytes()
+            ids = self.encoded(word)
         if len(self) >= CACHE_WORDS:
+            self.before = dict(self)
             self.clear()
         self[word] = ids
         return ids
@@ -151,6 +157,9 @@ class WordIds(dict):
         return b"".join([self[w] for w in text.split()])
 
 
+# Small Latin letters, of which each is one character in every normal form; any of them before a single mark.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+_ENDED = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,!?;:]")
 _WORDS: dict[str, WordIds] = {}
 
 
@@ -191,7 +200,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
         if ids:
             yield _block(shard, block, start, ids, counts, parts)
 
-    frame = texts(docs, id_col, text_col).select(F.col("doc_id").cast("long"), "text")
+    frame = texts(docs, id_col, text_col)
     frame.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(blocks, BLOCK_SCHEMA).write.parquet(path)
 
 
