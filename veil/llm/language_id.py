@@ -33,11 +33,11 @@ _CACHE_WORDS = 300_000
 class LanguageModel:
     """Log frequencies of words and n-grams, one column a language."""
 
-    def __init__(self, langs: list[str], prior: list[float], words: dict[str, list[float]], grams: dict[str, list[float]], max_gram: int):
+    def __init__(self, langs: list[str], prior: list[float], words: tuple[list[str], np.ndarray], grams: tuple[list[str], np.ndarray], max_gram: int):
         self.langs, self.max_gram = langs, max_gram
         self.prior = np.array(prior, dtype=np.float64)
-        self.words, self.word_rows = list(words), np.array(list(words.values()), dtype=np.float32).reshape(len(words), len(langs))
-        self.grams, self.gram_rows = list(grams), np.array(list(grams.values()), dtype=np.float32).reshape(len(grams), len(langs))
+        self.words, self.word_rows = words
+        self.grams, self.gram_rows = grams
 
     def predict(self, docs: DataFrame, text_col: str = "text", out: str = "language") -> DataFrame:
         """``docs`` with ``out: struct<lang, score>`` (it replaces a column of that name)."""
@@ -102,27 +102,25 @@ class _Scorer(dict):
 _SCORERS: dict[str, _Scorer] = {}
 
 
-def _shares(counts: DataFrame, key: str, most: int) -> list:
-    """The ``most`` keys of the highest share in any language, each with its counts by language."""
+def _logs(counts: DataFrame, key: str, langs: list[str], most: int, alpha: float) -> tuple[list[str], np.ndarray]:
+    """The ``most`` keys of the highest share in any language, and their log frequencies in each."""
     totals = counts.groupBy("lang").agg(F.sum("n").alias("all"))
-    rated = counts.join(F.broadcast(totals), "lang").groupBy(key).agg(
-        F.max(F.col("n") / F.col("all")).alias("share"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("n"))
-    return rated.orderBy(F.desc("share"), key).limit(most).select(key, "n").collect()
+    of = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(langs)]
+    rated = counts.join(F.broadcast(totals), "lang").groupBy(key).agg(F.max(F.col("n") / F.col("all")).alias("share"), *of)
+    rows = rated.orderBy(F.desc("share"), key).limit(most).drop("share").collect()
+    found = np.array([r[1:] for r in rows], dtype=np.float64).reshape(len(rows), len(langs))
+    return [r[0] for r in rows], np.log((found + alpha) / (found.sum(axis=0) + alpha * max(1, len(rows)))).astype(np.float32)
 
 
-def _logs(rows: list, key: str, langs: list[str], alpha: float) -> dict[str, list[float]]:
-    totals = {lang: sum(r["n"].get(lang, 0) for r in rows) for lang in langs}
-    return {r[key]: [float(np.log((r["n"].get(lang, 0) + alpha) / (totals[lang] + alpha * len(rows)))) for lang in langs] for r in rows}
-
-
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_rows: int = 30_000, max_words: int = 150_000,
-        max_grams: int = 60_000, max_gram: int = 4, max_langs: int = 200, alpha: float = 0.5) -> LanguageModel:
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_rows: int = 30_000, max_words: int = 50_000,
+        max_grams: int = 30_000, max_gram: int = 4, max_langs: int = 200, alpha: float = 0.5) -> LanguageModel:
     """Learn from rows whose language is given; rows without one or without text are left out."""
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     shares = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
     langs, n = sorted(r["lang"] for r in shares), sum(r["count"] for r in shares)
     if not langs:
-        return LanguageModel([], [], {}, {}, max_gram)
+        nothing = ([], np.zeros((0, 0), dtype=np.float32))
+        return LanguageModel([], [], nothing, nothing, max_gram)
     prior = {r["lang"]: float(np.log(r["count"] / n)) for r in shares}
     chosen = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(min(1.0, max_rows / n) * (1 << 30))
     words = rows.where(chosen & F.col("lang").isin(langs)).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
@@ -131,5 +129,5 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max
     places = [F.transform(F.sequence(F.lit(1), F.length(marked) - (size - 1)), lambda at, size=size: F.substring(marked, at, size)) for size in range(1, max_gram + 1)]
     # A run of letters without a blank may be very long; it is no word to learn n-grams from.
     grams = counts.where(F.length("word").between(max_gram, 64)).select("lang", "n", F.explode(F.concat(*places)).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    return LanguageModel(langs, [prior[lang] for lang in langs], _logs(_shares(counts, "word", max_words), "word", langs, alpha),
-                         _logs(_shares(grams, "gram", max_grams), "gram", langs, alpha), max_gram)
+    return LanguageModel(langs, [prior[lang] for lang in langs], _logs(counts, "word", langs, max_words, alpha),
+                         _logs(grams, "gram", langs, max_grams, alpha), max_gram)

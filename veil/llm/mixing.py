@@ -115,8 +115,11 @@ def rate(posteriors: Column, steps: list[list[float]]) -> Column:
     return F.aggregate(taken, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - _dot(posteriors, s)))
 
 
-def fit_rates(features: DataFrame, targets: list[float], budget: float = 1.0, rounds: int = 60, close: float = 1e-4) -> tuple[list[list[float]], list[float], list[float]]:
-    """Steps, reached totals and wanted totals; ``features``: n_tokens, posteriors. Stops when the totals are off by ``close`` of all tokens, or no nearer."""
+def fit_rates(features: DataFrame, targets: list[float], budget: float = 1.0, rounds: int = 20, close: float = 1e-4, gain: float = 0.01) -> tuple[list[list[float]], list[float], list[float]]:
+    """Steps, reached totals and wanted totals; ``features``: n_tokens, posteriors. 
+
+    Stops when the totals are off by ``close`` of all tokens, or when a round brings them nearer by less than ``gain`` of what they are off.
+    """
     k = len(targets)
     share = [F.get("posteriors", F.lit(i)) for i in range(k)]
     t = F.col("n_tokens").cast("double")
@@ -125,13 +128,13 @@ def fit_rates(features: DataFrame, targets: list[float], budget: float = 1.0, ro
     gram = [[first[1 + i * k + j] or 0.0 for j in range(k)] for i in range(k)]
     wanted = [budget * total * w / (sum(targets) or 1.0) for w in targets]
     steps: list[list[float]] = []
-    last = math.inf
+    last = float("inf")
     while True:
         r = rate(F.col("posteriors"), steps)
         row = features.select(F.transform("posteriors", lambda p: p * t * r).alias("m")).agg(*[F.sum(F.get("m", F.lit(i))) for i in range(k)]).first()
         reached = [v or 0.0 for v in row]
         off = sum(abs(a - b) for a, b in zip(reached, wanted))
-        if total == 0 or off <= close * total or len(steps) >= rounds or last - off <= 1e-7 * total:
+        if total == 0 or off <= close * total or len(steps) >= rounds or (steps and last - off <= gain * last):
             return steps, reached, wanted
         last = off
         steps.append(_solved(gram, [a - b for a, b in zip(reached, wanted)]))
