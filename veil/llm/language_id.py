@@ -67,20 +67,31 @@ class _Scorer(dict):
 
     def __missing__(self, word: str) -> int:
         row = self.known + len(self.made)
-        self.rows[row] = self.backed_off(word)
         self.made.append(word)
         self[word] = row
         return row
 
-    def backed_off(self, word: str) -> np.ndarray:
-        marked, found = f"^{word}$", []
-        for at in range(len(marked)):
-            for size in range(min(self.model.max_gram, len(marked) - at), 0, -1):
-                row = self.gram_row.get(marked[at:at + size])
-                if row is not None:
-                    found.append(row)
-                    break
-        return self.model.gram_rows[found].mean(axis=0) if found else np.zeros(len(self.model.langs), dtype=np.float32)
+    def fill(self, since: int) -> None:
+        """Rows of the words made since then: of each the mean over its n-grams."""
+        known, most = self.gram_row, self.model.max_gram
+        flat: list[int] = []
+        starts, filled = [], []
+        for i in range(since, len(self.made)):
+            marked, first = f"^{self.made[i]}$", len(flat)
+            for at in range(len(marked)):
+                for size in range(most, 0, -1):
+                    # Behind the end a slice is a shorter n-gram, which the next turn would find anyway.
+                    row = known.get(marked[at:at + size])
+                    if row is not None:
+                        flat.append(row)
+                        break
+            if len(flat) > first:
+                starts.append(first)
+                filled.append(self.known + i)
+        self.rows[self.known + since:self.known + len(self.made)] = 0
+        if filled:
+            sums = np.add.reduceat(self.model.gram_rows[flat], starts, axis=0, dtype=np.float64)
+            self.rows[filled] = sums / np.diff(np.append(starts, len(flat)))[:, None]
 
     def guess(self, text: str | None) -> dict:
         words = _LETTERS.findall(text.lower()) if text else []
@@ -94,7 +105,11 @@ class _Scorer(dict):
                 for word in self.made:
                     del self[word]
                 self.made = []
-            total += self.rows[[self[w] for w in part]].sum(axis=0, dtype=np.float64)
+            since = len(self.made)
+            rows = [self[w] for w in part]
+            if len(self.made) > since:
+                self.fill(since)
+            total += self.rows[rows].sum(axis=0, dtype=np.float64)
         best = int(np.argmax(total))
         return {"lang": self.model.langs[best], "score": float(1 / np.exp(total - total[best]).sum())}
 
