@@ -415,6 +415,14 @@ def test_line_dedup(spark):
     assert drop_repeated_lines(empty(spark)).count() == 0
 
 
+def test_line_dedup_of_single_lines(spark):
+    """Runs of one or two lines, and documents shorter than three lines, lose their later copies as well."""
+    rows = [(1, "a long line\nb\nc"), (2, " a long line "), (3, "x\nb\n\ny\nx"), (4, "b\nc\nz"), (5, None), (None, "b"), (6, "")]
+    found = rows_of(drop_repeated_lines(docs_of(spark, rows)), "doc_id", "n_lines", "n_removed", "text")
+    wanted = [(1, 3, 0, "a long line\nb\nc"), (2, 1, 1, ""), (3, 4, 2, "x\n\ny"), (4, 3, 2, "z"), (5, 0, 0, None), (None, 1, 0, "b"), (6, 0, 0, "")]
+    assert found == sorted(wanted, key=repr)
+
+
 # 10 ------------------------------------------------------------------------------------------------
 
 

@@ -2,9 +2,11 @@
 
 A document is the sequence of its lines that are not blank, without blanks at either end. Each window of ``run`` lines
 selects the line of least hash in it (the first of equals), so two equal windows select the same line: a
-repeated run of ``run`` lines or more cannot escape. Selected lines meet on their hash; where one is met again, the match is
-extended both ways over the windows around it, and each window that also starts earlier (smaller id, or the same id
-and a smaller line number) is deleted. Neighbouring windows make up longer runs. Judged on the input, not on what is left.
+repeated run of ``run`` lines or more cannot escape. Shorter runs stay, so only ``run=1``, where each line is a window and selects itself,
+takes every later copy of a line and reaches documents of one or two lines. Selected lines meet on their hash; those met again send the
+windows that selected them to a second join, and each window that also starts earlier (smaller id, or the same id
+and a smaller line number) is deleted. Matches are not extended line by line; neighbouring windows make up the longer runs. Judged on the
+input, not on what is left.
 
 Joins carry one row a selected line; a line that very many documents share is counted by partial sums, and the joins on it are
 ones that Spark can split. Blank lines stay. Null text has no lines. Rows without an id stay as they are and are no source;
@@ -68,7 +70,7 @@ def repeated_runs(docs: DataFrame, run: int) -> DataFrame:
     return later.groupBy("doc_id", "version").agg(F.collect_set("start").alias("starts"))
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 3) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 1) -> DataFrame:
     """``doc_id, n_lines, n_removed, text`` of every row; ``text`` is what is left."""
 
     @F.arrow_udf("struct<n_lines:bigint,n_removed:bigint,text:string>")

@@ -150,12 +150,31 @@ SELECT doc_id, cast(len(w) AS bigint) AS n_lines, cast(coalesce(len(ks), 0) AS b
 FROM t LEFT JOIN gone USING (doc_id)
 """)
 def op9(spark: SparkSession, sf: str) -> DataFrame:
-    left = drop_repeated_lines(table(spark, sf, "documents"), run=3)
+    return _lines_left(table(spark, sf, "documents"), run=3)
+
+
+def _lines_left(docs: DataFrame, run: int) -> DataFrame:
+    left = drop_repeated_lines(docs, run=run)
     blanks = r"^[\x20\x09\x0B-\x0D]+|[\x20\x09\x0B-\x0D]+\z"
     lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.regexp_replace(x, blanks, "")), lambda x: x != "")
     return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.array_join(lines, "\n"), 256).alias("kept_sha256"))
 
 
+# Runs of any length: every later copy of a line goes.
+@query("op9_every_line", """
+WITH t AS (
+  SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13))), lambda x: x <> '') AS w FROM documents),
+lines AS (SELECT doc_id, i, w[i + 1] AS s FROM (SELECT doc_id, w, unnest(range(len(w))) AS i FROM t)),
+later AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS n FROM lines) WHERE n > 1),
+gone AS (SELECT doc_id, list(i) AS ks FROM later GROUP BY doc_id)
+SELECT doc_id, cast(len(w) AS bigint) AS n_lines, cast(coalesce(len(ks), 0) AS bigint) AS n_removed,
+  sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(ks, []), i - 1)), chr(10))) AS kept_sha256
+FROM t LEFT JOIN gone USING (doc_id)
+""")
+def op9_every_line(spark: SparkSession, sf: str) -> DataFrame:
+    return _lines_left(table(spark, sf, "documents"), run=1)
+
+
 def held_out(doc_id: str = "doc_id"):
     """Documents that no model learns from."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(3)) == 1, F.lit(False))
