@@ -14,14 +14,15 @@ import pytest
 
 from veil.llm import near_dedup
 from veil.llm.chat_tree import chat_trees, escape, marks, parse, unescape, write_chat_trees
-from veil.llm.common import shared_path
+from veil.llm.common import shared_path, table
 from veil.llm.components import components
 from veil.llm.decontaminate import decontaminate
 from veil.llm.exact_dedup import mark_duplicates
 from veil.llm.language_id import fit
 from veil.llm.line_dedup import drop_repeated_lines
-from veil.llm.mixing import fit_rates, mix
+from veil.llm.mixing import fit_rates, mix, mix_with_totals
 from veil.llm.near_dedup import near_duplicates
+from veil.llm.queries import BUDGET, TARGETS, domain_labels, op3
 from veil.llm.substring_dedup import drop_repeated_spans
 from veil.llm.suffix_automaton import SuffixAutomaton
 from veil.llm.token_files import decode, encode, read_token_files, write_token_files
@@ -154,6 +155,26 @@ def test_rates_reach_targets_like_plain_projected_gradient(spark):
     assert (r >= 0).all() and np.abs(np.array(reached) - wanted).sum() <= 0.02 * t.sum()
 
 
+def test_mix_reaches_each_target(spark):
+    """With the parameters of op3, whose smallest target is 0.02 % of the tokens."""
+    docs, labels = (table(spark, "/root/testdata/sf0.01", n) for n in ("documents", "labels"))
+    rows = op3(spark, "/root/testdata/sf0.01").toPandas()
+    wanted = {d: BUDGET * rows.n_tokens.sum() * w for d, w in TARGETS.items()}
+    for d, w in wanted.items():
+        assert abs((rows.n_tokens * rows.rate * rows[f"p_{d}"]).sum() - w) <= 0.01 * w
+    assert (rows.rate >= 0).all()
+    totals = mix_with_totals(docs, domain_labels(labels), TARGETS, BUDGET)[1]
+    assert all(abs(reached - w) <= 0.01 * w and abs(w - wanted[d]) <= 1e-6 * w for d, (reached, w) in totals.items())
+
+
+def test_unreachable_targets_warn(spark):
+    features = spark.createDataFrame([(10, [0.9, 0.1]), (20, [0.6, 0.4])], "n_tokens bigint, posteriors array<double>")
+    with pytest.warns(UserWarning, match="instead of"):
+        steps, reached, wanted = fit_rates(features, [0.0, 1.0])
+    # On the edge (0.6, 0.4) of what rates can reach, (54, 36) is nearest to (0, 30) in the measure of G^-1.
+    assert len(steps) == 1 and wanted == [0, 30] and np.allclose(reached, [54, 36], rtol=1e-3)
+
+
 def test_mix(spark):
     rng, words = random.Random(1), vocabulary(2)
     rows = [(i, " ".join(rng.choice(words) for _ in range(30)) + (" badword badder" if i % 5 == 0 else " fine")) for i in range(300)]

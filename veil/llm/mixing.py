@@ -5,9 +5,11 @@
    over presence and absence). Fitting reads at most ``max_rows`` labelled rows, chosen by a hash of their id.
 2. Every document gets a rate, the expected number of its copies. With p its posteriors and t its tokens, domain totals
    are A r = sum t p r, and rates minimise the squared distance of A r from the targets, measured by the inverse of
-   G = sum t p p'. In that measure a gradient step of length 1 is safe: r <- max(0, r - p . G^-1 (A r - target)), from r = 1.
-   A round is one pass that sums K numbers over all documents; what the driver keeps are the steps, K numbers each, and a
-   document's rate is their fold, so no rates are stored or joined between rounds.
+   G = sum t p p'. Projected gradient steps r <- max(0, r - p . G^-1 (A r - target)) from r = 1 get there, but for small domains
+   only in thousands of rounds. The rates that reach the targets nearest to 1 are max(0, 1 - p . m) with one multiplier a domain,
+   and Newton's method finds these: a pass sums the totals and the G of the documents of positive rate, a few dozen
+   numbers, until each domain is within ``close`` of its own target. A document's rate follows from the K multipliers, so no
+   rates are stored or joined between passes. Totals that no rates reach are approached as far as they go, with a warning.
 3. ``copies`` is the rate rounded up or down by a hash of the id, so that its expected value is the rate.
 
 Null text has no tokens and counts for nothing, its rate follows from the posteriors of an empty text. Rows are judged one by one:
@@ -18,6 +20,7 @@ Without labels all domains are equally likely. Targets are shares of ``budget``
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -115,33 +118,80 @@ def rate(posteriors: Column, steps: list[list[float]]) -> Column:
     return F.aggregate(taken, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - _dot(posteriors, s)))
 
 
-def fit_rates(features: DataFrame, targets: list[float], budget: float = 1.0, rounds: int = 20, close: float = 1e-4, gain: float = 0.01) -> tuple[list[list[float]], list[float], list[float]]:
-    """Steps, reached totals and wanted totals; ``features``: n_tokens, posteriors. 
+def _sums(features: DataFrame, k: int, steps: list[list[float]]) -> tuple[float, list[float], list[list[float]]]:
+    """In one pass: sum t r r, the totals sum t r p, and sum t p p' of the documents of positive rate."""
+    t, r = F.col("n_tokens").cast("double"), F.col("r")
+    share = [F.get("posteriors", F.lit(i)) for i in range(k)]
+    active = F.when(r > 0, t).otherwise(0.0)
+    row = features.withColumn("r", rate(F.col("posteriors"), steps)).agg(
+        F.sum(t * r * r), *[F.sum(t * r * p) for p in share], *[F.sum(active * share[i] * share[j]) for i in range(k) for j in range(k)]).first()
+    values = [v or 0.0 for v in row]
+    return values[0], values[1:1 + k], [values[1 + k + i * k:1 + k + i * k + k] for i in range(k)]
+
+
+def _times(matrix: list[list[float]], vector: list[float]) -> list[float]:
+    return [sum(a * b for a, b in zip(row, vector)) for row in matrix]
+
+
+_PULL = 1e-6  # towards rate 1, so that the multipliers stay finite where no rates reach the targets
+
 
-    Stops when the totals are off by ``close`` of all tokens, or when a round brings them nearer by less than ``gain`` of what they are off.
+def fit_rates(features: DataFrame, targets: list[float], budget: float = 1.0, rounds: int | None = None, close: float = 1e-3, passes: int = 100) -> tuple[list[list[float]], list[float], list[float]]:
+    """Steps, reached totals and wanted totals; ``features``: n_tokens, posteriors.
+
+    One step of multipliers by Newton's method, in ``passes`` passes at most; with ``rounds`` that many plain projected gradient
+    steps at most. Ends when each domain is within ``close`` of its own target (of a ten-thousandth of all tokens, if that is more).
     """
     k = len(targets)
-    share = [F.get("posteriors", F.lit(i)) for i in range(k)]
-    t = F.col("n_tokens").cast("double")
-    first = features.agg(F.sum(t), *[F.sum(t * share[i] * share[j]) for i in range(k) for j in range(k)]).first()
-    total = first[0] or 0.0
-    gram = [[first[1 + i * k + j] or 0.0 for j in range(k)] for i in range(k)]
+    total, reached, gram = _sums(features, k, [])
     wanted = [budget * total * w / (sum(targets) or 1.0) for w in targets]
+
+    def near(gaps: list[float]) -> bool:
+        return total == 0 or all(abs(g) <= close * max(w, 1e-4 * total) for g, w in zip(gaps, wanted))
+
     steps: list[list[float]] = []
-    last = float("inf")
-    while True:
-        r = rate(F.col("posteriors"), steps)
-        row = features.select(F.transform("posteriors", lambda p: p * t * r).alias("m")).agg(*[F.sum(F.get("m", F.lit(i))) for i in range(k)]).first()
-        reached = [v or 0.0 for v in row]
-        off = sum(abs(a - b) for a, b in zip(reached, wanted))
-        if total == 0 or off <= close * total or len(steps) >= rounds or (steps and last - off <= gain * last):
-            return steps, reached, wanted
-        last = off
-        steps.append(_solved(gram, [a - b for a, b in zip(reached, wanted)]))
+    gaps = [a - b for a, b in zip(reached, wanted)]
+    if rounds is not None:
+        while not near(gaps) and len(steps) < rounds:
+            steps.append(_solved(gram, gaps))
+            reached = _sums(features, k, steps)[1]
+            gaps = [a - b for a, b in zip(reached, wanted)]
+        return steps, reached, wanted
+
+    # Minimises sum t r r / 2 + wanted . m + _PULL m' G m / 2, which is convex in m; its slope is the gap of the totals.
+    pull = [[_PULL * v for v in row] for row in gram]
+    point, value, active, used = [0.0] * k, total / 2, gram, 1
+    while not near(gaps):
+        slope = [p - g for p, g in zip(_times(pull, point), gaps)]
+        if near(slope):
+            break
+        move = _solved([[a + b for a, b in zip(x, y)] for x, y in zip(active, pull)], [-v for v in slope])
+        fall, part = sum(a * b for a, b in zip(slope, move)), 1.0
+        while used < passes:
+            trial = [a + part * b for a, b in zip(point, move)]
+            mass, sums, grams = _sums(features, k, [trial])
+            found = mass / 2 + sum(a * b for a, b in zip(wanted, trial)) + sum(a * b for a, b in zip(trial, _times(pull, trial))) / 2
+            used += 1
+            if found <= value + 1e-4 * part * fall + 1e-13 * abs(value):
+                point, value, reached, active = trial, found, sums, grams
+                break
+            part /= 2
+        else:
+            break
+        gaps = [a - b for a, b in zip(reached, wanted)]
+        steps = [point]
+    if not near(gaps):
+        warnings.warn(f"rates reach the totals {reached} instead of {wanted}", stacklevel=2)
+    return steps, reached, wanted
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float = 1.0, id_col: str = "doc_id", text_col: str = "text", out: str = "mix") -> DataFrame:
     """``docs`` with ``out: struct<n_tokens, posteriors, rate, copies>`` (it replaces a column of that name)."""
+    return mix_with_totals(docs, labelled, targets, budget, id_col, text_col, out)[0]
+
+
+def mix_with_totals(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float = 1.0, id_col: str = "doc_id", text_col: str = "text", out: str = "mix") -> tuple[DataFrame, dict[str, tuple[float, float]]]:
+    """What ``mix`` returns, and by domain the tokens that the rates reach and those wanted."""
     domains = sorted(targets)
     rows = texts(docs, id_col, text_col)
     model = fit_domains(rows, labelled, domains)
@@ -153,11 +203,12 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget:
 
     n, p = judged(F.col("text"))
     features = written(rows.select(n.alias("n_tokens"), p.alias("posteriors")), "domain-shares")
-    steps, _, _ = fit_rates(features, [targets[d] for d in domains], budget)
+    steps, reached, wanted = fit_rates(features, [targets[d] for d in domains], budget)
     n, p = judged(F.col(text_col))
     marked = docs.withColumn(out, F.struct(n.alias("n_tokens"), p.alias("posteriors")))
     r = rate(F.col(f"{out}.posteriors"), steps)
     even = F.pmod(F.xxhash64(F.lit("copies"), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
     marked = marked.withColumn(out, F.struct(f"{out}.n_tokens", f"{out}.posteriors", r.alias("rate")))
     copies = F.floor(F.col(f"{out}.rate")) + (even < F.col(f"{out}.rate") - F.floor(F.col(f"{out}.rate"))).cast("long")
-    return marked.withColumn(out, F.struct(f"{out}.n_tokens", f"{out}.posteriors", f"{out}.rate", copies.alias("copies")))
+    marked = marked.withColumn(out, F.struct(f"{out}.n_tokens", f"{out}.posteriors", f"{out}.rate", copies.alias("copies")))
+    return marked, dict(zip(domains, zip(reached, wanted)))
