@@ -5,8 +5,8 @@ Every stage but the last returns the columns of ``documents`` and leaves the tex
 1. language: rows whose language cannot be told (no letters), or only with a posterior below ``LEAST_SCORE``, go.
 2. near duplicates: of each group linked at five words and similarity 0.8 the smallest doc_id stays.
 3. decontamination: rows that hold ten consecutive words of a benchmark item go.
-4. mixing: a row stays as often as its rate says. Shares are set so that only toxic text is thinned out; other rows stay at
-   least once, and some are repeated.
+4. mixing: a row stays as often as its rate says. Domains that are not toxic get at least the tokens they have in this stage's
+   input, and a row that is not more likely toxic than not stays at least once, so that only toxic text is thinned out.
 5. token files: written in ascending doc_id order, and read back as one row a document.
 """
 
@@ -44,9 +44,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mix(docs, domain_labels(table(spark, sf_dir, "labels")), TARGETS, BUDGET, out="_mix")
-    times = F.sequence(F.lit(1).cast("long"), F.col("_mix.copies"))
-    return mixed.where("_mix.copies > 0").withColumn("_time", F.explode(times)).select(docs.columns)
+    clean = tuple(d for d in TARGETS if not d.startswith("toxic"))
+    mixed = mix(docs, domain_labels(table(spark, sf_dir, "labels")), TARGETS, BUDGET, out="_mix", whole=clean)
+    toxic = sum((F.get("_mix.posteriors", F.lit(i)) for i, d in enumerate(sorted(TARGETS)) if d not in clean), F.lit(0.0))
+    mixed = mixed.withColumn("_copies", F.when(toxic > 0.5, F.col("_mix.copies")).otherwise(F.greatest(F.col("_mix.copies"), F.lit(1))))
+    times = F.sequence(F.lit(1).cast("long"), F.col("_copies"))
+    return mixed.where("_copies > 0").withColumn("_time", F.explode(times)).select(docs.columns)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_text_operators import AWKWARD, brute_components, windows_of
@@ -75,6 +76,18 @@ def test_mixing_thins_out_toxic_rows_only(spark, stages):
     assert sum(copies[r] for r in toxic) < 0.5 * len(toxic)
 
 
+def test_mixing_keeps_clean_rows_when_most_are_of_low_quality(spark):
+    docs, labels = (table(spark, "/root/testdata/sf0.01", n) for n in ("documents", "labels"))
+    low = docs.join(labels.where("quality = 0 AND toxic = 0").select("doc_id").distinct(), "doc_id").select(docs.columns)
+    more = low.crossJoin(spark.range(1, 16).withColumnRenamed("id", "k")).withColumn("doc_id", F.expr("doc_id + 1000000 * k")).select(docs.columns)
+    before = written(docs.unionByName(more), "much-low")
+    kept = {r[0] for r in corpus_pipeline.mixing(spark, before, "/root/testdata/sf0.01").select("doc_id").collect()}
+    toxic = {r[0] for r in labels.where("toxic = 1").select("doc_id").collect()} & {r[0] for r in docs.select("doc_id").collect()}
+    clean = [r[0] for r in more.select("doc_id").collect()] + [r[0] for r in docs.join(labels.where("toxic = 0"), "doc_id").select("doc_id").collect()]
+    assert more.count() > 500 and np.mean([i in kept for i in clean]) >= 0.97
+    assert len(toxic & kept) < 0.5 * len(toxic)
+
+
 def test_tokens_read_back(stages):
     before, after = stages["token_output"]
     plain = tokenizers.Tokenizer.from_file(tokenizer_path())

@@ -133,18 +133,20 @@ def _times(matrix: list[list[float]], vector: list[float]) -> list[float]:
     return [sum(a * b for a, b in zip(row, vector)) for row in matrix]
 
 
-_PULL = 1e-6  # towards rate 1, so that the multipliers stay finite where no rates reach the targets
+_PULL = 1e-8  # towards rate 1, so that the multipliers stay finite where no rates reach the targets
 
 
-def fit_rates(features: DataFrame, targets: list[float], budget: float = 1.0, rounds: int | None = None, close: float = 1e-3, passes: int = 100) -> tuple[list[list[float]], list[float], list[float]]:
+def fit_rates(features: DataFrame, targets: list[float], budget: float = 1.0, rounds: int | None = None, close: float = 1e-3, passes: int = 100, whole: list[bool] | None = None) -> tuple[list[list[float]], list[float], list[float]]:
     """Steps, reached totals and wanted totals; ``features``: n_tokens, posteriors.
 
     One step of multipliers by Newton's method, in ``passes`` passes at most; with ``rounds`` that many plain projected gradient
     steps at most. Ends when each domain is within ``close`` of its own target (of a ten-thousandth of all tokens, if that is more).
+    ``whole``: domains whose wanted total is at least what they have at rate 1; the budget grows by the difference.
     """
     k = len(targets)
     total, reached, gram = _sums(features, k, [])
     wanted = [budget * total * w / (sum(targets) or 1.0) for w in targets]
+    wanted = [max(w, own) if keep else w for w, own, keep in zip(wanted, reached, whole or [False] * k)]
 
     def near(gaps: list[float]) -> bool:
         return total == 0 or all(abs(g) <= close * max(w, 1e-4 * total) for g, w in zip(gaps, wanted))
@@ -185,12 +187,15 @@ def fit_rates(features: DataFrame, targets: list[float], budget: float = 1.0, ro
     return steps, reached, wanted
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float = 1.0, id_col: str = "doc_id", text_col: str = "text", out: str = "mix") -> DataFrame:
-    """``docs`` with ``out: struct<n_tokens, posteriors, rate, copies>`` (it replaces a column of that name)."""
-    return mix_with_totals(docs, labelled, targets, budget, id_col, text_col, out)[0]
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float = 1.0, id_col: str = "doc_id", text_col: str = "text", out: str = "mix", whole: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` with ``out: struct<n_tokens, posteriors, rate, copies>`` (it replaces a column of that name).
+
+    ``whole``: domains that get the tokens they have at least, whatever their target.
+    """
+    return mix_with_totals(docs, labelled, targets, budget, id_col, text_col, out, whole)[0]
 
 
-def mix_with_totals(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float = 1.0, id_col: str = "doc_id", text_col: str = "text", out: str = "mix") -> tuple[DataFrame, dict[str, tuple[float, float]]]:
+def mix_with_totals(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float = 1.0, id_col: str = "doc_id", text_col: str = "text", out: str = "mix", whole: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
     """What ``mix`` returns, and by domain the tokens that the rates reach and those wanted."""
     domains = sorted(targets)
     rows = texts(docs, id_col, text_col)
@@ -203,7 +208,7 @@ def mix_with_totals(docs: DataFrame, labelled: DataFrame, targets: dict[str, flo
 
     n, p = judged(F.col("text"))
     features = written(rows.select(n.alias("n_tokens"), p.alias("posteriors")), "domain-shares")
-    steps, reached, wanted = fit_rates(features, [targets[d] for d in domains], budget)
+    steps, reached, wanted = fit_rates(features, [targets[d] for d in domains], budget, whole=[d in whole for d in domains])
     n, p = judged(F.col(text_col))
     marked = docs.withColumn(out, F.struct(n.alias("n_tokens"), p.alias("posteriors")))
     r = rate(F.col(f"{out}.posteriors"), steps)
