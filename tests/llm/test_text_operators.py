@@ -11,8 +11,9 @@ from hashlib import sha256
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
-from veil.llm import near_dedup
+from veil.llm import near_dedup, substring_dedup
 from veil.llm.chat_tree import chat_trees, escape, marks, parse, unescape, write_chat_trees
 from veil.llm.common import shared_path, table
 from veil.llm.components import components
@@ -403,6 +404,20 @@ def test_substring_dedup(spark, width):
     assert rows_of(drop_repeated_spans(docs_of(spark, rows), width=width), "doc_id", "n_words", "n_removed", "text") == brute_spans(rows, width)
 
 
+def test_phrase_with_different_words_around_it(spark):
+    """No task gets all unlike pieces of a gram; what is removed stays the same."""
+    rng = random.Random(4)
+    phrase = "commonphrase ofseveral longishwords everywhere"
+    around = [[" ".join(f"u{rng.randrange(10 ** 6)}" for _ in range(12)) for _ in range(2)] for _ in range(120)]
+    rows = [(i, f"{a} {phrase} {b}") for i, (a, b) in enumerate(around)]
+    rows += [(i + 500, f"{around[i][0]} {phrase} {around[i + 1][1]}") for i in range(40)] + [(i + 700, f"x {rows[i][1]} y") for i in range(40)] + [(i + 900, t) for i, t in rows[:20]]
+    assert rows_of(drop_repeated_spans(docs_of(spark, rows), hot=20, sample=1), "doc_id", "n_words", "n_removed", "text") == brute_spans(rows, 13)
+    named = docs_of(spark, rows).select("doc_id", "text").withColumn("version", F.xxhash64("text"))
+    pieces = substring_dedup._repeated_pieces(named, 13, 20, 1)
+    assert pieces.groupBy("gram").agg(F.count_distinct("words").alias("n")).agg(F.max("n")).first()[0] <= 20
+    assert substring_dedup._hot_grams(named, 13, 10 ** 6, 1) == []
+
+
 def test_substring_dedup_of_nothing(spark):
     assert drop_repeated_spans(empty(spark)).count() == 0
 

@@ -15,6 +15,9 @@ documents times shards; here a document meets only the shards that can hold its
 Both shuffles by gram are reduced before: of a gram (or piece) that several documents of one part of a partition share, only the
 first goes to its shard. The others are settled where they are (such a gram is repeated, such a piece covered) and travel under their
 own document's key. So a passage that a third of all documents share brings one row a part to a shard.
+A gram with more than about ``hot`` pieces (a phrase that very many documents have with different words around it) has no shard: its
+windows go one by one under the hash of all their words, so equal windows still meet and unlike ones spread over all tasks. These grams are
+counted on a sample of one document in ``sample``; which ones are found decides where windows meet, not what is removed.
 A shard of over ``SHARD_WORDS`` distinct words is continued in a further automaton, through which later pieces stream as well.
 
 Null text has no words. Rows without an id lose nothing and are no source. Rows that share an id do not remove each
@@ -23,6 +26,8 @@ other's words; each of them is judged by its own text.
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +40,8 @@ from veil.llm.suffix_automaton import SuffixAutomaton
 GRAM = 4
 SHORT = 12  # letters of a gram; below that it is mostly function words
 SHARD_WORDS = 200_000
+HOT = 20_000  # pieces of a gram
+SAMPLE = 64
 _MOST = 16_000_000
 
 
@@ -124,10 +131,31 @@ def _repeated_grams(rows: DataFrame, width: int) -> DataFrame:
     return shards.mapInArrow(repeated, "doc_id bigint, gram bigint").groupBy("doc_id").agg(F.collect_list("gram").alias("grams"))
 
 
+def _hot_grams(rows: DataFrame, width: int, hot: int, sample: int) -> list[int]:
+    """Sorted grams with more than ``hot`` pieces, as one document in ``sample`` tells."""
+
+    def select(batches):
+        for batch in batches:
+            values = [v or b"" for v in batch.column(0).to_pylist()]
+            for a, b in _parts(list(map(len, values))):
+                grams, n = np.unique(_pieces(values[a:b], width)[3], return_counts=True)
+                yield pa.RecordBatch.from_pydict({"gram": pa.array(grams.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+    some = rows.where(F.pmod(F.xxhash64(F.lit("hot"), "doc_id", "version"), F.lit(sample)) == 0)
+    counted = some.select(utf8(F.col("text"))).mapInArrow(select, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    return sorted(r["gram"] for r in counted.where(F.col("n") * sample > hot).select("gram").collect())
+
+
+def _key(words: bytes) -> int:
+    return int.from_bytes(blake2b(words, digest_size=8).digest(), "little", signed=True)
+
+
 PIECES = "gram bigint, doc_id bigint, version bigint, start int, n int, words binary, known boolean"
 
 
-def _repeated_pieces(rows: DataFrame, width: int) -> DataFrame:
+def _repeated_pieces(rows: DataFrame, width: int, hot: int = HOT, sample: int = SAMPLE) -> DataFrame:
+    split = frozenset(_hot_grams(rows, width, hot, sample))
+
     def cut(batches):
         for batch in batches:
             ids, versions = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -143,9 +171,15 @@ def _repeated_pieces(rows: DataFrame, width: int) -> DataFrame:
                     found = np.flatnonzero(np.isin(gram[x:y].view(np.int64), grams_of[a + i].values.to_numpy())) + x
                     own = ids[a + i]
                     for g, s, k, p, q in zip(gram[found].view(np.int64).tolist(), start[found].tolist(), n[found].tolist(), begin[found].tolist(), end[found].tolist()):
-                        words = b" ".join(joined[p:q].split())
-                        known = first.setdefault((g, words), own) < own
-                        out.append((g, own, versions[a + i], s, k, None if known else words, known))
+                        words = joined[p:q].split()
+                        if g in split:
+                            runs = [b" ".join(words[j:j + width]) for j in range(k)]
+                            parts = [(_key(run), s + j, 1, run) for j, run in enumerate(runs)]
+                        else:
+                            parts = [(g, s, k, b" ".join(words))]
+                        for key, at, size, run in parts:
+                            known = first.setdefault((key, run), own) < own
+                            out.append((key, own, versions[a + i], at, size, None if known else run, known))
                 columns = list(zip(*out)) or [()] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _PIECE_TYPES)], names=["gram", "doc_id", "version", "start", "n", "words", "known"])
 
@@ -200,11 +234,11 @@ def _covered(width: int):
     return stream
 
 
-def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13) -> DataFrame:
+def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, hot: int = HOT, sample: int = SAMPLE) -> DataFrame:
     """``doc_id, n_words, n_removed, text`` of every row; ``text``: the words that are left, joined by one blank."""
     named = texts(docs, id_col, text_col).withColumn("version", F.xxhash64("text"))
     rows = named.where("doc_id IS NOT NULL")
-    shards = _repeated_pieces(rows, width).repartition(_spread("gram")).sortWithinPartitions("known", "gram", "doc_id")
+    shards = _repeated_pieces(rows, width, hot, sample).repartition(_spread("gram")).sortWithinPartitions("known", "gram", "doc_id")
     cuts = shards.mapInArrow(_covered(width), RANGES).groupBy("doc_id").agg(F.collect_list(F.struct("version", "first", "last")).alias("cuts"))
 
     @F.arrow_udf("struct<n_words:bigint,n_removed:bigint,text:string>")
