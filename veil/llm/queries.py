@@ -17,6 +17,7 @@ from veil.llm.registry import ORACLES, QUERIES, query
 from veil.llm.substring_dedup import drop_repeated_spans
 from veil.llm.token_files import read_token_files, write_token_files
 from veil.llm.url_filter import filter_urls
+from veil.llm import vector_queries  # noqa: F401  registers its own
 
 WORD_BPE = "word_bpe_49k.json"
 END_ID = 1
