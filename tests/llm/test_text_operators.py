@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import warnings
 import zlib
 from collections import Counter
 from hashlib import sha256
@@ -13,7 +14,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from veil.llm import near_dedup, substring_dedup
+from veil.llm import mixing, near_dedup, substring_dedup
 from veil.llm.chat_tree import chat_trees, escape, marks, parse, unescape, write_chat_trees
 from veil.llm.common import shared_path, table
 from veil.llm.components import components
@@ -168,6 +169,41 @@ def test_mix_reaches_each_target(spark):
     assert all(abs(reached - w) <= 0.01 * w and abs(w - wanted[d]) <= 1e-6 * w for d, (reached, w) in totals.items())
 
 
+def test_default_rates_by_force(spark, monkeypatch):
+    """The default path recomputed, at reachable targets and at a tenth of what the data allow for the toxic ones; passes are counted."""
+    passes, sums = [], mixing._sums
+    monkeypatch.setattr(mixing, "_sums", lambda *a: passes.append(1) or sums(*a))
+    rng = np.random.default_rng(8)
+    p = np.concatenate([rng.dirichlet([9, 1, 0.02, 0.01], 900), rng.dirichlet([0.2, 0.3, 9, 0.3], 80), rng.dirichlet([0.2, 0.3, 0.3, 9], 20)])
+    t = rng.integers(0, 300, 1000)
+    features = spark.createDataFrame([(int(n), [float(x) for x in q]) for n, q in zip(t, p)], "n_tokens bigint, posteriors array<double>")
+    own = (p * t[:, None]).sum(0)
+    floor = (p * t[:, None])[:900].sum(0)[2:] * 1.5  # what spills over clean rows
+    for share, reachable in ((1.0, True), (0.1, False)):
+        passes.clear()
+        targets = [own[0], own[1], floor[0] * share, floor[1] * share]
+        with warnings.catch_warnings(record=True) as said:
+            warnings.simplefilter("always")
+            steps, reached, wanted = fit_rates(features, targets, budget=1.2, whole=[True, True, False, False])
+        assert len(passes) <= 15 and any("instead of" in str(w.message) for w in said) != reachable
+        r = np.ones(1000)
+        for s in steps:
+            r = np.maximum(0, r - p @ np.array(s))
+        assert np.allclose((p * (t * r)[:, None]).sum(0), reached, rtol=1e-6)
+        if reachable:
+            assert np.allclose(reached, wanted, rtol=1e-2)
+        else:
+            assert abs(reached[0] - wanted[0]) <= 0.15 * wanted[0]
+
+
+def test_one_hot_group_of_copies_is_mixed_whole(spark):
+    rows = [(i, "same words here fine" if i % 3 else f"badword text {i} badder") for i in range(600)]
+    labels = spark.createDataFrame([(i, "good" if i % 3 else "bad") for i in range(0, 600, 2)], "doc_id bigint, domain string")
+    out = mix(docs_of(spark, rows), labels, {"good": 0.9, "bad": 0.1}, budget=1.0)
+    rates = {r[0] for r in out.where("doc_id % 3 <> 0").select("mix.rate").collect()}
+    assert len(rates) == 1 and out.count() == 600
+
+
 def test_unreachable_targets_warn(spark):
     features = spark.createDataFrame([(10, [0.9, 0.1]), (20, [0.6, 0.4])], "n_tokens bigint, posteriors array<double>")
     with pytest.warns(UserWarning, match="instead of"):

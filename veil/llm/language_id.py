@@ -122,9 +122,9 @@ def _logs(counts: DataFrame, key: str, langs: list[str], most: int, alpha: float
     totals = counts.groupBy("lang").agg(F.sum("n").alias("all"))
     of = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(langs)]
     rated = counts.join(F.broadcast(totals), "lang").groupBy(key).agg(F.max(F.col("n") / F.col("all")).alias("share"), *of)
-    rows = rated.orderBy(F.desc("share"), key).limit(most).drop("share").collect()
-    found = np.array([r[1:] for r in rows], dtype=np.float64).reshape(len(rows), len(langs))
-    return [r[0] for r in rows], np.log((found + alpha) / (found.sum(axis=0) + alpha * max(1, len(rows)))).astype(np.float32)
+    rows = rated.orderBy(F.desc("share"), key).limit(most).drop("share").toArrow()  # columns: no object a row on the driver
+    found = np.column_stack([np.asarray(rows.column(f"n{i}"), dtype=np.float64) for i in range(len(langs))])
+    return rows.column(key).to_pylist(), np.log((found + alpha) / (found.sum(axis=0) + alpha * max(1, rows.num_rows))).astype(np.float32)
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_rows: int = 30_000, max_words: int = 50_000,

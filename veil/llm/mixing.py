@@ -4,12 +4,13 @@
    ``max_tokens`` that tell most about the domain are kept among those of ``lift`` times their usual share in one; a document gets a posterior share of each domain (naive Bayes
    over presence and absence). Fitting reads at most ``max_rows`` labelled rows, chosen by a hash of their id.
 2. Every document gets a rate, the expected number of its copies. With p its posteriors and t its tokens, domain totals
-   are A r = sum t p r, and rates minimise the squared distance of A r from the targets, measured by the inverse of
-   G = sum t p p'. Projected gradient steps r <- max(0, r - p . G^-1 (A r - target)) from r = 1 get there, but for small domains
-   only in thousands of rounds. The rates that reach the targets nearest to 1 are max(0, 1 - p . m) with one multiplier a domain,
-   and Newton's method finds these: a pass sums the totals and the G of the documents of positive rate, a few dozen
-   numbers, until each domain is within ``close`` of its own target. A document's rate follows from the K multipliers, so no
-   rates are stored or joined between passes. Totals that no rates reach are approached as far as they go, with a warning.
+   are A r = sum t p r, and rates minimise the squared distance of A r from the targets over r >= 0. Projected gradient from
+   r = 1: r <- max(0, r - p . G^-1 (A r - target)), with the metric G = sum t p p' over the documents whose rate is positive, so that a
+   step is as long in a small domain as in a large one and is exact where no rate meets zero. A pass sums the totals and the next G,
+   a few dozen numbers. Rates follow from the posteriors and the steps so far (K numbers each), so none are stored or
+   joined between passes. Passes end when each domain is within ``close`` of its own target, or when ``PATIENCE`` of them have not halved the
+   sum of squared gaps, each relative to its target: then no rates reach the targets, and the nearest totals found are taken, with a warning;
+   ``mix_with_totals`` returns reached and wanted totals.
 3. ``copies`` is the rate rounded up or down by a hash of the id, so that its expected value is the rate.
 
 Null text has no tokens and counts for nothing, its rate follows from the posteriors of an empty text. Rows are judged one by one:
@@ -23,6 +24,7 @@ import math
 import warnings
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,19 +97,13 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], max_ro
     return DomainModel(domains, base, [r["word"] for r in best], weights)
 
 
-def _solved(matrix: list[list[float]], right: list[float]) -> list[float]:
-    """Of a small positive matrix, made safe against domains without documents."""
-    k = len(right)
-    ridge = 1e-9 * sum(matrix[i][i] for i in range(k)) or 1.0
-    rows = [[*(matrix[i][j] + (ridge if i == j else 0.0) for j in range(k)), right[i]] for i in range(k)]
-    for i in range(k):
-        pivot = max(range(i, k), key=lambda r: abs(rows[r][i]))
-        rows[i], rows[pivot] = rows[pivot], rows[i]
-        rows[i] = [v / rows[i][i] for v in rows[i]]
-        for r in range(k):
-            if r != i:
-                rows[r] = [a - rows[r][i] * b for a, b in zip(rows[r], rows[i])]
-    return [row[k] for row in rows]
+def _step(gram: list[list[float]], active: list[list[float]], gaps: list[float]) -> list[float]:
+    """K numbers s for r <- r - p . s: in the measure of ``gram`` the totals come as near to their targets as the active documents allow."""
+    g = np.array(gram)
+    root = np.linalg.cholesky(g + np.eye(len(g)) * (1e-12 * np.trace(g)))  # safe against domains without documents
+    inner = np.linalg.solve(root, np.linalg.solve(root, np.array(active)).T)
+    found = np.linalg.lstsq(inner, np.linalg.solve(root, np.array(gaps)), rcond=1e-9)[0]
+    return [float(v) for v in np.linalg.solve(root.T, found)]
 
 
 def rate(posteriors: Column, steps: list[list[float]]) -> Column:
@@ -129,62 +125,44 @@ def _sums(features: DataFrame, k: int, steps: list[list[float]]) -> tuple[float,
     return values[0], values[1:1 + k], [values[1 + k + i * k:1 + k + i * k + k] for i in range(k)]
 
 
-def _times(matrix: list[list[float]], vector: list[float]) -> list[float]:
-    return [sum(a * b for a, b in zip(row, vector)) for row in matrix]
+PATIENCE = 3
 
 
-_PULL = 1e-8  # towards rate 1, so that the multipliers stay finite where no rates reach the targets
-
-
-def fit_rates(features: DataFrame, targets: list[float], budget: float = 1.0, rounds: int | None = None, close: float = 1e-3, passes: int = 100, whole: list[bool] | None = None) -> tuple[list[list[float]], list[float], list[float]]:
+def fit_rates(features: DataFrame, targets: list[float], budget: float = 1.0, rounds: int | None = None, close: float = 1e-3, whole: list[bool] | None = None) -> tuple[list[list[float]], list[float], list[float]]:
     """Steps, reached totals and wanted totals; ``features``: n_tokens, posteriors.
 
-    One step of multipliers by Newton's method, in ``passes`` passes at most; with ``rounds`` that many plain projected gradient
-    steps at most. Ends when each domain is within ``close`` of its own target (of a ten-thousandth of all tokens, if that is more).
+    Ends when each domain is within ``close`` of its own target (of a ten-thousandth of all tokens, if that is more), or when
+    passes gain no more. With ``rounds`` that many steps at most, all in the metric of all documents.
     ``whole``: domains whose wanted total is at least what they have at rate 1; the budget grows by the difference.
     """
     k = len(targets)
     total, reached, gram = _sums(features, k, [])
     wanted = [budget * total * w / (sum(targets) or 1.0) for w in targets]
     wanted = [max(w, own) if keep else w for w, own, keep in zip(wanted, reached, whole or [False] * k)]
-
-    def near(gaps: list[float]) -> bool:
-        return total == 0 or all(abs(g) <= close * max(w, 1e-4 * total) for g, w in zip(gaps, wanted))
-
+    if total == 0:
+        return [], reached, wanted
+    scale = [max(w, 1e-4 * total) for w in wanted]
     steps: list[list[float]] = []
-    gaps = [a - b for a, b in zip(reached, wanted)]
-    if rounds is not None:
-        while not near(gaps) and len(steps) < rounds:
-            steps.append(_solved(gram, gaps))
-            reached = _sums(features, k, steps)[1]
-            gaps = [a - b for a, b in zip(reached, wanted)]
-        return steps, reached, wanted
-
-    # Minimises sum t r r / 2 + wanted . m + _PULL m' G m / 2, which is convex in m; its slope is the gap of the totals.
-    pull = [[_PULL * v for v in row] for row in gram]
-    point, value, active, used = [0.0] * k, total / 2, gram, 1
-    while not near(gaps):
-        slope = [p - g for p, g in zip(_times(pull, point), gaps)]
-        if near(slope):
-            break
-        move = _solved([[a + b for a, b in zip(x, y)] for x, y in zip(active, pull)], [-v for v in slope])
-        fall, part = sum(a * b for a, b in zip(slope, move)), 1.0
-        while used < passes:
-            trial = [a + part * b for a, b in zip(point, move)]
-            mass, sums, grams = _sums(features, k, [trial])
-            found = mass / 2 + sum(a * b for a, b in zip(wanted, trial)) + sum(a * b for a, b in zip(trial, _times(pull, trial))) / 2
-            used += 1
-            if found <= value + 1e-4 * part * fall + 1e-13 * abs(value):
-                point, value, reached, active = trial, found, sums, grams
-                break
-            part /= 2
-        else:
-            break
+    tried: list[list[float]] = []
+    off: list[float] = []
+    active = gram
+    while True:
         gaps = [a - b for a, b in zip(reached, wanted)]
-        steps = [point]
-    if not near(gaps):
-        warnings.warn(f"rates reach the totals {reached} instead of {wanted}", stacklevel=2)
-    return steps, reached, wanted
+        tried.append(reached)
+        off.append(sum((g / s) ** 2 for g, s in zip(gaps, scale)))
+        if all(abs(g) <= close * s for g, s in zip(gaps, scale)):
+            return steps, reached, wanted
+        if rounds is not None and len(steps) >= rounds or rounds is None and len(off) > PATIENCE and min(off[-PATIENCE:]) > min(off[:-PATIENCE]) / 2:
+            break
+        steps.append(_step(gram, active, gaps))
+        _, reached, active = _sums(features, k, steps)
+        if rounds is not None:
+            active = gram
+    # The first of those that are as near as any, but for rounding.
+    best = len(steps) if rounds is not None else next(i for i, o in enumerate(off) if o <= min(off) * (1 + 1e-9))
+    reached = tried[best]
+    warnings.warn(f"rates reach the totals {reached} instead of {wanted}", stacklevel=2)
+    return steps[:best], reached, wanted
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float = 1.0, id_col: str = "doc_id", text_col: str = "text", out: str = "mix", whole: tuple[str, ...] = ()) -> DataFrame:
