@@ -106,6 +106,12 @@ def _step(gram: list[list[float]], active: list[list[float]], gaps: list[float])
     return [float(v) for v in np.linalg.solve(root.T, found)]
 
 
+def _distance(gram: list[list[float]], gaps: list[float]) -> float:
+    """What the steps lessen: the squared distance from the targets in the measure of ``gram``."""
+    g = np.array(gram)
+    return float(np.array(gaps) @ np.linalg.solve(g + np.eye(len(g)) * (1e-12 * np.trace(g)), np.array(gaps)))
+
+
 def rate(posteriors: Column, steps: list[list[float]]) -> Column:
     """A document's rate after these steps."""
     if not steps:
@@ -143,12 +149,12 @@ def fit_rates(features: DataFrame, targets: list[float], budget: float = 1.0, ro
         return [], reached, wanted
     scale = [max(w, 1e-4 * total) for w in wanted]
     steps: list[list[float]] = []
-    tried: list[list[float]] = []
+    tried: list[tuple[float, list[float]]] = []
     off: list[float] = []
     active = gram
     while True:
         gaps = [a - b for a, b in zip(reached, wanted)]
-        tried.append(reached)
+        tried.append((_distance(gram, gaps), reached))
         off.append(sum((g / s) ** 2 for g, s in zip(gaps, scale)))
         if all(abs(g) <= close * s for g, s in zip(gaps, scale)):
             return steps, reached, wanted
@@ -159,8 +165,9 @@ def fit_rates(features: DataFrame, targets: list[float], budget: float = 1.0, ro
         if rounds is not None:
             active = gram
     # The first of those that are as near as any, but for rounding.
-    best = len(steps) if rounds is not None else next(i for i, o in enumerate(off) if o <= min(off) * (1 + 1e-9))
-    reached = tried[best]
+    near = min(d for d, _ in tried) * (1 + 1e-9)
+    best = len(steps) if rounds is not None else next(i for i, (d, _) in enumerate(tried) if d <= near)
+    reached = tried[best][1]
     warnings.warn(f"rates reach the totals {reached} instead of {wanted}", stacklevel=2)
     return steps[:best], reached, wanted
 
