@@ -97,6 +97,14 @@ def stage_durations(telemetry: DataFrame) -> DataFrame:
     ).select("run_id", "_s.stage", "_s.ms")
 
 
+def windows(events: DataFrame, window: str = "1 minute", kind: str = "event_type", value: str = "value", error: str = "error") -> DataFrame:
+    """Z2 in batch: per tumbling window and type the rows, the smallest values that half and 95 % of the values reach, and errors."""
+    at = lambda share: F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY `{value}`)")
+    return events.groupBy(F.window(F.col("ts").cast("timestamp"), window), kind).agg(
+        F.count(F.lit(1)).alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.count_if(F.col(kind) == error).alias("errors")).select(
+        F.col("window.start").alias("window_start"), kind, "n", "p50", "p95", "errors")
+
+
 # --- rate limiting --------------------------------------------------------------------
 
 def rate_limit(requests: DataFrame, per_min, key: str = "key", ts_ms: str = "ts_ms", ident: str = "id",
