@@ -32,6 +32,8 @@ class Rule:
     values: tuple = ()
     pattern: str | None = None
     item: "Contract | None" = None
+    # a text or identifier that matches this breaks the rule
+    never: str | None = None
 
 
 @dataclass(frozen=True)
@@ -85,11 +87,15 @@ def _ok(r: Rule, x: str) -> str:
             parts.append(f"length(trim({_text(x)})) >= {int(r.low)}")
         if r.safe:
             parts.append(f"NOT rlike({_text(x)}, {S.lit('(?i)' + _SAFE)})")
+        if r.pattern:
+            parts.append(S.rlike(_text(x), r.pattern))
+        if r.never:
+            parts.append(f"NOT rlike({_text(x)}, {S.lit(r.never)})")
         return " AND ".join(parts)
     if r.kind == "enum":
         return f"{_is_string(x)} AND {_text(x)} IN ({S.names(r.values)})"
     if r.kind == "regex":
-        return f"{_is_string(x)} AND {S.rlike(_text(x), r.pattern)}"
+        return f"{_is_string(x)} AND {S.rlike(_text(x), r.pattern)}" + (f" AND NOT rlike({_text(x)}, {S.lit(r.never)})" if r.never else "")
     if r.kind in ("number", "int"):
         parts = [_is_number(x)]
         if r.low is not None:
@@ -290,63 +296,118 @@ TASK_REQUEST = Contract(("protocolVersion", "goal", "contextUrl", "maxParallel",
     Rule("privacyTier", "enum", "invalid_privacy_tier", values=("strict_dpdp", "standard")),
 ))
 
-ACTION_KINDS = ("observe", "click", "type", "select", "scroll", "hover", "drag_and_drop", "upload_file", "wait", "navigate",
-                "web_search", "switch_tab", "batch", "request_user_input", "request_user_confirmation", "finish")
-TARGETED = ("click", "type", "select", "hover")
+# Action proposals. Kinds, keys and patterns as they are published.
+ACTION_KINDS = ("observe", "navigate", "click", "hover", "type", "select", "drag_and_drop", "upload_file", "scroll", "wait", "extract", "answer",
+                "request_user_confirmation", "request_user_input", "batch", "spawn_subagents", "web_search", "finish", "blocked")
 RISKS = ("safe", "protected", "blocked")
-ACTION_KEYS = ("actionId", "objectiveId", "kind", "confidence", "risk", "rationale", "reasoning", "reply", "thought",
-               "semanticMatchReason", "fallbackStrategy", "completionEvidence", "expectedState", "expectedPostcondition",
-               "scrollDirection", "targetLocalId", "destinationLocalId", "tabId", "fileName", "fileData", "mimeType",
-               "coordinates", "textToType", "selectOptionValue", "url", "targetUrl", "createNewTab", "searchQuery",
-               "searchResults", "userApproved", "pressEnter", "userInputPrompt", "inputKey", "batchActions")
+DIRECTIONS = ("up", "down", "top", "bottom")
+ACTION_KEYS = ("actionId", "objectiveId", "kind", "targetLocalId", "destinationLocalId", "confidence", "risk", "rationale", "expectedState",
+               "expectedPostcondition", "semanticMatchReason", "fallbackStrategy", "completionEvidence", "textToType", "fileName", "fileData",
+               "mimeType", "selectOptionValue", "scrollDirection", "tabId", "userApproved", "pressEnter", "extractedData", "extractSchema",
+               "extractLimit", "containerSelector", "extractedItems", "answerText", "reply", "message", "reasoning", "thought", "batchActions",
+               "userInputPrompt", "inputKey", "subTasks", "coordinates", "url", "targetUrl", "createNewTab", "description", "targetName",
+               "elementText", "searchQuery", "searchResults")
 ATOMIC_KINDS = ("click", "hover", "type", "select", "drag_and_drop", "upload_file", "scroll", "wait", "observe", "extract", "answer",
                 "request_user_input", "navigate")
 ATOMIC_KEYS = ("actionId", "kind", "targetLocalId", "destinationLocalId", "textToType", "selectOptionValue", "scrollDirection", "pressEnter",
                "fileName", "userInputPrompt", "inputKey", "reply", "reasoning", "rationale", "userApproved", "coordinates", "confidence", "risk",
                "prompt", "message", "thought", "url", "targetUrl", "createNewTab", "description", "searchQuery")
+FALLBACKS = ("reperceive", "wait_for_hydration", "retry_target", "scroll_to_target", "navigate_fallback", "refresh_once", "request_user_input", "fail_safe")
+EVIDENCE = ("url", "element", "text", "input_value", "dialog", "attribute", "scroll", "visual_change")
+# What a postcondition of each kind may say besides its kind.
+POSTCONDITIONS = {
+    "dialog_visible": ("dialogId",), "panel_visible": ("namePattern",), "element_visible": ("targetLocalId", "namePattern"),
+    "element_count_changed": ("minimumDelta",), "visual_change": ("minimumChangeRatio",), "map_location_changed": ("locationPattern",),
+    "search_results_visible": ("queryPattern",), "content_visible": ("textPattern",), "url_changed": ("expectedPathFragment",),
+    "attribute_changed": ("attributeName", "expectedValue"), "value_present": ("expectedValueFragment",), "select_changed": ("expectedOptionValue",),
+    "status_changed": ("statusId",), "scroll_changed": ("direction",), "visibility_changed": ("targetLocalId", "state"), "answer_supported": ("queryTopic",),
+}
+WATCHED_ATTRIBUTES = ("aria-expanded", "aria-checked", "aria-selected", "disabled", "open", "class")
+_W = r"[A-Za-z0-9_]"
+_SCRIPT = rf"(?i)<script(?!{_W})|javascript:|vbscript:|data:text/html|(?<!{_W})on{_W}+\s*=|(?<!{_W})eval\s*\(|(?<!{_W})expression\s*\("
+_LINK = r"https?://|ftp://|file://|wss?://|blob:|data:"
+_SELECTOR = rf"^\s*[#.]|//|(?<!{_W})xpath(?!{_W})|(?<!{_W})contains\s*\(|(?<!{_W})text\s*\(\s*\)|[\[\]>+~:]"
+_NO_LINK = f"{_SCRIPT}|{_LINK}"
+_NO_SELECTOR = f"{_NO_LINK}|{_SELECTOR}"
+
+
+def _postcondition() -> tuple:
+    at = "expectedPostcondition."
+    value = lambda k: f"try_variant_get({{v}}, '$.{at}{k}', 'variant')"
+    text = lambda k: f"try_variant_get({{v}}, '$.{at}{k}', 'string')"
+    there = "try_variant_get({v}, '$.expectedPostcondition', 'variant')"
+    kind = f"coalesce({text('kind')}, '')"
+    extra = " OR ".join(f"({kind} = '{name}' AND size(array_except({_keys(there)}, array('kind', {S.names(keys)}))) > 0)" for name, keys in POSTCONDITIONS.items())
+    number = lambda key, low, high: f"({value(key)} IS NOT NULL AND NOT coalesce({_ok(Rule('', 'number', '', low=low, high=high), value(key))}, false))"
+    said = "(" + " OR ".join(f"coalesce({_is_string(value(key))} AND rlike({text(key)}, {S.lit(_NO_SELECTOR)}), false)" for key in sorted({"kind", *(x for v in POSTCONDITIONS.values() for x in v)})) + ")"
+    broken = (("unknown_postcondition_kind", f"NOT ({kind} IN ({S.names(tuple(POSTCONDITIONS))}))"), ("unknown_postcondition_property", f"({extra})"),
+              ("invalid_minimum", f"({number('minimumDelta', 1, None)} OR {number('minimumChangeRatio', 0, 1)})"),
+              ("invalid_attribute", f"({kind} = 'attribute_changed' AND NOT coalesce({text('attributeName')} IN ({S.names(WATCHED_ATTRIBUTES)}), false))"),
+              ("invalid_direction", f"({kind} = 'scroll_changed' AND NOT coalesce({text('direction')} IN ({S.names(DIRECTIONS)}), false))"),
+              ("invalid_visibility", f"({kind} = 'visibility_changed' AND NOT coalesce({text('state')} IN ('visible', 'hidden'), false))"),
+              ("unsafe_postcondition", said))
+    return tuple((reason, f"{there} IS NOT NULL AND {sql}") for reason, sql in broken)
+
+
+def _says_within(kind: str, reason: str, value: str, most: int) -> tuple[str, str]:
+    """A kind needs a text of 1 to ``most`` characters."""
+    return reason, f"{_SUB.format('kind')} = '{kind}' AND (coalesce(length({value}), 0) NOT BETWEEN 1 AND {most} OR rlike({value}, {S.lit(_SCRIPT)}))"
+
+
 _SUB = "try_variant_get({{v}}, '$.{0}', 'string')"
+_URL = f"coalesce(nullif({_SUB.format('url')}, ''), {_SUB.format('targetUrl')})"
+_TARGETED = "('click', 'hover', 'type', 'select', 'upload_file')"
+_NEEDS = (_says_within("type", "missing_text", _SUB.format("textToType"), 500), _says_within("select", "missing_option", _SUB.format("selectOptionValue"), 200),
+          _says_within("navigate", "missing_url", _URL, 2000))
 ATOMIC = Contract(ATOMIC_KEYS, (
     Rule("actionId", "regex", "invalid_action_id", required=True, pattern=RUN_ID),
     Rule("kind", "enum", "invalid_kind", required=True, values=ATOMIC_KINDS),
-    Rule("targetLocalId", "regex", "invalid_target", pattern=LOCAL_ID),
-    Rule("scrollDirection", "enum", "invalid_scroll_direction", values=("up", "down", "top", "bottom")),
+    Rule("targetLocalId", "regex", "invalid_target", pattern=LOCAL_ID, never=_SELECTOR),
+    Rule("scrollDirection", "enum", "invalid_scroll_direction", values=DIRECTIONS),
     Rule("rationale", "string", "invalid_rationale", max_len=500),
-), checks=(
-    ("missing_target", f"{_SUB.format('kind')} IN ('click', 'hover', 'type', 'select', 'upload_file') AND coalesce({_SUB.format('targetLocalId')}, '') = ''"),
-    *[(reason, f"{_SUB.format('kind')} = '{kind}' AND (coalesce(length({value}), 0) NOT BETWEEN 1 AND {most} OR rlike({value}, {S.lit('(?i)' + _SAFE)}))")
-      for kind, reason, value, most in (
-          ("type", "missing_text", _SUB.format("textToType"), 500), ("select", "missing_option", _SUB.format("selectOptionValue"), 200),
-          ("navigate", "missing_url", f"coalesce(nullif({_SUB.format('url')}, ''), {_SUB.format('targetUrl')})", 2000))],
-))
+), checks=(("missing_target", f"{_SUB.format('kind')} IN {_TARGETED} AND coalesce({_SUB.format('targetLocalId')}, '') = ''"), *_NEEDS))
 ACTION = Contract(ACTION_KEYS, (
-    Rule("actionId", "regex", "invalid_action_id", required=True, pattern=RUN_ID),
+    Rule("actionId", "regex", "invalid_action_id", required=True, pattern=RUN_ID, never=_NO_LINK),
     Rule("objectiveId", "regex", "invalid_objective_id", pattern=RUN_ID),
     Rule("kind", "enum", "invalid_kind", required=True, values=ACTION_KINDS),
     Rule("confidence", "number", "invalid_confidence", required=True, low=0, high=1),
     Rule("risk", "enum", "invalid_risk", required=True, values=RISKS),
-    Rule("rationale", "string", "invalid_rationale", required=True, max_len=1000, safe=True),
-    Rule("reasoning", "string", "invalid_reasoning", max_len=5000, safe=True),
-    Rule("reply", "string", "invalid_reply", max_len=5000, safe=True),
-    Rule("semanticMatchReason", "string", "invalid_match_reason", max_len=1000, safe=True),
-    Rule("expectedState", "string", "invalid_expected_state", max_len=500, safe=True),
+    Rule("rationale", "string", "invalid_rationale", required=True, max_len=1000, never=_NO_LINK),
+    Rule("reasoning", "string", "invalid_reasoning", max_len=5000, never=_NO_LINK),
+    Rule("reply", "string", "invalid_reply", max_len=5000, never=_NO_LINK),
+    Rule("semanticMatchReason", "string", "invalid_match_reason", max_len=1000, never=_NO_LINK),
+    Rule("expectedState", "string", "invalid_expected_state", max_len=500, never=_NO_LINK),
     Rule("expectedPostcondition", "object", "invalid_postcondition"),
-    Rule("scrollDirection", "enum", "invalid_scroll_direction", values=("up", "down", "top", "bottom")),
-    Rule("destinationLocalId", "regex", "invalid_destination", pattern=LOCAL_ID),
+    Rule("scrollDirection", "enum", "invalid_scroll_direction", values=DIRECTIONS),
+    Rule("destinationLocalId", "regex", "invalid_destination", pattern=LOCAL_ID, never=_SELECTOR),
     Rule("tabId", "int", "invalid_tab_id", low=0),
-    Rule("fileName", "string", "invalid_file_name", low=1, max_len=255, safe=True),
-    Rule("targetLocalId", "regex", "invalid_target", pattern=LOCAL_ID),
-    Rule("coordinates", "numbers", "invalid_coordinates", low=2, high=2, values=(-1e9, 1e9)),
-    Rule("textToType", "string", "invalid_text", max_len=500, safe=True),
-    Rule("selectOptionValue", "string", "invalid_option", max_len=200, safe=True),
-    Rule("url", "string", "invalid_url", max_len=2000, safe=True),
-    Rule("targetUrl", "string", "invalid_url", max_len=2000, safe=True),
-    Rule("createNewTab", "bool", "invalid_flag"), Rule("userApproved", "bool", "invalid_flag"),
-    Rule("pressEnter", "bool", "invalid_flag"),
-    Rule("searchQuery", "string", "invalid_search_query", max_len=500, safe=True),
-    Rule("userInputPrompt", "string", "invalid_prompt", max_len=500, safe=True),
+    Rule("fileName", "string", "invalid_file_name", max_len=255, pattern=r"^(?s:.+)\z", never=rf"{_SCRIPT}|\.\.|[/\\]"),
+    Rule("fileData", "string", "invalid_file_data", max_len=5 * 1024 * 1024),
+    Rule("mimeType", "string", "invalid_mime_type", max_len=100, pattern=r"^[a-zA-Z0-9.+/-]+\z"),
+    Rule("targetLocalId", "regex", "invalid_target", pattern=LOCAL_ID, never=_SELECTOR),
+    Rule("coordinates", "numbers", "invalid_coordinates", low=2, high=2, values=(-1e308, 1e308)),
+    Rule("textToType", "string", "invalid_text", max_len=500, never=_SCRIPT),
+    Rule("selectOptionValue", "string", "invalid_option", max_len=200, never=_SCRIPT),
+    Rule("url", "string", "invalid_url", max_len=2000, never=_SCRIPT),
+    Rule("targetUrl", "string", "invalid_url", max_len=2000, never=_SCRIPT),
+    Rule("createNewTab", "bool", "invalid_flag"),
+    Rule("searchQuery", "string", "invalid_search_query", max_len=500, never=_SCRIPT),
+    Rule("searchResults", "array", "invalid_search_results"),
+    Rule("userApproved", "bool", "invalid_flag"), Rule("pressEnter", "bool", "invalid_flag"),
+    Rule("userInputPrompt", "string", "invalid_prompt", max_len=500, never=_NO_LINK),
     Rule("inputKey", "regex", "invalid_input_key", pattern=r"^[a-zA-Z0-9_-]{1,100}\z"),
     Rule("batchActions", "array", "invalid_batch", low=1, high=10, item=ATOMIC),
+), checks=(
+    *_postcondition(),
+    ("missing_target", f"{_SUB.format('kind')} IN {_TARGETED} AND coalesce({_SUB.format('targetLocalId')}, '') = '' AND NOT ({_SUB.format('kind')} = 'click' AND {_get('{v}', 'coordinates')} IS NOT NULL)"),
+    ("missing_target", f"{_SUB.format('kind')} = 'drag_and_drop' AND (coalesce({_SUB.format('targetLocalId')}, '') = '' OR coalesce({_SUB.format('destinationLocalId')}, '') = '')"),
+    ("missing_file_name", f"{_SUB.format('kind')} = 'upload_file' AND coalesce({_SUB.format('fileName')}, '') = ''"),
+    *_NEEDS,
+    _says_within("web_search", "missing_query", _SUB.format("searchQuery"), 500),
+    ("missing_batch", f"{_SUB.format('kind')} = 'batch' AND {_get('{v}', 'batchActions')} IS NULL"),
 ))
+# Which capability an action needs of its target, where the target lists any; one of them is enough.
+NEEDED_CAPABILITY = {"click": ("click",), "type": ("type",), "select": ("select",), "hover": ("hover", "click"), "drag_and_drop": ("drag", "click"), "upload_file": ("upload", "type")}
 # ---------------------------------------------------------------------------
 
 
@@ -384,32 +445,52 @@ def validate_conversations(turns: DataFrame, key: str = "conv_id") -> tuple[Data
     return turns.join(bad, key, "left_anti"), tagged.filter("reason IS NOT NULL")
 
 
-def validate_actions(actions: DataFrame, elements: DataFrame, col: str = "proposal", key: str = "page_id") -> tuple[DataFrame, DataFrame]:
-    """V4: V1 rules, also for the members of a batch, what each kind needs, and every target and destination must be an element of the same page."""
-    v = "_v"
-    text = lambda p: f"try_variant_get({v}, '$.{p}', 'string')"
-    needs = f"""CASE
-        WHEN {text('kind')} IN ({S.names(TARGETED)}) AND {text('targetLocalId')} IS NULL AND {_get(v, 'coordinates')} IS NULL THEN 'missing_target'
-        WHEN {text('kind')} = 'drag_and_drop' AND ({text('targetLocalId')} IS NULL OR {text('destinationLocalId')} IS NULL) THEN 'missing_target'
-        WHEN {text('kind')} = 'upload_file' AND {text('fileName')} IS NULL THEN 'missing_file_name'
-        WHEN {text('kind')} = 'type' AND coalesce(length({text('textToType')}), 0) = 0 THEN 'missing_text'
-        WHEN {text('kind')} = 'select' AND coalesce(length({text('selectOptionValue')}), 0) = 0 THEN 'missing_option'
-        WHEN {text('kind')} = 'navigate' AND coalesce({text('url')}, {text('targetUrl')}, '') = '' THEN 'missing_url'
-        WHEN {text('kind')} = 'web_search' AND coalesce({text('searchQuery')}, '') = '' THEN 'missing_query'
-        WHEN {text('kind')} = 'batch' AND {_get(v, 'batchActions')} IS NULL THEN 'missing_batch' END"""
+def tag_actions(actions: DataFrame, elements: DataFrame, col: str = "proposal", key: str = "page_id") -> DataFrame:
+    """V4: add ``reason``, NULL for a valid proposal: V1 rules, also for the members of a batch, what each kind needs, and every target and destination must be an element of the same page.
+
+    ``elements(page_id, local_id)``; with ``caps``, a target that lists capabilities has to have one that the kind needs.
+    Named elements are looked up one by one, so a page may have any number of them.
+    """
+    text = lambda p: f"try_variant_get(_v, '$.{p}', 'string')"
     b = S.fresh("b")
-    members = f"try_variant_get({v}, '$.batchActions', 'array<variant>')"
-    named = f"""array_distinct(filter(concat(array({text('targetLocalId')}, {text('destinationLocalId')}),
-        coalesce(transform({members}, {b} -> try_variant_get({b}, '$.targetLocalId', 'string')), cast(array() as array<string>))), {b} -> {b} IS NOT NULL))"""
-    tagged = actions.withColumn("_v", F.expr(f"try_parse_json(`{col}`)")).withColumn(
-        "_r", F.expr(f"coalesce({reason_sql(v, ACTION)}, {needs})")).withColumn("_t", F.expr(named)).drop("_v")
-    # A page has few elements, so they come as one list a page.
-    known = elements.groupBy(key).agg(F.collect_set("local_id").alias("_known"))
-    missing = F.size(F.array_except("_t", F.coalesce("_known", F.array().cast("array<string>")))) > 0
-    j = tagged.join(known, key, "left").withColumn("reason", F.coalesce("_r", F.when(missing, F.lit("unknown_target")))).select(*actions.columns, "reason")
+    members = f"transform(coalesce(try_variant_get(_v, '$.batchActions', 'array<variant>'), cast(array() as array<variant>)), {b} -> try_variant_get({b}, '$.targetLocalId', 'string'))"
+    # By the order in which a proposal is judged: members, target, its capabilities (3), destination.
+    named = f"""filter(concat(transform({members}, {b} -> named_struct('rank', 1, 'id', {b})), array(named_struct('rank', 2, 'id', {text('targetLocalId')}), named_struct('rank', 4, 'id', {text('destinationLocalId')}))),
+        {b} -> {b}.id IS NOT NULL)"""
+    tagged = actions.withColumn("_v", F.expr(f"try_parse_json(`{col}`)")).withColumns(
+        {"_kind": F.expr(text("kind")), "_t": F.expr(named), "_d": F.sha2(F.col(col).cast("string"), 256)})
+    caps = F.col("caps") if "caps" in elements.columns else F.lit(None).cast("array<string>")
+    known = elements.select(F.col(key).alias("_k"), F.col("local_id").alias("_id"), caps.alias("_caps")).groupBy("_k", "_id").agg(F.max("_caps").alias("_caps"), F.lit(True).alias("_there"))
+    asked = tagged.select(F.col(key).alias("_k"), "_d", "_kind", F.explode("_t").alias("_t")).select("_k", "_d", "_kind", F.col("_t.rank").alias("_rank"), F.col("_t.id").alias("_id")).distinct()
+    lacks = F.lit(False)
+    for kind, needed in NEEDED_CAPABILITY.items():
+        lacks = lacks | ((F.col("_kind") == kind) & ~F.arrays_overlap("_caps", F.array(*map(F.lit, needed))))
+    wrong = F.when(F.col("_there").isNull(), F.col("_rank")).when((F.col("_rank") == 2) & (F.size("_caps") > 0) & lacks, F.lit(3))
+    found = asked.join(known, ["_k", "_id"], "left").groupBy("_k", "_d").agg(F.min(wrong).alias("_wrong")).where("_wrong IS NOT NULL")
+    j = tagged.join(found, tagged[key].eqNullSafe(found["_k"]) & (tagged["_d"] == found["_d"]), "left")
+    reason = F.coalesce(F.expr(reason_sql("_v", ACTION)), F.when(F.col("_wrong") == 3, F.lit("missing_capability")).when(F.col("_wrong").isNotNull(), F.lit("unknown_target")))
+    return j.withColumn("reason", reason).select(*actions.columns, "reason")
+
+
+def validate_actions(actions: DataFrame, elements: DataFrame, col: str = "proposal", key: str = "page_id") -> tuple[DataFrame, DataFrame]:
+    """V4: ``(valid, rejects + reason)``; :func:`tag_actions` gives both in one table."""
+    j = tag_actions(actions, elements, col, key)
     return j.filter("reason IS NULL").drop("reason"), j.filter("reason IS NOT NULL")
 
 
+def action_extras(actions: DataFrame, col: str = "proposal") -> DataFrame:
+    """Add ``fallback_strategy`` and ``completion_evidence``: unknown values of these two do not reject a proposal, they are left out."""
+    e = S.fresh("e")
+    one = f"try_variant_get(_v, '$.completionEvidence', 'string')"  # noqa: F541
+    several = "try_variant_get(_v, '$.completionEvidence', 'array<variant>')"
+    said = f"CASE WHEN {several} IS NOT NULL THEN transform({several}, {e} -> CASE WHEN {_is_string(e)} THEN {_text(e)} END) ELSE array({one}) END"
+    kept = f"filter(transform({said}, {e} -> lower(trim({e}))), {e} -> {e} IN ({S.names(EVIDENCE)}))"
+    fallback = "try_variant_get(_v, '$.fallbackStrategy', 'string')"
+    return actions.withColumn("_v", F.expr(f"try_parse_json(`{col}`)")).withColumns({
+        "fallback_strategy": F.expr(f"CASE WHEN {fallback} IN ({S.names(FALLBACKS)}) THEN {fallback} END"),
+        "completion_evidence": F.expr(f"CASE WHEN size({kept}) > 0 THEN {kept} END")}).drop("_v")
+
+
 # Words that decide the risk of an action.
 _BLOCKED = ("password", "otp", "captcha", "cvv", "pin")
 _BLOCKED_TYPING = ("payment", "card", "token", "secret", "sensitive", "national id", "aadhaar", "pan", "ssn")

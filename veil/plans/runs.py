@@ -333,8 +333,7 @@ def batch_actions(spark, sf):
       CASE WHEN o_orderkey % 8 = 5 THEN 'el_9' ELSE 'el_2' END, '","batchActions":[{{"actionId":"f","kind":"wait"}},', {member}, ']}}')"""
     o = table(spark, sf, "orders", heavy=True)
     elements = o.selectExpr("o_orderkey AS page_id", "explode(array('el_1', 'el_2')) AS local_id")
-    valid, rejects = payloads.validate_actions(o.selectExpr("o_orderkey AS page_id", f"{body} AS proposal"), elements)
-    return valid.select("page_id", F.lit(None).cast("string").alias("reason")).unionByName(rejects.select("page_id", "reason"))
+    return payloads.tag_actions(o.selectExpr("o_orderkey AS page_id", f"{body} AS proposal"), elements).select("page_id", "reason")
 
 
 @query("task_requests", """
@@ -346,6 +345,39 @@ def task_requests(spark, sf):
     return valid.select(F.lit("valid").alias("reason")).unionByName(rejects.select("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+# A further member of a proposal, and the reason it gives. Every published key occurs, and some that break a rule.
+ACTION_PIECES = [
+    *[(f'"{k}":{v}', None) for k, v in {
+        "objectiveId": '"o_1"', "destinationLocalId": '"el_2"', "expectedState": '"open"', "expectedPostcondition": '{"kind":"scroll_changed","direction":"up"}', "semanticMatchReason": '"same name"',
+        "fallbackStrategy": '"pray"', "completionEvidence": '["URL","dream"]', "fileData": '"AA=="', "mimeType": '"text/plain"', "scrollDirection": '"top"', "tabId": "3", "userApproved": "true",
+        "pressEnter": "false", "extractedData": '{"a":1}', "extractSchema": '{"a":"string"}', "extractLimit": "5", "containerSelector": '".x"', "extractedItems": "[]", "answerText": '"42"', "reply": '"done"',
+        "message": '"m"', "reasoning": '"because"', "thought": '"t"', "userInputPrompt": '"your name"', "inputKey": '"name"', "subTasks": '[{"goal":"g"}]', "coordinates": "[1.5,2]",
+        "targetUrl": '"https://a.example"', "createNewTab": "true", "description": '"d"', "targetName": '"Send"', "elementText": '"Send"', "searchResults": "[]"}.items()],
+    ('"switchTab":1', "unknown_property"), ('"objectiveId":"a b"', "invalid_objective_id"), ('"reasoning":"see https://a.example"', "invalid_reasoning"), ('"tabId":-1', "invalid_tab_id"),
+    ('"mimeType":"text plain"', "invalid_mime_type"), ('"searchResults":"none"', "invalid_search_results"), ('"coordinates":[1]', "invalid_coordinates"), ('"inputKey":""', "invalid_input_key"),
+    ('"expectedPostcondition":{"kind":"dreamt"}', "unknown_postcondition_kind"), ('"expectedPostcondition":{"kind":"dialog_visible","state":"x"}', "unknown_postcondition_property"),
+    ('"expectedPostcondition":{"kind":"element_count_changed","minimumDelta":0}', "invalid_minimum"), ('"expectedPostcondition":{"kind":"attribute_changed","attributeName":"onclick"}', "invalid_attribute"),
+    ('"expectedPostcondition":{"kind":"panel_visible","namePattern":"#main"}', "unsafe_postcondition"), ('"expectedPostcondition":{"kind":"visibility_changed","state":"gone"}', "invalid_visibility"),
+]
+
+
+@query("action_kinds", f"""
+SELECT o_orderkey AS page_id, CASE WHEN k = 'batch' AND r IS NULL THEN 'missing_batch' ELSE coalesce(r, CASE WHEN o_orderkey % 7 = 3 AND k = 'click' THEN 'missing_capability' END) END AS reason
+FROM (SELECT o_orderkey, [{", ".join(f"'{k}'" for k in payloads.ACTION_KINDS)}][o_orderkey % {len(payloads.ACTION_KINDS)} + 1] AS k,
+  [{", ".join(f"'{r}'" if r else "NULL" for _, r in ACTION_PIECES)}][o_orderkey // {len(payloads.ACTION_KINDS)} % {len(ACTION_PIECES)} + 1] AS r FROM orders)""")
+def action_kinds(spark, sf):
+    """V4: every published kind with every published key."""
+    arr = lambda values: "array(" + ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values) + ")"
+    kinds, n = len(payloads.ACTION_KINDS), len(ACTION_PIECES)
+    kind = f"element_at({arr(payloads.ACTION_KINDS)}, cast(o_orderkey % {kinds} + 1 as int))"
+    piece = f"element_at({arr([p for p, _ in ACTION_PIECES])}, cast(floor(o_orderkey / {kinds}) % {n} + 1 as int))"
+    dest = f"CASE WHEN {piece} LIKE '%destination%' THEN '' ELSE ',\"destinationLocalId\":\"el_2\"' END"
+    body = f"""concat('{{"actionId":"a","kind":"', {kind}, '","confidence":0.5,"risk":"safe","rationale":"r","targetLocalId":"el_1","textToType":"abc","selectOptionValue":"one","fileName":"a.txt","url":"https://b.example","searchQuery":"q"', {dest}, ',', {piece}, '}}')"""
+    o = table(spark, sf, "orders", heavy=True)
+    elements = o.selectExpr("o_orderkey AS page_id", "explode(array('el_1', 'el_2')) AS local_id", "CASE WHEN o_orderkey % 7 = 3 THEN array('type', 'select', 'hover', 'drag') END AS caps")
+    return payloads.tag_actions(o.selectExpr("o_orderkey AS page_id", f"{body} AS proposal"), elements).select("page_id", "reason")
+
+
 @query("action_validation", """
 SELECT CASE o_orderkey % 4 WHEN 0 THEN 'unknown_target' WHEN 1 THEN 'missing_text' WHEN 2 THEN 'invalid_target' ELSE 'valid' END AS reason, count(*) AS n FROM orders GROUP BY 1""")
 def action_validation(spark, sf):
