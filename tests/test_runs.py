@@ -26,9 +26,37 @@ def test_rate_limit_short_and_long_sessions(spark):
         rows.append((i % 2 if i % 7 else 0, i, t))
     df = spark.createDataFrame(rows, "key int, id int, ts_ms long")
     want = brute_windows(rows)
-    for limit in (100_000, 20):
-        got = {r.id: (r.window_start, r.count_in_window) for r in telemetry.rate_limit(df, 5, session_limit=limit).collect()}
-        assert got == want
+    got = {r.id: (r.window_start, r.count_in_window) for r in telemetry.rate_limit(df, 5).collect()}
+    assert got == want
+
+
+def test_rate_limit_over_years_and_dense_minutes(spark):
+    """Keys of text, hours that lead on into the next ones, gaps of months, times before 1970."""
+    rnd = random.Random(6)
+    rows, i = [], 0
+    for key, gaps in (("dense", [1, 2, 40]), ("even", [59_999, 60_000, 60_001]), ("rare", [3_599_000, 90_000_000, 40_000_000_000])):
+        t = -700_000_000_000 if key == "rare" else 1_700_000_000_000
+        for _ in range(2500 if key == "dense" else 900):
+            t += rnd.choice(gaps)
+            rows.append((key, i, t))
+            i += 1
+    df = spark.createDataFrame([*rows, (None, -1, 5), ("x", -2, None)], "who string, id int, at long")
+    got = {r.id: (r.window_start, r.count_in_window) for r in telemetry.rate_limit(df, 5, key="who", ts_ms="at").collect()}
+    assert got == brute_windows(rows)
+
+
+def test_rate_limit_of_a_hot_key_is_dealt_by_the_hour(spark):
+    """Nine tenths of the requests have one key: its rows are spread like all others."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(400_000).selectExpr("CASE WHEN id % 10 < 9 THEN 'hot' ELSE concat('k', id % 1000) END AS key", "id", "1700000000000 + (id * 7919) % 864000000 AS ts_ms")
+    hours = df.select("key", F.floor(F.col("ts_ms") / telemetry.HOUR_MS).alias("_b")).repartition(16, "key", "_b")
+    sizes = [r["n"] for r in hours.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 16 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+    found = telemetry.rate_limit(df, 100)
+    assert found.count() == 400_000
+    bad = found.groupBy("key", "window_start").agg(F.max("count_in_window").alias("m"), F.count("*").alias("n"), F.max("ts_ms").alias("last"), F.min("ts_ms").alias("first"))
+    assert bad.where("m <> n OR last - window_start > 60000 OR first <> window_start").count() == 0
 
 
 def test_running_and_lag_across_buckets(spark):

@@ -7,7 +7,7 @@ busy user or tenant does not end up in one task.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +17,6 @@ from veil.functions.urls import clean_url_col, free_text_col
 from veil.functions.util import first_match, trim_ws
 
 WINDOW_MS = 60_000
-SESSION_LIMIT = 5_000
 
 
 def day(ts: str) -> Column:
@@ -107,93 +106,167 @@ def windows(events: DataFrame, window: str = "1 minute", kind: str = "event_type
 
 # --- rate limiting --------------------------------------------------------------------
 
-def rate_limit(requests: DataFrame, per_min, key: str = "key", ts_ms: str = "ts_ms", ident: str = "id",
-               session_limit: int = SESSION_LIMIT) -> DataFrame:
+def rate_limit(requests: DataFrame, per_min, key: str = "key", ts_ms: str = "ts_ms", ident: str = "id") -> DataFrame:
     """Add ``window_start, count_in_window, allowed``.
 
     A window starts at a key's first request and ends with the first request more than 60 seconds
-    later, which starts the next one. ``per_min`` is a number or a column name.
+    later, which starts the next one. ``per_min`` is a number or a column name. Requests without a key or time are left out.
 
-    A request that comes more than 60 seconds after its predecessor always starts a window, so the
-    stream of a key falls into independent sessions. A session is folded over its distinct
-    milliseconds; sessions beyond ``session_limit`` of them are cut into hours first.
+    A stretch of requests is a step function from the window start it is entered with to the one it is left with. An hour of a
+    key is solved for every start it can be entered with (only its first minute's requests make a difference); functions of ``FAN`` neighbouring
+    stretches are composed to one, level by level, and what each stretch is really entered with comes back down the same tree. So
+    the requests of a key are dealt out by the hour, whatever their number, and no step holds a key as a whole.
     """
+    kt = requests.schema[key].dataType.simpleString()
     stamped = requests.withColumn("_t", F.col(ts_ms).cast("long"))
-    ticks = stamped.groupBy(key, "_t").agg(F.count(F.lit(1)).alias("_n"))
-    hour = F.floor(F.col("_t") / 3_600_000)
-    prev = lagged(ticks, [key], hour, ["_t"], ["_t"])
-    fresh = F.when(F.col("lag1__t").isNull() | (F.col("_t") - F.col("lag1__t") > WINDOW_MS), 1).otherwise(0)
-    sessions = running(prev.withColumn("_f", fresh).drop("lag1__t"), [key], hour, ["_t"], {"_session": (F.col("_f"), "sum")})
-    sized = sessions.groupBy(key, "_session").agg(F.count(F.lit(1)).alias("_size"))
-    long_ones = sized.filter(F.col("_size") > session_limit).select(key, "_session")
-    has_long = not long_ones.isEmpty()
-    short = sessions.join(long_ones, [key, "_session"], "left_anti") if has_long else sessions
-    starts = short.groupBy(key, "_session").agg(F.sort_array(F.collect_list("_t")).alias("_ts")).withColumn(
-        "_starts", F.expr(f"""aggregate(_ts, cast(array() as array<bigint>), (a, t) ->
-            CASE WHEN size(a) = 0 OR t - a[size(a) - 1] > {WINDOW_MS}L THEN concat(a, array(t)) ELSE a END)"""))
-    placed = starts.select(key, "_starts", F.explode("_ts").alias("_t")).select(
-        key, "_t", F.array_max(F.filter("_starts", lambda s: s <= F.col("_t"))).alias("window_start"))
-    if has_long:
-        placed = placed.unionByName(_long_sessions(sessions.join(long_ones, [key, "_session"], "left_semi"), key))
-    joined = stamped.join(placed, [key, "_t"])
+    ticks = stamped.select(F.col(key).alias("key"), "_t", F.floor(F.col("_t") / HOUR_MS).alias("_b")).where("key IS NOT NULL AND _t IS NOT NULL").distinct()
+    steps, states = f"key {kt}, _b long, _entry array<long>, _exit array<long>, _max long", f"key {kt}, _b long, _in long"
+    hours = ticks.repartition("key", "_b").select("key", "_b", "_t")
+    levels = [_neighbours(hours.sortWithinPartitions("key", "_b", "_t").mapInArrow(_outlines, steps))]
+    for _ in range(LEVELS):
+        levels.append(_neighbours(levels[-1].sortWithinPartitions("key", "_p", "_b").mapInArrow(_composed, steps)))
+    # Above the last level a key has one row for every few months of requests.
+    top = levels.pop().withColumn("_p", F.lit(0).cast("long")).withColumn("_in", F.lit(NEVER))
+    entered = top.repartition("key").sortWithinPartitions("key", "_b").mapInArrow(_entered, states)
+    for level in reversed(levels):
+        known = entered.select("key", F.col("_b").alias("_p"), "_in")
+        entered = level.join(known, ["key", "_p"]).select("key", "_p", "_b", "_entry", "_exit", "_max", "_in").sortWithinPartitions("key", "_p", "_b").mapInArrow(_entered, states)
+    placed = hours.join(entered, ["key", "_b"]).select("key", "_b", "_t", "_in").sortWithinPartitions("key", "_b", "_t").mapInArrow(_starts, f"key {kt}, _t long, window_start long")
+    joined = stamped.join(placed.withColumnRenamed("key", key), [key, "_t"])
     w = Window.partitionBy(key, "window_start").orderBy("_t", ident)
     limit = F.col(per_min) if isinstance(per_min, str) else F.lit(per_min)
     return joined.withColumn("count_in_window", F.row_number().over(w)).withColumn(
         "allowed", (F.col("count_in_window") == 1) | (F.col("count_in_window") <= limit)).drop("_t")
 
 
-def _last_starts(ts: np.ndarray, entries: np.ndarray) -> np.ndarray:
-    """For each entry position: the last window start that the chain from there reaches."""
-    follow = np.searchsorted(ts, ts + WINDOW_MS, side="right")
-    last = np.arange(len(ts))
-    for i in range(len(ts) - 1, -1, -1):
-        if follow[i] < len(ts):
-            last[i] = last[follow[i]]
-    return ts[last[entries]]
-
-
-def _long_sessions(ticks: DataFrame, key: str) -> DataFrame:
-    """Window starts of long sessions: hours are solved apart for every possible state they may be
-    entered with, then the hours of a session are chained, then each hour is filled in."""
-    kt = ticks.schema[key].dataType.simpleString()
-    hours = ticks.select(key, "_session", "_t", F.floor(F.col("_t") / 3_600_000).alias("_hour"))
-
-    def outline(pdf: pd.DataFrame) -> pd.DataFrame:
-        ts = np.sort(pdf["_t"].to_numpy())
-        first = int(np.searchsorted(ts, ts[0] // 3_600_000 * 3_600_000 + WINDOW_MS, side="right"))
-        entries = np.arange(min(first + 1, len(ts)))
-        out = _last_starts(ts, entries)
-        keep = np.append(out[1:] != out[:-1], True)  # only the last entry of a run with one outcome
-        row = pdf.iloc[0]
-        return pd.DataFrame({key: row[key], "_session": row["_session"], "_hour": row["_hour"],
-                             "_entry": [ts[entries[keep]].tolist()], "_exit": [out[keep].tolist()], "_max": int(ts[-1])})
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, rows = None, []
-        for r in pdf.sort_values("_hour").itertuples(index=False):
-            rows.append((r[0], r[1], r[2], state))
-            threshold = -1 if state is None else state + WINDOW_MS
-            entry, out = np.asarray(r[3]), np.asarray(r[4])
-            if r[5] > threshold:
-                state = int(out[min(int(np.searchsorted(entry, threshold, side="right")), len(out) - 1)])
-        return pd.DataFrame(rows, columns=[key, "_session", "_hour", "_in"]).astype({"_in": "Int64"})
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_t")
-        state = pdf["_in"].iloc[0]
-        current = None if pd.isna(state) else int(state)
-        starts = []
-        for t in pdf["_t"].to_numpy():
-            if current is None or t - current > WINDOW_MS:
-                current = int(t)
-            starts.append(current)
-        return pd.DataFrame({key: pdf[key], "_t": pdf["_t"], "window_start": starts})
-
-    shape = hours.groupBy(key, "_session", "_hour").applyInPandas(
-        outline, f"{key} {kt}, _session long, _hour long, _entry array<long>, _exit array<long>, _max long")
-    entered = shape.groupBy(key, "_session").applyInPandas(chain, f"{key} {kt}, _session long, _hour long, _in long")
-    return hours.join(entered, [key, "_session", "_hour"]).groupBy(key, "_session", "_hour").applyInPandas(
-        fill, f"{key} {kt}, _t long, window_start long")
+HOUR_MS, FAN, LEVELS = 3_600_000, 64, 2
+NEVER = -(1 << 62)  # the window start of a key without requests so far
+# A stretch that is entered so that its first own window starts after _entry[i - 1] and at _entry[i] or before is left with _exit[i]; a
+# window that lasts to _max or longer goes on.
+_STEP = {"_b": pa.int64(), "_entry": pa.list_(pa.int64()), "_exit": pa.list_(pa.int64()), "_max": pa.int64()}
+
+
+def _neighbours(steps: DataFrame) -> DataFrame:
+    return steps.select("key", F.floor(F.col("_b") / FAN).alias("_p"), "_b", "_entry", "_exit", "_max").repartition("key", "_p")
+
+
+class _Sorted:
+    """Sorted batches, read by stretches of equal first two columns: a key of any type, and a number."""
+
+    def __init__(self, batches):
+        self.batches, self.kind = batches, None
+
+    def __iter__(self):
+        held, rest = None, []
+        for batch in self.batches:
+            self.kind = batch.schema.field(0).type
+            if not batch.num_rows:
+                continue
+            keys = [c.to_pylist() for c in batch.columns[:2]]
+            edges = [0, *[i for i in range(1, batch.num_rows) if any(c[i] != c[i - 1] for c in keys)], batch.num_rows]
+            for first, end in zip(edges, edges[1:]):
+                at = tuple(c[first] for c in keys)
+                if held is not None and at != held:
+                    yield held, [pa.concat_arrays(c) for c in zip(*rest)]
+                    rest = []
+                held = at
+                rest.append([c.slice(first, end - first) for c in batch.columns[2:]])
+        if held is not None:
+            yield held, [pa.concat_arrays(c) for c in zip(*rest)]
+
+    def frames(self, rows, types: dict, size: int = 100_000):
+        """Rows (key, numbers or arrays of them) as batches of about ``size`` numbers."""
+        part, n = [], 0
+        for row in rows:
+            part.append(row)
+            n += sum(len(v) if isinstance(v, np.ndarray) else 1 for v in row[1:])
+            if n >= size:
+                yield self._batch(part, types)
+                part, n = [], 0
+        if part:
+            yield self._batch(part, types)
+
+    def _batch(self, part, types: dict):
+        columns = list(zip(*part))
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], self.kind), *[pa.array(c, t) for c, t in zip(columns[1:], types.values())]], ["key", *types])
+
+
+def _outlines(batches):
+    rows = _Sorted(batches)
+
+    def solved():
+        for (key, hour), (t,) in rows:
+            ts = t.to_numpy(zero_copy_only=False)
+            first = int(np.searchsorted(ts, hour * HOUR_MS + WINDOW_MS, side="right"))
+            after = np.searchsorted(ts, ts + WINDOW_MS, side="right")
+            last = np.where(after < len(ts), after, np.arange(len(ts)))
+            while (last[last] != last).any():  # doubling: where the chain of windows from each request ends
+                last = last[last]
+            leave = ts[last[: first + 1]]
+            keep = np.append(leave[1:] != leave[:-1], True)  # only the last entry of a run with one outcome
+            yield key, hour, ts[: first + 1][keep], leave[keep], int(ts[-1])
+
+    return rows.frames(solved(), _STEP)
+
+
+def _led(entry: np.ndarray, leave: np.ndarray, most: int, start):
+    """Where a stretch that is entered with window start ``start`` (one or several) is left."""
+    at = np.minimum(np.searchsorted(entry, np.asarray(start) + WINDOW_MS, side="right"), len(entry) - 1)
+    return np.where(most > np.asarray(start) + WINDOW_MS, leave[at], start)
+
+
+def _each(columns: list):
+    """Of each row: its number and its step function."""
+    for b, entry, leave, most in zip(columns[0].to_pylist(), columns[1], columns[2], columns[3].to_pylist()):
+        yield b, entry.values.to_numpy(zero_copy_only=False), leave.values.to_numpy(zero_copy_only=False), most
+
+
+def _composed(batches):
+    rows = _Sorted(batches)
+
+    def solved():
+        for (key, parent), columns in rows:
+            entry = leave = most = None
+            for _, e, x, m in _each(columns):
+                if entry is None:
+                    entry, leave, most = e, x, m
+                    continue
+                entry, leave, most = np.concatenate([entry, e]), np.concatenate([_led(e, x, m, leave), x]), m
+                keep = np.append(leave[1:] != leave[:-1], True)
+                entry, leave = entry[keep], leave[keep]
+            yield key, parent, entry, leave, most
+
+    return rows.frames(solved(), _STEP)
+
+
+def _entered(batches):
+    rows = _Sorted(batches)
+
+    def solved():
+        for (key, _), columns in rows:
+            start = columns[4][0].as_py()
+            for b, e, x, m in _each(columns):
+                yield key, b, start
+                start = int(_led(e, x, m, start))
+
+    return rows.frames(solved(), {"_b": pa.int64(), "_in": pa.int64()})
+
+
+def _starts(batches):
+    rows = _Sorted(batches)
+
+    def solved():
+        for (key, _), (t, entered) in rows:
+            ts, start, i = t.to_numpy(zero_copy_only=False), entered[0].as_py(), 0
+            while i < len(ts):  # a turn a window
+                if ts[i] - start > WINDOW_MS:
+                    start = int(ts[i])
+                j = int(np.searchsorted(ts, start + WINDOW_MS, side="right"))
+                for at in ts[i:j].tolist():
+                    yield key, at, start
+                i = j
+
+    return rows.frames(solved(), {"_t": pa.int64(), "window_start": pa.int64()})
 
 
 # --- retention, replay, upsert ------------------------------------------------------------
