@@ -6,11 +6,14 @@ question about the rows is asked in Spark.
 
 from __future__ import annotations
 
+import uuid
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from veil.session import checkpoint_dir
+
 NODE_SCHEMA = (
     "{key}, node_id int, parent_id int, depth int, tag string, cls string, role string, attrs map<string,string>, "
     "text string, anc array<struct<id:int,tag:string,cls:string,role:string,html_id:string>>"
@@ -154,3 +157,15 @@ def parse_nodes(pages: DataFrame, key: str = "page_id", html: str = "html", text
                 keys, rows = [], []
 
     return pages.select(key, html).mapInArrow(parse, schema)
+
+
+def node_table(pages: DataFrame, key: str = "page_id", html: str = "html", text_tags=None, keep_tags=None) -> DataFrame:
+    """:func:`parse_nodes`, written once to the shared folder.
+
+    For jobs that ask several questions of the same nodes: each question then reads the columns it needs, and no page is parsed twice.
+    """
+    spark = pages.sparkSession
+    nodes = parse_nodes(pages, key, html, text_tags, keep_tags)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/nodes-{uuid.uuid4().hex}"
+    nodes.write.parquet(path)
+    return spark.read.schema(nodes.schema).parquet(path)

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veil.functions.nodes import parse_nodes
+from veil.functions.nodes import node_table, parse_nodes
 from veil.functions import text_sql as S
 from veil.functions.spans import masked, masked_col, match_ranges
 from veil.functions.util import (
@@ -307,9 +307,9 @@ def _within(count: Column, most: int | None) -> Column:
     return F.lit(True) if most is None else count <= most
 
 
-def extract_tables(pages: DataFrame, schema: dict | None = None, limit: int | None = None) -> DataFrame:
+def extract_tables(pages: DataFrame, schema: dict | None = None, limit: int | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """``page_id, row, record``: the table with most rows (at least two), one map per body row."""
-    nodes = parse_nodes(pages, text_tags=("th", "td", "a"), keep_tags=("table", "tr", "th", "td", "a"))
+    nodes = node_table(pages, text_tags=("th", "td", "a"), keep_tags=("table", "tr", "th", "td", "a")) if nodes is None else nodes
     table_id = F.try_element_at(F.transform(F.filter("anc", lambda a: a["tag"] == "table"), lambda a: a["id"]), F.lit(-1))
     outer_tables = F.transform(F.filter("anc", lambda a: a["tag"] == "table"), lambda a: a["id"])
     rows = nodes.filter("tag = 'tr'").select(
@@ -423,9 +423,9 @@ def _card_parts(nodes: DataFrame) -> DataFrame:
         "card_id IS NOT NULL").withColumn("is_self", F.col("node_id") == F.col("card_id"))
 
 
-def extract_cards(pages: DataFrame, schema: dict | None = None, limit: int | None = None) -> DataFrame:
+def extract_cards(pages: DataFrame, schema: dict | None = None, limit: int | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """``page_id, row, record``: title, url, description, tag and price of each repeated card."""
-    parts = _card_parts(parse_nodes(pages))
+    parts = _card_parts(node_table(pages) if nodes is None else nodes)
     cls, inner = F.col("cls"), ~F.col("is_self")
     href = blank_to_null(F.col("attrs")["href"])
 
@@ -521,9 +521,9 @@ def schema_fields(cards: DataFrame, schema: dict) -> DataFrame:
         for f, k in schema.items()])
 
 
-def extract_kv(pages: DataFrame) -> DataFrame:
+def extract_kv(pages: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """``page_id, row, record``: each ``dl`` as a map of term to description."""
-    nodes = parse_nodes(pages, text_tags=("dt", "dd"), keep_tags=("dl", "dt", "dd"))
+    nodes = parse_nodes(pages, text_tags=("dt", "dd"), keep_tags=("dl", "dt", "dd")) if nodes is None else nodes
     lists = F.transform(F.filter("anc", lambda a: a["tag"] == "dl"), lambda a: a["id"])
     items = nodes.filter("tag IN ('dt', 'dd')").select(
         "page_id", "node_id", "tag", clean_cell(F.col("text")).alias("text"), F.explode(lists).alias("dl"))
@@ -539,10 +539,10 @@ def extract_kv(pages: DataFrame) -> DataFrame:
                       record.alias("record"))
 
 
-def extract_sections(pages: DataFrame, limit: int | None = None) -> DataFrame:
+def extract_sections(pages: DataFrame, limit: int | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """``page_id, section, detail``: headings with the paragraph that directly follows."""
     tags = ("h1", "h2", "h3", "h4")
-    nodes = parse_nodes(pages, text_tags=(*tags, "p"))
+    nodes = parse_nodes(pages, text_tags=(*tags, "p")) if nodes is None else nodes
     w = Window.partitionBy("page_id", "parent_id").orderBy("node_id")
     sib = nodes.select(
         "page_id", "node_id", "parent_id", "tag", "text", F.lead("tag").over(w).alias("_nt"),
@@ -556,10 +556,11 @@ def extract_sections(pages: DataFrame, limit: int | None = None) -> DataFrame:
 
 def extract_records(pages: DataFrame, schema: dict | None = None, limit: int | None = None) -> DataFrame:
     """``page_id, strategy, row, record``: tables, else cards, else key/values, else sections."""
-    sections = extract_sections(pages, limit).select("page_id", F.col("pos").alias("row"), F.create_map(
+    nodes = node_table(pages)
+    sections = extract_sections(pages, limit, nodes).select("page_id", F.col("pos").alias("row"), F.create_map(
         F.lit("section"), F.col("section"), F.lit("detail"), F.col("detail")).alias("record"))
-    tiers = [("table", extract_tables(pages, schema, limit)), ("cards", extract_cards(pages, schema, limit)),
-             ("generic", extract_kv(pages)), ("section", sections)]
+    tiers = [("table", extract_tables(pages, schema, limit, nodes)), ("cards", extract_cards(pages, schema, limit, nodes)),
+             ("generic", extract_kv(pages, nodes)), ("section", sections)]
     both = reduce(DataFrame.unionByName, [
         df.select("page_id", F.lit(i).alias("_tier"), F.lit(n).alias("strategy"), "row", "record")
         for i, (n, df) in enumerate(tiers)])
@@ -619,7 +620,7 @@ def links(pages: DataFrame) -> DataFrame:
 
 def next_page(pages: DataFrame) -> DataFrame:
     """``page_id, href, text``: rel=next, else an aria label, else link text that says so."""
-    nodes = parse_nodes(pages, text_tags=("a", "button"), keep_tags=("a", "link", "button"))
+    nodes = node_table(pages, text_tags=("a", "button"), keep_tags=("a", "link", "button"))
     rel = F.concat(F.lit(" "), F.lower(F.coalesce(F.col("attrs")["rel"], F.lit(""))), F.lit(" "))
     aria = F.coalesce(F.col("attrs")["aria-label"], F.lit(""))
     text, href = trim_ws(F.coalesce("text", F.lit(""))), F.coalesce(F.col("attrs")["href"], F.lit(""))
@@ -657,7 +658,7 @@ def counters(pages: DataFrame, nodes: DataFrame | None = None, cuts: Cuts = PUBL
 
 def page_specs(pages: DataFrame, nodes: DataFrame | None = None, cuts: Cuts = PUBLISHED) -> DataFrame:
     """Headings, table shapes, two-column rows and ``dl`` pairs as ``page_id, node_id, kind, key, value``."""
-    nodes = parse_nodes(pages, text_tags=(*_HEADS, "th", "td", "dt", "dd")) if nodes is None else nodes
+    nodes = node_table(pages, text_tags=(*_HEADS, "th", "td", "dt", "dd")) if nodes is None else nodes
     text = squash_ws(F.coalesce("text", F.lit("")))
     heads = nodes.filter(F.col("tag").isin(*_HEADS)).select(
         "page_id", "node_id", F.lit("heading").alias("kind"), F.lit(None).cast("string").alias("key"),
@@ -707,7 +708,7 @@ def document_links(pages: DataFrame) -> DataFrame:
 
 def posts(pages: DataFrame, nodes: DataFrame | None = None, cuts: Cuts = PUBLISHED) -> DataFrame:
     """Posts with a body and comments, with author and body."""
-    nodes = parse_nodes(pages) if nodes is None else nodes
+    nodes = node_table(pages) if nodes is None else nodes
     low = F.lower("cls")
     testid = F.coalesce(F.col("attrs")["data-testid"], F.lit(""))
     is_post = (F.col("tag") == "article") | (F.col("role") == "article")
@@ -739,7 +740,7 @@ def posts(pages: DataFrame, nodes: DataFrame | None = None, cuts: Cuts = PUBLISH
 
 def status_lines(pages: DataFrame, nodes: DataFrame | None = None, cuts: Cuts = PUBLISHED) -> DataFrame:
     """Status, alert and badge texts, dialog titles."""
-    nodes = parse_nodes(pages) if nodes is None else nodes
+    nodes = node_table(pages) if nodes is None else nodes
     text = trim_ws(F.coalesce("text", F.lit("")))
     status = nodes.filter(F.col("role").isin("status", "alert") | _has_class(F.col("cls"), "badge")).select(
         "page_id", "node_id", F.lit("status").alias("kind"), _head(text, cuts.status_chars).alias("text"))
@@ -759,7 +760,7 @@ def status_lines(pages: DataFrame, nodes: DataFrame | None = None, cuts: Cuts =
 
 def page_summary(pages: DataFrame, cuts: Cuts = PUBLISHED) -> DataFrame:
     """Summary lines per page in emission order."""
-    nodes = parse_nodes(pages)
+    nodes = node_table(pages)
     specs = page_specs(pages, nodes, cuts)
     order = F.when(F.col("kind") == "heading", 1).when(F.col("kind") == "table", 2).otherwise(3)
     line = (F.when(F.col("kind") == "heading", F.concat(F.lit("Heading: "), F.col("value")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veil.functions.nodes import parse_nodes
+from veil.functions.nodes import node_table, parse_nodes
 from veil.operators import fields, html, scrub
 from veil.plans.derived import CARD_PAGES, FORM_PAGES, RECORD_PAGES, derive, plain, table
 from veil.plans.registry import query
@@ -304,7 +304,7 @@ def post_authors(spark, sf):
 WITH p AS ({RECORDS})
 SELECT page_id, concat('/c/', cast(page_id AS VARCHAR), '.pdf') AS href, false AS in_dialog, false AS is_breadcrumb FROM p WHERE page_id % 3 <> 2""")
 def element_context(spark, sf):
-    nodes = parse_nodes(derive(spark, sf, RECORD_PAGES, heavy=True))
+    nodes = node_table(derive(spark, sf, RECORD_PAGES, heavy=True))
     ctx = html.element_context(nodes).filter("tag = 'a'")
     href = nodes.select("page_id", "node_id", F.col("attrs")["href"].alias("href"))
     return ctx.join(href, ["page_id", "node_id"]).filter(F.col("href").endswith(".pdf")).select("page_id", "href", "in_dialog", "is_breadcrumb")
