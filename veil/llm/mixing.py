@@ -38,7 +38,8 @@ def tokens(text: Column) -> Column:
 
 
 def _doubles(values: list[float]) -> Column:
-    return F.expr("array(" + ",".join(f"{v!r}D" for v in values) + ")")
+    # One text that Spark folds to an array once: a tree of a node a number is costly to plan with.
+    return F.split(F.lit(",".join(map(repr, map(float, values)))), ",").cast("array<double>")
 
 
 def _dot(a: Column, b: Column) -> Column:
