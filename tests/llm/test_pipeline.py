@@ -38,7 +38,7 @@ def stages(spark):
 
 def test_order_of_the_stages():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_dedup", "decontamination", "mixing", "token_output"]
-    assert {f"op{n}_" for n in range(1, 11)} == {q.split("_")[0] + "_" for q in QUERIES}
+    assert {f"op{n}_" for n in range(1, 14)} == {q.split("_")[0] + "_" for q in QUERIES}
     assert set(ORACLES) <= set(QUERIES)
 
 
