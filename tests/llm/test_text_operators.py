@@ -27,7 +27,7 @@ from veil.llm.near_dedup import near_duplicates
 from veil.llm.queries import BUDGET, TARGETS, domain_labels, op3
 from veil.llm.substring_dedup import drop_repeated_spans
 from veil.llm.suffix_automaton import SuffixAutomaton
-from veil.llm.token_files import decode, encode, read_token_files, write_token_files
+from veil.llm.token_files import WordIds, _slices, decode, encode, read_token_files, write_token_files
 from veil.llm.url_filter import filter_urls
 
 BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -530,6 +530,23 @@ def test_token_files(spark, name, block_ids):
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in wanted.items()}
 
 
+def test_word_ids_equal_the_tokenizer_on_random_texts():
+    """Words meet every kind of white space, mark, case and script that the shortcuts tell apart."""
+    import pyarrow as pa
+    import tokenizers
+
+    rng = np.random.default_rng(7)
+    pieces = ["a", "word", "Ünder", "ß", "É", "e\u0301", "İ", "K", "don't", "it's", "'ll", "x1", "12", "日本語", "Σας", "ﬁ", "\u00ad", "🙂", "<|endoftext|>", "_", "-",
+              ".", ",", "!?", ";:", " ", "  ", "\n", "\t", "\x0b", "\x0c", "\x1c", "\x1f", "\x85", "\u00a0", "\u2003", "\u2028", "\u200b", "\u3000", "\u180e", "\ufeff"]
+    values = [None, "", " ", *("".join(rng.choice(pieces, int(rng.integers(1, 40)))) for _ in range(4000))]
+    plain, ids = tokenizers.Tokenizer.from_file(BPE), WordIds(BPE)
+    assert ids.by_word
+    wanted = [np.array(plain.encode(v or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for v in values]
+    assert ids.of(pa.array(values)) == wanted
+    assert ids.of(pa.array(values).slice(3, 5)) == wanted[3:8] and ids.of(pa.array([], pa.string())) == []
+    assert [v for rows in _slices(pa.RecordBatch.from_pydict({"i": pa.array(range(4003)), "t": pa.array(values)})) for v in rows.column(1).to_pylist()] == values
+
+
 def test_token_files_of_nothing(spark):
     path = shared_path(spark, "tokens")
     write_token_files(empty(spark), path, BPE, 1)

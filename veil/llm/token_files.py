@@ -18,6 +18,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,7 @@ COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 ESCAPE = 15
 BLOCK_IDS = 1 << 16
 CACHE_WORDS = 500_000
+SLICE_BYTES = 8 << 20
 BLOCK_SCHEMA = ("shard int, block int, start_in_shard bigint, doc_ids array<bigint>, counts array<bigint>, n_ids bigint, payload binary")
 
 
@@ -105,6 +107,13 @@ def decode(payload: bytes) -> np.ndarray:
     return out[:n]
 
 
+# Latin letters, of which each is one character in every normal form and in lower case; any of them before a single mark.
+_PLAIN = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+_LOWER = re.compile("[a-zß-öø-ÿ]+")
+# Arrow, as Python, also splits at these four, which the tokenizer does not hold for white space.
+_ODD = "[\x1c-\x1f]"
+
+
 class WordIds(dict):
     """Ids (uint32 bytes) of a word, kept for the words seen lately.
 
@@ -126,7 +135,7 @@ class WordIds(dict):
         text = "Word one,\n\tWORD Two! a.b état ÉTÉ: straße don't x1"
         if "Lowercase" not in str(self.tokenizer.normalizer) or self.tokenizer.model is None:
             return False
-        return b"".join([self[w] for w in text.split()]) == self.encoded(text)
+        return self._by_word(pa.array([text]))[0].tobytes() == self.encoded(text)
 
     def encoded(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -135,13 +144,9 @@ class WordIds(dict):
         ids = self.before.get(word)
         if ids is not None:
             pass
-        elif _PLAIN.fullmatch(word):
+        elif _LOWER.fullmatch(word):
             mapped = word if word.isascii() else self.letters.pre_tokenize_str(word)[0][0]
             ids = array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
-        elif _ENDED.fullmatch(word):
-            ids = self[word[:-1]] + self[word[-1]]
-        elif _PLAIN.fullmatch(low := word.lower()) and "İ" not in word:
-            ids = self[low]
         else:
             ids = self.encoded(word)
         if len(self) >= CACHE_WORDS:
@@ -150,16 +155,49 @@ class WordIds(dict):
         self[word] = ids
         return ids
 
-    def of(self, text: str) -> bytes:
-        # str.split also splits at these four, which the tokenizer does not hold for white space.
-        if not self.by_word or any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return self.encoded(text)
-        return b"".join([self[w] for w in text.split()])
+    def _by_word(self, values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all ``values`` in a row and where each value's ids end. Only words that differ are looked up."""
+        words = pc.utf8_split_whitespace(values)
+        coded = words.flatten().dictionary_encode()
+        ended = pc.match_substring_regex(coded.dictionary, f"^{_PLAIN}[.,!?;:]$")
+        body = pc.if_else(ended, pc.utf8_slice_codeunits(coded.dictionary, 0, -1), coded.dictionary)
+        plain = pc.match_substring_regex(body, f"^{_PLAIN}$")
+        body = pc.if_else(plain, pc.utf8_lower(body), body).dictionary_encode()
+        marks = pc.if_else(ended, pc.utf8_slice_codeunits(coded.dictionary, -1), "").dictionary_encode()
+        pieces = [self[w] for part in (body, marks) for w in part.dictionary.to_numpy(zero_copy_only=False)]
+        order = np.column_stack([body.indices.to_numpy(), marks.indices.to_numpy() + len(body.dictionary)]).ravel()
+        ids, ends = _gathered(np.frombuffer(b"".join(pieces), dtype="<u4"), np.cumsum([len(p) // 4 for p in pieces], dtype=np.int64), order)
+        ids, ends = _gathered(ids, ends[1::2], coded.indices.to_numpy())
+        return ids, np.append(0, ends)[words.offsets.to_numpy()[1:] - words.offsets[0].as_py()]
+
+    def of(self, values: pa.Array) -> list[bytes]:
+        """Ids of each of ``values``; null is empty."""
+        values = pc.fill_null(values, "")
+        if not self.by_word:
+            return [self.encoded(v.as_py()) for v in values]
+        odd = pc.match_substring_regex(values, _ODD)
+        ids, ends = self._by_word(pc.if_else(odd, "", values))
+        begins = np.append(0, ends[:-1])
+        return [self.encoded(v.as_py()) if o else ids[a:b].tobytes() for v, o, a, b in zip(values, odd.to_pylist(), begins, ends)]
+
+
+def _gathered(values: np.ndarray, ends: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``values`` that end at ``ends``, taken in ``order``, and where they end now."""
+    size = np.diff(ends, prepend=0)
+    taken = size[order]
+    to = np.cumsum(taken)
+    places = np.arange(to[-1] if len(to) else 0) + np.repeat((ends - size)[order] - (to - taken), taken)
+    return values[places], to
+
+
+def _slices(batch: pa.RecordBatch):
+    """Rows of about ``SLICE_BYTES`` of text at a time; a longer text is a slice of its own."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.flatnonzero(np.diff(size // SLICE_BYTES)) + 1
+    for a, b in zip(np.append(0, cuts), np.append(cuts, batch.num_rows)):
+        yield batch.slice(int(a), int(b - a))
 
 
-# Small Latin letters, of which each is one character in every normal form; any of them before a single mark.
-_PLAIN = re.compile("[a-zß-öø-ÿ]+")
-_ENDED = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,!?;:]")
 _WORDS: dict[str, WordIds] = {}
 
 
@@ -187,10 +225,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
         ids: list = []
         counts: list[int] = []
         parts: list[bytes] = []
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                part = words.of(text.as_py() or "") + end
-                ids.append(doc_id.as_py())
+        for rows in (rows for batch in batches for rows in _slices(batch)):
+            for doc_id, part in zip(rows.column(0).to_pylist(), words.of(rows.column(1))):
+                part += end
+                ids.append(doc_id)
                 counts.append(len(part) // 4)
                 parts.append(part)
                 size += counts[-1]
