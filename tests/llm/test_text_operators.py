@@ -536,7 +536,7 @@ def test_word_ids_equal_the_tokenizer_on_random_texts():
     import tokenizers
 
     rng = np.random.default_rng(7)
-    pieces = ["a", "word", "Ünder", "ß", "É", "e\u0301", "İ", "K", "don't", "it's", "'ll", "x1", "12", "日本語", "Σας", "ﬁ", "\u00ad", "🙂", "<|endoftext|>", "_", "-",
+    pieces = ["a", "word", "Ünder", "ß", "É", "e\u0301", "İ", "K", "don't", "it's", "'ll", "x1", "12", "日本語", "Σας", "ﬁ", "\u00ad", "🙂", "<|endoftext|>", "<", "|", ">", "_", "-", "'", '"', "***", "@(", "[\\]^`{}~",
               ".", ",", "!?", ";:", " ", "  ", "\n", "\t", "\x0b", "\x0c", "\x1c", "\x1f", "\x85", "\u00a0", "\u2003", "\u2028", "\u200b", "\u3000", "\u180e", "\ufeff"]
     values = [None, "", " ", *("".join(rng.choice(pieces, int(rng.integers(1, 40)))) for _ in range(4000))]
     plain, ids = tokenizers.Tokenizer.from_file(BPE), WordIds(BPE)

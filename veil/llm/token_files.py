@@ -29,8 +29,8 @@ from veil.llm.common import texts
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 ESCAPE = 15
 BLOCK_IDS = 1 << 16
-CACHE_WORDS = 500_000
-SLICE_BYTES = 8 << 20
+CACHE_WORDS = 250_000
+SLICE_BYTES = 1 << 20
 BLOCK_SCHEMA = ("shard int, block int, start_in_shard bigint, doc_ids array<bigint>, counts array<bigint>, n_ids bigint, payload binary")
 
 
@@ -107,8 +107,9 @@ def decode(payload: bytes) -> np.ndarray:
     return out[:n]
 
 
-# Latin letters, of which each is one character in every normal form and in lower case; any of them before a single mark.
-_PLAIN = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+# Latin letters, of which each is one character in every normal form and in lower case, and a run of marks behind them: neither
+# an apostrophe, which begins a short form, nor what begins or ends a control token.
+_PLAIN = r'^(?P<body>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]*)$'
 _LOWER = re.compile("[a-zß-öø-ÿ]+")
 # Arrow, as Python, also splits at these four, which the tokenizer does not hold for white space.
 _ODD = "[\x1c-\x1f]"
@@ -127,12 +128,13 @@ class WordIds(dict):
 
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.before: dict[str, bytes] = {}  # what was kept when it was last full
-        self.letters = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.mapped = {c: letters.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
         self.by_word = self._fits()
 
     def _fits(self) -> bool:
         """Whether the shortcuts give what the tokenizer gives, on words of every kind they tell apart."""
-        text = "Word one,\n\tWORD Two! a.b état ÉTÉ: straße don't x1"
+        text = "Word one,\n\tWORD Two! a.b état ÉTÉ: straße don't x1 so*** (it).\" A_-"
         if "Lowercase" not in str(self.tokenizer.normalizer) or self.tokenizer.model is None:
             return False
         return self._by_word(pa.array([text]))[0].tobytes() == self.encoded(text)
@@ -145,7 +147,7 @@ class WordIds(dict):
         if ids is not None:
             pass
         elif _LOWER.fullmatch(word):
-            mapped = word if word.isascii() else self.letters.pre_tokenize_str(word)[0][0]
+            mapped = word if word.isascii() else word.translate(self.mapped)
             ids = array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
         else:
             ids = self.encoded(word)
@@ -159,11 +161,9 @@ class WordIds(dict):
         """Ids of all ``values`` in a row and where each value's ids end. Only words that differ are looked up."""
         words = pc.utf8_split_whitespace(values)
         coded = words.flatten().dictionary_encode()
-        ended = pc.match_substring_regex(coded.dictionary, f"^{_PLAIN}[.,!?;:]$")
-        body = pc.if_else(ended, pc.utf8_slice_codeunits(coded.dictionary, 0, -1), coded.dictionary)
-        plain = pc.match_substring_regex(body, f"^{_PLAIN}$")
-        body = pc.if_else(plain, pc.utf8_lower(body), body).dictionary_encode()
-        marks = pc.if_else(ended, pc.utf8_slice_codeunits(coded.dictionary, -1), "").dictionary_encode()
+        found = pc.extract_regex(coded.dictionary, _PLAIN)
+        body = pc.coalesce(pc.utf8_lower(pc.struct_field(found, "body")), coded.dictionary).dictionary_encode()
+        marks = pc.coalesce(pc.struct_field(found, "marks"), "").dictionary_encode()
         pieces = [self[w] for part in (body, marks) for w in part.dictionary.to_numpy(zero_copy_only=False)]
         order = np.column_stack([body.indices.to_numpy(), marks.indices.to_numpy() + len(body.dictionary)]).ravel()
         ids, ends = _gathered(np.frombuffer(b"".join(pieces), dtype="<u4"), np.cumsum([len(p) // 4 for p in pieces], dtype=np.int64), order)
