@@ -27,7 +27,7 @@ from veil.llm.common import written
 
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 150_000
 
 
 class LanguageModel:
