@@ -39,7 +39,7 @@ def tokens(text: Column) -> Column:
 
 def _doubles(values: list[float]) -> Column:
     # One text that Spark folds to an array once: a tree of a node a number is costly to plan with.
-    return F.split(F.lit(",".join(map(repr, map(float, values)))), ",").cast("array<double>")
+    return F.split(F.lit(",".join(map(repr, map(float, values)))), ",").cast("array<double>") if values else F.array().cast("array<double>")
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -48,7 +48,7 @@ def _dot(a: Column, b: Column) -> Column:
 
 @dataclass
 class DomainModel:
-    """``base``: log share of a text without any of ``words``; ``weights[k][slot]``: what a word in that slot adds to domain k."""
+    """``base``: log share of a text without any of ``words``; ``weights[k][i]``: what word i adds to domain k."""
 
     domains: list[str]
     base: list[float]
@@ -57,8 +57,9 @@ class DomainModel:
 
     def posteriors(self, all_tokens: Column) -> Column:
         """Shares of the domains, in their order."""
-        present = F.array_intersect(all_tokens, F.array(*map(F.lit, self.words))) if self.words else F.array().cast("array<string>")
-        slots = F.transform(present, lambda w: F.pmod(F.xxhash64(w), F.lit(len(self.weights[0]))).cast("int"))
+        # Tables of one entry a word: a plan is printed and kept with all its constants.
+        known = F.array(*map(F.lit, self.words)) if self.words else F.array().cast("array<string>")
+        slots = F.transform(F.array_intersect(all_tokens, known), lambda w: F.array_position(known, w).cast("int") - 1)
         zero, tables = _doubles(self.base), [_doubles(w) for w in self.weights]
         logs = F.aggregate(slots, zero, lambda s, at: F.array(*[F.get(s, F.lit(k)) + F.get(t, at) for k, t in enumerate(tables)]))
         shifted = F.transform(F.array(logs), lambda v: F.transform(v, lambda x: F.exp(x - F.array_max(v))))
@@ -86,15 +87,12 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], max_ro
     told = sum((part(F.col(f"n{k}"), seen, of[k]) + part(F.lit(of[k]) - F.col(f"n{k}"), F.lit(n) - seen, of[k]) for k in range(len(domains)) if of[k]), F.lit(0.0))
     # A word of ``lift`` times its usual share in some domain. Weaker ones mostly tell how long a text is, and they are many.
     strong = F.greatest(*[F.col(f"n{k}") * (n / of[k]) if of[k] else F.lit(0.0) for k in range(len(domains))]) >= lift * seen
-    best = counted.where(strong).orderBy(told.desc(), "word").limit(max_tokens).withColumn("hash", F.xxhash64("word")).collect() if n else []
-    slots = 256
-    while len({r["hash"] % slots for r in best}) < len(best):  # each word its own slot
-        slots += 255
+    best = counted.where(strong).orderBy(told.desc(), "word").limit(max_tokens).collect() if n else []
     base, weights = [], []
     for k in range(len(domains)):
-        share = {r["hash"] % slots: (r[f"n{k}"] + 0.5) / (of[k] + 1) for r in best}
-        base.append(math.log((of[k] + 1) / (n + len(domains))) + sum(math.log(1 - p) for p in share.values()))
-        weights.append([math.log(share[s] / (1 - share[s])) if s in share else 0.0 for s in range(slots)])
+        share = [(r[f"n{k}"] + 0.5) / (of[k] + 1) for r in best]
+        base.append(math.log((of[k] + 1) / (n + len(domains))) + sum(math.log(1 - p) for p in share))
+        weights.append([math.log(p / (1 - p)) for p in share])
     return DomainModel(domains, base, [r["word"] for r in best], weights)
 
 
