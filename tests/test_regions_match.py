@@ -45,15 +45,29 @@ def brute_nms(boxes, thr):
     return {b[1] for b in kept}
 
 
-def test_nms_fold_and_rounds(spark, monkeypatch):
+NMS = "capture_id int, det_id int, x double, y double, w double, h double, score double"
+
+
+def test_nms(spark):
     boxes = random_boxes(120, 1)
-    df = spark.createDataFrame(boxes, "capture_id int, det_id int, x double, y double, w double, h double, score double")
-    want = brute_nms(boxes, 0.35)
-    assert {r.det_id for r in regions.nms(df).collect()} == want
-    # Every group counts as too large: the distributed rounds must agree.
-    monkeypatch.setattr(match, "PAIR_BOUND", 0)
-    monkeypatch.setattr(match.decide_by_rank, "__defaults__", (0, None))
-    assert {r.det_id for r in regions.nms(df).collect()} == want
+    df = spark.createDataFrame(boxes, NMS)
+    assert {r.det_id for r in regions.nms(df).collect()} == brute_nms(boxes, 0.35)
+    assert regions.nms(df.limit(0)).collect() == []
+
+
+def counted_rounds(monkeypatch):
+    calls = []
+    monkeypatch.setattr(match, "cut_lineage", lambda df, cut=match.cut_lineage: calls.append(1) or cut(df))
+    return calls
+
+
+def test_nms_chain_takes_few_rounds(spark, monkeypatch):
+    # Each box overlaps the next one only, and every box waits for the one before it.
+    boxes = [(0, i, 0.4 * i, 0.0, 1.0, 1.0, 1000.0 - i) for i in range(300)]
+    calls = counted_rounds(monkeypatch)
+    kept = {r.det_id for r in regions.nms(spark.createDataFrame(boxes, NMS)).collect()}
+    assert kept == brute_nms(boxes, 0.35) == set(range(0, 300, 2))
+    assert len(calls) <= 1 + 3 * 10
 
 
 def brute_greedy(pairs):
@@ -66,13 +80,34 @@ def brute_greedy(pairs):
     return out
 
 
-def test_greedy_match_fold_rounds_and_pool(spark):
+def test_greedy_match_page_and_pool(spark):
     rnd = random.Random(3)
     pairs = [(0, a, b, float(rnd.randrange(1, 6))) for a in range(25) for b in range(25) if rnd.random() < 0.25]
-    df = spark.createDataFrame(pairs, "page_id int, left int, right int, score double")
+    df = spark.createDataFrame(pairs + pairs[:9], "page_id int, left int, right int, score double")
     want = brute_greedy(pairs)
-    for out in (match.greedy_match(df), match.greedy_match(df, limit=0), match.greedy_match(df, pooled=True)):
-        assert {r.left: r.right for r in out.collect()} == want
+    for out in (match.greedy_match(df), match.greedy_match(df, pooled=True)):
+        assert [r for r in out.collect() if want[r.left] != r.right] == [] and out.count() == len(want)
+    none = match.greedy_match(df.limit(0))
+    assert none.columns == ["page_id", "left", "right", "score"] and none.count() == 0
+    nulls = spark.createDataFrame([(None, *p[1:]) for p in pairs], df.schema)
+    assert {r.left: r.right for r in match.greedy_match(nulls).collect()} == want
+
+
+def test_greedy_match_chain_takes_few_rounds(spark, monkeypatch):
+    # Left i would rather have what left i - 1 gets: each waits for the one before it.
+    pairs = [(0, i, r, s) for i in range(300) for r, s in ((i - 1, 2.0), (i, 1.0)) if i or r == 0]
+    calls = counted_rounds(monkeypatch)
+    out = match.greedy_match(spark.createDataFrame(pairs, "page_id int, left int, right int, score double"))
+    assert {r.left: r.right for r in out.collect()} == brute_greedy(pairs)
+    assert len(calls) <= 12
+
+
+def test_greedy_match_random_graphs(spark):
+    rnd = random.Random(11)
+    pairs = [(g, a, b, float(rnd.randrange(1, 4))) for g in range(6) for a in range(18) for b in range(max(0, a - 3), a + 3) if rnd.random() < 0.6]
+    out = match.greedy_match(spark.createDataFrame(pairs, "page_id int, left int, right int, score double")).collect()
+    for g in range(6):
+        assert {r.left: r.right for r in out if r.page_id == g} == brute_greedy([p for p in pairs if p[0] == g])
 
 
 def test_fuse_spatial_and_secret(spark):

@@ -11,100 +11,101 @@ from veil.functions.blocking import containing_text, iou, touching_boxes
 from veil.functions.rules import WS
 from veil.session import cut_lineage
 
-GROUP_LIMIT = 20_000
-
-
 def _boxes(p: str) -> list[Column]:
     return [F.col(f"{p}{c}") for c in "xywh"]
 
 
-PAIR_BOUND = 1_000_000
+def _group(keys) -> Column:
+    """All keys as one column that is never NULL, so that rows of a NULL key meet, too."""
+    return F.struct(*keys) if keys else F.lit(0)
 
 
-def _split_by_size(df: DataFrame, keys: list[str], limit: int, sides=None):
-    """Groups that fit one array, and the rest (None when there is none).
+def _jump(todo: DataFrame, decided: DataFrame | None, node: list[str]) -> DataFrame:
+    """Follow every pointer once: ``state`` where the node pointed at is decided, else the pointer of that node.
 
-    ``sides`` are the two inputs the pairs came from. A group has at most as many pairs as the product of
-    its sides; where that bound is low everywhere, the pairs need not be counted at all.
+    ``todo(_k, *node, _p_*, _odd, _free)``: the node stays if and only if the node ``_p_*`` stays, or, with ``_odd``,
+    if and only if that one goes. A node without a pointer points at itself.
     """
-    if sides is not None:
-        counts = [s.groupBy(*keys).agg(F.count(F.lit(1)).alias(n)) for s, n in zip(sides, ("_a", "_b"))]
-        if counts[0].join(counts[1], keys).filter(F.col("_a") * F.col("_b") > PAIR_BOUND).isEmpty():
-            return df, None
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    large = sizes.filter(F.col("_n") > limit).select(*keys)
-    if large.isEmpty():
-        return df, None
-    return df.join(large, keys, "left_anti"), df.join(large, keys, "left_semi")
-
-
-def greedy_match(pairs: DataFrame, keys=("page_id",), pooled: bool = False, limit: int = GROUP_LIMIT,
-                 sides=None) -> DataFrame:
+    at = [f"_p_{n}" for n in node]
+    known = todo.select("_k", *[F.col(n).alias(p) for n, p in zip(node, at)], F.when(F.col("_free"), True).alias("_st"),
+                        *[F.col(p).alias(f"_n{p}") for p in at], F.col("_odd").alias("_nodd"))
+    if decided is not None:
+        known = known.unionByName(decided.select("_k", *[F.col(n).alias(p) for n, p in zip(node, at)], F.col("state").alias("_st"),
+                                                 *[F.col(n).alias(f"_n_p_{n}") for n in node], F.lit(False).alias("_nodd")))
+    joined = todo.join(known, ["_k", *at])
+    rest = [c for c in todo.columns if c not in ("_k", *at, "_odd", "_free")]
+    return joined.select("_k", *rest, *[F.col(f"_n{p}").alias(p) for p in at], (F.col("_odd") != F.col("_nodd")).alias("_odd"),
+                         F.coalesce(F.when(F.col("_free"), True), F.col("_st") != F.col("_odd")).alias("state"))
+
+
+def greedy_match(pairs: DataFrame, keys=("page_id",), pooled: bool = False, carry=()) -> DataFrame:
     """M4: lefts choose in order, each its best right still free; ties go to the lowest right.
 
-    ``pairs(*keys, left, right, score)`` holds only pairs with a positive score. Groups of checked
-    size are folded in one array; larger ones, or everything when ``pooled``, are settled by rounds:
-    a pair is final when the right is the left's best and no earlier left still wants that right.
+    ``pairs(*keys, left, right, score, *carry)`` holds only pairs with a positive score; of a repeated pair the best counts.
+    A pair is chosen when no pair before it with the same left or right is. Groups of any size are settled together in
+    distributed rounds: a pair that is first at its left and at its right is chosen and the others there go. A pair with a
+    single pair before it is its opposite, so it points there, and pointers double each round: a chain of n pairs takes
+    about log2(n) rounds, not n. Each round is written to the checkpoint folder; no group is ever one row or one task.
     """
     keys = [] if pooled else list(keys)
-    passing = pairs.select(*keys, "left", "right", "score")
-    if pooled:
-        return _match_rounds(passing, keys)
-    small, large = _split_by_size(passing, keys, limit, sides)
-    right_type = pairs.schema["right"].dataType.simpleString()
-    left_type = pairs.schema["left"].dataType.simpleString()
-    ordered = small.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
-        "left", (-F.col("score")).alias("_s"), "right"))).alias("_p"))
-    fold = F.expr(f"""
-        aggregate(_p, named_struct('l', cast(NULL as {left_type}), 'used', cast(array() as array<{right_type}>),
-                  'out', cast(array() as array<struct<left:{left_type},right:{right_type},score:double>>)),
-          (a, p) -> CASE WHEN (a.l IS NOT NULL AND a.l = p.left) OR array_contains(a.used, p.right) THEN a
-            ELSE named_struct('l', p.left, 'used', concat(a.used, array(p.right)),
-                 'out', concat(a.out, array(named_struct('left', p.left, 'right', p.right, 'score', cast(-p._s as double))))) END,
-          a -> a.out)""")
-    done = ordered.select(*keys, F.explode(fold).alias("_m")).select(*keys, "_m.left", "_m.right", "_m.score")
-    return done if large is None else done.unionByName(_match_rounds(large, keys))
-
-
-def _match_rounds(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    left, found = cut_lineage(pairs.withColumn("score", F.col("score").cast("double"))), None
-    while not left.isEmpty():
-        best = left.groupBy(*keys, "left").agg(F.max_by("right", F.struct("score", -F.col("right"))).alias("right"),
-                                               F.max("score").alias("score"))
-        first = left.groupBy(*keys, "right").agg(F.min("left").alias("left"))
-        final = cut_lineage(best.join(first, [*keys, "left", "right"]).select(*keys, "left", "right", "score"))
-        found = final if found is None else found.unionByName(final)
-        left = cut_lineage(left.join(final.select(*keys, "left"), [*keys, "left"], "left_anti").join(
-            final.select(*keys, "right"), [*keys, "right"], "left_anti").select(*keys, "left", "right", "score"))
-    return pairs.limit(0) if found is None else found
-
-
-def decide_by_rank(edges: DataFrame, keys: list[str], limit: int = GROUP_LIMIT, sides=None) -> DataFrame:
+    best = F.max(F.struct(F.col("score").cast("double").alias("score"), *carry)).alias("_b")
+    todo = pairs.select(_group(keys).alias("_k"), "left", "right", "score", *carry).repartition("_k", "left").groupBy(
+        "_k", "left", "right").agg(best).select("_k", "left", "right", "_b.*", F.col("left").alias("_p_left"),
+                                                F.col("right").alias("_p_right"), F.lit(False).alias("_odd"))
+    steps: list[DataFrame] = []
+    while True:
+        at_left = Window.partitionBy("_k", "left").orderBy(F.desc("score"), "right")
+        at_right = Window.partitionBy("_k", "right").orderBy("left")
+        ranked = todo.withColumns({"_nl": F.row_number().over(at_left), "_fl": F.first("right").over(at_left)}).withColumns(
+            {"_nr": F.row_number().over(at_right), "_fr": F.first("left").over(at_right)})
+        one = (F.col("_nl") + F.col("_nr") == 3) & (F.col("_p_left") == F.col("left")) & (F.col("_p_right") == F.col("right"))
+        pointed = ranked.select(
+            "_k", "left", "right", "score", *carry, F.when(one & (F.col("_nl") == 1), F.col("_fr")).otherwise(F.col("_p_left")).alias("_p_left"),
+            F.when(one & (F.col("_nr") == 1), F.col("_fl")).otherwise(F.col("_p_right")).alias("_p_right"),
+            (F.col("_odd") | one).alias("_odd"), (F.col("_nl") + F.col("_nr") == 2).alias("_free"))
+        decided = reduce(DataFrame.unionByName, [s.filter("state IS NOT NULL") for s in steps]) if steps else None
+        jumped = _jump(pointed, decided, ["left", "right"])
+        taken = F.coalesce(F.col("state"), F.lit(False))
+        for side in ("right", "left"):
+            jumped = jumped.withColumn(f"_{side}", F.max(taken).over(Window.partitionBy("_k", side)))
+        steps.append(cut_lineage(jumped.withColumn("state", F.when(F.col("state").isNull() & (F.col("_left") | F.col("_right")), False).otherwise(
+            F.col("state"))).drop("_left", "_right")))
+        todo = steps[-1].filter("state IS NULL").drop("state")
+        if todo.isEmpty():
+            break
+    found = reduce(DataFrame.unionByName, [s.filter("state") for s in steps])
+    return found.select(*[F.col(f"_k.{k}") for k in keys], "left", "right", "score", *carry)
+
+
+def decide_by_rank(edges: DataFrame, keys: list[str]) -> DataFrame:
     """``*keys, node`` of the nodes that lose to a node that stays.
 
-    ``edges(*keys, winner, loser, wscore)``: the winner always ranks above the loser.
+    ``edges(*keys, winner, loser)``: the winner always ranks above the loser. A node without a winner stays and its losers go; a node
+    with one winner is that one's opposite and points at it. Rounds and pointers as in ``greedy_match``, for groups of any size.
     """
-    small, large = _split_by_size(edges, keys, limit, sides)
-    kind = edges.schema["loser"].dataType.simpleString()
-    ordered = small.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
-        (-F.col("wscore")).alias("_s"), "winner", "loser"))).alias("_e"))
-    fold = F.expr(f"""
-        aggregate(_e, cast(array() as array<{kind}>), (out, e) ->
-          CASE WHEN array_contains(out, e.winner) OR array_contains(out, e.loser) THEN out
-               ELSE concat(out, array(e.loser)) END)""")
-    done = ordered.select(*keys, F.explode(fold).alias("node"))
-    if large is None:
-        return done
-    rest = cut_lineage(large.select(*keys, "winner", "loser"))
-    while not rest.isEmpty():
-        losers = rest.select(*keys, F.col("loser").alias("winner")).distinct()
-        settled = rest.join(losers, [*keys, "winner"], "left_anti")
-        gone = cut_lineage(settled.select(*keys, F.col("loser").alias("node")).distinct())
-        done = done.unionByName(gone)
-        rest = cut_lineage(rest.join(settled.select(*keys, "winner").distinct(), [*keys, "winner"], "left_anti").join(
-            gone.withColumnRenamed("node", "winner"), [*keys, "winner"], "left_anti").join(
-            gone.withColumnRenamed("node", "loser"), [*keys, "loser"], "left_anti"))
-    return done
+    left = cut_lineage(edges.select(_group(keys).alias("_k"), "winner", "loser").distinct())
+    todo = left.select("_k", F.col("winner").alias("node")).unionByName(left.select("_k", F.col("loser").alias("node"))).distinct().select(
+        "_k", "node", F.col("node").alias("_p_node"), F.lit(False).alias("_odd"))
+    steps: list[DataFrame] = []
+    while not left.isEmpty():
+        before = left.groupBy("_k", F.col("loser").alias("node")).agg(F.count(F.lit(1)).alias("_n"), F.min("winner").alias("_w"))
+        one = F.coalesce((F.col("_n") == 1) & (F.col("_p_node") == F.col("node")), F.lit(False))
+        pointed = todo.join(before, ["_k", "node"], "left").select(
+            "_k", "node", F.when(one, F.col("_w")).otherwise(F.col("_p_node")).alias("_p_node"), (F.col("_odd") | one).alias("_odd"),
+            F.col("_n").isNull().alias("_free"))
+        decided = reduce(DataFrame.unionByName, [s.filter("state IS NOT NULL") for s in steps]) if steps else None
+        jumped = cut_lineage(_jump(pointed, decided, ["node"]))
+        beaten = left.join(jumped.filter("state").select("_k", F.col("node").alias("winner")), ["_k", "winner"], "left_semi").select(
+            "_k", F.col("loser").alias("node")).distinct().withColumn("_out", F.lit(True))
+        steps.append(cut_lineage(jumped.join(beaten, ["_k", "node"], "left").withColumn(
+            "state", F.when(F.col("state").isNull() & F.col("_out"), False).otherwise(F.col("state"))).drop("_out")))
+        todo = steps[-1].filter("state IS NULL").drop("state")
+        for end in ("winner", "loser"):
+            left = left.join(todo.select("_k", F.col("node").alias(end)), ["_k", end], "left_semi")
+        left = cut_lineage(left)
+    # Nodes that are left without an edge stay.
+    gone = reduce(DataFrame.unionByName, [s.filter("NOT state") for s in steps]) if steps else todo
+    return gone.select(*[F.col(f"_k.{k}") for k in keys], "node")
 
 
 # --- candidates ------------------------------------------------------------------
@@ -247,7 +248,7 @@ def fuse_perception(dom: DataFrame, visual: DataFrame, mode: str = "fused", cell
     # pairs below 0.25 never decide anything.
     pairs = touching_boxes(a, b, ["capture_id"], cell).withColumn("score", iou(*_boxes("l"), *_boxes("r"))).filter(
         "score >= 0.25").select("capture_id", "left", "right", "score")
-    matched = greedy_match(pairs, ["capture_id"], sides=(dom, visual))
+    matched = greedy_match(pairs, ["capture_id"])
     linked = dom.join(matched.select("capture_id", F.col("left").alias("dom_id"), F.col("right").alias("_v"),
                                      F.col("score").alias("_i")), ["capture_id", "dom_id"], "left")
     roles = visual.select("capture_id", F.col("vis_id").alias("_v"), F.col("role").alias("_vr"))

@@ -72,7 +72,7 @@ def score_detections(dets: DataFrame, gt: DataFrame, pooled: bool = False) -> Da
     if pooled:
         dets, gt = _pool(dets), _pool(gt)
     keys = ["page_id", "category"]
-    matches = greedy_match(detection_pairs(dets, gt), keys, sides=None if pooled else (dets, gt))
+    matches = greedy_match(detection_pairs(dets, gt), keys)
     return pii_metrics(count_outcomes(dets, gt, matches, ["category"]))
 
 
@@ -86,7 +86,7 @@ def _pool(df: DataFrame) -> DataFrame:
 def element_metrics(els: DataFrame, gt: DataFrame) -> DataFrame:
     """A2: one row: recall, precision, role accuracy, averaging median overlap of matched boxes."""
     pairs = element_pairs(els, gt)
-    matches = greedy_match(pairs, ["page_id"], sides=(els, gt)).join(pairs.drop("score"), ["page_id", "left", "right"])
+    matches = greedy_match(pairs, ["page_id"], carry=("iou", "role_ok"))
     one = one_row({"tp": size(matches), "_roles": matches.agg(F.sum(F.col("role_ok").cast("long"))),
                    "_iou": matches.agg(F.median("iou")), "_e": size(els), "_g": size(gt)})
     return one.select(

@@ -311,7 +311,6 @@ def nms(dets: DataFrame, threshold: float = 0.35, cell: float = 0.25) -> DataFra
     pairs = touching_boxes(side("l"), side("r"), ["capture_id"], cell)
     better = (F.col("lscore") > F.col("rscore")) | ((F.col("lscore") == F.col("rscore")) & (F.col("lid") < F.col("rid")))
     clash = pairs.filter(better & (iou(*[F.col(f"l{c}") for c in "xywh"], *[F.col(f"r{c}") for c in "xywh"]) > threshold))
-    edges = clash.select("capture_id", F.col("lid").alias("winner"), F.col("rid").alias("loser"),
-                         F.col("lscore").alias("wscore"))
-    dropped = decide_by_rank(edges, ["capture_id"], sides=(dets, dets))
+    edges = clash.select("capture_id", F.col("lid").alias("winner"), F.col("rid").alias("loser"))
+    dropped = decide_by_rank(edges, ["capture_id"])
     return dets.join(dropped.withColumnRenamed("node", "det_id"), ["capture_id", "det_id"], "left_anti")
