@@ -20,7 +20,7 @@ def _group(keys) -> Column:
     return F.struct(*keys) if keys else F.lit(0)
 
 
-def _jump(todo: DataFrame, decided: DataFrame | None, node: list[str]) -> DataFrame:
+def _jump(todo: DataFrame, decided: DataFrame, node: list[str]) -> DataFrame:
     """Follow every pointer once: ``state`` where the node pointed at is decided, else the pointer of that node.
 
     ``todo(_k, *node, _p_*, _odd, _free)``: the node stays if and only if the node ``_p_*`` stays, or, with ``_odd``,
@@ -29,9 +29,8 @@ def _jump(todo: DataFrame, decided: DataFrame | None, node: list[str]) -> DataFr
     at = [f"_p_{n}" for n in node]
     known = todo.select("_k", *[F.col(n).alias(p) for n, p in zip(node, at)], F.when(F.col("_free"), True).alias("_st"),
                         *[F.col(p).alias(f"_n{p}") for p in at], F.col("_odd").alias("_nodd"))
-    if decided is not None:
-        known = known.unionByName(decided.select("_k", *[F.col(n).alias(p) for n, p in zip(node, at)], F.col("state").alias("_st"),
-                                                 *[F.col(n).alias(f"_n_p_{n}") for n in node], F.lit(False).alias("_nodd")))
+    known = known.unionByName(decided.select("_k", *[F.col(n).alias(p) for n, p in zip(node, at)], F.col("state").alias("_st"),
+                                             *[F.col(n).alias(f"_n_p_{n}") for n in node], F.lit(False).alias("_nodd")))
     joined = todo.join(known, ["_k", *at])
     rest = [c for c in todo.columns if c not in ("_k", *at, "_odd", "_free")]
     return joined.select("_k", *rest, *[F.col(f"_n{p}").alias(p) for p in at], (F.col("_odd") != F.col("_nodd")).alias("_odd"),
@@ -63,8 +62,10 @@ def greedy_match(pairs: DataFrame, keys=("page_id",), pooled: bool = False, carr
             "_k", "left", "right", "score", *carry, F.when(one & (F.col("_nl") == 1), F.col("_fr")).otherwise(F.col("_p_left")).alias("_p_left"),
             F.when(one & (F.col("_nr") == 1), F.col("_fl")).otherwise(F.col("_p_right")).alias("_p_right"),
             (F.col("_odd") | one).alias("_odd"), (F.col("_nl") + F.col("_nr") == 2).alias("_free"))
-        decided = reduce(DataFrame.unionByName, [s.filter("state IS NOT NULL") for s in steps]) if steps else None
-        jumped = _jump(pointed, decided, ["left", "right"])
+        if steps:
+            jumped = _jump(pointed, reduce(DataFrame.unionByName, [s.filter("state IS NOT NULL") for s in steps]), ["left", "right"])
+        else:  # No pointer leads far yet, and most pairs are settled without one.
+            jumped = pointed.withColumn("state", F.when(F.col("_free"), True)).drop("_free")
         taken = F.coalesce(F.col("state"), F.lit(False))
         for side in ("right", "left"):
             jumped = jumped.withColumn(f"_{side}", F.max(taken).over(Window.partitionBy("_k", side)))
@@ -83,18 +84,25 @@ def decide_by_rank(edges: DataFrame, keys: list[str]) -> DataFrame:
     ``edges(*keys, winner, loser)``: the winner always ranks above the loser. A node without a winner stays and its losers go; a node
     with one winner is that one's opposite and points at it. Rounds and pointers as in ``greedy_match``, for groups of any size.
     """
-    left = cut_lineage(edges.select(_group(keys).alias("_k"), "winner", "loser").distinct())
-    todo = left.select("_k", F.col("winner").alias("node")).unionByName(left.select("_k", F.col("loser").alias("node"))).distinct().select(
+    every = cut_lineage(edges.select(_group(keys).alias("_k"), "winner", "loser"))
+    # Most nodes lose to one that nothing beats: they go first, and only what is left needs pointers.
+    free = every.join(every.select("_k", F.col("loser").alias("winner")).distinct(), ["_k", "winner"], "left_anti")
+    first = cut_lineage(free.select("_k", F.col("loser").alias("node")).distinct().withColumn("state", F.lit(False)))
+    left = every.join(free.select("_k", "winner").distinct(), ["_k", "winner"], "left_anti")
+    for end in ("winner", "loser"):
+        left = left.join(first.select("_k", F.col("node").alias(end)), ["_k", end], "left_anti")
+    left = cut_lineage(left.distinct())
+    todo = left.select("_k", F.explode(F.array("winner", "loser")).alias("node")).distinct().select(
         "_k", "node", F.col("node").alias("_p_node"), F.lit(False).alias("_odd"))
-    steps: list[DataFrame] = []
+    steps = [first]
     while not left.isEmpty():
         before = left.groupBy("_k", F.col("loser").alias("node")).agg(F.count(F.lit(1)).alias("_n"), F.min("winner").alias("_w"))
         one = F.coalesce((F.col("_n") == 1) & (F.col("_p_node") == F.col("node")), F.lit(False))
         pointed = todo.join(before, ["_k", "node"], "left").select(
             "_k", "node", F.when(one, F.col("_w")).otherwise(F.col("_p_node")).alias("_p_node"), (F.col("_odd") | one).alias("_odd"),
             F.col("_n").isNull().alias("_free"))
-        decided = reduce(DataFrame.unionByName, [s.filter("state IS NOT NULL") for s in steps]) if steps else None
-        jumped = cut_lineage(_jump(pointed, decided, ["node"]))
+        jumped = cut_lineage(_jump(pointed, reduce(DataFrame.unionByName, [s.select("_k", "node", "state").filter("state IS NOT NULL") for s in steps]),
+                                   ["node"]))
         beaten = left.join(jumped.filter("state").select("_k", F.col("node").alias("winner")), ["_k", "winner"], "left_semi").select(
             "_k", F.col("loser").alias("node")).distinct().withColumn("_out", F.lit(True))
         steps.append(cut_lineage(jumped.join(beaten, ["_k", "node"], "left").withColumn(
@@ -104,7 +112,7 @@ def decide_by_rank(edges: DataFrame, keys: list[str]) -> DataFrame:
             left = left.join(todo.select("_k", F.col("node").alias(end)), ["_k", end], "left_semi")
         left = cut_lineage(left)
     # Nodes that are left without an edge stay.
-    gone = reduce(DataFrame.unionByName, [s.filter("NOT state") for s in steps]) if steps else todo
+    gone = reduce(DataFrame.unionByName, [s.filter("NOT state").select("_k", "node") for s in steps])
     return gone.select(*[F.col(f"_k.{k}") for k in keys], "node")
 
 
