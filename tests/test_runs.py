@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from veil.functions.ordered import index_percentile, lagged, running
+from veil.functions.ordered import _code, averaging_median, index_percentile, lagged, order_statistics, running
 from veil.operators import chat, payloads, quality, telemetry
 
 
@@ -152,3 +152,38 @@ def test_similarity_exactly_at_the_threshold(spark):
     few, many = " ".join(f"abc{i}" for i in range(7)), " ".join(f"abc{i}" for i in range(70))
     a, b = (spark.createDataFrame([(1, t)], "id int, text string") for t in (few, many))
     assert [r["b_id"] for r in chat.similarity_join(a, b, minimum=0.1).collect()] == [1]
+
+
+def test_order_statistics_of_any_values(spark):
+    rnd = random.Random(5)
+    values = {"a": [rnd.uniform(-3, 3) * 10 ** rnd.randrange(-9, 9) for _ in range(301)] + [1e15, -1e300, 0.0, -0.0],
+              "b": [7.5] * 40, "c": [float("inf"), 1.0], None: [2.0, -2.0, 0.5, 5e-324]}
+    rows = [(k, v) for k, vs in values.items() for v in vs] + [("a", None), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    places = {"low": lambda n: n * 0, "mid": lambda n: F.floor(n / 2), "top": lambda n: n - 1}
+    got = {r.k: (r.low, r.mid, r.top) for r in order_statistics(df, ["k"], "v", places).collect()}
+    assert got == {k: (sorted(v)[0], sorted(v)[len(v) // 2], sorted(v)[-1]) for k, v in values.items()}
+    medians = {r.k: r.median for r in averaging_median(df, ["k"], "v").collect()}
+    assert medians["c"] == float("inf") and medians["b"] == 7.5 and medians[None] == (5e-324 + 0.5) / 2
+    assert order_statistics(df.limit(0), [], "v", places).collect() == []
+
+
+def test_order_statistics_of_whole_numbers_and_decimals(spark):
+    rnd = random.Random(6)
+    whole = [rnd.randrange(-2**62, 2**62) for _ in range(200)] + [2**53, 2**53 + 1, -5, 0]
+    df = spark.createDataFrame([(v,) for v in whole], "v bigint")
+    at = {f"p{i}": (lambda n, i=i: F.lit(i)) for i in (0, 50, 101, 102, 103, 203)}
+    row = order_statistics(df, [], "v", at).first()
+    assert [row[f"p{i}"] for i in (0, 50, 101, 102, 103, 203)] == [sorted(whole)[i] for i in (0, 50, 101, 102, 103, 203)]
+    near = df.selectExpr("cast(9007199254740992 + pmod(v, 50) / 100 as decimal(30,2)) AS v")
+    want = sorted(r.v for r in near.collect())
+    row = order_statistics(near, [], "v", at).first()
+    assert [row[f"p{i}"] for i in (0, 50, 101, 102, 103, 203)] == [want[i] for i in (0, 50, 101, 102, 103, 203)]
+
+
+def test_an_outlier_leaves_no_large_step(spark):
+    # The children of one prefix are ordered together; most of 20,000 values under one prefix would be one task.
+    df = spark.range(20000).selectExpr("id * 1.0D AS v").union(spark.sql("SELECT 1e15D AS v"))
+    codes = df.select(F.shiftright(_code("v", "double"), 42).alias("p")).groupBy("p").count()
+    assert codes.agg(F.max("count")).first()[0] <= 100
+    assert averaging_median(df, [], "v").first().median == 10000.0

@@ -7,6 +7,8 @@ rows the key has.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,30 +70,54 @@ def lagged(df: DataFrame, keys: list[str], bucket: Column, order: list[str], col
     return joined.select(*df.columns, *adds)
 
 
-def index_percentile(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], buckets: int = 1024) -> DataFrame:
-    """Exact ``sorted[min(n - 1, floor(n * p))]`` per key.
+def _code(value: str, kind: str) -> Column:
+    """A long that never decreases with the value: the number itself, or the bits of a double in the order of their values."""
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return F.col(value).cast("long")
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), F.col(value).cast("double")).cast("long")
+    return F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit(2**63 - 1)))
+
+
+def order_statistics(df: DataFrame, keys: list[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Exact values at places of the sorted list, per key: a place is a function of the number of values, counted from 0.
 
-    Equal values are counted first; the wanted position is then located over value bands, and only
-    the band that holds it is ordered. ``keys`` may be empty.
+    A radix selection: equal values are counted first and the counts summed by the value's highest 22 and 43 bits. The
+    place is looked up among the highest bits, then among the next 21 bits below the ones found, then among the values below
+    those. Each step orders the children of one prefix, at most 4 million rows whatever values a key has; an outlier takes
+    one prefix of its own. ``keys`` may be empty; rows of a NULL key form one key; NULL values do not count.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_x")).agg(
-        F.count(F.lit(1)).alias("_n"))
-    span = counted.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.sum("_n").alias("_total"))
-
-    def with_span(d, s):
-        return d.join(s, keys) if keys else d.crossJoin(F.broadcast(s))  # without keys: one summary row
-
-    band = F.when(F.col("_hi") > F.col("_lo"), F.least(
-        F.lit(buckets - 1), F.floor((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets))).otherwise(F.lit(0))
-    banded = with_span(counted, span).withColumn("_band", band.cast("int"))
-    sums = banded.groupBy(*keys, "_band", "_total").agg(F.sum("_n").alias("_in"))
-    w = Window.partitionBy(*keys).orderBy("_band") if keys else Window.partitionBy(F.lit(0)).orderBy("_band")
-    sums = sums.withColumn("_before", F.sum("_in").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_in"))
-    wanted = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("p")) for n, p in shares.items()]))
-    target = sums.withColumn("_s", wanted).withColumn("_at", F.least(
-        F.col("_total") - 1, F.floor(F.col("_total") * F.col("_s.p")))).filter(
-        "_at >= _before AND _at < _before + _in").select(*keys, "_band", "_before", "_at", F.col("_s.name").alias("name"))
-    inner = banded.join(target, [*keys, "_band"]).withColumn("_cum", F.sum("_n").over(
-        Window.partitionBy(*keys, "_band", "name").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before"))
-    hit = inner.filter("_cum > _at AND _cum - _n <= _at")
-    return hit.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == n, F.col("_x"))).alias(n) for n in shares])
+    group = F.struct(*keys) if keys else F.lit(0)
+    leaf = df.filter(F.col(value).isNotNull()).groupBy(group.alias("_g"), F.col(value).alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    leaf = leaf.withColumn("_c", _code("_x", df.schema[value].dataType.simpleString())).select(
+        "_g", "_x", "_n", F.shiftright("_c", 42).alias("_p1"), F.shiftright("_c", 21).alias("_p2"))
+    second = leaf.groupBy("_g", "_p1", "_p2").agg(F.sum("_n").alias("_n"))
+    first = second.groupBy("_g", "_p1").agg(F.sum("_n").alias("_n"))
+
+    def before(part, by):
+        return F.sum("_n").over(Window.partitionBy(*part).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+
+    def holding(rows):
+        return rows.filter("_at >= _before AND _at < _before + _n")
+
+    total = F.sum("_n").over(Window.partitionBy("_g"))
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), place(F.col("_total")).cast("long").alias("at")) for name, place in places.items()]))
+    found = holding(first.select("_g", "_p1", "_n", before(["_g"], "_p1").alias("_before"), total.alias("_total")).withColumn("_w", wanted).withColumn(
+        "_at", F.col("_w.at"))).select("_g", "_p1", F.col("_w.name").alias("_name"), (F.col("_at") - F.col("_before")).alias("_at"))
+    for rows, prefix, by in ((second, "_p1", "_p2"), (leaf, "_p2", "_x")):
+        below = rows.select("_g", prefix, by, "_n").join(found, ["_g", prefix])
+        found = holding(below.withColumn("_before", before(["_g", "_name"], by))).select(
+            "_g", by, "_name", (F.col("_at") - F.col("_before")).alias("_at"))
+    return found.groupBy("_g").agg(*[F.max(F.when(F.col("_name") == n, F.col("_x"))).alias(n) for n in places]).select(
+        *[F.col(f"_g.{k}") for k in keys], *places)
+
+
+def index_percentile(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact ``sorted[min(n - 1, floor(n * p))]`` per key; ``keys`` may be empty."""
+    return order_statistics(df, keys, value, {
+        name: lambda n, p=p: F.least(n - 1, F.floor(n * F.lit(p)).cast("long")) for name, p in shares.items()})
+
+
+def averaging_median(df: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
+    """Exact median per key: of an even number of values the mean of the two in the middle."""
+    two = order_statistics(df, keys, value, {"_lower": lambda n: F.floor((n - 1) / 2), "_upper": lambda n: F.floor(n / 2)})
+    return two.select(*keys, ((F.col("_lower") + F.col("_upper")) / 2).alias(name))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veil.functions.ordered import averaging_median
 from veil.functions.ordered import index_percentile as _index_percentile
 from veil.functions.util import half_up, safe_div
 from veil.operators.match import coverage, detection_pairs, element_pairs, greedy_match, preserved, surfaces_covered
@@ -88,7 +89,7 @@ def element_metrics(els: DataFrame, gt: DataFrame) -> DataFrame:
     pairs = element_pairs(els, gt)
     matches = greedy_match(pairs, ["page_id"], carry=("iou", "role_ok"))
     one = one_row({"tp": size(matches), "_roles": matches.agg(F.sum(F.col("role_ok").cast("long"))),
-                   "_iou": matches.agg(F.median("iou")), "_e": size(els), "_g": size(gt)})
+                   "_iou": averaging_median(matches, [], "iou"), "_e": size(els), "_g": size(gt)})
     return one.select(
         F.col("tp").cast("long").alias("tp"), (F.col("_e") - F.col("tp")).cast("long").alias("fp"),
         (F.col("_g") - F.col("tp")).cast("long").alias("fn"),
