@@ -222,6 +222,16 @@ s AS (SELECT DISTINCT page_id, category, 0::BIGINT AS n, cast([] AS BIGINT[]) AS
 m AS (SELECT category, sum(len(u))::BIGINT AS tp FROM (SELECT page_id, category, arg_max(used, n) AS u FROM s GROUP BY ALL) GROUP BY category)"""
 
 
+# Lefts of a page choose in order among the pairs p(page_id, l, r, score, ...); m holds the chosen pairs.
+PICKED = """
+o AS (SELECT page_id, l, row_number() OVER (PARTITION BY page_id ORDER BY l) AS n FROM (SELECT DISTINCT page_id, l FROM p)),
+q AS (SELECT p.*, o.n FROM p JOIN o USING (page_id, l)),
+s AS (SELECT DISTINCT page_id, 0::BIGINT AS n, cast([] AS BIGINT[]) AS used, cast(NULL AS BIGINT) AS r FROM q UNION ALL
+  SELECT s.page_id, s.n + 1, CASE WHEN t.r IS NULL THEN s.used ELSE list_append(s.used, t.r) END, t.r FROM s JOIN o ON o.page_id = s.page_id AND o.n = s.n + 1,
+    LATERAL (SELECT arg_max(q.r, (q.score, -q.r)) AS r FROM q WHERE q.page_id = s.page_id AND q.n = s.n + 1 AND NOT list_contains(s.used, q.r)) t),
+m AS (SELECT q.* FROM q JOIN s ON s.page_id = q.page_id AND s.n = q.n AND s.r = q.r)"""
+
+
 @query("detection_quality", GREEDY + """,
 c AS (SELECT category, coalesce(tp, 0) AS tp, (SELECT count(*) FROM b WHERE b.category = k.category) - coalesce(tp, 0) AS fp, (SELECT count(*) FROM g WHERE g.category = k.category) - coalesce(tp, 0) AS fn FROM (SELECT DISTINCT category FROM b) k LEFT JOIN m USING (category)),
 t AS (SELECT category, tp, fp, fn FROM c UNION ALL SELECT NULL, sum(tp)::BIGINT, sum(fp)::BIGINT, sum(fn)::BIGINT FROM c)
@@ -284,7 +294,16 @@ def safe_controls(spark, sf):
     return match.preserved(els, b).select("page_id", "seq")
 
 
-@query("element_quality")
+@query("element_quality", f"""
+WITH RECURSIVE b AS (SELECT capture_id AS page_id, seq, lower(concat(text, '-', seq)) AS name, category AS role, x / 100 AS x, y / 100 AS y, w / 100 AS w, h / 100 AS h FROM ({B})),
+g AS (SELECT page_id, seq, name, CASE WHEN seq % 4 = 0 THEN 'button' ELSE role END AS role, x, y, w, h FROM b WHERE seq % 2 = 0),
+e AS (SELECT a.page_id, a.seq AS l, b.seq AS r, {IOU} AS iou, a.role = b.role AS same, contains(a.name, b.name) OR contains(b.name, a.name) AS named
+  FROM b a JOIN g b ON a.page_id = b.page_id, LATERAL (SELECT {INTER} AS ia) i),
+p AS (SELECT *, iou * 2 + same::INT + named::INT AS score FROM e WHERE (iou >= 0.4 OR named) AND iou * 2 + same::INT + named::INT > 0.5),
+{PICKED},
+n AS (SELECT (SELECT count(*) FROM m) AS tp, (SELECT count(*) FROM b) AS e, (SELECT count(*) FROM g) AS g)
+SELECT tp, e - tp AS fp, g - tp AS fn, floor(tp * 100.0 / g * 10 + 0.5) / 10 AS recall, floor(tp * 100.0 / e * 10 + 0.5) / 10 AS precision,
+  floor((SELECT count(*) FROM m WHERE same) * 100.0 / tp * 10 + 0.5) / 10 AS role_accuracy, floor((SELECT median(iou) FROM m) * 100 + 0.5) / 100 AS median_iou FROM n""")
 def element_quality(spark, sf):
     """Extracted elements are all boxes, truth every second one under another role for some."""
     b = boxes(spark, sf).selectExpr("capture_id AS page_id", "seq", "concat(text, '-', cast(seq as string)) AS name", "category AS role", "x / 100 AS x", "y / 100 AS y", "w / 100 AS w", "h / 100 AS h")
@@ -326,7 +345,13 @@ def _fused(spark, sf, mode):
     return match.fuse_perception(dom, vis, mode, cell=25.0)
 
 
-@query("perception_fusion")
+@query("perception_fusion", f"""
+WITH RECURSIVE b AS (SELECT capture_id AS page_id, seq, x, y, w, h FROM ({B})),
+p AS (SELECT * FROM (SELECT a.page_id, a.seq AS l, b.seq AS r, {IOU} AS score FROM b a JOIN b ON a.page_id = b.page_id AND a.seq % 2 = 0 AND b.seq % 2 = 1, LATERAL (SELECT {INTER} AS ia) i) WHERE score >= 0.25),
+{PICKED},
+f AS (SELECT page_id, count(*) AS fused, avg(floor(score * 1000 + 0.5) / 1000) AS agreement FROM m GROUP BY 1)
+SELECT page_id AS capture_id, sum(CASE WHEN seq % 2 = 0 THEN 1 ELSE 0 END)::BIGINT - coalesce(any_value(fused), 0) AS dom, sum(seq % 2)::BIGINT - coalesce(any_value(fused), 0) AS vision,
+  coalesce(any_value(fused), 0) AS fused, floor(any_value(agreement) * 1000 + 0.5) / 1000 AS mean_agreement FROM b LEFT JOIN f USING (page_id) GROUP BY page_id""")
 def perception_fusion(spark, sf):
     """J9 and A10."""
     return quality.fusion_summary(_fused(spark, sf, "fused"))
