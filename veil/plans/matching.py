@@ -311,7 +311,15 @@ def element_quality(spark, sf):
     return quality.element_metrics(b, gt)
 
 
-@query("redaction_quality")
+@query("redaction_quality", f"""
+WITH b AS (SELECT capture_id AS page_id, seq, lower(text) AS name, x / 100 AS x, y / 100 AS y, w / 100 AS w, h / 100 AS h FROM ({B})),
+c AS (SELECT DISTINCT a.page_id, a.seq FROM b a JOIN b ON a.page_id = b.page_id AND b.seq % 2 = 0, LATERAL (SELECT {INTER} AS ia) i WHERE {IOU} >= 0.3
+   OR (b.x <= a.x + 0.05 AND b.x + b.w >= a.x + a.w - 0.05 AND b.y <= a.y + 0.05 AND b.y + b.h >= a.y + a.h - 0.05)),
+k AS (SELECT DISTINCT a.page_id, a.seq FROM b a JOIN b ON a.page_id = b.page_id AND b.seq % 3 = 0 AND (contains(a.name, b.name) OR contains(b.name, a.name))),
+n AS (SELECT count(*) AS total, count(*) - (SELECT count(*) FROM c) AS under_masked, (SELECT count(*) FROM k) AS safe_kept, count(*) AS safe_total,
+  sum(CASE WHEN seq % 2 = 0 THEN w * h ELSE 0 END) AS ma, sum(greatest(0.0001, w * h)) AS sa FROM b)
+SELECT floor((total - under_masked) * 100.0 / total * 10 + 0.5) / 10 AS coverage, under_masked, floor(ma / sa * 100 + 0.5) / 100 AS area_ratio,
+  floor(safe_kept * 100.0 / safe_total * 10 + 0.5) / 10 AS safe_pct, safe_kept, safe_total FROM n""")
 def redaction_quality(spark, sf):
     """A3."""
     b = boxes(spark, sf).selectExpr("capture_id AS page_id", "seq", "text AS name", "x / 100 AS x", "y / 100 AS y", "w / 100 AS w", "h / 100 AS h")
