@@ -26,6 +26,11 @@ def test_element_context_reads_the_table(pages):
     assert parses(html.element_context(node_table(pages))) == 0
 
 
+def test_element_context_gathers_no_nodes_on_the_driver(pages):
+    plan = html.element_context(node_table(pages))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
 def test_the_table_holds_what_was_parsed(spark, pages):
     once, again = node_table(pages), parse_nodes(pages)
     assert once.schema == again.schema
