@@ -96,6 +96,13 @@ def test_rate_limit_hot_key_in_one_batch(spark, tmp_path):
     assert got.where("allowed").count() == 1000 * len(starts) and got.groupBy("window_start").agg(F.max("count_in_window").alias("m"), F.count("*").alias("c")).where("m <> c").count() == 0
 
 
+def test_rows_of_a_key_wait_together(spark, tmp_path):
+    rows = [(1, i, 1_700_000_000_000 + i * 60_000) for i in range(200)]
+    _, stream = in_batches(spark, tmp_path, [rows], "key long, id long, ts_ms long")
+    _, left = last_progress(streams.rate_limit_stream(stream, 20, delay="1 day"), "tg", tmp_path)
+    assert left <= 6  # not a chunk, a size and a timer for each of 200 minutes
+
+
 def test_late_requests_are_marked(spark, tmp_path):
     t = 1_700_000_000_000
     batches = [[(1, 1, t), (1, 2, t + 1000)], [(1, 3, t + 3_600_000)], [(1, 4, t + 2000), (1, 5, t + 3_600_001)], [(1, 6, t + 2500)], [(None, -1, t + 86_400_000)]]

@@ -1,8 +1,8 @@
 """Structured Streaming twins of the batch jobs.
 
 The stateful ones (Z2-Z4) settle rows in event time: input may come in any order within the watermark's delay and gives the rows of
-the batch twin, in micro-batches of any size. Rows of a key wait in the state store by minute, as Arrow blobs of one input
-chunk each, so that a batch with very many rows of one key is never one object; an event-time timer at the end of each minute settles it. Rows
+the batch twin, in micro-batches of any size. Rows of a key wait in the state store as Arrow blobs of at most one input
+chunk each, so that a batch with very many rows of one key is never one object; an event-time timer settles the minutes that are over. Rows
 that come after their minute (or window) was settled are not dropped: they are returned at once, marked ``late``. State of a key
 ends with a timer, too: nothing is left when its window, its run or its tumbling window is over.
 
@@ -26,6 +26,8 @@ from veil.operators.telemetry import LOOP_EXEMPT, WINDOW_MS
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MINUTE_US = 60_000_000
 SLICE = 50_000
+# Rows of one key that are held at once while its chunks are put in order, about.
+OVERLAP = 200_000
 # What identifies an action, and what identifies it within a cycle.
 IDENT, CYCLE = ("kind", "target", "text", "option", "direction"), ("kind", "target", "text")
 
@@ -116,42 +118,77 @@ def telemetry_totals(rows: DataFrame, kind: str = "event_type") -> DataFrame:
 
 
 class InOrder(StatefulProcessor):
-    """Settles the rows of a key in the order of ``us`` and ``order``, minute by minute, once the watermark has passed the minute."""
+    """Settles the rows of a key in the order of ``us`` and ``order``, whole minutes at a time, once the watermark has passed them.
+
+    A part of the input waits as one chunk under its first minute and its number, or, where it has many rows, as several of whole
+    minutes each: the more chunks wait, the fewer rows each gets, so that chunks that overlap stay small together. Of a chunk that is
+    due in part, the rest waits on in two halves, so a row is written anew a few times only.
+    """
 
     order: list[str] = []
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.sizes = handle.getMapState("sizes", "minute long", "n int")
-        self.chunks = handle.getMapState("chunks", "minute long, at int", "rows binary")
+        self.made = handle.getValueState("made", "parts long, waiting long")
+        self.chunks = handle.getMapState("chunks", "minute long, at long", "rows binary")
         self.begin(handle)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        settled = timerValues.getCurrentWatermarkInMs() * 1000 // MINUTE_US
+        settled, made = timerValues.getCurrentWatermarkInMs() * 1000 // MINUTE_US, None
         for part in filter(len, rows):  # a key whose timer is due comes with an empty part
-            minute = part["us"] // MINUTE_US
-            if (minute < settled).any():
-                yield self.late(key, part[minute < settled])
-            for m, some in part[minute >= settled].groupby(minute):
-                at = self.sizes.getValue((int(m),))[0] if self.sizes.containsKey((int(m),)) else 0
-                batch = pa.RecordBatch.from_pandas(some, preserve_index=False)
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, batch.schema) as writer:
-                    writer.write_batch(batch)
-                self.chunks.updateValue((int(m), at), (sink.getvalue().to_pybytes(),))
-                self.sizes.updateValue((int(m),), (at + 1,))
-                if not at:
-                    self.handle.registerTimer(int(m + 1) * MINUTE_US // 1000)
+            late = (part["us"] // MINUTE_US < settled).to_numpy()
+            if late.any():
+                yield self.late(key, part[late])
+            if not late.all():
+                parts, waiting = made or (self.made.get() if self.made.exists() else (0, 0))
+                minutes = self.wait(part[~late], parts, max(1, OVERLAP // max(waiting, 100)))
+                made = parts + 1, waiting + len(minutes)
+                self.handle.registerTimer((minutes[0] + 1) * MINUTE_US // 1000)
+        if made:
+            self.made.update(made)
+
+    def wait(self, rows: pd.DataFrame, at: int, least: int) -> list[int]:
+        """Writes chunks of ``least`` rows or more and whole minutes; returns their first minutes."""
+        rows = rows.sort_values(["us", *self.order], kind="stable")
+        minute, i, first = rows["us"].to_numpy() // MINUTE_US, 0, []
+        while i < len(minute):
+            j = int(np.searchsorted(minute, minute[min(i + least, len(minute)) - 1], side="right"))
+            batch = pa.RecordBatch.from_pandas(rows.iloc[i:j], preserve_index=False)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as writer:
+                writer.write_batch(batch)
+            first.append(int(minute[i]))
+            self.chunks.updateValue((first[-1], at), (sink.getvalue().to_pybytes(),))
+            i = j
+        return first
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        for m in sorted(m for (m,) in list(self.sizes.keys()) if (m + 1) * MINUTE_US <= mark * 1000):
-            n = self.sizes.getValue((m,))[0]
-            parts = [pa.ipc.open_stream(self.chunks.getValue((m, at))[0]).read_all() for at in range(n)]
-            for at in range(n):
-                self.chunks.removeKey((m, at))
-            self.sizes.removeKey((m,))
-            yield from self.settle(key, pa.concat_tables(parts, promote_options="default").to_pandas().sort_values(["us", *self.order], kind="stable"))
+        settled, waiting = mark * 1000 // MINUTE_US, sorted(tuple(c) for c in self.chunks.keys())
+        due = [c for c in waiting if c[0] < settled]
+        held, n, most = [], 0, OVERLAP
+        for i, chunk in enumerate(due):
+            held.append(pa.ipc.open_stream(self.chunks.getValue(chunk)[0]).read_all().to_pandas().assign(at_=chunk[1]))
+            self.chunks.removeKey(chunk)
+            n += len(held[-1])
+            if i + 1 < len(due) and n < most:
+                continue
+            whole = pd.concat(held).sort_values(["us", *self.order, "at_"], kind="stable")
+            # Rows before the first minute of the next chunk are complete.
+            cut = int(np.searchsorted(whole["us"].to_numpy() // MINUTE_US, due[i + 1][0] if i + 1 < len(due) else settled))
+            if cut:
+                yield from self.settle(key, whole.iloc[:cut].drop(columns="at_"))
+            held, n = [whole.iloc[cut:]], len(whole) - cut
+            most = 2 * n + OVERLAP
+        if due:
+            left = [m for m, _ in waiting[len(due):]]
+            for at, rest in held[0].groupby("at_"):
+                left += self.wait(rest.drop(columns="at_"), int(at), -(-len(rest) // 2))
+            if left:
+                self.made.update((self.made.get()[0], len(left)))
+                self.handle.registerTimer((min(left) + 1) * MINUTE_US // 1000)
+            else:
+                self.made.clear()
         ends = self.ends()
         if ends is not None and ends <= mark:
             self.forget()
