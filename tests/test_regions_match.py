@@ -156,3 +156,16 @@ def test_pooled_sequence_numbers_stay_apart(spark):
 
     rows = spark.createDataFrame([(0, 1_000_000), (1, 0)], "page_order int, seq bigint").selectExpr("*", "7 AS page_id")
     assert quality._pool(rows).select("seq").distinct().count() == 2
+
+
+def test_fuzzy_classes_say_what_all_pairs_say(spark):
+    words = ["gizmo", "gizmos", "gear", "ear", "plate", "late", "", None, "ab"]
+    rows = [(i, i % 3 if i % 50 else None, words[i % len(words)]) for i in range(300)]
+    a = spark.createDataFrame(rows, "id long, blk long, token string")
+    b = a.selectExpr("id + 1000 AS id", "blk", "substr(token, 1 + cast(id % 2 AS int)) AS token")
+    got = match.fuzzy_classes(a, b, "blk").collect()
+    of = {(r.kind, r.id): r.class_id for r in got if r.kind != "pair"}
+    pairs = {(r.id, r.class_id): r.distance for r in got if r.kind == "pair"}
+    full = {(x, y): pairs[of["a", x], of["b", y]] for k, x in of if k == "a" for j, y in of if j == "b" and (of["a", x], of["b", y]) in pairs}
+    assert full == {(r.a_id, r.b_id): r.distance for r in match.fuzzy_join(a, b, "blk").collect()}
+    assert len(of) == 600 and len(got) < 1000 < len(full)
