@@ -132,7 +132,7 @@ def scrub_text_docs(spark, sf):
 SELECT c_custkey, CASE WHEN length(t) > 80 THEN concat(substr(t, 1, 77), '...') ELSE t END AS clean FROM (
   SELECT c_custkey, concat(c_name, ' writes to [REDACTED_EMAIL]', CASE WHEN c_custkey % 2 = 0 THEN ' about the ' || lower(c_mktsegment) || ' order that was late' ELSE '' END) AS t FROM customer)""")
 def sanitize_names(spark, sf):
-    names = table(spark, sf, "customer").selectExpr("c_custkey", """concat('  ', c_name, ' writes to user', cast(c_custkey as string), '@mail.example.com',
+    names = table(spark, sf, "customer", heavy=True).selectExpr("c_custkey", """concat('  ', c_name, ' writes to user', cast(c_custkey as string), '@mail.example.com',
         CASE WHEN c_custkey % 2 = 0 THEN concat(' about the ', lower(c_mktsegment), ' order that was late') ELSE '' END, ' ') AS name""")
     return detect.sanitize_name(names, "name").select("c_custkey", "clean")
 
@@ -175,7 +175,7 @@ def context_spans(spark, sf):
 @query("container_spans", """
 SELECT c_custkey AS page_id, 'email' AS category, 5 AS start, 5 + length(concat('user', cast(c_custkey AS VARCHAR), '@mail.example.com')) AS "end" FROM customer""")
 def container_spans(spark, sf):
-    nodes = table(spark, sf, "customer").selectExpr("c_custkey AS page_id", """posexplode(array('Mail ', concat('user', cast(c_custkey as string)), '@mail.', 'example.com', ' !'))
+    nodes = table(spark, sf, "customer", heavy=True).selectExpr("c_custkey AS page_id", """posexplode(array('Mail ', concat('user', cast(c_custkey as string)), '@mail.', 'example.com', ' !'))
         AS (pos, text)""").withColumn("parent_id", F.lit(1))
     found = detect.container_spans(nodes)
     return found.filter("rule_seq = 9").select("page_id", "category", "start", "end")
@@ -387,7 +387,7 @@ SELECT p_partkey AS conv_id, 0 AS pos, 'name' AS target, cast(p_partkey AS VARCH
 SELECT p_partkey, 1, 'e-mail', concat('u', cast(p_partkey AS VARCHAR), '@mail.example.com') FROM part UNION ALL
 SELECT p_partkey, 2, 'city', p_brand FROM (SELECT p_partkey, regexp_replace(p_brand, '#', '', 'g') AS p_brand FROM part)""")
 def field_assignments(spark, sf):
-    goals = table(spark, sf, "part").selectExpr("p_partkey AS conv_id", "0 AS turn", """concat('for name type "', cast(p_partkey as string), '" and type u', cast(p_partkey as string),
+    goals = table(spark, sf, "part", heavy=True).selectExpr("p_partkey AS conv_id", "0 AS turn", """concat('for name type "', cast(p_partkey as string), '" and type u', cast(p_partkey as string),
         '@mail.example.com in the e-mail then ', regexp_replace(p_brand, '#', ''), ' into the city') AS text""")
     return chat.assignments(goals).select("conv_id", "pos", "target", "value")
 
