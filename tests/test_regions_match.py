@@ -169,3 +169,14 @@ def test_fuzzy_classes_say_what_all_pairs_say(spark):
     full = {(x, y): pairs[of["a", x], of["b", y]] for k, x in of if k == "a" for j, y in of if j == "b" and (of["a", x], of["b", y]) in pairs}
     assert full == {(r.a_id, r.b_id): r.distance for r in match.fuzzy_join(a, b, "blk").collect()}
     assert len(of) == 600 and len(got) < 1000 < len(full)
+
+
+def test_text_regions_search_each_text_once(spark):
+    nodes = spark.range(40).selectExpr("id % 4 AS capture_id", "id AS node_id", "CASE id % 5 WHEN 4 THEN NULL ELSE concat('call u', id % 2, '@mail.example.com') END AS text",
+                                       "cast(20 * id AS double) AS x", "1D AS y", "5D AS w", "5D AS h",
+                                       "cast(NULL AS array<struct<category:string,rects:array<struct<x:double,y:double,w:double,h:double>>,fallback:struct<x:double,y:double,w:double,h:double>>>) AS ranges")
+    meta = spark.range(4).selectExpr("id AS capture_id", "1280D AS viewport_w", "720D AS viewport_h", "1280D AS screen_w", "720D AS screen_h", "0D AS scroll_x", "0D AS scroll_y")
+    got = regions.text_regions(nodes, meta)
+    assert "Aggregate [text" in got._jdf.queryExecution().optimizedPlan().toString()
+    # A node for each box: none is near another, and nodes without text have none.
+    assert got.where("category = 'email'").count() == 32

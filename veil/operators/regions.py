@@ -147,8 +147,10 @@ def text_regions(nodes: DataFrame, meta: DataFrame | None) -> DataFrame:
     loose = ranges.filter((F.coalesce(F.size("r.rects"), F.lit(0)) <= 0) & F.col("r.fallback").isNotNull()).select(
         *keep, F.col("r.category").alias("category"), F.col("r.fallback").alias("b"))
     loose = to_screenshot(loose.select(*keep, "category", *box("b")), meta, pad=4)
-    bare = nodes.filter(F.coalesce(F.size("ranges"), F.lit(0)) <= 0).withColumn("_s", spans_col("text"))
-    bare = to_screenshot(bare.select(*keep, F.explode("_s.category").alias("category"), "x", "y", "w", "h"), meta, pad=2)
+    bare = nodes.filter((F.coalesce(F.size("ranges"), F.lit(0)) <= 0) & F.col("text").isNotNull())
+    # Captures show the same texts again and again; each is searched once.
+    found = bare.select("text").distinct().select("text", F.explode(spans_col("text")["category"]).alias("category"))
+    bare = to_screenshot(bare.select(*keep, "text", "x", "y", "w", "h").join(found, "text").drop("text"), meta, pad=2)
     cols = ["capture_id", "category", *[F.col(f"sx_{c}").alias(c) for c in ("x", "y", "w", "h")]]
     every = reduce(DataFrame.unionByName, [d.filter("sx_w > 1 AND sx_h > 1").select(*cols) for d in (exact, loose, bare)])
     return merge_boxes(every).withColumns({"source": F.lit("text_pii_regex"), "method": F.lit("opaque_mask")})
