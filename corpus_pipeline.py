@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veil.llm.common import shared_path, table, written
+from veil.llm.common import shared_path, small_batches, table, written
 from veil.llm.decontaminate import decontaminate
 from veil.llm.language_id import UNDETERMINED, fit
 from veil.llm.mixing import mix
@@ -27,6 +27,7 @@ LEAST_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     model = fit(docs.where(F.col("doc_id").isNotNull() & ~held_out()))
     guess = F.col("_language")
     told = (guess["lang"] != UNDETERMINED) & (guess["score"] >= LEAST_SCORE)
@@ -34,11 +35,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     gone = near_duplicates(docs, width=5, percent=80).where("NOT kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     marked = decontaminate(docs, table(spark, sf_dir, "benchmark"), width=10, out="_hits")
     return marked.where(F.col("_hits.n_hit") == 0).select(docs.columns)
 
@@ -53,6 +56,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     path = shared_path(spark, "token-files")
     write_token_files(docs, path, tokenizer_path(), END_ID)
     return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

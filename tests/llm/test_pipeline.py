@@ -105,3 +105,16 @@ def test_tokens_read_back(stages):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_batches_and_text_groups_are_small(spark, stages):
+    import pyarrow as pa
+
+    from veil.llm.common import BATCH_BYTES
+    from veil.llm.near_dedup import _text_groups
+
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == BATCH_BYTES
+    batch = pa.RecordBatch.from_pydict({"id": list(range(9)), "text": [b"x" * 500_000, None, *[b"y" * 900_000] * 6, b"z" * 5_000_000]})
+    parts = list(_text_groups(batch))
+    assert [i for ids, _ in parts for i in ids] == list(range(9))
+    assert all(len(ids) == 1 or sum(map(len, values)) <= 2_000_000 for ids, values in parts)

@@ -39,8 +39,8 @@ SEEDS = mix(np.arange(1, 2 * HALVES + 1, dtype=np.uint64))
 SKETCH = "doc_id bigint, n_shingles bigint, digest_a bigint, digest_b bigint, halves array<bigint>"
 
 
-def _text_groups(batch: pa.RecordBatch, most: int = 8_000_000):
-    """Parts of a batch (id, utf-8 text) of bounded size."""
+def _text_groups(batch: pa.RecordBatch, most: int = 2_000_000):
+    """Parts of a batch (id, utf-8 text) of bounded size: the arrays of their shingles take some hundred bytes a word."""
     ids, values = batch.column(0).to_pylist(), batch.column(1).to_pylist()
     at = 0
     while at < len(ids):
