@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from veil.functions import blocking
 from veil.operators import match, regions
 
 META = "1000.0 viewport_w, 500.0 viewport_h, 2000.0 screen_w, 1000.0 screen_h, 0.0 scroll_x, 0.0 scroll_y"
@@ -180,3 +181,31 @@ def test_text_regions_search_each_text_once(spark):
     assert "Aggregate [text" in got._jdf.queryExecution().optimizedPlan().toString()
     # A node for each box: none is near another, and nodes without text have none.
     assert got.where("category = 'email'").count() == 32
+
+
+def test_small_and_large_groups_pair_alike(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(p, i, "a", rng.choice(["", "v1", "v12", "go v1", "V1", None]), rng.choice(["x", "y"]),
+             *[None if rng.random() < 0.1 else rng.randint(0, 20) / 10 for _ in range(2)], *[None if rng.random() < 0.1 else rng.randint(-1, 12) / 10 for _ in range(2)])
+            for p in range(6) for i in range(3 + 9 * (p % 3))]
+    df = spark.createDataFrame(rows, "page_id int, seq int, category string, name string, role string, x double, y double, w double, h double").withColumn("text", F.col("name"))
+    left, right = df, df.filter("seq % 2 = 0").withColumn("x", F.col("x") + 0.1)
+
+    def results():
+        hit, missed = match.coverage(left, right)
+        found = [match.element_pairs(left, right), match.detection_pairs(left, right), match.preserved(right, left), hit, missed]
+        return [sorted(map(tuple, d.collect()), key=repr) for d in found]
+
+    monkeypatch.setattr(blocking, "FEW", 0)  # all groups by cells and grams
+    by_cells = results()
+    for few in (12, 1000):
+        monkeypatch.setattr(blocking, "FEW", few)
+        assert results() == by_cells
+    assert all(by_cells)
+    # Groups of few rows meet by their key alone: no row of theirs is dealt out by cell or gram.
+    dealt = []
+    for name in ("touching_boxes", "containing_text"):
+        monkeypatch.setattr(match, name, lambda a, b, *rest, f=getattr(match, name): dealt.append(a.count() + b.count()) or f(a, b, *rest))
+    match.element_pairs(left, right)
+    match.preserved(right, left)
+    assert dealt == [0] * 5
