@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from veil.functions import urls
+from veil.functions.spans import SPAN_TYPE
 from veil.operators import scrub
 
 EXACT = [
@@ -84,3 +86,10 @@ def test_urls_nested_one_to_six_levels_deep(spark):
     out = {r["i"]: (r["url_clean"], r["want"]) for r in scrub.sanitize_urls(spark.createDataFrame(rows, "i int, u string, want string"), "u").collect()}
     for got, expected in out.values():
         assert got == expected
+
+
+def test_parts_that_are_secret_anyway_are_not_scanned(spark, monkeypatch):
+    monkeypatch.setattr(urls, "all_spans", lambda text: f"cast(raise_error('scanned') as {SPAN_TYPE})")
+    df = spark.createDataFrame([("https://a.example/reset/tok123456789?session=s12345&email=u12345%40a.example#access_token=a12345",)], "u string")
+    assert scrub.sanitize_urls(df, "u").first().url_clean == (
+        "https://a.example/reset/[REDACTED_TOKEN]?session=[REDACTED_TOKEN]&email=[REDACTED_EMAIL]#access_token=[REDACTED_TOKEN]")

@@ -85,44 +85,52 @@ def _clean_part(p: str) -> str:
         email_like = f"({S.rlike(d, EMAIL)} OR {S.rlike(value, EMAIL)})"
         has_at = f"contains({d}, '@')"
 
+        mail_in_pair = f"{email_like} OR ({has_at} AND contains({d}, '.'))"
+        # What a part becomes where no span of it matters; NULL where its spans decide.
+        segment = S.case(
+            (canary, token),
+            (f"{email_like} OR {has_at}", "NULL"),
+            (token_shape, token),
+            (f"lower({prev}) IN ({S.names(TOKEN_PATH_WORDS)}) AND {S.rlike(d, r'^[A-Za-z0-9_-]{8,}' + END)}", token),
+            (S.rlike(d, rf"^[0-9a-fA-F]{{24,}}{END}|^[A-Za-z0-9_-]{{32,}}{END}"), token),
+            otherwise="NULL")
+        pair = S.case(
+            (f"{canary} OR {S.rlike(key, SECRET_PARAM)}", token),
+            (S.rlike(key, PERSONAL_PARAM), f"CASE WHEN {S.rlike(d, EMAIL)} OR {has_at} THEN {email} END"),
+            (mail_in_pair, "NULL"),
+            (token_shape, token),
+            (S.rlike(d, rf"^[0-9a-fA-F]{{16,}}{END}|^[A-Za-z0-9+/_=-]{{24,}}{END}"), token),
+            otherwise="NULL")
+        anchor = S.case(
+            (f"{S.rlike(d, CANARY)} OR {token_shape}", token),
+            (f"{S.rlike(d, EMAIL)} OR {has_at}", email),
+            otherwise="NULL")
+        bare = S.case(
+            (f"{S.rlike(value, SECRET_PARAM)} OR {S.rlike(value, CANARY)}", f"concat({value}, '={TOKEN}')"),
+            (S.rlike(d, EMAIL), email),
+            otherwise=value)
+        unscanned = S.case(
+            (f"{kind} = 'broken'", "NULL"),
+            (f"{kind} = 'bare'", bare),
+            (f"{value} = '' AND {kind} = 'pair'", f"concat({key}, '=')"),
+            (f"{value} = ''", "''"),
+            (f"{kind} = 'pair'", f"concat({key}, '=', {pair})"),
+            (f"{kind} = 'anchor'", anchor),
+            otherwise=segment)
+
         def with_scrub(s: str) -> str:
             masked_email = f"CASE WHEN contains({s}.masked, {email}) THEN {s}.masked ELSE {email} END"
             pii = f"CASE WHEN {s}.n > 0 THEN {s}.masked ELSE {value} END"
-            segment = S.case(
-                (canary, token),
-                (f"{email_like} OR {has_at}", masked_email),
-                (token_shape, token),
-                (f"lower({prev}) IN ({S.names(TOKEN_PATH_WORDS)}) AND {S.rlike(d, r'^[A-Za-z0-9_-]{8,}' + END)}", token),
-                (S.rlike(d, rf"^[0-9a-fA-F]{{24,}}{END}|^[A-Za-z0-9_-]{{32,}}{END}"), token),
-                otherwise=pii)
-            personal = f"CASE WHEN {S.rlike(d, EMAIL)} OR {has_at} THEN {email} ELSE {s}.masked END"
-            pair = S.case(
-                (f"{canary} OR {S.rlike(key, SECRET_PARAM)}", token),
-                (S.rlike(key, PERSONAL_PARAM), personal),
-                (f"{email_like} OR ({has_at} AND contains({d}, '.'))", masked_email),
-                (token_shape, token),
-                (S.rlike(d, rf"^[0-9a-fA-F]{{16,}}{END}|^[A-Za-z0-9+/_=-]{{24,}}{END}"), token),
-                otherwise=pii)
-            anchor = S.case(
-                (f"{S.rlike(d, CANARY)} OR {token_shape}", token),
-                (f"{S.rlike(d, EMAIL)} OR {has_at}", email),
-                otherwise=pii)
-            bare = S.case(
-                (f"{S.rlike(value, SECRET_PARAM)} OR {S.rlike(value, CANARY)}", f"concat({value}, '={TOKEN}')"),
-                (S.rlike(d, EMAIL), email),
-                otherwise=value)
+            scanned_pair = S.case((S.rlike(key, PERSONAL_PARAM), f"{s}.masked"), (mail_in_pair, masked_email), otherwise=pii)
             return S.case(
                 (f"{kind} = 'broken'", scrub_tail(f"{s}.masked")),
-                (f"{kind} = 'bare'", bare),
-                (f"{value} = '' AND {kind} = 'pair'", f"concat({key}, '=')"),
-                (f"{value} = ''", "''"),
-                (f"{kind} = 'pair'", f"concat({key}, '=', {pair})"),
-                (f"{kind} = 'anchor'", anchor),
-                otherwise=segment)
+                (f"{kind} = 'pair'", f"concat({key}, '=', {scanned_pair})"),
+                (f"{kind} = 'segment' AND ({email_like} OR {has_at})", masked_email),
+                otherwise=pii)
 
         spans = f"CASE WHEN {S.rlike(d, R.MAYBE_SENSITIVE)} THEN {all_spans(d)} ELSE {NO_SPANS} END"
         scrub = S.let(spans, lambda sp: f"named_struct('masked', {cut_spans(d, sp)}, 'n', size({sp}))")
-        return S.let(scrub, with_scrub)
+        return f"coalesce({unscanned}, {S.let(scrub, with_scrub)})"
 
     return S.let(f"CASE WHEN {kind} = 'broken' THEN {value} ELSE {_decode(value)} END", with_decoded)
 
