@@ -34,3 +34,10 @@ def test_slots(spark):
     got = {r.i: r.slot for r in fields.semantic_type(df).collect()}
     # "given-name" contains "name", so both name slots score 0.5 and the earlier one keeps it.
     assert got == {0: "email", 1: "organization", 2: "fullName", 3: "fullName", 4: None}
+
+
+def test_a_filter_on_the_slot_repeats_no_words(spark):
+    df = fields.semantic_type(spark.createDataFrame([("text", "Email address")], "type string, label_text string"))
+    plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in (df, df.filter("slot IS NOT NULL"))]
+    assert plans[0].count("portfolio") == plans[1].count("portfolio") > 0
+    assert [r.slot for r in df.filter("slot IS NOT NULL").collect()] == ["email"]

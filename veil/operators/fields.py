@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veil.functions.rules import BL, BR, WS
 from veil.functions.spans import all_spans, cut_col
-from veil.functions.util import trim_ws
+from veil.functions.util import settled, trim_ws
 from veil.operators.detect import short_name
 from veil.operators.regions import to_screenshot
 
@@ -294,7 +294,8 @@ def semantic_type(fields: DataFrame, slots: dict | None = None) -> DataFrame:
     token = F.lit(None).cast("string")
     for slot, pattern in reversed(PRIVACY_TOKENS):
         token = F.when(raw("sanitized_name").rlike(pattern), F.lit(slot)).otherwise(token)
-    staged = staged.withColumn("_best", best).withColumn("_token", token)
+    # Settled, as a filter on the slot would be moved below and repeat every slot's words.
+    staged = settled(staged, _best=best, _token=token)
     accepted = F.col("_best.s") >= 0.4
     return staged.select(
         *fields.columns,
