@@ -125,3 +125,11 @@ def test_addresses_after_sector_words(spark):
     found = {r["id"]: r["m"] for r in df.select("id", F.regexp_extract_all("text", F.lit(rules.LOCALITY), F.lit(0)).alias("m")).collect()}
     assert found == {0: ["Sector #12345678"], 1: ["Sector 12-"], 2: ["Block C"], 3: [], 4: ["Pocket No. 4/7"]}
     assert detect.explode_spans(detect.scan_pii(df, "text")).where("id = 0").count() > 0
+
+
+def test_short_numbers_pass_no_digit_guard():
+    digit_rules = ("pin_code", "twelve_digit_id", "card", "indian_mobile", "indian_landline", "ten_digit_phone")
+    guards = [RULES_BY_NAME[n].guard for n in digit_rules]
+    assert not [g for g in guards if re.search(g, "order 4321 of 1999, 12345 items")]
+    for name, text in zip(digit_rules, ("pin 110 001", "2345 6789 0123", "4111-1111-1111-1111", "98765 43210", "020-234567", "(555) 234-5678")):
+        assert re.search(RULES_BY_NAME[name].guard, text), name
