@@ -48,3 +48,19 @@ def test_values_left_out(judged):
     assert by_kind["extract"].fallback_strategy is None and by_kind["extract"].completion_evidence == ["url"]
     assert by_kind["answer"].fallback_strategy == "fail_safe" and by_kind["answer"].completion_evidence == ["dialog"]
     assert found[0].completion_evidence is None
+
+
+def test_equal_proposals_are_judged_once_and_on_every_page(spark, monkeypatch):
+    monkeypatch.setattr(payloads, "reason_sql", lambda *_: "uuid()")
+    same = json.dumps({**BASE, "kind": "wait"})
+    actions = spark.createDataFrame([(page, same) for page in range(40)] + [(None, same), (1, None)], "page_id int, proposal string").repartition(4)
+    elements = spark.createDataFrame([(1, "el_1")], "page_id int, local_id string")
+    rows = payloads.tag_actions(actions, elements).collect()
+    assert len(rows) == 42 and len({r.reason for r in rows if r.proposal == same}) == 1
+
+
+def test_named_elements_are_taken_out_above_the_scan_only(spark):
+    actions = spark.createDataFrame([(1, json.dumps({**BASE, "kind": "wait"}))], "page_id int, proposal string").repartition(3)
+    tagged = payloads.tag_actions(actions, spark.createDataFrame([(1, "el_1")], "page_id int, local_id string"))
+    plan = tagged._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "batchActions" in line]

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veil.functions import text_sql as S
+from veil.functions.util import settled
 from veil.operators.scrub import SCRIPT_PATTERNS, has_script
 
 PROHIBITED_KEYS = ("__proto__", "constructor", "prototype")
@@ -42,7 +43,7 @@ class Contract:
     rules: tuple = ()
     unknown: str = "unknown_property"
     unique: dict = field(default_factory=dict)
-    # (reason, SQL that is true when broken; ``{v}`` stands for the object), after all rules
+    # (reason, SQL that is true when broken; ``{v}`` stands for the object, ``{m}`` for its members, ``{kind}`` for its kind as text), after all rules
     checks: tuple = ()
 
 
@@ -53,6 +54,17 @@ def _get(v: str, path: str) -> str:
     return f"try_variant_get({v}, '$.{path}', 'variant')"
 
 
+def _members(x: str) -> str:
+    """An object's members; NULL for anything else."""
+    return f"try_variant_get({x}, '$', 'map<string,variant>')"
+
+
+def _member(m: str, path: str) -> str:
+    """The same as :func:`_get`, out of the members."""
+    head, _, rest = path.partition(".")
+    return _get(f"{m}['{head}']", rest) if rest else f"{m}['{head}']"
+
+
 def _kind(x: str) -> str:
     return f"schema_of_variant({x})"
 
@@ -66,7 +78,13 @@ def _number(x: str) -> str:
 
 
 def _keys(x: str) -> str:
-    return f"coalesce(json_object_keys(to_json({x})), cast(array() as array<string>))"
+    return f"coalesce(map_keys({_members(x)}), cast(array() as array<string>))"
+
+
+def _strange(keys: str, known: tuple) -> str:
+    """True when ``keys`` holds one that is not known."""
+    k = S.fresh("k")
+    return f"exists({keys}, {k} -> NOT ({k} IN ({S.names(known)})))"
 
 
 def _is_string(x: str) -> str:
@@ -108,7 +126,7 @@ def _ok(r: Rule, x: str) -> str:
     if r.kind == "bool":
         return f"{_kind(x)} = 'BOOLEAN'"
     if r.kind == "object":
-        named = f"size(array_except({_keys(x)}, array({S.names(r.values)}))) = 0" if r.values else "true"
+        named = f"NOT {_strange(_keys(x), r.values)}" if r.values else "true"
         return f"startswith({_kind(x)}, 'OBJECT') AND {named}"
     items = f"try_variant_get({x}, '$', 'array<variant>')"
     sized = [f"startswith({_kind(x)}, 'ARRAY')"]
@@ -129,29 +147,40 @@ def _ok(r: Rule, x: str) -> str:
     return " AND ".join(sized)
 
 
-def reason_sql(v: str, contract: Contract) -> str:
-    """First broken rule of variant ``v`` as a reason, NULL when all hold."""
-    whens = [
-        f"WHEN {v} IS NULL OR NOT startswith({_kind(v)}, 'OBJECT') THEN 'not_an_object'",
-        f"WHEN size(array_except({_keys(v)}, array({S.names(contract.keys)}))) > 0 THEN '{contract.unknown}'",
-    ]
+def _opened(v: str) -> dict[str, str]:
+    """What :func:`reason_sql` asks of an object again and again, to be worked out once."""
+    return {"m": _members(v), "kind": f"try_variant_get({v}, '$.kind', 'string')"}
+
+
+def reason_sql(v: str, contract: Contract, m: str, kind: str) -> str:
+    """First broken rule of variant ``v`` as a reason, NULL when all hold.
+
+    ``m`` and ``kind`` name what :func:`_opened` gives for ``v``: a look into a map costs far less than a walk through the variant.
+    """
+    parts = [S.case(
+        (f"{m} IS NULL", "'not_an_object'"),
+        (_strange(f"map_keys({m})", contract.keys), f"'{contract.unknown}'"), otherwise="NULL")]
     for r in contract.rules:
-        x = _get(v, r.path)
+        x = _member(m, r.path)
         # A rule inside an optional object only applies when the object is there.
-        parent = f"{_get(v, r.path.rsplit('.', 1)[0])} IS NOT NULL AND " if r.required and "." in r.path else ""
+        parent = f"{_member(m, r.path.rsplit('.', 1)[0])} IS NOT NULL AND " if r.required and "." in r.path else ""
         missing = f"{parent}{x} IS NULL" if r.required else "false"
-        whens.append(f"WHEN ({missing}) OR ({x} IS NOT NULL AND NOT coalesce({_ok(r, x)}, false)) THEN '{r.reason}'")
+        parts.append(f"CASE WHEN ({missing}) OR ({x} IS NOT NULL AND NOT coalesce({_ok(r, x)}, false)) THEN '{r.reason}' END")
         if r.item is not None:
-            e, q = S.fresh("e"), S.fresh("q")
-            items = f"try_variant_get({x}, '$', 'array<variant>')"
-            bad = f"get(filter(transform({items}, {e} -> {reason_sql(e, r.item)}), {q} -> {q} IS NOT NULL), 0)"
-            whens.append(f"WHEN {x} IS NOT NULL AND {bad} IS NOT NULL THEN concat('{r.path}: ', {bad})")
+            e, i, q = S.fresh("e"), S.fresh("i"), S.fresh("q")
+            opened = ", ".join(f"'{name}', {sql}" for name, sql in _opened(e).items())
+            items = f"transform(try_variant_get({x}, '$', 'array<variant>'), {e} -> named_struct('v', {e}, {opened}))"
+            bad = f"get(filter(transform({items}, {i} -> {reason_sql(f'{i}.v', r.item, f'{i}.m', f'{i}.kind')}), {q} -> {q} IS NOT NULL), 0)"
+            parts.append(f"CASE WHEN {x} IS NOT NULL THEN concat('{r.path}: ', {bad}) END")
     for path, key in contract.unique.items():
         e = S.fresh("e")
         ids = f"transform(try_variant_get({v}, '$.{path}', 'array<variant>'), {e} -> {_text(_get(e, key))})"
-        whens.append(f"WHEN size(array_distinct({ids})) < size({ids}) THEN 'duplicate_{key}'")
-    whens += [f"WHEN {broken.replace('{v}', v)} THEN '{reason}'" for reason, broken in contract.checks]
-    return "CASE " + " ".join(whens) + " END"
+        parts.append(f"CASE WHEN size(array_distinct({ids})) < size({ids}) THEN 'duplicate_{key}' END")
+    for reason, broken in contract.checks:
+        for name, sql in (("{v}", v), ("{m}", m), ("{kind}", kind)):
+            broken = broken.replace(name, sql)
+        parts.append(f"CASE WHEN {broken} THEN '{reason}' END")
+    return f"coalesce({', '.join(parts)})"
 
 
 # ---------------------------------------------------------------------------
@@ -335,9 +364,9 @@ def _postcondition() -> tuple:
     at = "expectedPostcondition."
     value = lambda k: f"try_variant_get({{v}}, '$.{at}{k}', 'variant')"
     text = lambda k: f"try_variant_get({{v}}, '$.{at}{k}', 'string')"
-    there = "try_variant_get({v}, '$.expectedPostcondition', 'variant')"
+    there = "{m}['expectedPostcondition']"
     kind = f"coalesce({text('kind')}, '')"
-    extra = " OR ".join(f"({kind} = '{name}' AND size(array_except({_keys(there)}, array('kind', {S.names(keys)}))) > 0)" for name, keys in POSTCONDITIONS.items())
+    extra = " OR ".join(f"({kind} = '{name}' AND {_strange(_keys(there), ('kind', *keys))})" for name, keys in POSTCONDITIONS.items())
     number = lambda key, low, high: f"({value(key)} IS NOT NULL AND NOT coalesce({_ok(Rule('', 'number', '', low=low, high=high), value(key))}, false))"
     said = "(" + " OR ".join(f"coalesce({_is_string(value(key))} AND rlike({text(key)}, {S.lit(_NO_SELECTOR)}), false)" for key in sorted({"kind", *(x for v in POSTCONDITIONS.values() for x in v)})) + ")"
     broken = (("unknown_postcondition_kind", f"NOT ({kind} IN ({S.names(tuple(POSTCONDITIONS))}))"), ("unknown_postcondition_property", f"({extra})"),
@@ -351,7 +380,7 @@ def _postcondition() -> tuple:
 
 def _says_within(kind: str, reason: str, value: str, most: int) -> tuple[str, str]:
     """A kind needs a text of 1 to ``most`` characters."""
-    return reason, f"{_SUB.format('kind')} = '{kind}' AND (coalesce(length({value}), 0) NOT BETWEEN 1 AND {most} OR rlike({value}, {S.lit(_SCRIPT)}))"
+    return reason, f"{{kind}} = '{kind}' AND (coalesce(length({value}), 0) NOT BETWEEN 1 AND {most} OR rlike({value}, {S.lit(_SCRIPT)}))"
 
 
 _SUB = "try_variant_get({{v}}, '$.{0}', 'string')"
@@ -365,7 +394,7 @@ ATOMIC = Contract(ATOMIC_KEYS, (
     Rule("targetLocalId", "regex", "invalid_target", pattern=LOCAL_ID, never=_SELECTOR),
     Rule("scrollDirection", "enum", "invalid_scroll_direction", values=DIRECTIONS),
     Rule("rationale", "string", "invalid_rationale", max_len=500),
-), checks=(("missing_target", f"{_SUB.format('kind')} IN {_TARGETED} AND coalesce({_SUB.format('targetLocalId')}, '') = ''"), *_NEEDS))
+), checks=(("missing_target", f"{{kind}} IN {_TARGETED} AND coalesce({_SUB.format('targetLocalId')}, '') = ''"), *_NEEDS))
 ACTION = Contract(ACTION_KEYS, (
     Rule("actionId", "regex", "invalid_action_id", required=True, pattern=RUN_ID, never=_NO_LINK),
     Rule("objectiveId", "regex", "invalid_objective_id", pattern=RUN_ID),
@@ -399,12 +428,12 @@ ACTION = Contract(ACTION_KEYS, (
     Rule("batchActions", "array", "invalid_batch", low=1, high=10, item=ATOMIC),
 ), checks=(
     *_postcondition(),
-    ("missing_target", f"{_SUB.format('kind')} IN {_TARGETED} AND coalesce({_SUB.format('targetLocalId')}, '') = '' AND NOT ({_SUB.format('kind')} = 'click' AND {_get('{v}', 'coordinates')} IS NOT NULL)"),
-    ("missing_target", f"{_SUB.format('kind')} = 'drag_and_drop' AND (coalesce({_SUB.format('targetLocalId')}, '') = '' OR coalesce({_SUB.format('destinationLocalId')}, '') = '')"),
-    ("missing_file_name", f"{_SUB.format('kind')} = 'upload_file' AND coalesce({_SUB.format('fileName')}, '') = ''"),
+    ("missing_target", f"{{kind}} IN {_TARGETED} AND coalesce({_SUB.format('targetLocalId')}, '') = '' AND NOT ({{kind}} = 'click' AND {_get('{v}', 'coordinates')} IS NOT NULL)"),
+    ("missing_target", f"{{kind}} = 'drag_and_drop' AND (coalesce({_SUB.format('targetLocalId')}, '') = '' OR coalesce({_SUB.format('destinationLocalId')}, '') = '')"),
+    ("missing_file_name", f"{{kind}} = 'upload_file' AND coalesce({_SUB.format('fileName')}, '') = ''"),
     *_NEEDS,
     _says_within("web_search", "missing_query", _SUB.format("searchQuery"), 500),
-    ("missing_batch", f"{_SUB.format('kind')} = 'batch' AND {_get('{v}', 'batchActions')} IS NULL"),
+    ("missing_batch", f"{{kind}} = 'batch' AND {_get('{v}', 'batchActions')} IS NULL"),
 ))
 # Which capability an action needs of its target, where the target lists any; one of them is enough.
 NEEDED_CAPABILITY = {"click": ("click",), "type": ("type",), "select": ("select",), "hover": ("hover", "click"), "drag_and_drop": ("drag", "click"), "upload_file": ("upload", "type")}
@@ -419,8 +448,13 @@ def validate_payloads(df: DataFrame, col: str, contract: Contract = REASONING) -
 
 def tag_payloads(df: DataFrame, col: str, contract: Contract = REASONING) -> DataFrame:
     """Add ``reason``: the first broken rule, NULL for a valid payload."""
-    return df.withColumn("_v", F.expr(f"try_parse_json(`{col}`)")).withColumn(
-        "reason", F.expr(reason_sql("_v", contract))).drop("_v")
+    return _judged(df, col, contract, "reason")
+
+
+def _judged(df: DataFrame, col: str, contract: Contract, out: str) -> DataFrame:
+    """Add ``out``, the first broken rule; settled, as a filter on it would otherwise repeat every rule."""
+    opened = settled(df.withColumn("_v", F.expr(f"try_parse_json(`{col}`)")), **{f"_{n}": F.expr(sql) for n, sql in _opened("_v").items()})
+    return settled(opened.withColumn("_r", F.expr(reason_sql("_v", contract, "_m", "_kind"))), **{out: F.col("_r")}).drop("_v", "_m", "_kind", "_r")
 
 
 def validate_requests(df: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
@@ -457,18 +491,24 @@ def tag_actions(actions: DataFrame, elements: DataFrame, col: str = "proposal",
     # By the order in which a proposal is judged: members, target, its capabilities (3), destination.
     named = f"""filter(concat(transform({members}, {b} -> named_struct('rank', 1, 'id', {b})), array(named_struct('rank', 2, 'id', {text('targetLocalId')}), named_struct('rank', 4, 'id', {text('destinationLocalId')}))),
         {b} -> {b}.id IS NOT NULL)"""
-    tagged = actions.withColumn("_v", F.expr(f"try_parse_json(`{col}`)")).withColumns(
-        {"_kind": F.expr(text("kind")), "_t": F.expr(named), "_d": F.sha2(F.col(col).cast("string"), 256)})
-    caps = F.col("caps") if "caps" in elements.columns else F.lit(None).cast("array<string>")
-    known = elements.select(F.col(key).alias("_k"), F.col("local_id").alias("_id"), caps.alias("_caps")).groupBy("_k", "_id").agg(F.max("_caps").alias("_caps"), F.lit(True).alias("_there"))
-    asked = tagged.select(F.col(key).alias("_k"), "_d", "_kind", F.explode("_t").alias("_t")).select("_k", "_d", "_kind", F.col("_t.rank").alias("_rank"), F.col("_t.id").alias("_id")).distinct()
+    # Equal proposals are parsed and judged once, whatever their pages; rows and proposals meet by the digest.
+    rows = actions.withColumn("_d", F.coalesce(F.sha2(F.col(col).cast("string"), 256), F.lit("")))
+    texts = actions.select(F.col(col).cast("string").alias("_p")).distinct().withColumn("_d", F.coalesce(F.sha2("_p", 256), F.lit("")))
+    said = _judged(texts, "_p", ACTION, "_said").select("_d", "_said")
+    names = texts.select("_d", F.expr("try_parse_json(_p)").alias("_v")).select("_d", F.expr(text("kind")).alias("_kind"), F.expr(named).alias("_t"))
+    with_caps = "caps" in elements.columns
+    known = elements.select(F.col(key).alias("_k"), F.col("local_id").alias("_id"), *(["caps"] if with_caps else [])).groupBy("_k", "_id")
+    known = known.agg(F.max("caps").alias("_caps"), F.lit(True).alias("_there")) if with_caps else known.agg(F.first(F.lit(True)).alias("_there")).withColumn("_caps", F.lit(None).cast("array<string>"))
+    # The outer form, as the plain one makes Spark ask for the size of ``_t`` on the scan as well.
+    asked = rows.select(F.col(key).alias("_k"), "_d").distinct().join(names, "_d").select("_k", "_d", "_kind", F.explode_outer("_t").alias("_t")).where("_t.id IS NOT NULL")
+    asked = asked.select("_k", "_d", "_kind", F.col("_t.rank").alias("_rank"), F.col("_t.id").alias("_id"))
     lacks = F.lit(False)
     for kind, needed in NEEDED_CAPABILITY.items():
         lacks = lacks | ((F.col("_kind") == kind) & ~F.arrays_overlap("_caps", F.array(*map(F.lit, needed))))
     wrong = F.when(F.col("_there").isNull(), F.col("_rank")).when((F.col("_rank") == 2) & (F.size("_caps") > 0) & lacks, F.lit(3))
     found = asked.join(known, ["_k", "_id"], "left").groupBy("_k", "_d").agg(F.min(wrong).alias("_wrong")).where("_wrong IS NOT NULL")
-    j = tagged.join(found, tagged[key].eqNullSafe(found["_k"]) & (tagged["_d"] == found["_d"]), "left")
-    reason = F.coalesce(F.expr(reason_sql("_v", ACTION)), F.when(F.col("_wrong") == 3, F.lit("missing_capability")).when(F.col("_wrong").isNotNull(), F.lit("unknown_target")))
+    j = rows.join(said, "_d", "left").join(found.withColumnRenamed("_d", "_e"), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_d") == F.col("_e")), "left")
+    reason = F.coalesce("_said", F.when(F.col("_wrong") == 3, F.lit("missing_capability")).when(F.col("_wrong").isNotNull(), F.lit("unknown_target")))
     return j.withColumn("reason", reason).select(*actions.columns, "reason")
 
 
