@@ -1,5 +1,6 @@
 """Field sensitivity truth table and slots."""
 
+from veil.functions import spans
 from veil.operators import fields
 
 COLS = ["tag", "type", "name", "id", "autocomplete", "placeholder", "aria_label", "label_text", "value"]
@@ -41,3 +42,12 @@ def test_a_filter_on_the_slot_repeats_no_words(spark):
     plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in (df, df.filter("slot IS NOT NULL"))]
     assert plans[0].count("portfolio") == plans[1].count("portfolio") > 0
     assert [r.slot for r in df.filter("slot IS NOT NULL").collect()] == ["email"]
+
+
+def test_only_names_that_are_shown_and_may_match_are_scanned(spark, monkeypatch):
+    raised = f"cast(raise_error('scanned') as {spans.SPAN_TYPE})"
+    monkeypatch.setattr(spans, "rule_spans", lambda text, rule: f"CASE WHEN {text} IS NULL THEN {spans.NO_SPANS} ELSE {raised} END")
+    elements = spark.createDataFrame([(1, 1, "bob@a.example"), (1, 2, "v12"), (1, 3, None)], "capture_id int, local_id int, name string").selectExpr("*", "array('click', 'type') AS caps")
+    regions = spark.createDataFrame([(1, 1, "token")], "capture_id int, local_id int, category string")
+    rows = {r.local_id: (r.sanitized_name, r.caps) for r in fields.sanitize_elements(elements, regions).collect()}
+    assert rows == {1: ("[TOKEN/KEY FIELD]", ["click"]), 2: ("v12", ["click", "type"]), 3: ("", ["click", "type"])}

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veil.functions.rules import BL, BR, WS
-from veil.functions.spans import all_spans, cut_col
+from veil.functions.spans import NO_SPANS, all_spans, cut_col
 from veil.functions.util import settled, trim_ws
 from veil.operators.detect import short_name
 from veil.operators.regions import to_screenshot
@@ -335,12 +335,12 @@ def sanitize_elements(elements: DataFrame, regions: DataFrame, keys=("capture_id
     """Sensitive elements get a placeholder name, and lose ``type`` where typing is not allowed.
 
     ``elements(*keys, name, caps[])``; ``regions(*keys, category)`` has at most one row per element.
-    Other names are scrubbed and cut.
+    Other names are scrubbed and cut; only those are scanned.
     """
     marks = regions.select(*keys, F.col("category").alias("_cat"))
     label = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in PLACEHOLDERS.items() for x in kv]), F.col("_cat")),
                        F.lit(OTHER_PLACEHOLDER))
-    j = elements.join(marks, list(keys), "left").withColumn("_s", F.expr(all_spans("name"))).withColumn(
+    j = elements.join(marks, list(keys), "left").withColumn("_s", F.expr(f"CASE WHEN _cat IS NULL THEN {all_spans('name')} ELSE {NO_SPANS} END")).withColumn(
         "sanitized_name", F.when(F.col("_cat").isNotNull(), label).otherwise(short_name(cut_col("name", "_s"))))
     return j.withColumn("caps", F.when(F.col("_cat").isin(*NOT_TYPABLE), F.array_except("caps", F.array(F.lit("type")))).otherwise(
         F.col("caps"))).drop("_cat", "_s")
