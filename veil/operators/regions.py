@@ -16,6 +16,7 @@ from veil.functions.ordered import running
 from veil.functions.rules import CATEGORY_PRECEDENCE
 from veil.functions.spans import spans_col
 from veil.operators.match import decide_by_rank
+from veil.session import cut_lineage
 
 META = ["viewport_w", "viewport_h", "screen_w", "screen_h", "scroll_x", "scroll_y"]
 
@@ -243,22 +244,50 @@ def fuse_by_secret(dets: DataFrame, key: str = "page_id") -> DataFrame:
     return merged.unionByName(keyed.filter("_k IS NULL").select(key, "seq", *rest)).select(*dets.columns)
 
 
+def _pieces(regions: DataFrame, keys: list[str], order: list[str], cell: float) -> DataFrame:
+    """``*keys, _b``: the boxes between two cuts."""
+    band = F.floor(F.col("x") / cell)
+    reach = running(regions, keys, band, order, {"_reach": (F.col("x") + F.col("w"), "max")}, exclusive=True)
+    cut = reach.withColumn("_cut", F.when(F.col("_reach").isNull() | (F.col("x") > F.col("_reach")), 1).otherwise(0))
+    # Equal boxes are interchangeable, but the one that cuts has to come first.
+    pieces = running(cut, keys, band, [*order, F.desc("_cut")], {"_piece": (F.col("_cut"), "sum")})
+    return pieces.groupBy(*keys, "_piece").agg(
+        F.array_sort(F.collect_list(F.struct("x", "y", "w", "h"))).alias("_b")).select(*keys, "_b")
+
+
+# Boxes of a group up to which one row holds them all.
+SMALL = 64
+# Rows of a group from which on they are never taken to one task together.
+HOT = 100_000
+
+
+def _by_group(regions: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``*keys, _small, _b``: boxes by group, as one row for up to ``HOT`` of them. ``_small``: at most ``SMALL``, and nothing is NULL."""
+    large = regions.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > HOT).select(
+        *[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(True).alias("_hot"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
+    # At most a row for every HOT boxes, so the list is sent to all tasks.
+    marked = regions.join(F.broadcast(large), same, "left").select(*keys, *order, F.coalesce("_hot", F.lit(False)).alias("_hot"))
+    group = [*keys, F.when(F.col("_hot"), F.xxhash64(*order)).otherwise(F.lit(0).cast("long")).alias("_part")]
+    gap = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in [*keys, *order]])
+    return marked.groupBy(*group, "_hot").agg(F.collect_list(F.struct(*order)).alias("_b"), F.bool_or(gap).alias("_gap")).select(
+        *keys, (~F.col("_hot") & ~F.col("_gap") & (F.size("_b") <= SMALL)).alias("_small"), F.array_sort("_b").alias("_b"))
+
+
 def merge_boxes(regions: DataFrame, keys=("capture_id", "category"), cell: float = 1.0) -> DataFrame:
     """M2: sort by x then y; each box joins the previous merged box when they touch, else starts a new one.
 
-    Only the last merged box is looked at, so this is a fold, not a closure. A box that begins to the
-    right of everything before it can join nothing: the fold is cut there, and every piece between two
-    cuts is folded on its own. The cuts are running values over bands of ``cell`` width, so a crowded
-    capture is never scanned by one task.
+    Only the last merged box is looked at, so this is a fold, not a closure. A group of at most ``SMALL`` boxes is folded as it is.
+    In others a box that begins to the right of everything before it can join nothing: the fold is cut there, and every piece
+    between two cuts is folded on its own. The cuts are running values over bands of ``cell`` width, so a crowded capture is never
+    scanned by one task. The grouped boxes are written to the checkpoint folder, so that both kinds come from one shuffle.
     """
     keys, order = list(keys), ["x", "y", "w", "h"]
-    band = F.floor(F.col("x") / cell)
-    reach = running(regions.select(*keys, *order), keys, band, order, {"_reach": (F.col("x") + F.col("w"), "max")}, exclusive=True)
-    cut = reach.withColumn("_cut", F.when(F.col("_reach").isNull() | (F.col("x") > F.col("_reach")), 1).otherwise(0))
-    # Equal boxes are interchangeable, but the one that cuts has to come first.
-    pieces = running(cut, keys, band, [*order, F.desc("_cut")], {"_piece": (F.col("_cut"), "sum")})
-    grouped = pieces.groupBy(*keys, "_piece").agg(
-        F.array_sort(F.collect_list(F.struct("x", "y", "w", "h"))).alias("_b"))
+    grouped = cut_lineage(_by_group(regions.select(*keys, *order), keys, order))
+    large = grouped.filter("NOT _small")
+    grouped = grouped.filter("_small").select(*keys, "_b")
+    if not large.isEmpty():
+        grouped = grouped.unionByName(_pieces(large.select(*keys, F.explode("_b").alias("_x")).select(*keys, "_x.*"), keys, order, cell))
     merged = F.expr("""
         aggregate(slice(_b, 2, size(_b)), named_struct('done', cast(array() as array<struct<x:double,y:double,w:double,h:double>>),
                       'x', cast(_b[0].x as double), 'y', cast(_b[0].y as double), 'w', cast(_b[0].w as double), 'h', cast(_b[0].h as double)),
