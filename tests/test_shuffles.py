@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import random
 
-from veil.operators import regions
+from pyspark.sql import functions as F
+
+from veil.functions import blocking
+from veil.operators import match, regions
 from veil.plans.derived import BOX_ROWS, BOXES
 
 
@@ -33,5 +36,19 @@ def test_small_groups_of_boxes_merge_without_another_shuffle(spark, monkeypatch)
     got = sorted(map(repr, regions.merge_boxes(df).collect()))
     for small, hot in ((0, 10**6), (20, 10**6), (5, 10)):
         monkeypatch.setattr(regions, "SMALL", small)
-        monkeypatch.setattr(regions, "HOT", hot)
+        monkeypatch.setattr(blocking, "HOT", hot)
         assert sorted(map(repr, regions.merge_boxes(df).collect())) == got
+
+
+def test_small_groups_of_pairs_are_chosen_without_rounds(spark, monkeypatch):
+    rnd = random.Random(4)
+    rows = [(rnd.choice([None, *range(6)]), rnd.randrange(5), rnd.randrange(5), float(rnd.randrange(1, 5))) for _ in range(150)]
+    df = spark.createDataFrame(rows, "page_id int, left int, right int, score double").withColumn("role_ok", F.col("score") > 2)
+    cuts = []
+    monkeypatch.setattr(match, "cut_lineage", lambda x, cut=match.cut_lineage: cuts.append(1) or cut(x))
+    got = sorted(map(repr, match.greedy_match(df, carry=("role_ok",)).collect()))
+    assert len(cuts) == 1 and len(got) > 20
+    for small, hot in ((0, 10**6), (12, 20)):
+        monkeypatch.setattr(match, "SMALL", small)
+        monkeypatch.setattr(blocking, "HOT", hot)
+        assert sorted(map(repr, match.greedy_match(df, carry=("role_ok",)).collect())) == got

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veil.functions.blocking import iou, touching_boxes
+from veil.functions.blocking import dealt, iou, touching_boxes
 from veil.functions.ordered import running
 from veil.functions.rules import CATEGORY_PRECEDENCE
 from veil.functions.spans import spans_col
@@ -257,20 +257,13 @@ def _pieces(regions: DataFrame, keys: list[str], order: list[str], cell: float)
 
 # Boxes of a group up to which one row holds them all.
 SMALL = 64
-# Rows of a group from which on they are never taken to one task together.
-HOT = 100_000
 
 
 def _by_group(regions: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """``*keys, _small, _b``: boxes by group, as one row for up to ``HOT`` of them. ``_small``: at most ``SMALL``, and nothing is NULL."""
-    large = regions.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > HOT).select(
-        *[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(True).alias("_hot"))
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
-    # At most a row for every HOT boxes, so the list is sent to all tasks.
-    marked = regions.join(F.broadcast(large), same, "left").select(*keys, *order, F.coalesce("_hot", F.lit(False)).alias("_hot"))
-    group = [*keys, F.when(F.col("_hot"), F.xxhash64(*order)).otherwise(F.lit(0).cast("long")).alias("_part")]
+    """``*keys, _small, _b``: boxes by group, as one row for up to ``blocking.HOT`` of them. ``_small``: at most ``SMALL``, and nothing is NULL."""
+    marked = dealt(regions, keys, order)
     gap = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in [*keys, *order]])
-    return marked.groupBy(*group, "_hot").agg(F.collect_list(F.struct(*order)).alias("_b"), F.bool_or(gap).alias("_gap")).select(
+    return marked.groupBy(*keys, "_part", "_hot").agg(F.collect_list(F.struct(*order)).alias("_b"), F.bool_or(gap).alias("_gap")).select(
         *keys, (~F.col("_hot") & ~F.col("_gap") & (F.size("_b") <= SMALL)).alias("_small"), F.array_sort("_b").alias("_b"))
 
 
