@@ -16,7 +16,6 @@ from veil.functions.ordered import running
 from veil.functions.rules import CATEGORY_PRECEDENCE
 from veil.functions.spans import spans_col
 from veil.operators.match import decide_by_rank
-from veil.session import cut_lineage
 
 META = ["viewport_w", "viewport_h", "screen_w", "screen_h", "scroll_x", "scroll_y"]
 
@@ -273,14 +272,12 @@ def merge_boxes(regions: DataFrame, keys=("capture_id", "category"), cell: float
     Only the last merged box is looked at, so this is a fold, not a closure. A group of at most ``SMALL`` boxes is folded as it is.
     In others a box that begins to the right of everything before it can join nothing: the fold is cut there, and every piece
     between two cuts is folded on its own. The cuts are running values over bands of ``cell`` width, so a crowded capture is never
-    scanned by one task. The grouped boxes are written to the checkpoint folder, so that both kinds come from one shuffle.
+    scanned by one task.
     """
     keys, order = list(keys), ["x", "y", "w", "h"]
-    grouped = cut_lineage(_by_group(regions.select(*keys, *order), keys, order))
-    large = grouped.filter("NOT _small")
-    grouped = grouped.filter("_small").select(*keys, "_b")
-    if not large.isEmpty():
-        grouped = grouped.unionByName(_pieces(large.select(*keys, F.explode("_b").alias("_x")).select(*keys, "_x.*"), keys, order, cell))
+    grouped = _by_group(regions.select(*keys, *order), keys, order)
+    large = grouped.filter("NOT _small").select(*keys, F.explode_outer("_b").alias("_x")).select(*keys, "_x.*")
+    grouped = grouped.filter("_small").select(*keys, "_b").unionByName(_pieces(large, keys, order, cell))
     merged = F.expr("""
         aggregate(slice(_b, 2, size(_b)), named_struct('done', cast(array() as array<struct<x:double,y:double,w:double,h:double>>),
                       'x', cast(_b[0].x as double), 'y', cast(_b[0].y as double), 'w', cast(_b[0].w as double), 'h', cast(_b[0].h as double)),
